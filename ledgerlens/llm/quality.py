@@ -108,3 +108,13 @@ def rate(docs: DataFrame, text: str = "text", out: str = "quality") -> DataFrame
     failed = (q.n_words < MIN_WORDS) | (100 * q.n_repeat_words > MAX_REPEATED * q.n_words)
     df = df.withColumn(out, q.withField("base_failed", failed))
     return df.withColumn(out, q.withField("kept", ~q.base_failed & (q.kept_chars >= MIN_KEPT * q.word_chars)))
+
+
+def passing(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows that are kept, with their columns.
+
+    Rows go by exploding an empty list: a filter would be pushed below the rating, with a copy of its steps for each use.
+    """
+    rated, mark = fresh(docs, "rated"), fresh(docs, "mark")
+    rows = rate(docs, text, rated)
+    return rows.withColumn(mark, F.explode(F.when(F.col(rated).kept, F.array(F.lit(True))))).drop(rated, mark)
