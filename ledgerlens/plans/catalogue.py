@@ -1,36 +1,8 @@
-"""The registered queries of the engine and their SQL twins."""
+"""All registered queries of the engine and their SQL twins."""
 
-from __future__ import annotations
+from . import ledger, retrieval, statistics  # noqa: F401  they register their queries
+from .registry import ORACLE_SQL, QUERIES
 
-from collections.abc import Callable
+FLAGSHIP = "r20_context"
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
-from pyspark.sql import functions as F
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "w5_scd2"
-
-
-def register(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLE_SQL[name] = sql
-        return f
-
-    return add
-
-
-@register(
-    "w5_scd2",
-    """SELECT event_id, user_id, event_type, value, ts AS valid_from,
-              lead(ts) OVER w AS valid_to, lag(event_id) OVER w AS supersedes_id,
-              CASE WHEN lead(ts) OVER w IS NULL THEN 'active' ELSE 'superseded' END AS status
-       FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)""",
-)
-def w5_scd2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = W.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
-    end = F.lead("ts").over(w)
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type", "value", F.col("ts").alias("valid_from"), end.alias("valid_to"), F.lag("event_id").over(w).alias("supersedes_id"), F.when(end.isNull(), "active").otherwise("superseded").alias("status"))
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
