@@ -66,3 +66,12 @@ def unit_hash(key: str | Column, seed: int) -> Column:
     """Seeded 63-bit hash of a key, the same in every run; nulls hash like the text ``null``."""
     key = F.col(key) if isinstance(key, str) else key
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.coalesce(key.cast("string"), F.lit("null"))), 1)
+
+
+#: Most rows of a slim table (a key and a number or two) that is broadcast; a longer one is joined by shuffling.
+FEW_ROWS = 500_000
+
+
+def broadcast_few(slim: DataFrame) -> DataFrame:
+    """A slim written table, marked for broadcast if its counted rows are few."""
+    return F.broadcast(slim) if slim.count() <= FEW_ROWS else slim

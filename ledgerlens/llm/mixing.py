@@ -17,7 +17,7 @@ from collections import defaultdict, deque
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise, unit_hash
+from .common import WORD, broadcast_few, fresh, materialise, unit_hash
 
 LAST_RANGE = 1000
 DIGIT = 6
@@ -146,9 +146,7 @@ def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", sources: Colum
 
 def mixed_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
     """The documents themselves, each as often as the mix takes it (0 to 3 times), with all their columns."""
-    from .common import fresh
-
     k, t = fresh(docs, "mix_key"), fresh(docs, "mix_times")
     times = mix(docs, text, key, **options).filter("taken > 0").select(F.col(key).alias(k), F.expr("cast(taken div size as int)").alias(t)).groupBy(k).agg(F.max(t).alias(t))
-    joined = docs.join(times, F.col(key).eqNullSafe(F.col(k)))
+    joined = docs.join(broadcast_few(materialise(times, "times")), F.col(key).eqNullSafe(F.col(k)))
     return joined.withColumn(t, F.explode(F.sequence(F.lit(1), F.col(t)))).select(*docs.columns)
