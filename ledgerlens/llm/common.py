@@ -69,7 +69,7 @@ def unit_hash(key: str | Column, seed: int) -> Column:
 
 
 #: Most rows of a slim table (a key and a number or two) that is broadcast; a longer one is joined by shuffling.
-FEW_ROWS = 500_000
+FEW_ROWS = 300_000
 
 
 def broadcast_few(slim: DataFrame) -> DataFrame:

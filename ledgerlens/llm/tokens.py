@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 TABLE_SIZE = 50_000
 TASK_SUMMARY = 4_000
-CACHE_SIZE = 150_000
+CACHE_SIZE = 60_000
 
 
 def default_tokenizer() -> str:
