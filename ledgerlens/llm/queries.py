@@ -65,4 +65,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_html_main_text, op2_toxicity, op3_source_mix, op4_token_counts, op5_media_columns, op6_simhash_near_dedup, op7_url_filter, op8_quality_rules, op9_language_id, op10_best_fit_packing)
 }
-ORACLE_SQL: dict[str, str] = {}
+_SAYS_NOTICE = " OR ".join(f"contains(low, '{wording}')" for wording in quality.NOTICES)
+
+#: The rules again, plainly: no flags for whole texts, and windows compared as strings.
+OP8_SQL = (
+    r"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+ w AS (SELECT rid, doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM d),
+ grams AS (SELECT rid, i, array_to_string(words[i:i + 7], ' ') AS g FROM (SELECT rid, words, unnest(range(1, len(words) - 6)) AS i FROM w)),
+ twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM grams) WHERE n > 1),
+ rep AS (SELECT rid, sum(least(8, coalesce(next - i, 8))) AS n_repeat_words FROM (SELECT rid, i, lead(i) OVER (PARTITION BY rid ORDER BY i) AS next FROM twice) GROUP BY rid),
+ l AS (SELECT rid, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+ u AS (SELECT rid, line, length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g')) AS chars,
+   len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n, lower(line) AS low FROM (SELECT rid, unnest(list_distinct(lines)) AS line FROM l)),
+ good AS (SELECT rid, sum(chars) AS kept_chars FROM u WHERE NOT (
+   (n >= 3 AND 4 * (length(line) - length(translate(line, '|»›·•', ''))) >= n)
+   OR length(line) - length(translate(line, '#*$%&|<>', '')) > 0.15::DOUBLE * n
+   OR length(line) - length(replace(line, '!!', '')) > n
+   OR (n >= 5 AND NOT regexp_matches(line, '\p{Ll}') AND regexp_matches(line, '\p{Lu}'))
+   OR (n >= 40 AND NOT regexp_matches(line, '[.!?,;:…。！？]'))
+   OR ("""
+    + _SAYS_NOTICE
+    + r""")) GROUP BY rid),
+ f AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+   CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+   CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, coalesce(kept_chars, 0) AS kept_chars FROM w JOIN l USING (rid) LEFT JOIN rep USING (rid) LEFT JOIN good USING (rid))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND kept_chars >= 0.5 * word_chars AS kept
+FROM (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f)"""
+)
+
+#: The others are beyond SQL: parsed HTML, fitted models, a tokenizer, stored files, XXH64.
+ORACLE_SQL: dict[str, str] = {"op8_quality_rules": OP8_SQL}

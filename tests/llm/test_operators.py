@@ -247,3 +247,15 @@ def test_pipeline_is_its_stages(spark):
     assert kept <= clean and {"doc_id", "piece", "sequence_id"} <= set(out[0].asDict())
     for _, stage in P.STAGES[:-1]:
         assert stage(spark, docs, sf).columns == docs.columns
+
+
+def test_quality_rules_match_their_sql(spark):
+    import duckdb
+
+    from ledgerlens.llm import queries
+
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    want = con.sql(queries.ORACLE_SQL["op8_quality_rules"])
+    got = queries.op8_quality_rules(spark, "/root/testdata/sf0.001")
+    assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(want.fetchall())
