@@ -174,7 +174,24 @@ def c19_reclassify(spark, sf_dir):
     return conflict_outcomes(events(spark, sf_dir))
 
 
-@register("c22_key_merge", twin("chunks", "SELECT conv_id, min(text) || ' FACTS: ' || string_agg(role, '; ' ORDER BY turn, role) AS index_text FROM chunks GROUP BY conv_id"))
+@register("c24_consolidate", twin("ev", """, v AS (SELECT user_id, event_type, event_id, ts, coalesce(k, -1) AS k, lag(event_id) OVER w AS before, lag(coalesce(k, -1)) OVER w AS last_k FROM ev WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)),
+ r AS (SELECT *, CASE WHEN before IS NULL THEN 'create' WHEN k = last_k THEN 'reinforce' ELSE 'supersede' END AS decision FROM v),
+ a AS (SELECT *, last_value(CASE WHEN decision <> 'reinforce' THEN event_id END IGNORE NULLS) OVER w AS active_id FROM r WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+ SELECT user_id, event_type, event_id, decision, active_id, CASE WHEN decision = 'supersede' THEN lag(active_id) OVER w END AS supersedes_id,
+   row_number() OVER (PARTITION BY user_id, event_type, active_id ORDER BY ts, event_id) - 1 AS reinforced FROM a WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)"""))
+def c24_consolidate(spark, sf_dir):
+    """What each event does to its identity's fact; the stream in ``streaming.capture`` decides alike."""
+    w = W.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
+    e = events(spark, sf_dir).withColumn("k", F.coalesce("k", F.lit(-1)))
+    decision = F.when(F.lag("event_id").over(w).isNull(), "create").when(c("k") == F.lag("k").over(w), "reinforce").otherwise("supersede")
+    a = e.withColumn("decision", decision).withColumn("active_id", F.last(F.when(c("decision") != "reinforce", c("event_id")), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    before = F.when(c("decision") == "supersede", F.lag("active_id").over(w))
+    # An active fact's rows lie in a row, so their number is the difference of two counts over the same window.
+    start = F.last(F.when(c("decision") != "reinforce", c("place")), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
+    return a.withColumn("place", F.row_number().over(w).cast("long")).select("user_id", "event_type", "event_id", "decision", "active_id", before.alias("supersedes_id"), (c("place") - start).alias("reinforced"))
+
+
+@register("c22_key_merge",twin("chunks", "SELECT conv_id, min(text) || ' FACTS: ' || string_agg(role, '; ' ORDER BY turn, role) AS index_text FROM chunks GROUP BY conv_id"))
 def c22_key_merge(spark, sf_dir):
     merged = chunks(spark, sf_dir).groupBy("conv_id").agg(F.min("text").alias("head"), F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("t"))
     return merged.select("conv_id", F.concat("head", F.lit(" FACTS: "), F.concat_ws("; ", c("t.role"))).alias("index_text"))

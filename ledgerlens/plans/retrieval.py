@@ -141,12 +141,19 @@ def j7_nearest(spark, sf_dir):
 
 @register("j12_span_containment", "SELECT item_id, min(doc_id) AS doc_id, count(*) AS n FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY item_id HAVING count(*) = 1")
 def j12_span_containment(spark, sf_dir):
-    """Spans join on their first three words, found in any document; containment is checked on those pairs only."""
-    spans = read(spark, sf_dir, "benchmark").withColumn("head", F.substring("text", 1, 24)).filter("length(text) >= 24")
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text").withColumnRenamed("text", "whole")
-    places = docs.withColumn("head", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("whole"), F.lit(1))), lambda i: F.substring(c("whole"), i, F.lit(24))))))
-    heads = places.join(F.broadcast(spans.select("head").distinct()), "head", "left_semi") if spans.count() <= 10_000 else places
-    found = heads.join(spans, "head").filter(F.contains("whole", "text")).select("item_id", "doc_id").distinct()
+    """Spans join on their first characters (24, or all of the shortest span), found anywhere in a document; containment is
+    checked on those pairs only.
+
+    Only ids and heads travel from the first join: the texts of the documents that hold a head are joined afterwards.
+    """
+    spans = read(spark, sf_dir, "benchmark").filter("length(text) > 0")
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text").withColumnRenamed("text", "whole").filter("length(whole) > 0")
+    n, shortest = spans.agg(F.count("*"), F.min(F.length("text"))).first()
+    head = F.lit(min(24, shortest or 24))
+    heads = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("whole")), lambda i: F.substring(c("whole"), i, head)))
+    slim = spans.select("item_id", F.substring("text", F.lit(1), head).alias("head"))
+    near = docs.select("doc_id", F.explode(heads).alias("head")).join(F.broadcast(slim) if n <= 100_000 else slim, "head").select("item_id", "doc_id").distinct()
+    found = docs.join(near, "doc_id").join(spans, "item_id").filter(F.contains("whole", "text")).select("item_id", "doc_id").distinct()
     return found.groupBy("item_id").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).filter("n = 1")
 
 
