@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_json
+from ..operators.lifecycle import ALLOWED, is_legal
 from ..sources.tables import chunks, events, facts, read, twin
 from .registry import register
 
@@ -197,16 +198,10 @@ def c22_key_merge(spark, sf_dir):
     return merged.select("conv_id", F.concat("head", F.lit(" FACTS: "), F.concat_ws("; ", c("t.role"))).alias("index_text"))
 
 
-#: The status graph, from -> allowed targets.
-TRANSITIONS = {"candidate": "active superseded disputed disabled deleted", "active": "superseded disputed disabled deleted", "superseded": "disputed deleted", "disputed": "active superseded disabled deleted", "disabled": "active deleted"}
-_PAIRS = [(a, b) for a, bs in TRANSITIONS.items() for b in bs.split()]
-
-
-@register("l1_transitions", twin("facts", "SELECT event_id, status, target, status || '>' || target IN (" + ", ".join(f"'{a}>{b}'" for a, b in _PAIRS) + ") AS legal FROM (SELECT *, CASE event_id % 4 WHEN 0 THEN 'active' WHEN 1 THEN 'superseded' WHEN 2 THEN 'disputed' ELSE 'deleted' END AS target FROM facts)"))
+@register("l1_transitions", twin("facts", "SELECT event_id, status, target, status || '>' || target IN (" + ", ".join(f"'{x}'" for x in ALLOWED) + ") AS legal FROM (SELECT *, CASE event_id % 4 WHEN 0 THEN 'active' WHEN 1 THEN 'superseded' WHEN 2 THEN 'disputed' ELSE 'deleted' END AS target FROM facts)"))
 def l1_transitions(spark, sf_dir):
     target = F.element_at(F.array(*map(F.lit, ("active", "superseded", "disputed", "deleted"))), (c("event_id") % 4 + 1).cast("int"))
-    legal = F.concat_ws(">", "status", "target").isin([f"{a}>{b}" for a, b in _PAIRS])
-    return facts(spark, sf_dir).withColumn("target", target).select("event_id", "status", "target", legal.alias("legal"))
+    return facts(spark, sf_dir).withColumn("target", target).select("event_id", "status", "target", is_legal(c("status"), c("target")).alias("legal"))
 
 
 @register("l4_resolve", twin("ev", "SELECT event_id, keep, CASE WHEN event_id = keep THEN 'active' ELSE 'superseded' END AS status FROM (SELECT event_id, max(event_id) OVER (PARTITION BY user_id, event_type, k % 3) AS keep FROM ev)"))

@@ -95,6 +95,47 @@ def r12_greedy_pack(spark, sf_dir):
     return greedy_pack(fused(spark, sf_dir), "query_id", "rank", "fact_id", "cost", BUDGET).select("query_id", "fact_id", "place")
 
 
+HOPS, PER_HOP, ENTITY = 2, 5, "[A-Z][a-z]{2,}"
+MULTI_HOP = PACKED + f""", kept AS (SELECT query_id, fact_id FROM fold WHERE kept), spent AS (SELECT query_id, max(used) AS used FROM fold GROUP BY query_id),
+ seeds AS (SELECT query_id, unnest(regexp_extract_all(text, '{ENTITY}')) AS entity FROM kept JOIN documents ON doc_id = fact_id),
+ own AS (SELECT doc_id AS query_id, lower(unnest(regexp_extract_all(text, '{ENTITY}'))) AS word FROM documents WHERE doc_id IN (SELECT query_id FROM kept)),
+ ents AS (SELECT query_id, entity, row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, entity) AS hop FROM seeds s
+   WHERE NOT EXISTS (SELECT 1 FROM own o WHERE o.query_id = s.query_id AND o.word = lower(s.entity)) GROUP BY query_id, entity QUALIFY hop <= {HOPS}),
+ hits AS (SELECT e.query_id, e.hop, e.entity, f.id AS fact_id, greatest(1, length(f.text) // 4) AS cost,
+   row_number() OVER (PARTITION BY e.query_id, e.hop ORDER BY len(list_filter(regexp_extract_all(lower(f.text), '[a-z0-9]{{3,}}'), lambda x: x = lower(e.entity))) DESC, f.id) AS r
+   FROM ents e JOIN f q ON q.id = e.query_id JOIN f ON f.label = q.label AND list_contains(f.lex, lower(e.entity)) QUALIFY r <= {PER_HOP}),
+ fresh AS (SELECT * FROM hits h WHERE NOT EXISTS (SELECT 1 FROM kept k WHERE k.query_id = h.query_id AND k.fact_id = h.fact_id) QUALIFY row_number() OVER (PARTITION BY query_id, fact_id ORDER BY hop) = 1),
+ line AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hop, r) AS place FROM fresh),
+ fill(query_id, place, used, fits) AS (SELECT query_id, CAST(0 AS BIGINT), used, false FROM spent
+   UNION ALL SELECT l.query_id, l.place, CASE WHEN g.used + l.cost <= {BUDGET} THEN g.used + l.cost ELSE g.used END, g.used + l.cost <= {BUDGET} FROM fill g JOIN line l ON l.query_id = g.query_id AND l.place = g.place + 1)
+ SELECT l.query_id, l.hop, l.entity, l.fact_id FROM fill g JOIN line l USING (query_id, place) WHERE g.fits"""
+
+
+@register("r13_multi_hop", f"WITH RECURSIVE {MULTI_HOP}")
+def r13_multi_hop(spark, sf_dir):
+    """Facts that name what the packed facts name most: two entities for each query, five facts for each, in what budget is left.
+
+    The packed facts come first in the fold and fit again, so what follows them fills the rest.
+    """
+    texts = read(spark, sf_dir, "documents").select("doc_id", "text")
+    scope = read(spark, sf_dir, "embeddings").select("vec_id", "label")
+    named = F.regexp_extract_all("text", F.lit(f"({ENTITY})"), F.lit(1))
+    pool = fused(spark, sf_dir).select("query_id", "fact_id", "rank", "cost")
+    packed = greedy_pack(pool, "query_id", "rank", "fact_id", "cost", BUDGET).select("query_id", "fact_id").join(pool, ["query_id", "fact_id"])
+    own = texts.select(c("doc_id").alias("query_id"), F.transform(named, F.lower).alias("said"))
+    seeds = packed.join(texts, c("fact_id") == c("doc_id")).select("query_id", F.explode(named).alias("entity")).groupBy("query_id", "entity").agg(F.count("*").alias("n"))
+    fresh = seeds.join(own, "query_id").filter(~F.array_contains("said", F.lower("entity")))
+    ents = top_k(fresh, ["query_id"], [F.desc("n"), c("entity")], HOPS, "hop").join(scope, c("query_id") == c("vec_id")).select("query_id", "hop", "entity", "label", F.lower("entity").alias("word"))
+    words = texts.join(scope, c("doc_id") == c("vec_id")).select("label", c("doc_id").alias("fact_id"), token_estimate(c("text")).alias("cost"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]{3,})"), F.lit(1))).alias("word"))
+    hits = words.join(ents, ["label", "word"]).groupBy("query_id", "hop", "entity", "fact_id", "cost").agg(F.count("*").alias("n"))
+    near = top_k(hits, ["query_id", "hop"], [F.desc("n"), c("fact_id")], PER_HOP, "r").join(packed, ["query_id", "fact_id"], "left_anti")
+    first = near.groupBy("query_id", "fact_id", "cost").agg(F.min(F.struct("hop", "r", "entity")).alias("m"))
+    found = first.select("query_id", "fact_id", "cost", (c("m.hop") * 1000 + c("m.r")).alias("rank"), c("m.hop").alias("hop"), c("m.entity").alias("entity"))
+    line = packed.unionByName(found.drop("hop", "entity"))
+    kept = greedy_pack(line, "query_id", "rank", "fact_id", "cost", BUDGET).select("query_id", "fact_id")
+    return found.join(kept, ["query_id", "fact_id"]).select("query_id", "hop", "entity", "fact_id")
+
+
 @register("r20_context", f"WITH RECURSIVE {PACKED} SELECT r.query_id, r.fact_id, r.rank, r.score, CASE WHEN f.kept THEN 'included' ELSE 'excluded' END AS action, CASE WHEN f.kept THEN 'top_score' ELSE 'over_budget' END AS reason_code FROM fold f JOIN ranked r USING (query_id, rank)")
 def r20_context(spark, sf_dir):
     """Every scored fact of every query with its decision."""
