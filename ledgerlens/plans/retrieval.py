@@ -95,7 +95,8 @@ def r12_greedy_pack(spark, sf_dir):
     return greedy_pack(fused(spark, sf_dir), "query_id", "rank", "fact_id", "cost", BUDGET).select("query_id", "fact_id", "place")
 
 
-HOPS, PER_HOP, ENTITY = 2, 5, "[A-Z][a-z]{2,}"
+#: Two entities, five facts for each, and a budget for both passes that leaves the second some room.
+HOPS, PER_HOP, HOP_BUDGET, ENTITY = 2, 5, 2 * BUDGET, "[A-Z][a-z]{2,}"
 MULTI_HOP = PACKED + f""", kept AS (SELECT query_id, fact_id FROM fold WHERE kept), spent AS (SELECT query_id, max(used) AS used FROM fold GROUP BY query_id),
  seeds AS (SELECT query_id, unnest(regexp_extract_all(text, '{ENTITY}')) AS entity FROM kept JOIN documents ON doc_id = fact_id),
  own AS (SELECT doc_id AS query_id, lower(unnest(regexp_extract_all(text, '{ENTITY}'))) AS word FROM documents WHERE doc_id IN (SELECT query_id FROM kept)),
@@ -107,7 +108,7 @@ MULTI_HOP = PACKED + f""", kept AS (SELECT query_id, fact_id FROM fold WHERE kep
  fresh AS (SELECT * FROM hits h WHERE NOT EXISTS (SELECT 1 FROM kept k WHERE k.query_id = h.query_id AND k.fact_id = h.fact_id) QUALIFY row_number() OVER (PARTITION BY query_id, fact_id ORDER BY hop) = 1),
  line AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hop, r) AS place FROM fresh),
  fill(query_id, place, used, fits) AS (SELECT query_id, CAST(0 AS BIGINT), used, false FROM spent
-   UNION ALL SELECT l.query_id, l.place, CASE WHEN g.used + l.cost <= {BUDGET} THEN g.used + l.cost ELSE g.used END, g.used + l.cost <= {BUDGET} FROM fill g JOIN line l ON l.query_id = g.query_id AND l.place = g.place + 1)
+   UNION ALL SELECT l.query_id, l.place, CASE WHEN g.used + l.cost <= {HOP_BUDGET} THEN g.used + l.cost ELSE g.used END, g.used + l.cost <= {HOP_BUDGET} FROM fill g JOIN line l ON l.query_id = g.query_id AND l.place = g.place + 1)
  SELECT l.query_id, l.hop, l.entity, l.fact_id FROM fill g JOIN line l USING (query_id, place) WHERE g.fits"""
 
 
@@ -132,7 +133,7 @@ def r13_multi_hop(spark, sf_dir):
     first = near.groupBy("query_id", "fact_id", "cost").agg(F.min(F.struct("hop", "r", "entity")).alias("m"))
     found = first.select("query_id", "fact_id", "cost", (c("m.hop") * 1000 + c("m.r")).alias("rank"), c("m.hop").alias("hop"), c("m.entity").alias("entity"))
     line = packed.unionByName(found.drop("hop", "entity"))
-    kept = greedy_pack(line, "query_id", "rank", "fact_id", "cost", BUDGET).select("query_id", "fact_id")
+    kept = greedy_pack(line, "query_id", "rank", "fact_id", "cost", HOP_BUDGET).select("query_id", "fact_id")
     return found.join(kept, ["query_id", "fact_id"]).select("query_id", "hop", "entity", "fact_id")
 
 
