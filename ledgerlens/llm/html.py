@@ -26,6 +26,8 @@ from .common import fresh, materialise
 from .urls import host_of
 
 SHARE, LEAST_PAGES, FEW, SALTS = 0.01, 5, 200_000, 64
+#: Elements nested deeper are taken as siblings, as browsers do; their texts stay.
+DEEPEST = 256
 
 # Element names by their roles in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -37,7 +39,7 @@ CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("
 ENDS_P = BLOCK - frozenset("body html li dt dd td th tr tbody thead tfoot caption legend summary".split())
 MARKED = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|notice|popup|modal|newsletter|subscribe|subscription|sidebar|breadcrumbs?|menu|navbar|navigation|nav|pagination|pager|comments?|disqus|replies|related|recommended|share|sharing|social|footer|masthead|site-header|topbar|toolbar|skip-link|widget|login|signup)(?:$|[\s_-])", re.I)
 ROLES = re.compile(r"^(?:navigation|banner|contentinfo|complementary|search|form|dialog|alert|alertdialog|menu|menubar|toolbar)$", re.I)
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|[=\"'])*+)>|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 
 
@@ -100,6 +102,8 @@ def parse(text: str) -> Node:
                 if stack[i].tag in scope:
                     break
         said, marked = _said(m[3])
+        if len(stack) > DEEPEST:
+            stack.pop()
         node = Node(tag, said)
         if marked and tag not in ("html", "body", "article", "main"):
             node.said = "!" + said

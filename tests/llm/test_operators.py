@@ -229,6 +229,9 @@ def test_main_text(spark):
     page = '<html><head><title>t</title><script>a("</p>")</script></head><body><nav><a>m</a></nav><div class="ad">buy</div><article><header><h1>A &amp;  B</h1></header><p>x <b>y</b>\n z<br><p>w<aside>no</aside><div class="comments"><p>hi</div></article><footer>f</footer></body>'
     assert html.main_text(page) == "A & B\nx y z\nw"
     assert [html.main_text(x) for x in (None, "", "plain &lt;", "<p>a<p>b", "<div", "<a>l</a> t")] == ["", "", "plain <", "a\nb", "<div", "l t"]
+    deep = {"<div>" * 5000 + "x": "x", "<b>" * 5000 + "y</i>" * 3: "yyy", "<ul><li>" * 3000 + "z": "z"}
+    assert [html.main_text(x) for x in deep] == list(deep.values()) and all(html.page_hashes(x) for x in deep)
+    assert html.main_text("<p class=it's>a</p><p title=\"1>2\">b <a href='u'v'>c</a>") == "a\nb c"  # quotes open a value only after =
     row = lambda i, host: (i, f"http://{host}/{i}", f"<body><div><span>Site {host}</span></div><div><p>Story {i} of {host}</p></div></body>", "x")
     made = [row(i, "a.b") for i in range(8)] + [(99, None, None, "x")]
     got = {r.page_id: r for r in html.extract(spark.createDataFrame(made, "page_id long, url string, html string, text string")).collect()}
