@@ -60,7 +60,7 @@ def trie_pairs(fp: np.ndarray, starts: np.ndarray, ends: np.ndarray, budget: int
     la, ha, lb, hb = starts, ends, starts, ends
     diff = np.zeros(len(starts), dtype=np.int8)
     found_a, found_b = [], []
-    for bit in range(63, -1, -1):
+    for bit in range(63, -2, -1):  # below bit 0 every node is a single value, so nothing is left to split
         alone = (ha - la == 1) & (hb - lb == 1)
         if alone.any():
             a, b = la[alone], lb[alone]
