@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -180,6 +180,16 @@ def components(links: DataFrame) -> DataFrame:
         seen = now
 
 
+def named_components(classes: DataFrame, budget: int) -> DataFrame:
+    """(fp, component_id) of classes (fp, first): the least ``first`` of all fingerprints reachable over the links."""
+    roots = components(near_links(classes.select("fp"), budget))
+    rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    # Only components of several fingerprints need a name; they are few, so a large one isn't gathered to be named.
+    several = rooted.groupBy("root").agg(F.min("first").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    several = broadcast_few(materialise(several, "several"))
+    return materialise(rooted.join(several, "root", "left").select("fp", F.coalesce("least", "first").alias("component_id")), "components")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5, budget: int = 4) -> DataFrame:
     """One row per input row: key, ``fp`` (signed), ``component_id`` (the smallest key reachable over the links).
 
@@ -188,29 +198,30 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
     """
     rows = materialise(docs.select(F.col(key).alias("id"), fingerprint_column(text, shingle).alias("fp")), "fingerprints")
     classes = materialise(rows.groupBy("fp").agg(F.min("id").alias("first")), "classes")
-    roots = components(near_links(classes.select("fp"), budget))
-    rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    # Only components of several fingerprints need a name; they are few, so a large one isn't gathered to be named.
-    several = rooted.groupBy("root").agg(F.min("first").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    several = broadcast_few(materialise(several, "several"))
-    named = materialise(rooted.join(several, "root", "left").select("fp", F.coalesce("least", "first").alias("component_id")), "components")
-    return rows.join(named, "fp").select(F.col("id").alias(key), "fp", "component_id")
+    return rows.join(named_components(classes, budget), "fp").select(F.col("id").alias(key), "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5, budget: int = 4) -> DataFrame:
-    """The documents without near-duplicates: of each component the row with the smallest key, all columns kept.
+    """The documents without near-duplicates: of each component the smallest row, all columns kept.
 
-    Of repeated rows with that key one stays.
+    Rows are told apart by key and text, so rows that share a key, or have none, are near copies only if their texts are. Rows
+    are ordered by key, those without one last, then by hashes of the text; of rows with the same key and text one stays.
     """
-    found = near_duplicates(docs, text, key, shingle, budget)
-    keep = materialise(found.filter(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(F.col(key).alias("keep_id")).agg(F.count("*").alias("copies")), "keep")
-    n, copies = fresh(docs, "keep_id"), fresh(docs, "copies")
-    keep = keep.withColumnsRenamed({"keep_id": n, "copies": copies})
-    kept = docs.join(broadcast_few(keep), F.col(key).eqNullSafe(F.col(n)), "inner")
-    single = kept.filter(F.col(copies) == 1).drop(n, copies)
+    marks = [F.xxhash64(text), F.xxhash64(F.lit(1), text)]
+    hashed = docs.select(F.col(key).alias("id"), fingerprint_column(text, shingle).alias("fp"), marks[0].alias("h1"), marks[1].alias("h2"))
+    rows = materialise(hashed, "fingerprints").groupBy("fp", "id", "h1", "h2").agg(F.count("*").alias("copies"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h1", "h2", "copies"))
+    named = named_components(materialise(rows.groupBy("fp").agg(first.alias("first")), "classes"), budget)
+    # A row is of one component, so the least rows of the components are as many as these.
+    keep = materialise(named.select("component_id.*").distinct().drop("none"), "keep")
+    n, h1, h2, copies = [fresh(docs, c) for c in ("keep_id", "h1", "h2", "copies")]
+    t1, t2 = fresh(docs, "text_h1"), fresh(docs, "text_h2")
+    keep = keep.withColumnsRenamed({"id": n, "h1": h1, "h2": h2, "copies": copies})
+    told = docs.withColumns({t1: marks[0], t2: marks[1]})
+    same = F.col(key).eqNullSafe(F.col(n)) & (F.col(t1) == F.col(h1)) & (F.col(t2) == F.col(h2))
+    kept = told.join(broadcast_few(keep), same, "inner").drop(n, h1, h2)
+    single = kept.filter(F.col(copies) == 1).drop(t1, t2, copies)
     if keep.filter(F.col(copies) > 1).isEmpty():
         return single
-    place = fresh(docs, "place")
-    first = Window.partitionBy(key).orderBy(F.xxhash64(text))
-    repeated = kept.filter(F.col(copies) > 1).withColumn(place, F.row_number().over(first)).filter(F.col(place) == 1)
-    return single.unionByName(repeated.drop(n, copies, place))
+    repeated = kept.filter(F.col(copies) > 1).dropDuplicates([key, t1, t2])
+    return single.unionByName(repeated.drop(t1, t2, copies))

@@ -18,3 +18,13 @@ def test_trie_pairs_match_brute_force_down_to_bit_zero():
             a, b = simhash.trie_pairs(fp, np.array([0]), np.array([len(fp)]), budget)
             want = {(i, j) for i in range(len(fp)) for j in range(i + 1, len(fp)) if int(fp[i] ^ fp[j]).bit_count() <= budget}
             assert sorted((min(x), max(x)) for x in zip(a.tolist(), b.tolist())) == sorted(want)
+
+
+def test_rows_that_share_a_key_are_judged_by_their_texts(spark):
+    r = random.Random(7)
+    a, b, c, d, e = [" ".join(f"w{r.randrange(5000)}" for _ in range(400)) for _ in range(5)]
+    # a2's key is also that of c, which is kept; a2 is a copy of a and must go all the same.
+    made = [(1, a), (5, a.upper()), (5, c), (1, b), (2, b.upper()), (None, d), (None, e), (None, e), (None, b), (5, c)]
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    kept = sorted((x.doc_id or 0, x.text) for x in simhash.one_of_each(docs).collect())
+    assert kept == sorted([(1, a), (5, c), (1, b), (0, d), (0, e)])
