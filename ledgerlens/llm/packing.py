@@ -10,6 +10,7 @@ per task and length, so no length, however common, meets in one task.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from array import array
 from bisect import bisect_left, insort
@@ -30,7 +31,7 @@ from .tokens import default_tokenizer, worker_coder
 
 
 def _bytes_of(ids: list[int]) -> bytes:
-    return np.array(ids, dtype="<u4").tobytes()
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def pieces(docs: DataFrame, text: str = "text", key: str = "doc_id", capacity: int = 2048, separator: int = 0, path: str | None = None) -> DataFrame:

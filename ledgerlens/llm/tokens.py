@@ -5,27 +5,29 @@ entries, so its size has a bound). Tier two is a bounded cache in each Python wo
 Pre-tokens are never shuffled: each task only reports a bounded summary of the pre-tokens most frequent in its own rows,
 and the summaries are merged to fill tier one. The table decides speed, never a result.
 
-Texts with characters outside Latin-1, with unusual white space, or with something like a special token go to the library
-as a whole, so every count is the library's.
+Texts of any script are split alike. Only a chunk (a run without white space) that holds a special token's sign, or a character
+that this Python's Unicode tables do not know, is encoded by the library as a whole, so every count is the library's.
 """
 
 from __future__ import annotations
 
 import os
 import re
-import unicodedata
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from unicodedata import category, normalize
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 TABLE_SIZE = 50_000
 TASK_SUMMARY = 4_000
-CACHE_SIZE = 60_000
+#: Entries of each of a cache's two generations, and the most characters of a chunk that is kept in it.
+CACHE_SIZE, LONGEST_KEPT = 250_000, 48
 
 
 def default_tokenizer() -> str:
@@ -34,43 +36,44 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _classes() -> tuple[str, str]:
-    """Character classes of the letters and numbers of Latin-1, made from their categories."""
-    latin = [chr(i) for i in range(0x100)]
-    pick = lambda kind: "".join(re.escape(c) for c in latin if unicodedata.category(c)[0] == kind)
-    return pick("L"), pick("N")
+#: The tokenizer's own split pattern, for normalised text; then the same for Latin-1 alone, with its letters and numbers listed.
+ANY_PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
+_LETTERS, _NUMBERS = ("".join(re.escape(chr(i)) for i in range(0x100) if category(chr(i))[0] == kind) for kind in "LN")
+LATIN_PRE_TOKEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\t-\r \x85\xa0{_LETTERS}{_NUMBERS}]+").findall
+#: What this library takes for white space; Python's split() also cuts at the four separators below.
+SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
+SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
+SPECIAL = "<|"
 
 
-LETTERS, NUMBERS = _classes()
-#: The tokenizer's own split pattern, for lower-cased Latin-1 text.
-PRE_TOKEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\t-\r {LETTERS}{NUMBERS}]+")
-#: White space and separators on which this library and Python's split() disagree.
-ODD_SPACE = re.compile(b"[\x1c-\x1f\x85\xa0]").search
-
-
-def is_plain(text: str) -> bool:
-    """Whether the text is Latin-1 with common white space and without anything like a special token."""
+def is_latin(text: str) -> bool:
     try:
-        return not ODD_SPACE(text.encode("latin-1")) and "<|" not in text
+        text.encode("latin-1")
+        return True
     except UnicodeEncodeError:
         return False
 
 
-class TwoGenerations(dict):
-    """A bounded cache filled on a miss: at ``size`` entries the present generation becomes the old one; what is used stays."""
+def chunks_of(text: str) -> list[str]:
+    """The text's runs without white space; of Latin-1 texts in lower case, which leaves fewer to tell apart."""
+    if (text.isascii() or is_latin(text)) and SPECIAL not in text:
+        text = text.lower()
+    if any(s in text for s in SEPARATORS):
+        return [c for c in SPACE.split(text) if c]
+    return text.split()
 
-    def __init__(self, make, size: int):
-        super().__init__()
-        self.make, self.size, self.old = make, size, {}
-
-    def __missing__(self, key: str):
-        if (out := self.old.get(key)) is None:
-            out = self.make(key)
-        if len(self) >= self.size:
-            self.old = dict(self)
-            self.clear()
-        self[key] = out
-        return out
+
+def pre_tokens(chunk: str) -> list[str] | None:
+    """A chunk's pre-tokens, or None if only the library can tell them."""
+    if chunk.isascii() and chunk.isalpha():
+        return [chunk.lower()]
+    if SPECIAL in chunk:
+        return None
+    if chunk.isascii() or is_latin(chunk):
+        return LATIN_PRE_TOKEN(chunk.lower())
+    if "Cn" in map(category, chunk):
+        return None
+    return ANY_PRE_TOKEN("".join([c.lower() for c in normalize("NFC", chunk)]))
 
 
 def byte_letters() -> dict[int, str]:
@@ -80,38 +83,58 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(0x100 + i) for i, b in enumerate(others)}
 
 
-class TextCoder:
+class TextCoder(dict):
     """Whole texts to joined values of their ids, e.g. their number.
 
-    Pre-tokens never cross white space, so a white-space-delimited chunk is looked up first; a new one is split into
-    pre-tokens, which are looked up in the broadcast table, then in a cache, and encoded last.
+    It is itself the worker's cache, of chunks and of pre-tokens: pre-tokens never cross white space, so a chunk is looked up
+    first; a new one is split into pre-tokens, which are looked up in the broadcast table, then in the cache, and encoded last.
+    At ``size`` entries the present generation becomes the old one, from which what is used again comes back. Long chunks are
+    not kept, so the cache's bytes are bounded as well.
     """
 
     def __init__(self, path: str, value, join, known: dict | None = None, size: int = CACHE_SIZE):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.value, self.join, known, letters = Tokenizer.from_file(path), value, join, known or {}, byte_letters()
-        bpe = self.tokenizer.model.tokenize
+        self.tokenizer, self.value, self.join, self.known, self.size, self.old = Tokenizer.from_file(path), value, join, known or {}, size, {}
+        self.bpe, self.letters = self.tokenizer.model.tokenize, byte_letters()
 
-        def encode(word: str):
-            return value([t.id for t in bpe(word.encode().decode("latin-1").translate(letters))])
+    def encode(self, word: str):
+        """The value of one pre-token."""
+        if not (word.isascii() and word.isprintable()):
+            word = word.encode().decode("latin-1").translate(self.letters)
+        return self.value([t.id for t in self.bpe(word)])
 
-        self.pre_tokens = TwoGenerations(encode, size)
-        look = self.pre_tokens.__getitem__
-
-        def split(chunk: str):
-            return join([known[w] if w in known else look(w) for w in PRE_TOKEN.findall(chunk)])
+    def piece(self, word: str):
+        out = self.known.get(word)
+        if out is None and (out := self.get(word)) is None:
+            out = self.keep(word, self.encode(word))
+        return out
 
-        self.chunks = TwoGenerations(split, 2 * size)
+    def keep(self, key: str, value):
+        if len(key) <= LONGEST_KEPT:
+            if len(self) >= self.size:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+    def __missing__(self, chunk: str):
+        out = self.old.get(chunk)
+        if out is None and (out := self.known.get(chunk)) is None:
+            words = pre_tokens(chunk)
+            if words is None:
+                out = self.value(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
+            elif len(words) == 1:
+                out = self.encode(words[0])
+            else:
+                out = self.join([self.piece(w) for w in words])
+        return self.keep(chunk, out)
 
     def code(self, text: str | None):
         """The joined values of the whole text's ids."""
-        if not text:
-            return self.join(())
-        if not is_plain(text):
-            return self.value(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        return self.join(map(self.chunks.__getitem__, text.lower().split()))
+        return self.join(map(self.__getitem__, chunks_of(text))) if text else self.join(())
 
 
 _coders: dict[tuple, TextCoder] = {}
@@ -134,30 +157,30 @@ def frequent_pre_tokens(docs: DataFrame, text: str = "text", size: int = TABLE_S
 
         def split() -> None:
             for chunk, n in chunks.items():
-                for word in PRE_TOKEN.findall(chunk):
+                for word in pre_tokens(chunk) or () if len(chunk) <= LONGEST_KEPT else ():
                     seen[word] += n
             chunks.clear()
 
         for batch in batches:
             for t in batch[text]:
                 if t:
-                    chunks.update(t.lower().split())
-            if len(chunks) > 300_000:
-                split()
-            if len(seen) > 500_000:
-                seen = Counter(dict(seen.most_common(100_000)))
+                    chunks.update(chunks_of(t))
+                    if len(chunks) > 300_000:
+                        split()
+                        if len(seen) > 500_000:
+                            seen = Counter(dict(seen.most_common(100_000)))
         split()
         yield pd.DataFrame(seen.most_common(summary), columns=["word", "n"])
 
-    counts = docs.select(text).mapInPandas(summarise, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = docs.select(F.col(text).alias(text)).mapInPandas(summarise, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return [r.word for r in counts.orderBy(F.desc("n"), "word").limit(size).collect()]
 
 
 def token_counter(spark: SparkSession, frequent: list[str], path: str | None = None):
     """A Column -> Column function: tokens of a text, null counting as empty."""
     path = path or default_tokenizer()
-    lengths = TextCoder(path, len, sum).pre_tokens
-    shared = spark.sparkContext.broadcast({w: lengths[w] for w in frequent})
+    length = TextCoder(path, len, sum).encode
+    shared = spark.sparkContext.broadcast({w: length(w) for w in frequent})
     key = ("lengths", path, uuid.uuid4().hex)
 
     @F.pandas_udf(T.LongType())
