@@ -1,24 +1,35 @@
 """URL filters: explicit rules by host and path, then a ratio of two character language models.
 
 The rules also label URLs for the models: URLs that a rule allows are the accepted, those that one blocks the rejected. Each
-model is a variable-order Markov model over the bytes of host and path: counts of contexts of length 0 to ``ORDER`` and of the
-byte that follows, over all labelled URLs, smoothed from order to order. Contexts are hashed into ``SLOTS`` counters an order,
-which bounds what is gathered and broadcast. A URL's value is the log-likelihood difference of the two models, accepted less
-rejected, divided by its length; a URL is blocked if that is below a threshold, calibrated so that at most ``MISSED`` of the
-accepted URLs fall below it.
+model is a variable-order Markov model over the bytes of host and path: it knows how often a byte follows each context of length
+0 to ``ORDER``, over all labelled URLs, and is smoothed from order to order. A byte's probability depends on the window of that
+byte and the ``ORDER`` before it, so Spark counts windows exactly, derives the counts of all shorter ones and of the contexts from
+them, and values each distinct window once by joins; what is gathered grows with the distinct windows of the corpus. A URL's
+value is the log-likelihood difference of the two models, accepted less rejected, divided by its length.
+
+The values of the ``TABLE`` most frequent windows are broadcast; a window that is not among them is joined. Hot windows are by
+definition in that table, so the join has none.
+
+A URL is blocked if its value is below a threshold, calibrated so that at most ``MISSED`` of the accepted URLs fall below it.
+For that each accepted URL is valued by models that have not counted it (``FOLDS``-fold, by hash of the URL).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ORDER, SLOTS, SMOOTH, MISSED = 4, 1 << 15, 2.0, 0.01
+from .common import materialise
+
+ORDER, SMOOTH, MISSED, FOLDS = 4, 2.0, 0.01, 4
+TABLE = 200_000
+#: The accepted URLs from which a share can be told; with fewer the threshold lies so many standard deviations below their mean.
+ENOUGH, FEW_SD = 1000, 4.0
 
 Rule = tuple[str, str]  # verdict, host followed by path
 
@@ -45,80 +56,113 @@ def rule_of(host: Column, path: Column, rules: list[Rule]) -> Column:
     return out
 
 
-def contexts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """Lengths and, over all texts' bytes and end marks: text numbers, then slots of contexts and of contexts with the byte."""
+#: What a URL counts for: FOLDS * label + fold for a labelled one (label 0 rejected, 1 accepted), else NO_LABEL.
+NO_LABEL = 2 * FOLDS
+
+
+def windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's number of windows, its end mark included, and all texts' windows: a byte after the ``ORDER`` before it."""
     raw = [t.encode() + b"\n" for t in texts]
     sizes = np.array([len(r) for r in raw], dtype=np.int64)
-    data = np.frombuffer(b"".join(bytes(ORDER) + r for r in raw), np.uint8).astype(np.uint64)
-    own = np.repeat(np.arange(len(raw)), sizes)
-    at = np.arange(len(own)) + ORDER * (own + 1)
-    slot = lambda h, k: ((h + np.uint64(k + 1)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - 15)).astype(np.int64)
-    before, after, h = [], [], np.zeros(len(own), dtype=np.uint64)
-    for k in range(ORDER + 1):
-        if k:
-            h = (h + data[at - k] + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
-            h ^= h >> np.uint64(31)
-        before.append(slot(h, k))
-        after.append(slot((h + data[at] + np.uint64(1)) * np.uint64(0x94D049BB133111EB), k + 64))
-    return sizes, own, before, after
+    data = np.frombuffer(b"".join(bytes(ORDER) + r for r in raw), np.uint8).astype(np.int64)
+    at = np.arange(sizes.sum()) + ORDER * (np.repeat(np.arange(len(raw)), sizes) + 1)
+    out = np.zeros(len(at), dtype=np.int64)
+    for k in range(ORDER, -1, -1):
+        out = out << 8 | data[at - k]
+    return sizes, out
+
+
+def count_windows(rows: DataFrame) -> DataFrame:
+    """(window, seen, c0, c1, ...): occurrences of each distinct window in the texts ``t``, in all and by ``part``."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sizes, found = windows(list(batch["t"]))
+            keys, n = np.unique(np.stack((np.repeat(batch["part"].to_numpy(), sizes), found)), axis=1, return_counts=True)
+            yield pd.DataFrame({"part": keys[0].astype(np.int32), "window": keys[1], "n": n})
 
+    counted = rows.select("t", "part").mapInPandas(count, "part int, window long, n long")
+    parts = [F.coalesce(F.sum(F.when(F.col("part") == i, F.col("n"))), F.lit(0)).alias(f"c{i}") for i in range(NO_LABEL)]
+    return counted.groupBy("window").agg(F.sum("n").alias("seen"), *parts)
 
-@dataclass
-class Models:
-    """Counts by label (0 rejected, 1 accepted), order and slot, of contexts and of contexts with their byte."""
 
-    before: np.ndarray
-    after: np.ndarray
-    threshold: float = float("-inf")
+def window_values(counts: DataFrame) -> DataFrame:
+    """(window, seen, d, d0, d1, ...): each window's log-likelihood difference, by all counts and without those of a fold."""
+    labels, joined = [f"c{i}" for i in range(NO_LABEL)], counts.select("window", "seen")
+    sums = lambda df, key, k, kind: df.groupBy(key.alias(f"{kind}{k}")).agg(*[F.sum(x).alias(f"{kind}{k}_{x}") for x in labels])
+    for k in range(ORDER + 1):
+        own = F.col("window").bitwiseAND((1 << 8 * (k + 1)) - 1)
+        context = F.shiftrightunsigned(own, 8)
+        for kind, key in (("after", own), ("before", context)):
+            joined = joined.withColumn(f"{kind}{k}", key).join(sums(counts, key, k, kind), f"{kind}{k}").drop(f"{kind}{k}")
 
-    def differences(self, texts: list[str]) -> np.ndarray:
-        """Log-likelihood differences a byte, accepted less rejected."""
-        if not texts:
-            return np.empty(0)
-        sizes, own, before, after = contexts(texts)
-        logs = []
-        for label in (0, 1):
-            p = np.full(len(own), 1 / 256)
-            for k in range(ORDER + 1):
-                p = (self.after[label, k, after[k]] + SMOOTH * p) / (self.before[label, k, before[k]] + SMOOTH)
-            logs.append(np.log(p))
-        return np.bincount(own, weights=logs[1] - logs[0], minlength=len(texts)) / sizes
+    def value(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            n = {(kind, k): batch[[f"{kind}{k}_{x}" for x in labels]].to_numpy(dtype=np.float64) for kind in ("after", "before") for k in range(ORDER + 1)}
+            yield pd.DataFrame({"window": batch["window"], "seen": batch["seen"], **{name: log_ratio(n, left_out) for name, left_out in VALUES.items()}})
 
+    return joined.mapInPandas(value, "window long, seen long, " + ", ".join(f"{x} double" for x in VALUES))
 
-def differences(rows: DataFrame, models: Models, text: str) -> Column:
-    shared = rows.sparkSession.sparkContext.broadcast(models)
 
-    @F.pandas_udf("double")
-    def value(batch: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.differences(list(batch)))
+#: Value columns, and the fold that each leaves out.
+VALUES = {"d": None} | {f"d{f}": f for f in range(FOLDS)}
 
-    return value(F.col(text))
 
+def log_ratio(n: dict[tuple[str, int], np.ndarray], left_out: int | None) -> np.ndarray:
+    """From counts by (kind, order), each windows x parts: log of the accepted model's probability over the rejected one's."""
+    logs = []
+    for label in (0, 1):
+        parts = [FOLDS * label + f for f in range(FOLDS) if f != left_out]
+        p = np.full(len(n["after", 0]), 1 / 256)
+        for k in range(ORDER + 1):
+            p = (n["after", k][:, parts].sum(axis=1) + SMOOTH * p) / (n["before", k][:, parts].sum(axis=1) + SMOOTH)
+        logs.append(np.log(p))
+    return logs[1] - logs[0]
 
-def learn(labelled: DataFrame) -> Models:
-    """Models from rows of ``t`` (host and path) and ``y`` (1 accepted, 0 rejected), and their calibrated threshold."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = np.zeros((2, 2, ORDER + 1, SLOTS), dtype=np.int64)
-        for batch in batches:
-            for label, own in batch.groupby("y")["t"]:
-                _, _, before, after = contexts(list(own))
-                for k in range(ORDER + 1):
-                    sums[0, label, k] += np.bincount(before[k], minlength=SLOTS)
-                    sums[1, label, k] += np.bincount(after[k], minlength=SLOTS)
-        flat = sums.ravel()
-        found = np.flatnonzero(flat)
-        yield pd.DataFrame({"at": found, "n": flat[found]})
-
-    found = labelled.select("t", "y").mapInPandas(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
-    sums = np.zeros(4 * (ORDER + 1) * SLOTS)
-    sums[found["at"].to_numpy()] = found["n"].to_numpy()
-    before, after = sums.reshape(2, 2, ORDER + 1, SLOTS)
-    models = Models(before, after)
-    accepted = labelled.filter("y = 1").select(differences(labelled, models, "t").alias("d"))
-    low = accepted.agg(F.percentile_approx("d", MISSED, 10_000)).first()[0]
-    both = before[:, 0].sum(axis=1)
-    return Models(before, after, low if low is not None and both.all() else float("-inf"))
+def differences(rows: DataFrame, values: DataFrame, which: Column, table: int | None = None) -> DataFrame:
+    """``rows`` with ``difference``: the mean value of the windows of ``t``, by the value column of the number ``which``.
+
+    ``values`` should be a written table. Of texts with windows beyond the broadcast ones, those windows are joined, once for each
+    distinct text.
+    """
+    table = table or TABLE
+    known = values.orderBy(F.desc("seen"), "window").limit(table).toPandas().sort_values("window")
+    shared = rows.sparkSession.sparkContext.broadcast((known["window"].to_numpy(), known[list(VALUES)].to_numpy(dtype=np.float32)))
+
+    @F.pandas_udf("total double, size long, rest array<long>")
+    def look_up(texts: pd.Series, which: pd.Series) -> pd.DataFrame:
+        keys, own = shared.value
+        sizes, found = windows(list(texts))
+        at = np.searchsorted(keys, found)
+        hit = at < len(keys)
+        hit[hit] = keys[at[hit]] == found[hit]
+        text = np.repeat(np.arange(len(sizes)), sizes)
+        column = which.to_numpy()[text]
+        totals = np.bincount(text[hit], weights=own[at[hit], column[hit]], minlength=len(sizes))
+        rest = np.split(found[~hit], np.cumsum(np.bincount(text[~hit], minlength=len(sizes)))[:-1]) if (~hit).any() else [None] * len(sizes)
+        return pd.DataFrame({"total": totals, "size": sizes, "rest": rest})
+
+    looked = rows.withColumn("which", which).withColumn("found", look_up("t", "which"))
+    if values.count() <= table:
+        return looked.withColumn("difference", F.col("found.total") / F.col("found.size")).drop("which", "found")
+    missing = looked.filter(F.size("found.rest") > 0).select("t", "which", "found.rest").dropDuplicates(["t", "which"])
+    exploded = missing.select("t", "which", F.explode("rest").alias("window")).join(values, "window")
+    more = exploded.groupBy("t", "which").agg(F.sum(F.element_at(F.array(*VALUES), F.col("which") + 1)).alias("more"))
+    joined = looked.join(more, ["t", "which"], "left")
+    return joined.withColumn("difference", (F.col("found.total") + F.coalesce("more", F.lit(0.0))) / F.col("found.size")).drop("which", "found", "more")
+
+
+def threshold_of(accepted: DataFrame) -> float:
+    """The value that a share ``MISSED`` of URLs like these (column ``difference``) falls below.
+
+    With fewer than ``ENOUGH`` it lies ``FEW_SD`` standard deviations below their mean, and not above the least of them.
+    """
+    d = F.col("difference")
+    n, mean, sd, least, low = accepted.agg(F.count("*"), F.avg(d), F.coalesce(F.stddev(d), F.lit(0.0)), F.min(d), F.percentile_approx(d, MISSED, 100_000)).first()
+    if not n:
+        return -math.inf
+    return low if n >= ENOUGH else min(least, mean - FEW_SD * sd * math.sqrt(1 + 1 / n))
 
 
 def filter_urls(pages: DataFrame, rules: list[Rule], url: str = "url", key: str = "page_id") -> DataFrame:
@@ -126,13 +170,17 @@ def filter_urls(pages: DataFrame, rules: list[Rule], url: str = "url", key: str
 
     Null URLs and URLs without :// have empty host and path and are judged like any other without a rule; ties between rules
     cannot occur, as the longest fitting rule of a host and path is one; without both accepted and rejected URLs every URL
-    without a rule is allowed; repeated rows are judged alike; other columns are left out.
+    without a rule is allowed; repeated rows are judged alike and count as often as they occur; an empty table gives no rows;
+    other columns are left out, so their names cannot clash.
     """
-    parsed = pages.select(F.col(key), host_of(url).alias("host"), path_of(url).alias("path"))
+    parsed = pages.select(F.col(key).alias("id"), host_of(url).alias("host"), path_of(url).alias("path"))
     ruled = parsed.withColumn("r", rule_of(F.col("host"), F.col("path"), rules)).withColumn("t", F.concat("host", "path"))
-    # What the rule itself matched is left out of learning; else the models would only repeat the rules.
-    beyond = F.expr("concat(left(host, length(host) - length(substring_index(r.rule, '/', 1))), substring(path, length(r.rule) - length(substring_index(r.rule, '/', 1)) + 1))")
-    models = learn(ruled.filter("r is not null").select(beyond.alias("t"), F.when(F.col("r.verdict") == "allow", 1).otherwise(0).alias("y")))
-    scored = ruled.withColumn("difference", differences(ruled, models, "t"))
-    verdict = F.coalesce(F.col("r.verdict"), F.when(F.col("difference") < models.threshold, "block").otherwise("allow"))
-    return scored.select(key, "host", "path", F.col("r.rule").alias("rule"), verdict.alias("verdict"), "difference")
+    fold = F.pmod(F.xxhash64("t"), F.lit(FOLDS)).cast("int")
+    accepted = F.col("r.verdict") == "allow"
+    part = F.when(F.col("r").isNull(), NO_LABEL).otherwise(F.when(accepted, FOLDS).otherwise(0) + fold)
+    values = materialise(window_values(materialise(count_windows(ruled.withColumn("part", part)), "windows")), "values")
+    scored = differences(ruled, values, F.lit(0))
+    both = ruled.agg(F.count_if(accepted), F.count_if(F.col("r.verdict") == "block")).first()
+    threshold = threshold_of(differences(ruled.filter(accepted), values, fold + 1)) if all(both) else -math.inf
+    verdict = F.coalesce(F.col("r.verdict"), F.when(F.col("difference") < threshold, "block").otherwise("allow"))
+    return scored.select(F.col("id").alias(key), "host", "path", F.col("r.rule").alias("rule"), verdict.alias("verdict"), "difference")
