@@ -28,8 +28,6 @@ from .common import materialise
 
 ORDER, SMOOTH, MISSED, FOLDS = 4, 2.0, 0.01, 4
 TABLE = 200_000
-#: The accepted URLs from which a share can be told; with fewer the threshold lies so many standard deviations below their mean.
-ENOUGH, FEW_SD = 1000, 4.0
 
 Rule = tuple[str, str]  # verdict, host followed by path
 
@@ -154,23 +152,22 @@ def differences(rows: DataFrame, values: DataFrame, which: Column, table: int |
 
 
 def threshold_of(accepted: DataFrame) -> float:
-    """The value that a share ``MISSED`` of URLs like these (column ``difference``) falls below.
+    """The k-th least ``difference`` of n accepted URLs, for k the whole part of (n + 1) * ``MISSED``.
 
-    With fewer than ``ENOUGH`` it lies ``FEW_SD`` standard deviations below their mean, and not above the least of them.
+    Another such URL is expected to lie below it with a chance of k / (n + 1) at most, whatever the distribution. Under
+    1 / ``MISSED`` URLs don't support so small a chance: then there is no threshold (minus infinity) and nothing is blocked by it.
     """
-    d = F.col("difference")
-    n, mean, sd, least, low = accepted.agg(F.count("*"), F.avg(d), F.coalesce(F.stddev(d), F.lit(0.0)), F.min(d), F.percentile_approx(d, MISSED, 100_000)).first()
-    if not n:
-        return -math.inf
-    return low if n >= ENOUGH else min(least, mean - FEW_SD * sd * math.sqrt(1 + 1 / n))
+    n = accepted.count()
+    k = math.floor(MISSED * (n + 1) + 1e-9)
+    return accepted.agg(F.percentile_approx("difference", k / n, 100_000)).first()[0] if k else -math.inf
 
 
 def filter_urls(pages: DataFrame, rules: list[Rule], url: str = "url", key: str = "page_id") -> DataFrame:
     """Per row: key, host, path, rule, verdict, difference.
 
     Null URLs and URLs without :// have empty host and path and are judged like any other without a rule; ties between rules
-    cannot occur, as the longest fitting rule of a host and path is one; without both accepted and rejected URLs every URL
-    without a rule is allowed; repeated rows are judged alike and count as often as they occur; an empty table gives no rows;
+    cannot occur, as the longest fitting rule of a host and path is one; without rejected URLs, or with under 1 / ``MISSED`` accepted
+    ones, every URL without a rule is allowed; repeated rows are judged alike and count as often as they occur; an empty table gives no rows;
     other columns are left out, so their names cannot clash.
     """
     parsed = pages.select(F.col(key).alias("id"), host_of(url).alias("host"), path_of(url).alias("path"))
