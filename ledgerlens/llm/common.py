@@ -68,6 +68,21 @@ def unit_hash(key: str | Column, seed: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.coalesce(key.cast("string"), F.lit("null"))), 1)
 
 
+def in_order(df: DataFrame, column: str, out: str) -> DataFrame:
+    """``df``, written, with each row's place (from 0) by one column, nulls last: sorted in ranges, whose counts give their offsets."""
+    last = [F.col(column).isNull(), F.col(column)]
+    spread = df.repartitionByRange(*last).sortWithinPartitions(*last).withColumn(out, F.monotonically_increasing_id())
+    placed = materialise(spread, "in-order")
+    part, before, offsets = F.shiftright(out, 33), 0, []
+    for p, n in sorted(placed.groupBy(part.alias("p")).count().collect()):  # a row for each partition
+        offsets.append((p, before))
+        before += n
+    shift = df.sparkSession.createDataFrame(offsets, "p long, shift long")
+    p = fresh(placed, "p")
+    moved = placed.withColumn(p, part).join(F.broadcast(shift.withColumnRenamed("p", p)), p)
+    return moved.withColumn(out, F.col(out).bitwiseAND((1 << 33) - 1) + F.col("shift")).drop(p, "shift")
+
+
 #: Most rows of a slim table (a key and a number or two) that is broadcast; a longer one is joined by shuffling.
 FEW_ROWS = 300_000
 

@@ -3,10 +3,14 @@
 Documents are aggregated by the set of sources they belong to. Each pattern can send its words once for free, a second time
 at a cost and a third time at a higher one; each source takes up to its target. As only the arcs into patterns cost
 anything, and more with each repetition, augmenting paths over the first repetition, then the second, then the third, are
-the successive shortest paths of the min-cost flow. The flow gives each pattern a number of words: all its documents as
-often as fits, and a seeded choice of documents once more. That choice is a threshold on a seeded hash of the key, found by
-counting in ever finer ranges of the hash, so no pattern, however large, is sorted or gathered; only its last range (at most
-``LAST_RANGE`` keys) is walked in hash order, taking whatever still fits.
+the successive shortest paths of the min-cost flow. Where no document has several sources, the flow is one arc for each source
+and Spark sends it as it stands, however many sources there are; only patterns with several sources, and the sources they
+touch, are routed on the driver, in numbers that follow the overlaps and not the documents.
+
+The flow gives each pattern a number of words: all its documents as often as fits, and a seeded choice of documents once more.
+That choice is a threshold on a seeded hash of the key, found by counting in ever finer ranges of the hash, for all patterns at
+once, so no pattern, however large, is sorted or gathered; only its last range (``LAST_RANGE`` keys or so) is walked in hash
+order, taking whatever still fits.
 """
 
 from __future__ import annotations
@@ -14,36 +18,34 @@ from __future__ import annotations
 import json
 from collections import defaultdict, deque
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, broadcast_few, fresh, materialise, unit_hash
+from .common import WORD, broadcast_few, fresh, in_order, materialise, unit_hash
 
 LAST_RANGE = 1000
 DIGIT = 6
-MAX_PATTERNS = 100_000
 
 
 def word_count(text: str | Column) -> Column:
     return F.coalesce(F.regexp_count(F.col(text) if isinstance(text, str) else text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = (1, 2, 3), most: float = 3) -> dict[str | None, float]:
-    """Shares of all words by the weights, dealt in code-point order, null last; what exceeds ``most`` times a source's size
-    is shared again by weight among the others."""
-    names = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
-    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
-    out: dict[str | None, float] = {}
-    free, rest = set(names), float(sum(sizes.values()))
-    while free:
-        per = rest / sum(weight[s] for s in free)
-        over = {s for s in free if per * weight[s] > most * sizes[s]}
-        if not over:
-            return out | {s: per * weight[s] for s in free}
-        out |= {s: float(most * sizes[s]) for s in over}
-        rest -= sum(out[s] for s in over)
-        free -= over
-    return out
+def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3) -> DataFrame:
+    """Sources (``source``, ``size``) with ``target``: shares of all words by the weights, dealt in code-point order, null last;
+    what exceeds ``most`` times a source's size is shared again by weight among the others.
+
+    Shares only grow while excess is dealt out, so a source at its limit stays there: each round is one sum over the sources.
+    """
+    placed = materialise(in_order(sizes, "source", "place").withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights)).cast("int") + 1)), "weights")
+    limit, share = most * F.col("size"), 0.0
+    while True:
+        over = limit < share * F.col("weight")
+        total, fixed, free = placed.agg(F.sum("size"), F.sum(F.when(over, limit).otherwise(0.0)), F.sum(F.when(over, 0).otherwise(F.col("weight")))).first()
+        again = (total - fixed) / free if free else share
+        if again <= share:
+            return placed.select("source", "size", F.least(limit, share * F.col("weight")).cast("double").alias("target"))
+        share = again
 
 
 def route(patterns: dict[tuple, int], quotas: dict, repeats: int = 3) -> dict[tuple, int]:
@@ -85,68 +87,94 @@ def route(patterns: dict[tuple, int], quotas: dict, repeats: int = 3) -> dict[tu
     return sent
 
 
+def _flow(patterns: DataFrame, quotas: DataFrame, repeats: int) -> DataFrame:
+    """(pattern, whole, rest): how often a pattern goes whole, and the words that it sends beyond that."""
+    spark = patterns.sparkSession
+    single = F.size("members") == 1
+    alone = patterns.filter(single).join(quotas.select("source", "target"), F.element_at("members", 1).eqNullSafe(F.col("source")))
+    sent = alone.select("pattern", "size", F.least(repeats * F.col("size"), F.round("target").cast("long")).alias("sent"))
+    shared = patterns.filter(~single)
+    if not shared.isEmpty():
+        touched = shared.select(F.explode("members").alias("source")).distinct()
+        own = quotas.join(F.broadcast(touched), quotas.source.eqNullSafe(touched.source), "left_semi").collect()
+        near = patterns.join(F.broadcast(touched), F.exists("members", lambda m: m.eqNullSafe(F.col("source"))), "left_semi").collect()
+        routed = route({tuple(r.members): r.size for r in near}, {r.source: r.target for r in own}, repeats)
+        rows = [(r.pattern, r.size, routed[tuple(r.members)]) for r in near]
+        found = spark.createDataFrame(rows, "pattern string, size long, sent long")
+        sent = sent.join(F.broadcast(found.select("pattern")), "pattern", "left_anti").unionByName(found)
+    whole = F.when(F.col("size") > 0, F.expr("sent div size")).otherwise(0)
+    return sent.select("pattern", whole.alias("whole"), (F.col("sent") - whole * F.col("size")).alias("rest"))
+
+
+def _choose(rows: DataFrame, flow: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pattern, whole, shift, range): hashes below the range go once more; and (pattern, u): those of the range that do."""
+    counted = rows.groupBy("pattern").agg(F.count("*").alias("n"))
+    state = flow.join(counted, "pattern").select("pattern", "whole", "rest", F.lit(63).alias("shift"), F.lit(0).cast("long").alias("range"), "n")
+    state = materialise(state.withColumn("n", F.when(F.col("rest") > 0, F.col("n")).otherwise(0)), "state")
+    coarse = (F.col("n") > LAST_RANGE) & (F.col("shift") > 0)
+    inside = F.expr("shiftright(u, shift) = range")
+    while not state.filter(coarse).isEmpty():
+        own = rows.join(broadcast_few(state.filter(coarse)), "pattern").filter(inside)
+        finer = F.greatest(F.col("shift") - DIGIT, F.lit(0)).cast("int")
+        digits = own.groupBy("pattern", "rest", finer.alias("shift"), F.expr("shiftright(u, greatest(shift - %d, 0))" % DIGIT).alias("digit")).agg(F.sum("size").alias("size"), F.count("*").alias("n"))
+        # A pattern has 2 ** DIGIT rows here at most.
+        upto = digits.withColumn("upto", F.sum("size").over(Window.partitionBy("pattern").orderBy("digit")))
+        broken = F.col("upto") > F.col("rest")
+        first = F.min(F.when(broken, F.struct("digit", "n", (F.col("rest") - F.col("upto") + F.col("size")).alias("rest"))))
+        ends = upto.groupBy("pattern", "shift").agg(first.alias("at"), F.max("digit").alias("last"), F.first("rest").alias("rest"), F.sum("size").alias("all"))
+        new = ends.select("pattern", "shift", F.coalesce("at.digit", F.col("last") + 1).alias("range"), F.coalesce("at.n", F.lit(0)).alias("n"), F.coalesce("at.rest", F.col("rest") - F.col("all")).alias("rest"))
+        moved = state.filter(coarse).select("pattern", "whole").join(new, "pattern").select(state.columns)
+        state = materialise(state.filter(~coarse).unionByName(moved), "state")
+    last = rows.join(broadcast_few(state.filter((F.col("rest") > 0) & (F.col("n") > 0))), "pattern").filter(inside).groupBy("pattern", "rest", "u").agg(F.sum("size").alias("size"))
+    step = lambda s, x: F.when(x["size"] <= s.rest, F.struct((s.rest - x["size"]).alias("rest"), F.array_append(s.us, x.u).alias("us"))).otherwise(s)
+    walked = last.groupBy("pattern").agg(F.array_sort(F.collect_list(F.struct("u", "size"))).alias("keys"), F.max("rest").alias("left"))
+    start = F.struct(F.col("left").alias("rest"), F.array().cast("array<long>").alias("us"))
+    picks = walked.select("pattern", F.explode(F.aggregate("keys", start, step).us).alias("u"))
+    return state, materialise(picks.withColumn("pick", F.lit(1)), "picks")
+
+
 def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", sources: Column | None = None, weights: tuple[int, ...] = (1, 2, 3), repeats: int = 3, seed: int = 7) -> DataFrame:
     """Per row: key, size, source_size and target (of the first of its sources by code point), taken (a multiple of size).
 
-    ``sources`` is an array column; by default it holds the column ``source`` alone, and a null is a source of its own.
-    Null and empty texts have size 0 and take nothing; repeated rows hash alike and are taken alike; an empty table gives
-    no rows; other columns are left out. Reruns agree. More than ``MAX_PATTERNS`` patterns raise an error.
+    ``sources`` is an array column; by default it holds the column ``source`` alone, and a null is a source of its own; a row whose
+    array is null or empty belongs to none: it takes nothing, and its source_size and target are null. Null and empty texts have
+    size 0 and take nothing; repeated rows, and rows with the same or no key, hash alike and are taken alike; an empty table
+    gives no rows; other columns are left out, so their names cannot clash. Reruns agree.
     """
-    spark = docs.sparkSession
+    return _mixed_rows(docs, text, key, sources, weights, repeats, seed).select(F.col("id").alias(key), "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
+
+
+def pattern_of(sources: Column) -> Column:
+    """A row's set of sources, as text."""
+    return F.to_json(F.sort_array(F.array_distinct(sources), asc=True))
+
+
+def _mixed_rows(docs: DataFrame, text: str, key: str, sources: Column | None, weights: tuple[int, ...] = (1, 2, 3), repeats: int = 3, seed: int = 7) -> DataFrame:
+    """id, pattern, size, source_size, target, times."""
     sources = F.array("source") if sources is None else sources
-    rows = materialise(docs.select(F.col(key).alias("id"), F.to_json(F.sort_array(F.array_distinct(sources))).alias("pattern"), word_count(text).alias("size"), unit_hash(key, seed).alias("u")), "mix")
-    found = rows.groupBy("pattern").agg(F.sum("size").alias("size"), F.countDistinct("u").alias("n")).limit(MAX_PATTERNS + 1).collect()
-    if len(found) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
-    member = {r.pattern: tuple(json.loads(r.pattern)) for r in found}
-    sizes: dict[str | None, int] = defaultdict(int)
-    for r in found:
-        for s in member[r.pattern]:
-            sizes[s] += r.size
-    quotas = targets(sizes, weights, repeats)
-    sent = route({member[r.pattern]: r.size for r in found}, quotas, repeats)
-    #: pattern -> [whole repetitions, words still to take, shift and value of the last range of hashes, keys in it]
-    state = {}
-    for r in found:
-        whole = sent[member[r.pattern]] // r.size if r.size else 0
-        state[r.pattern] = [whole, sent[member[r.pattern]] - whole * r.size, 63, 0, r.n]
-    schema = "pattern string, whole long, rest long, shift int, range long, n long"
-
-    def current() -> DataFrame:
-        return F.broadcast(spark.createDataFrame([(p, *x) for p, x in state.items()], schema))  # at most MAX_PATTERNS rows
-
-    while coarse := [p for p, x in state.items() if x[1] and x[4] > LAST_RANGE and x[2] > 0]:
-        own = rows.join(current().filter(F.col("n") > LAST_RANGE).filter("rest > 0 and shift > 0"), "pattern").filter(F.expr("shiftright(u, shift) = range"))
-        digit = F.expr(f"shiftright(u, greatest(shift - {DIGIT}, 0))")
-        ranges = defaultdict(list)
-        for r in own.groupBy("pattern", digit.alias("range")).agg(F.sum("size").alias("size"), F.countDistinct("u").alias("n")).collect():
-            ranges[r.pattern].append((r.range, r.size, r.n))
-        for p in coarse:
-            x = state[p]
-            x[2] = max(x[2] - DIGIT, 0)
-            for value, size, n in sorted(ranges[p]):
-                x[3], x[4] = value, n
-                if size > x[1]:
-                    break
-                x[1] -= size
-            else:  # all of the range is taken
-                x[3], x[4] = value + 1, 0
-    last = rows.join(current().filter("rest > 0 and n > 0"), "pattern").filter(F.expr("shiftright(u, shift) = range"))
-    picked, rest = [], {p: x[1] for p, x in state.items()}
-    for r in sorted(last.groupBy("pattern", "u").agg(F.sum("size").alias("size")).collect(), key=lambda r: (r.pattern or "", r.u)):
-        if r.size <= rest[r.pattern]:
-            rest[r.pattern] -= r.size
-            picked.append((r.pattern, r.u, 1))
-    picks = spark.createDataFrame(picked, "pattern string, u long, pick int")
-    taken = F.col("whole") + F.expr("case when rest = 0 and shift = 63 then 0 when shiftright(u, shift) < range then 1 else 0 end") + F.coalesce("pick", F.lit(0))
-    facts = F.broadcast(spark.createDataFrame([(p, sizes[m[0]], quotas[m[0]]) for p, m in member.items() if m], "pattern string, source_size long, target double"))
-    chosen = rows.join(current(), "pattern", "left").join(facts, "pattern", "left").join(picks, ["pattern", "u"], "left")
-    return chosen.select(F.col("id").alias(key), "size", "source_size", "target", (F.col("size") * F.least(taken, F.lit(repeats))).alias("taken"))
-
-
-def mixed_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
-    """The documents themselves, each as often as the mix takes it (0 to 3 times), with all their columns."""
-    k, t = fresh(docs, "mix_key"), fresh(docs, "mix_times")
-    times = mix(docs, text, key, **options).filter("taken > 0").select(F.col(key).alias(k), F.expr("cast(taken div size as int)").alias(t)).groupBy(k).agg(F.max(t).alias(t))
-    joined = docs.join(broadcast_few(materialise(times, "times")), F.col(key).eqNullSafe(F.col(k)))
+    rows = materialise(docs.select(F.col(key).alias("id"), F.coalesce(pattern_of(sources), F.lit("[]")).alias("pattern"), word_count(text).alias("size"), unit_hash(key, seed).alias("u")), "mix")
+    patterns = materialise(rows.groupBy("pattern").agg(F.sum("size").alias("size")).withColumn("members", F.array_sort(F.from_json("pattern", "array<string>"))), "patterns")
+    owned = patterns.filter(F.size("members") > 0)
+    sizes = owned.select(F.explode("members").alias("source"), "size").groupBy("source").agg(F.sum("size").alias("size"))
+    quotas = materialise(targets(sizes, weights, repeats), "quotas")
+    state, picks = _choose(rows, materialise(_flow(owned, quotas, repeats), "flow"))
+    facts = owned.select("pattern", F.element_at("members", 1).alias("own")).join(quotas, F.col("own").eqNullSafe(F.col("source")))
+    facts = materialise(facts.select("pattern", F.col("size").alias("source_size"), "target"), "facts")
+    beyond = F.expr("case when shift < 63 and shiftright(u, shift) < range then 1 else 0 end") + F.coalesce("pick", F.lit(0))
+    taken = F.when(F.col("size") > 0, F.least(F.coalesce(F.col("whole") + beyond, F.lit(0)), F.lit(repeats))).otherwise(0)
+    chosen = rows.join(broadcast_few(state.select("pattern", "whole", "shift", "range")), "pattern", "left").join(broadcast_few(facts), "pattern", "left").join(broadcast_few(picks), ["pattern", "u"], "left")
+    return chosen.select("id", "pattern", "size", "source_size", "target", taken.cast("int").alias("times"))
+
+
+def mixed_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", sources: Column | None = None, **options) -> DataFrame:
+    """The documents themselves, each as often as the mix takes it (0 to 3 times), with all their columns.
+
+    A row's repeats depend on its key and sources alone, so rows that share a key, or have none, find theirs by both.
+    """
+    k, p, t = fresh(docs, "mix_key"), fresh(docs, "mix_pattern"), fresh(docs, "mix_times")
+    rows = _mixed_rows(docs, text, key, sources, **options).filter("times > 0").select(F.col("id").alias(k), F.col("pattern").alias(p), F.col("times").alias(t)).distinct()
+    own = F.coalesce(pattern_of(F.array("source") if sources is None else sources), F.lit("[]"))
+    q = fresh(docs, "own_pattern")
+    told = docs.filter(F.col(text).rlike(WORD)).withColumn(q, own)
+    joined = told.join(broadcast_few(materialise(rows, "times")), F.col(key).eqNullSafe(F.col(k)) & (F.col(q) == F.col(p)))
     return joined.withColumn(t, F.explode(F.sequence(F.lit(1), F.col(t)))).select(*docs.columns)

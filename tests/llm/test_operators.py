@@ -146,12 +146,6 @@ def test_mix_meets_targets(spark, texts):
     assert mixing.mix(docs_of(spark, [])).count() == 0
 
 
-def test_targets_and_flow():
-    assert mixing.targets({"a": 100, "b": 100, None: 10}) == {"a": 60.0, "b": 120.0, None: 30.0}
-    sent = mixing.route({("a",): 100, ("a", "b"): 50, ("b",): 10}, {"a": 60, "b": 100})
-    assert sum(sent.values()) == 160 and sent[("b",)] <= 30 and sent[("a", "b")] <= 150
-
-
 def test_media_round_trip(spark, texts, tmp_path):
     rows = media.media_columns(docs_of(spark, texts), folder=f"file://{tmp_path}").collect()
     import hashlib
