@@ -12,6 +12,7 @@ merged into components by alternating large-star and small-star steps.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -28,29 +29,51 @@ CELL = 512
 PAIRS_AT_ONCE = 400_000
 
 
-def fingerprint(text: str | None, shingle: int, seed: int = 42) -> int:
-    """Bit-wise majority of the XXH64 values of all word shingles (repeats included), as a signed 64-bit integer."""
+#: Odd multipliers that make further hash values of a shingle from its XXH64 value, as other seeds would.
+MIXERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+
+
+def fingerprints(text: str | None, shingle: int, seed: int = 42, several: int = 1) -> list[int]:
+    """Bit-wise majorities of the XXH64 values of all word shingles (repeats included), as signed 64-bit integers.
+
+    The first is that of the values themselves, the others are of values mixed from them.
+    """
     words = text.encode().lower().split() if text else []
     if not words:
-        return 0
+        return [0] * several
     ends = list(accumulate(len(w) + 1 for w in words))
     joined = b" ".join(words)
     spans = zip([0, *ends], ends[shingle - 1 :]) if len(words) > shingle else [(0, ends[-1])]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a : b - 1], seed) for a, b in spans], dtype="<u8")
-    ones = np.zeros(64, dtype=np.int64)
-    for i in range(0, len(hashes), 1 << 16):
-        part = hashes[i : i + (1 << 16)]
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(2 * ones > len(hashes), bitorder="little")
-    return int(bits.view("<i8")[0])
+    hashes, out = np.array([digest(joined[a : b - 1], seed) for a, b in spans], dtype="<u8"), []
+    for i in range(several):
+        if i:
+            mixed = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(MIXERS[i - 1])
+            hashes_i = mixed ^ (mixed >> np.uint64(32))
+        else:
+            hashes_i = hashes
+        ones = np.zeros(64, dtype=np.int64)
+        for at in range(0, len(hashes_i), 1 << 16):
+            part = hashes_i[at : at + (1 << 16)]
+            ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0]))
+    return out
 
 
 def fingerprint_column(text: str, shingle: int):
     @F.pandas_udf(T.LongType())
     def udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series([fingerprint(t, shingle) for t in batch], dtype="int64")
+            yield pd.Series([fingerprints(t, shingle)[0] for t in batch], dtype="int64")
+
+    return udf(F.col(text))
+
+
+def several_fingerprints(text: str, shingle: int, several: int):
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([fingerprints(t, shingle, several=several) for t in batch], dtype=object)
 
     return udf(F.col(text))
 
@@ -201,19 +224,41 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
     return rows.join(named_components(classes, budget), "fp").select(F.col("id").alias(key), "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5, budget: int = 4) -> DataFrame:
+def joint_components(classes: DataFrame, budget: int, several: int) -> DataFrame:
+    """(node, root) over classes (``node``, ``fps``) that are near in any of their fingerprints.
+
+    Besides classes there is a node for each fingerprint value that several classes have or that has a link; a class is linked
+    to the nodes of its values, and near values of a fingerprint to each other.
+    """
+    value = lambda i, fp: F.xxhash64(F.lit(i), fp)
+    edges = []
+    for i in range(several):
+        own = classes.select("node", F.element_at("fps", i + 1).alias("fp"))
+        values = materialise(own.groupBy("fp").agg(F.count("*").alias("n")), "values")
+        links = materialise(near_links(values.select("fp"), budget), "near")
+        used = values.filter("n > 1").select("fp").union(links.select("u")).union(links.select("v")).distinct()
+        edges.append(links.select(value(i, F.col("u")).alias("u"), value(i, F.col("v")).alias("v")))
+        edges.append(own.join(used, "fp").select(F.col("node").alias("u"), value(i, F.col("fp")).alias("v")))
+    return components(reduce(DataFrame.union, edges))
+
+
+def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5, budget: int = 4, several: int = 1) -> DataFrame:
     """The documents without near-duplicates: of each component the smallest row, all columns kept.
 
-    Rows are told apart by key and text, so rows that share a key, or have none, are near copies only if their texts are. Rows
-    are ordered by key, those without one last, then by hashes of the text; of rows with the same key and text one stays.
+    Texts are near if any of their ``several`` fingerprints are, each of which is another draw of the same similarity, so more
+    of them find more of the near copies. Rows are told apart by key and text, so rows that share a key, or have none, are near
+    copies only if their texts are. Rows are ordered by key, those without one last, then by hashes of the text; of rows with
+    the same key and text one stays. Null, empty and blank texts are copies of each other; an empty table gives no rows; the
+    operator's own columns take names that the table does not have.
     """
-    marks = [F.xxhash64(text), F.xxhash64(F.lit(1), text)]
-    hashed = docs.select(F.col(key).alias("id"), fingerprint_column(text, shingle).alias("fp"), marks[0].alias("h1"), marks[1].alias("h2"))
-    rows = materialise(hashed, "fingerprints").groupBy("fp", "id", "h1", "h2").agg(F.count("*").alias("copies"))
+    marks = [F.coalesce(F.xxhash64(text), F.lit(0)), F.coalesce(F.xxhash64(F.lit(1), text), F.lit(0))]
+    hashed = docs.select(F.col(key).alias("id"), several_fingerprints(text, shingle, several).alias("fps"), marks[0].alias("h1"), marks[1].alias("h2"))
+    rows = materialise(hashed, "fingerprints").groupBy("fps", "id", "h1", "h2").agg(F.count("*").alias("copies"))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h1", "h2", "copies"))
-    named = named_components(materialise(rows.groupBy("fp").agg(first.alias("first")), "classes"), budget)
-    # A row is of one component, so the least rows of the components are as many as these.
-    keep = materialise(named.select("component_id.*").distinct().drop("none"), "keep")
+    classes = materialise(rows.groupBy("fps").agg(first.alias("first")).withColumn("node", F.xxhash64(F.lit("class"), "fps")), "classes")
+    roots = joint_components(classes, budget, several)
+    rooted = classes.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
+    keep = materialise(rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.*").drop("none"), "keep")
     n, h1, h2, copies = [fresh(docs, c) for c in ("keep_id", "h1", "h2", "copies")]
     t1, t2 = fresh(docs, "text_h1"), fresh(docs, "text_h2")
     keep = keep.withColumnsRenamed({"id": n, "h1": h1, "h2": h2, "copies": copies})

@@ -28,3 +28,51 @@ def test_rows_that_share_a_key_are_judged_by_their_texts(spark):
     docs = spark.createDataFrame(made, "doc_id long, text string")
     kept = sorted((x.doc_id or 0, x.text) for x in simhash.one_of_each(docs).collect())
     assert kept == sorted([(1, a), (5, c), (1, b), (0, d), (0, e)])
+
+
+def near_pair(r, n, share):
+    """Two texts of about n words whose five-word shingles have about this Jaccard similarity."""
+    words = [f"w{r.randrange(50_000)}" for _ in range(n)]
+    other, changed = words[:], set()
+    while True:
+        a = {tuple(words[i : i + 5]) for i in range(n - 4)}
+        b = {tuple(other[i : i + 5]) for i in range(n - 4)}
+        if len(a & b) / len(a | b) <= share + 0.005:
+            return " ".join(words), " ".join(other)
+        i = r.choice([x for x in range(n) if x not in changed])
+        changed.add(i)
+        other[i] = f"x{r.randrange(50_000)}"
+
+
+def test_several_fingerprints_find_more_near_copies():
+    r = random.Random(2)
+    for share, least in ((0.8, 0.6), (0.9, 0.95)):
+        found = 0
+        for _ in range(150):
+            a, b = (simhash.fingerprints(t, 5, several=3) for t in near_pair(r, 400, share))
+            found += any(((x ^ y) & (2**64 - 1)).bit_count() <= 8 for x, y in zip(a, b))
+        assert found >= least * 150
+
+
+def test_one_of_each_matches_brute_force_over_all_fingerprints(spark):
+    r = random.Random(13)
+    base = [" ".join(f"w{r.randrange(3000)}" for _ in range(200)) for _ in range(6)]
+    texts = [None, "", "a b"]
+    for t in base:
+        for _ in range(6):
+            words = t.split()
+            for _ in range(r.randint(0, 12)):
+                words[r.randrange(200)] = f"y{r.randrange(3000)}"
+            texts.append(" ".join(words))
+    fps = [simhash.fingerprints(t, 5, several=3) for t in texts]
+    near = lambda i, j: any(((x ^ y) & (2**64 - 1)).bit_count() <= 8 for x, y in zip(fps[i], fps[j]))
+    root = list(range(len(texts)))
+    for _ in texts:
+        for i in root[:]:
+            for j in range(len(texts)):
+                if near(i, j):
+                    root[i] = root[j] = min(root[i], root[j])
+    docs = spark.createDataFrame([(i, t, 1, 1, "x") for i, t in enumerate(texts)], "doc_id long, text string, fps int, node int, h1 string")
+    kept = simhash.one_of_each(docs, budget=8, several=3)
+    assert kept.columns == docs.columns and sorted(x.doc_id for x in kept.collect()) == sorted({root[i] for i in range(len(texts))})
+    assert simhash.one_of_each(docs.filter("false"), several=3).count() == 0
