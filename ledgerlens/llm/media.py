@@ -3,7 +3,8 @@
 Each document's payload (its UTF-8 bytes, padded with zeros to a positive multiple of 64) is stored as a grey PNG, 64 samples
 of 8 bits a row. Every task writes tar shards of its own in the shared folder; a member is named by the SHA-256 of its bytes
 and stored once per shard, and rows carry only digest, shard, offset and length. A task that is run again writes new shards,
-so rows never point at a half-written one. Metadata columns come from a range read of the PNG's header alone; features come
+so rows never point at a half-written one (the shards of lost attempts stay until the folder goes). Equal payloads of different
+tasks are stored by each of them: digests are equal, places are not. Metadata columns come from a range read of the PNG's header alone; features come
 from a second range read of the whole member.
 """
 
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import math
 import os
 import struct
 import tarfile
@@ -28,6 +30,8 @@ from .common import materialise, scratch
 
 WIDTH = 64
 SHARD_BYTES = 256 << 20
+#: Bytes that a reading task is meant to fetch, and of a shard that go to one task together.
+TASK_BYTES, TOGETHER = 64 << 20, 8 << 20
 #: Fixed values of the PNG format: signature, bytes before the first chunk's end, and samples of 8-bit grey.
 PNG_SIGNATURE, PNG_HEADER, GREY_8 = b"\x89PNG\r\n\x1a\n", 33, (8, 0)
 
@@ -120,6 +124,16 @@ def store(docs: DataFrame, text: str = "text", key: str = "doc_id", folder: str
     return materialise(docs.select(F.col(key).alias("id"), write(F.col(text)).alias("at")).select("id", "at.*"), "media-rows")
 
 
+def dealt_by_bytes(rows: DataFrame) -> DataFrame:
+    """Rows dealt by the bytes that they point at, in the order of their places: neighbours in a shard are read together.
+
+    The rows themselves are small, so without this the number of reading tasks would follow their table's few files.
+    """
+    total = rows.agg(F.sum("length")).first()[0] or 0
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / TASK_BYTES))
+    return rows.repartition(tasks, "shard", F.expr(f"offset div {TOGETHER}")).sortWithinPartitions("shard", "offset")
+
+
 class Reader:
     """Range reads of shards; the last one stays open."""
 
@@ -182,7 +196,7 @@ def media_columns(docs: DataFrame, text: str = "text", key: str = "doc_id", fold
     Null and empty texts are 64 zeros; equal texts have equal digests and features; repeated rows point at one member of
     their shard; an empty table gives no rows; other columns are left out.
     """
-    return features(metadata(store(docs, text, key, folder))).withColumnRenamed("id", key)
+    return features(metadata(dealt_by_bytes(store(docs, text, key, folder)))).withColumnRenamed("id", key)
 
 
 def read_tar(data: bytes) -> dict[str, bytes]:

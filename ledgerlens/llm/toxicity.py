@@ -2,8 +2,8 @@
 
 Features are present or absent: words, pairs of neighbours, and pairs with one word between. FTRL-proximal keeps a learning
 rate for every coordinate and zeroes weights that don't earn their L1 cost, so the model that scores a corpus is a compact
-table with a proven bound (``BUCKETS``), broadcast to all tasks. It is fitted on a bounded sample of the labelled rows
-(``MAX_LABELLED``, by a seeded hash of the key); scoring reads whole texts.
+table with a proven bound (``BUCKETS``), broadcast to all tasks. It is fitted by one task on a bounded sample of the labelled rows
+(``MAX_LABELLED`` rows or so, and ``MAX_BYTES`` of features or so, by a seeded hash of the key); scoring reads whole texts.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import materialise, unit_hash
 
 BUCKETS = 1 << 22
-MAX_LABELLED = 20_000
+MAX_LABELLED, MAX_BYTES = 20_000, 200 << 20
 WORDS = re.compile(r"[^\W_]+").findall
 
 
@@ -67,7 +67,8 @@ def ftrl(rows: list[tuple[np.ndarray, int]], alpha: float = 2.0, beta: float = 1
     seen = np.zeros(BUCKETS, dtype=np.int32)
     for features, _ in rows:
         seen[features] += 1
-    rows = [(f[seen[f] >= least], y) for f, y in rows]
+    for i, (f, y) in enumerate(rows):  # in place: the fuller features go as they are replaced
+        rows[i] = f[seen[f] >= least], y
     z, n = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
     cost = np.full(BUCKETS + 1, l1)
     cost[BUCKETS] = 0.0
@@ -107,11 +108,15 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = [(u, np.frombuffer(f, np.int32), y) for batch in batches for u, f, y in zip(batch["u"], batch["f"], batch["y"])]
         rows.sort(key=lambda r: (r[0], r[2], r[1].tobytes()))
-        model = ftrl([(f, y) for _, f, y in rows])
+        rows[:] = [(f, y) for _, f, y in rows]
+        model = ftrl(rows)
         yield pd.DataFrame({"at": np.append(model.at, BUCKETS), "w": np.append(model.weights, model.bias)})
 
     texts = docs.select(F.col(key).alias("key"), F.col(text).alias("t")).join(F.broadcast(sample), "key").select("u", "y", "t")
     made = materialise(texts.mapInPandas(extract, "u long, y int, f binary"), "features")
+    held = made.agg(F.sum(F.octet_length("f"))).first()[0] or 0
+    if held > MAX_BYTES:
+        made = made.filter(F.col("u") < int(share * MAX_BYTES / held * 2**62) * 2)
     weights = made.coalesce(1).mapInPandas(train, "at long, w double").toPandas().sort_values("at")
     return Model(weights["at"].to_numpy()[:-1], weights["w"].to_numpy()[:-1], float(weights["w"].iloc[-1]) if len(weights) else 0.0)
 

@@ -1,6 +1,7 @@
 """The corpus operators against brute force, round trips and hand-made cases: nulls, blanks, ties, repeated rows, empty tables,
 and extra columns with names the operators use themselves."""
 
+import math
 import random
 import tarfile
 import zlib
@@ -154,6 +155,10 @@ def test_media_round_trip(spark, texts, tmp_path):
         payload = media.payload_of(texts[r.doc_id])
         assert len(payload) % 64 == 0 and payload.rstrip(b"\0") == (texts[r.doc_id] or "").encode()
         assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.tail_crc32 == zlib.crc32(payload[-64:])
+        mean = sum(payload) / len(payload)
+        std = (sum((x - mean) ** 2 for x in payload) / len(payload)) ** 0.5
+        assert (r.width, r.height, r.payload_bytes, r.media_bytes) == (64, len(payload) // 64, len(payload), r.length)
+        assert r.feature == f"64x{len(payload) // 64}x8 mean={mean:.4f} std={std:.4f} values={len(set(payload))}"
         with tarfile.open(r.shard.removeprefix("file://")) as tar:
             assert media.from_png(tar.extractfile(f"{r.digest}.png").read()) == payload
     assert len({r.media_sha256 for r in rows if r.doc_id in (0, 1)}) == 1
@@ -189,6 +194,37 @@ def test_language_held_out(spark):
     assert langid.identify(docs_of(spark, ["the"]), docs_of(spark, [])).first().lang_pred == "und"
 
 
+def test_language_filters_match_plain_sets(spark, monkeypatch):
+    """The masks against trigram sets in dictionaries, with more languages than a word of bits and than a task holds; ties, repeats, nulls."""
+    monkeypatch.setattr(langid, "HELD", 5)
+    r = random.Random(8)
+    made = [(f"l{n:02d}", " ".join("".join(r.choice("abcdeé") for _ in range(5)) for _ in range(30))) for n in range(70)]
+    made += [made[0], ("zz", made[1][1]), (None, "abc"), ("l03", None)]
+    rows = docs_of(spark, [t for _, t in made], [x for x, _ in made])
+    counts = defaultdict(Counter)
+    for x, t in made:
+        if x and t:
+            counts[x].update(langid.trigrams(t).tolist())
+    share = {x: {g: n / sum(c.values()) for g, n in c.items()} for x, c in counts.items()}
+    most = Counter()
+    for c in share.values():
+        for g, s in c.items():
+            most[g] = max(most[g], s)
+    languages = sorted(share)
+    want = langid.np.zeros((2, langid.SLOTS), dtype=langid.np.uint64)
+    for i, x in enumerate(languages):
+        for g, s in share[x].items():
+            if s >= langid.KEEP * most[g]:
+                for at in langid.slots_of(langid.np.array([g])):
+                    want[i // 64, at[0]] |= langid.np.uint64(1 << i % 64)
+    got = langid.learn(rows)
+    assert got.languages == languages and (got.masks == want).all()
+    again = langid.identify(rows, rows).collect()
+    assert len(again) == len(made) and {x.lang_pred for x in again if x.doc_id in (1, 71)} == {"l01"}  # a tie: the first by code point
+    rare = docs_of(spark, ["the and of"] * 2000 + ["le la les"], ["en"] * 2000 + ["fr"])
+    assert langid.learn(rare).languages == ["en"]
+
+
 def test_toxicity_held_out(spark):
     d, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
@@ -200,6 +236,46 @@ def test_toxicity_held_out(spark):
     assert [r.score for r in toxicity.score_toxicity(docs_of(spark, [None, "", LONG]), none).collect()] == [0.5] * 3
 
 
+def test_ftrl_matches_a_plain_version():
+    r = random.Random(6)
+    rows = [(sorted(r.sample(range(30), r.randint(0, 12))), r.randint(0, 1)) for _ in range(60)]
+    alpha, beta, l1, l2, bias = 2.0, 1.0, 0.3, 1.0, toxicity.BUCKETS
+    seen = Counter(f for own, _ in rows for f in own)
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        cost = 0 if i == bias else l1
+        return 0.0 if abs(z[i]) <= cost else -(z[i] - math.copysign(cost, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for _ in range(3):
+        for own, y in rows:
+            own = [f for f in own if seen[f] >= 2] + [bias]
+            w = {i: weight(i) for i in own}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y
+            for i in own:
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+    got = toxicity.ftrl([(toxicity.np.array(own, dtype=int), y) for own, y in rows], alpha, beta, l1, l2, passes=3, least=2)
+    want = {i: weight(i) for i in range(30) if weight(i)}
+    assert dict(zip(got.at.tolist(), got.weights.tolist())).keys() == want.keys()
+    assert all(abs(x - want[i]) < 1e-5 for i, x in zip(got.at.tolist(), got.weights.tolist())) and abs(got.bias - weight(bias)) < 1e-9
+
+
+def test_toxicity_edges(spark, monkeypatch):
+    """Repeated and null labels and keys, a long text, no documents, and a sample cut by its bytes."""
+    texts = ["good day to you"] * 30 + ["vile awful words"] * 30 + [LONG]
+    docs = docs_of(spark, texts)
+    labels = spark.createDataFrame([(i, int(i >= 30)) for i in range(60)] + [(0, 0), (0, None), (None, 1), (35, 0)], "doc_id long, toxic int")
+    model = toxicity.fit(docs.union(docs.limit(5)), labels)
+    got = {r.doc_id: r for r in toxicity.score_toxicity(docs, model).collect()}
+    assert all(got[i].predicted == int(i >= 30) for i in range(60)) and 0 <= got[60].score <= 1
+    assert toxicity.score_toxicity(docs_of(spark, []), model).count() == 0
+    assert toxicity.fit(docs_of(spark, []), labels).bias == 0.0
+    monkeypatch.setattr(toxicity, "MAX_BYTES", 400)
+    assert abs(toxicity.fit(docs, labels).bias) < 36
+
+
 def test_url_rules(spark):
     cases = {
         "http://A.Example.com/en/71?q": ("a.example.com", "/en/71", "example.com/en/7", "allow"),
