@@ -35,3 +35,9 @@ def relative_day(days: Column) -> Column:
     weeks = F.format_string("%d days (%d weeks) %s the question", n, F.floor(n / 7).cast("long"), side)
     other = F.format_string("%d %s %s the question", n, F.when(n == 1, "day").otherwise("days"), side)
     return F.when(days == 0, "the day of the question").when(n >= 60, long_ago).when((n >= 14) & (n % 7 == 0), weeks).otherwise(other)
+
+
+def normalise_span(text: Column) -> Column:
+    """A quotation as it is compared: straight apostrophes, single spaces, trimmed, lower case; empty for null."""
+    plain = F.regexp_replace(F.replace(F.coalesce(text, F.lit("")), F.lit("’"), F.lit("'")), r"\s+", " ")
+    return F.lower(F.trim(plain))

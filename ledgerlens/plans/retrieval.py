@@ -1,6 +1,7 @@
 """Retrieval: candidates on two axes, fusion, floor, packing, neighbours; all queries of a run in one plan.
 
-Facts are the vectors with the document of the same number as text, scoped by label; every 50th vector is a query.
+Facts are the vectors with the document of the same number as text, scoped by label; episodes are the turns of conversations, with
+the vector of their conversation's number. Every vector whose number is divisible by 20 is a query.
 """
 
 from __future__ import annotations
@@ -9,102 +10,258 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import cosine_distance, lexemes, relative_day, token_estimate
-from ..operators.ranking import greedy_pack, min_max, top_k
+from ..functions.lexical import STOP_WORDS, simple_lexemes
+from ..functions.text import normalise_span, relative_day, token_estimate
+from ..operators.candidates import candidates as scan
+from ..operators.ranking import greedy_pack, pack_packets, relevance, rerank_block, top_k
 from ..sources.tables import chunks, events, read, twin
 from .registry import register
 
 c = F.col
-TOP_K, BUDGET, FLOOR = 16, 2000, 0.9
+TOP_K, BUDGET, FLOOR, EVERY, BLOCK = 64, 2000, 0.9, 20, 50
+#: Facts nearer than this, by cosine distance, state the same identity.
+SAME = 0.28
+STOPS = ", ".join(f"'{w}'" for w in sorted(STOP_WORDS))
+LEX = f"list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{{3,}}')), lambda x: x NOT IN ({STOPS}))"
+ORDER = "recency DESC, tie_a, tie_b, id"
 
-PAIRS = """f AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS e, text, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{3,}')) AS lex FROM embeddings JOIN documents ON vec_id = doc_id),
- pairs AS (SELECT q.id AS query_id, f.id AS fact_id, round(list_cosine_distance(q.e, f.e), 6) AS distance, len(list_intersect(q.lex, f.lex)) AS overlap, greatest(1, length(f.text) // 4) AS cost
-   FROM f q JOIN f ON q.label = f.label AND q.id <> f.id WHERE q.id % 50 = 0)"""
-CANDIDATES = PAIRS + f""", byvec AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, fact_id) <= {TOP_K}),
- bylex AS (SELECT * FROM pairs WHERE overlap > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, fact_id) <= {TOP_K}),
- pool AS (SELECT DISTINCT * FROM (SELECT * FROM byvec UNION ALL SELECT * FROM bylex))"""
-FUSED = CANDIDATES + """, scaled AS (SELECT *, coalesce((1 - distance - min(1 - distance) OVER q) / nullif(max(1 - distance) OVER q - min(1 - distance) OVER q, 0), 0) AS s,
-   coalesce((overlap - min(overlap) OVER q) / nullif(max(overlap) OVER q - min(overlap) OVER q, 0), 0) AS l FROM pool WINDOW q AS (PARTITION BY query_id)),
- fused AS (SELECT query_id, fact_id, cost, round(0.65 * s + 0.35 * l, 6) AS score FROM scaled),
- ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fact_id) AS rank FROM fused)"""
-PACKED = FUSED + f""", fold(query_id, rank, fact_id, used, kept) AS (SELECT query_id, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(0 AS BIGINT), false FROM (SELECT DISTINCT query_id FROM ranked)
-   UNION ALL SELECT f.query_id, r.rank, r.fact_id, CASE WHEN f.used + r.cost <= {BUDGET} THEN f.used + r.cost ELSE f.used END, f.used + r.cost <= {BUDGET} FROM fold f JOIN ranked r ON r.query_id = f.query_id AND r.rank = f.rank + 1)"""
+ITEMS = f"""f AS (SELECT vec_id AS id, label AS scope, CAST(embedding AS DOUBLE[]) AS e, text, source, lang, (vec_id * 7) % 97 AS recency, coalesce(source, '') AS tie_a, md5(coalesce(text, '')) AS tie_b, {LEX} AS lex, greatest(1, length(coalesce(text, '')) // 4) AS cost
+   FROM embeddings JOIN documents ON vec_id = doc_id),
+ ep AS (SELECT conv_id * 1000 + turn AS id, conv_id % 10 AS scope, CAST(embedding AS DOUBLE[]) AS e, conv_id AS recency, printf('%010d', 1000000 - turn) AS tie_a, md5(text) AS tie_b, {LEX} AS lex, greatest(1, (length(text) + 17 + length(role)) // 4) AS cost
+   FROM conversations JOIN embeddings ON vec_id = conv_id WHERE role <> 'system' AND conv_id <= 1440)"""
+AXES = lambda items, name: f"""{name}_all AS (SELECT q.id AS query_id, x.*, round(list_cosine_distance(q.e, x.e), 6) AS distance, len(list_intersect(q.lex, x.lex)) AS overlap FROM f q JOIN {items} x ON q.scope = x.scope AND q.id <> x.id WHERE q.id % {EVERY} = 0),
+ {name} AS (SELECT query_id, id, distance, overlap, recency, tie_a, tie_b, cost, CASE WHEN v <= {TOP_K} AND distance IS NOT NULL THEN v END AS by_vector, CASE WHEN l <= {TOP_K} AND overlap > 0 THEN l END AS by_lexemes
+   FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance NULLS LAST, {ORDER}) AS v, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, {ORDER}) AS l FROM {name}_all) WHERE v <= {TOP_K} AND distance IS NOT NULL OR l <= {TOP_K} AND overlap > 0)"""
+FACTS = f"{ITEMS}, {AXES('f', 'facts')}"
+POOL = f"""{FACTS}, {AXES('ep', 'episodes')}, pool AS (SELECT 'fact' AS kind, 0 AS place, * FROM facts UNION ALL SELECT 'episode', 1, * FROM episodes)"""
+FUSED = POOL + f""", passed AS (SELECT *, 1 - distance AS similarity FROM pool WHERE distance <= {FLOOR}),
+ scaled AS (SELECT *, coalesce((similarity - min(similarity) OVER q) / nullif(max(similarity) OVER q - min(similarity) OVER q, 0), 0) AS s, coalesce((overlap - min(overlap) OVER q) / nullif(max(overlap) OVER q - min(overlap) OVER q, 0), 0) AS l FROM passed WINDOW q AS (PARTITION BY query_id)),
+ fused AS (SELECT *, round(0.65 * s + 0.35 * l, 6) AS score FROM scaled),
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, recency DESC, place, tie_a, tie_b, id) AS rank FROM fused)"""
+PACKED = FUSED + f""", fold(query_id, rank, kind, id, cost, used, in_episodes, episodes, kept, reason_code) AS (SELECT query_id, CAST(0 AS BIGINT), '', CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), 0, false, '' FROM (SELECT DISTINCT query_id FROM ranked)
+   UNION ALL SELECT query_id, rank, kind, id, cost, CASE WHEN kept THEN used + cost ELSE used END, CASE WHEN kept AND kind = 'episode' THEN in_episodes + cost ELSE in_episodes END, episodes + (kept AND kind = 'episode')::INT, kept,
+     CASE WHEN kept THEN 'top_score' WHEN piled THEN 'over_episode_budget' ELSE 'over_budget' END FROM
+   (SELECT *, NOT piled AND used + cost <= {BUDGET} AS kept FROM (SELECT r.query_id, r.rank, r.kind, r.id, r.cost, f.used, f.in_episodes, f.episodes, r.kind = 'episode' AND f.episodes > 0 AND f.in_episodes + r.cost > {BUDGET} / 2 AS piled
+     FROM fold f JOIN ranked r ON r.query_id = f.query_id AND r.rank = f.rank + 1)))"""
 
 
-def pairs(spark, sf_dir) -> DataFrame:
-    """Queries with the facts of their scope: distance and shared words. The queries are the small side of the scope join."""
-    f = read(spark, sf_dir, "embeddings").join(read(spark, sf_dir, "documents"), c("vec_id") == c("doc_id")).select(c("vec_id").alias("id"), "label", c("embedding").alias("e"), lexemes(c("text")).alias("lex"), token_estimate(c("text")).alias("cost"))
-    q = f.filter("id % 50 = 0").select(c("id").alias("query_id"), "label", c("e").alias("qe"), c("lex").alias("qlex"))
-    return f.join(q, "label").filter("id <> query_id").select("query_id", c("id").alias("fact_id"), F.round(cosine_distance(c("qe"), c("e")), 6).alias("distance"), F.size(F.array_intersect("qlex", "lex")).cast("long").alias("overlap"), "cost")
+def facts_of(spark, sf_dir) -> DataFrame:
+    """Items of the scan: facts, newest by a made-up clock, tied by source and a hash of their text."""
+    docs = read(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
+    f = read(spark, sf_dir, "embeddings").join(docs, c("vec_id") == c("doc_id"))
+    return f.select(c("label").alias("scope"), c("vec_id").alias("id"), c("embedding").alias("e"), simple_lexemes(c("text")).alias("lex"), ((c("vec_id") * 7) % 97).alias("recency"), F.coalesce("source", F.lit("")).alias("tie_a"), F.md5("text").alias("tie_b"), token_estimate(c("text")).alias("cost"))
 
 
-def candidates(spark, sf_dir) -> DataFrame:
-    """The nearest facts and those that share most words, once each."""
-    p = pairs(spark, sf_dir)
-    near = top_k(p, ["query_id"], [c("distance").asc_nulls_last(), c("fact_id")], TOP_K)
-    lexical = top_k(p.filter("overlap > 0"), ["query_id"], [F.desc("overlap"), c("fact_id")], TOP_K)
-    return near.unionByName(lexical).drop("rank").distinct()
+def episodes_of(spark, sf_dir) -> DataFrame:
+    """Items of the scan: turns with a vector, not from an untrusted origin, not after the asking; later turns first among equals."""
+    e = read(spark, sf_dir, "embeddings").select(c("vec_id").alias("conv_id"), c("embedding").alias("e"))
+    said = F.greatest(F.lit(1), F.floor((F.length("text") + 17 + F.length("role")) / 4)).cast("long")
+    turns = read(spark, sf_dir, "conversations").filter("role <> 'system' and conv_id <= 1440").join(e, "conv_id")
+    return turns.select((c("conv_id") % 10).alias("scope"), (c("conv_id") * 1000 + c("turn")).alias("id"), "e", simple_lexemes(c("text")).alias("lex"), c("conv_id").alias("recency"), F.lpad((1_000_000 - c("turn")).cast("string"), 10, "0").alias("tie_a"), F.md5("text").alias("tie_b"), said.alias("cost"))
+
+
+def asked(facts: DataFrame) -> DataFrame:
+    return facts.filter(c("id") % EVERY == 0).select("scope", "id", "e", "lex")
+
+
+def fact_candidates(spark, sf_dir) -> DataFrame:
+    f = facts_of(spark, sf_dir)
+    return scan(f, asked(f), TOP_K)
+
+
+def episode_candidates(spark, sf_dir) -> DataFrame:
+    return scan(episodes_of(spark, sf_dir), asked(facts_of(spark, sf_dir)), TOP_K)
+
+
+def pool_of(spark, sf_dir) -> DataFrame:
+    """Facts and episodes in one pool; ``place`` puts facts first among equals, as their content key does."""
+    facts = fact_candidates(spark, sf_dir).select(F.lit("fact").alias("kind"), F.lit(0).alias("place"), "*")
+    return facts.unionByName(episode_candidates(spark, sf_dir).select(F.lit("episode").alias("kind"), F.lit(1).alias("place"), "*"))
 
 
 def fused(spark, sf_dir) -> DataFrame:
-    pool = candidates(spark, sf_dir).withColumn("similarity", 1 - c("distance"))
-    score = F.round(0.65 * min_max("similarity", "query_id") + 0.35 * min_max("overlap", "query_id"), 6)
-    return top_k(pool.withColumn("score", score), ["query_id"], [F.desc("score"), c("fact_id")], 2 * TOP_K)
+    """The pool that passes the recall floor, scored over both kinds together and ranked."""
+    passed = pool_of(spark, sf_dir).filter(c("distance") <= FLOOR).withColumn("similarity", 1 - c("distance"))
+    scored = passed.withColumn("score", F.round(relevance("similarity", "overlap", "query_id"), 6))
+    w = W.partitionBy("query_id").orderBy(F.desc("score"), F.desc("recency"), "place", "tie_a", "tie_b", "id")
+    return scored.withColumn("rank", F.row_number().over(w).cast("long"))
 
 
-@register("t1_vector_topk", f"WITH {PAIRS} SELECT query_id, fact_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, fact_id) AS rank FROM pairs QUALIFY rank <= {TOP_K}")
+def packed(spark, sf_dir) -> DataFrame:
+    pool = fused(spark, sf_dir).select("query_id", "rank", "kind", "id", "cost", F.lit(None).cast("array<struct<id:bigint,cost:bigint>>").alias("siblings"))
+    return pack_packets(pool, BUDGET)
+
+
+@register("t1_vector_topk", f"WITH {FACTS} SELECT query_id, id AS fact_id, distance, by_vector AS rank FROM facts WHERE by_vector IS NOT NULL")
 def t1_vector_topk(spark, sf_dir):
-    return top_k(pairs(spark, sf_dir), ["query_id"], [c("distance").asc_nulls_last(), c("fact_id")], TOP_K).select("query_id", "fact_id", "distance", "rank")
+    return fact_candidates(spark, sf_dir).filter("by_vector is not null").select("query_id", c("id").alias("fact_id"), "distance", c("by_vector").alias("rank"))
 
 
-@register("t2_lexical_topk", f"WITH {PAIRS} SELECT query_id, fact_id, overlap, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, fact_id) AS rank FROM pairs WHERE overlap > 0 QUALIFY rank <= {TOP_K}")
+@register("t2_lexical_topk", f"WITH {FACTS} SELECT query_id, id AS fact_id, overlap, by_lexemes AS rank FROM facts WHERE by_lexemes IS NOT NULL")
 def t2_lexical_topk(spark, sf_dir):
-    return top_k(pairs(spark, sf_dir).filter("overlap > 0"), ["query_id"], [F.desc("overlap"), c("fact_id")], TOP_K).select("query_id", "fact_id", "overlap", "rank")
+    return fact_candidates(spark, sf_dir).filter("by_lexemes is not null").select("query_id", c("id").alias("fact_id"), "overlap", c("by_lexemes").alias("rank"))
+
+
+@register("t3_episode_topk", f"WITH {ITEMS}, {AXES('ep', 'episodes')} SELECT query_id, id AS episode_id, by_vector, by_lexemes FROM episodes")
+def t3_episode_topk(spark, sf_dir):
+    return episode_candidates(spark, sf_dir).select("query_id", c("id").alias("episode_id"), "by_vector", "by_lexemes")
 
 
-@register("o1_union_distinct", f"WITH {CANDIDATES} SELECT query_id, fact_id FROM pool")
+@register("r6_episode_candidates", f"WITH {ITEMS}, {AXES('ep', 'episodes')} SELECT query_id, conv_id, turn, distance, overlap, length(text) AS n_chars FROM episodes JOIN conversations ON id = conv_id * 1000 + turn")
+def r6_episode_candidates(spark, sf_dir):
+    """Episode candidates with what their events hold: only ids are ranked, texts are joined afterwards."""
+    turns = read(spark, sf_dir, "conversations").select((c("conv_id") * 1000 + c("turn")).alias("id"), "conv_id", "turn", F.length("text").cast("long").alias("n_chars"))
+    return episode_candidates(spark, sf_dir).join(turns, "id").select("query_id", "conv_id", "turn", "distance", "overlap", "n_chars")
+
+
+@register("o1_union_distinct", f"WITH {FACTS} SELECT query_id, id AS fact_id FROM facts")
 def o1_union_distinct(spark, sf_dir):
-    return candidates(spark, sf_dir).select("query_id", "fact_id")
+    """Candidates by either axis, once each."""
+    return fact_candidates(spark, sf_dir).select("query_id", c("id").alias("fact_id"))
+
 
+@register("r5_hydrated_axes", f"WITH {FACTS} SELECT query_id, id AS fact_id, distance, overlap, round(exp(-recency / 720.0), 6) AS recency, source FROM facts JOIN documents ON doc_id = id")
+def r5_hydrated_axes(spark, sf_dir):
+    """Candidates with all their axes; hours of age decay over thirty days."""
+    source = read(spark, sf_dir, "documents").select(c("doc_id").alias("id"), "source")
+    return fact_candidates(spark, sf_dir).join(source, "id").select("query_id", c("id").alias("fact_id"), "distance", "overlap", F.round(F.exp(-c("recency") / 720.0), 6).alias("recency"), "source")
 
-@register("p5_recall_floor", f"WITH {PAIRS} SELECT query_id, fact_id, CASE WHEN distance IS NULL OR distance > {FLOOR} THEN 'below_relevance_floor' END AS reason FROM pairs")
+
+@register("p5_recall_floor", f"WITH {POOL} SELECT query_id, kind, id, CASE WHEN distance IS NULL OR distance > {FLOOR} THEN 'below_relevance_floor' END AS reason FROM pool")
 def p5_recall_floor(spark, sf_dir):
-    return pairs(spark, sf_dir).select("query_id", "fact_id", F.when(c("distance").isNull() | (c("distance") > FLOOR), "below_relevance_floor").alias("reason"))
+    return pool_of(spark, sf_dir).select("query_id", "kind", "id", F.when(c("distance").isNull() | (c("distance") > FLOOR), "below_relevance_floor").alias("reason"))
 
 
-@register("t4_fusion_order", f"WITH {FUSED} SELECT query_id, fact_id, score, rank FROM ranked")
+@register("t4_fusion_order", f"WITH {FUSED} SELECT query_id, kind, id, score, rank FROM ranked")
 def t4_fusion_order(spark, sf_dir):
-    return fused(spark, sf_dir).select("query_id", "fact_id", "score", "rank")
+    return fused(spark, sf_dir).select("query_id", "kind", "id", "score", "rank")
 
 
-@register("t5_rerank_block", f"WITH {FUSED} SELECT query_id, fact_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN rank <= 5 THEN 0 ELSE 1 END, CASE WHEN rank <= 5 THEN -cost ELSE 0 END, rank) AS place FROM ranked")
+@register("t5_rerank_block", f"WITH {FUSED} SELECT query_id, kind, id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN rank <= {BLOCK} THEN 0 ELSE 1 END, CASE WHEN rank <= {BLOCK} THEN overlap END DESC NULLS LAST, rank) AS place FROM ranked")
 def t5_rerank_block(spark, sf_dir):
-    block = c("rank") <= 5
-    w = W.partitionBy("query_id").orderBy(F.when(block, 0).otherwise(1), F.when(block, -c("cost")).otherwise(0), "rank")
-    return fused(spark, sf_dir).select("query_id", "fact_id", F.row_number().over(w).cast("long").alias("place"))
+    """The word-overlap reranker over the first fifty."""
+    return rerank_block(fused(spark, sf_dir).drop("place"), "query_id", "rank", c("overlap"), BLOCK).select("query_id", "kind", "id", "place")
 
 
-@register("w3_minmax", f"WITH {FUSED} SELECT query_id, fact_id, round(s, 6) AS similarity, round(l, 6) AS lexical FROM scaled")
+@register("w3_minmax", f"WITH {FUSED} SELECT query_id, kind, id, round(s, 6) AS similarity, round(l, 6) AS lexical FROM scaled")
 def w3_minmax(spark, sf_dir):
-    pool = candidates(spark, sf_dir).withColumn("similarity", 1 - c("distance"))
-    return pool.select("query_id", "fact_id", F.round(min_max("similarity", "query_id"), 6).alias("similarity"), F.round(min_max("overlap", "query_id"), 6).alias("lexical"))
+    from ..operators.ranking import min_max
+
+    passed = pool_of(spark, sf_dir).filter(c("distance") <= FLOOR).withColumn("similarity", 1 - c("distance"))
+    return passed.select("query_id", "kind", "id", F.round(min_max("similarity", "query_id"), 6).alias("similarity"), F.round(min_max("overlap", "query_id"), 6).alias("lexical"))
 
 
-@register("r12_greedy_pack", f"WITH RECURSIVE {PACKED} SELECT query_id, fact_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) - 1 AS place FROM fold WHERE kept")
+@register("r12_greedy_pack", f"WITH RECURSIVE {PACKED} SELECT query_id, kind, id, used FROM fold WHERE kept")
 def r12_greedy_pack(spark, sf_dir):
-    return greedy_pack(fused(spark, sf_dir), "query_id", "rank", "fact_id", "cost", BUDGET).select("query_id", "fact_id", "place")
+    return packed(spark, sf_dir).filter("action = 'included'").select("query_id", "kind", "id", "used")
+
+
+@register("r20_context", f"""WITH RECURSIVE {PACKED} SELECT query_id, kind, id, CASE WHEN kept THEN 'included' ELSE 'excluded' END AS action, reason_code, rank FROM fold WHERE rank > 0
+ UNION ALL SELECT query_id, kind, id, 'excluded', 'below_relevance_floor', NULL FROM pool WHERE distance IS NULL OR distance > {FLOOR}""")
+def r20_context(spark, sf_dir):
+    """Every candidate of every query, fact or episode, with its decision and the reason."""
+    decided = packed(spark, sf_dir).select("query_id", "kind", "id", "action", "reason_code", (c("place") + 1).alias("rank"))
+    below = p5_recall_floor(spark, sf_dir).filter("reason is not null").select("query_id", "kind", "id", F.lit("excluded").alias("action"), c("reason").alias("reason_code"), F.lit(None).cast("long").alias("rank"))
+    return decided.unionByName(below)
+
+
+SERVED = f"WITH RECURSIVE {PACKED}, served AS (SELECT query_id, id FROM fold WHERE kept AND kind = 'fact')"
+
+
+@register("a23_gold_served", SERVED + """, hit AS (SELECT q.id, q.lang, coalesce(max((x.source IS NOT DISTINCT FROM q.source)::INT), 0) AS hit FROM f q LEFT JOIN served s ON s.query_id = q.id LEFT JOIN f x ON x.id = s.id AND s.query_id IS NOT NULL WHERE q.id % 20 = 0 GROUP BY 1, 2)
+ SELECT lang, count(*) AS questions, round(avg(hit), 6) AS rate FROM hit GROUP BY lang""")
+def a23_gold_served(spark, sf_dir):
+    """The share of questions, by language, that were served one of their gold facts: those from the same source."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+    ids = read(spark, sf_dir, "embeddings").select(c("vec_id").alias("doc_id"))
+    q = docs.join(ids, "doc_id").filter(c("doc_id") % EVERY == 0).withColumnsRenamed({"doc_id": "query_id", "source": "gold"})
+    served = r12_greedy_pack(spark, sf_dir).filter("kind = 'fact'").join(docs.select(c("doc_id").alias("id"), "source"), "id")
+    hits = served.join(q, "query_id").groupBy("query_id").agg(F.max(c("source").eqNullSafe(c("gold")).cast("int")).alias("hit"))
+    scored = q.join(hits, "query_id", "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
+    return scored.groupBy("lang").agg(F.count("*").alias("questions"), F.round(F.avg("hit"), 6).alias("rate"))
+
+
+@register("a24_token_coverage", SERVED + """, own AS (SELECT id AS query_id, unnest(lex) AS word FROM f WHERE id % 20 = 0), said AS (SELECT DISTINCT query_id, unnest(f.lex) AS word FROM served JOIN f USING (id))
+ SELECT query_id, round(count(said.word) / count(*), 6) AS coverage FROM own LEFT JOIN said USING (query_id, word) GROUP BY query_id""")
+def a24_token_coverage(spark, sf_dir):
+    """The share of a question's own lexemes that the facts served to it hold."""
+    f = facts_of(spark, sf_dir).select("id", "lex")
+    own = f.filter(c("id") % EVERY == 0).select(c("id").alias("query_id"), F.explode("lex").alias("word"))
+    said = r12_greedy_pack(spark, sf_dir).filter("kind = 'fact'").join(f, "id").select("query_id", F.explode("lex").alias("word")).distinct().withColumn("hit", F.lit(1))
+    return own.join(said, ["query_id", "word"], "left").groupBy("query_id").agg(F.round(F.count("hit") / F.count("*"), 6).alias("coverage"))
+
+
+@register("j7_nearest", f"""WITH {ITEMS} SELECT q.id AS query_id, x.id AS fact_id, round(list_cosine_distance(q.e, x.e), 6) AS distance FROM f q JOIN f x ON q.scope = x.scope AND q.source IS NOT DISTINCT FROM x.source AND q.id <> x.id
+ WHERE q.id % {EVERY} = 0 QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY distance, x.recency DESC, x.tie_a, x.tie_b, x.id) = 1""")
+def j7_nearest(spark, sf_dir):
+    """The nearest fact with equal qualifiers: these are part of the scope, so that no other fact takes its place."""
+    f = facts_of(spark, sf_dir).withColumn("scope", F.concat_ws("|", "scope", "tie_a"))
+    return scan(f, asked(f), 1).filter("by_vector = 1").select("query_id", c("id").alias("fact_id"), "distance")
+
+
+@register("t6_shortlist", f"""WITH {ITEMS} SELECT q.id AS query_id, x.id AS fact_id FROM f q JOIN f x ON q.scope = x.scope AND q.id <> x.id
+ WHERE q.id % {EVERY} = 0 QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY round(list_cosine_distance(q.e, x.e), 6), x.recency DESC, x.tie_a, x.tie_b, x.id) <= 40""")
+def t6_shortlist(spark, sf_dir):
+    """All facts of a scope if they are forty at most, else the nearest forty: a rank says both."""
+    f = facts_of(spark, sf_dir)
+    return scan(f, asked(f), 40).filter("by_vector is not null").select("query_id", c("id").alias("fact_id"))
+
+
+ENTITY = "[A-ZÀ-Ý][a-zà-ÿ]{2,}"
+#: Capitalised words that open sentences and are no names.
+NO_NAMES = "the this that these those there here and with when where what which who le la les un une des ce cette ces et avec".split()
+NAMES = ", ".join(f"'{w}'" for w in NO_NAMES)
+TOP_ENTITIES = f"""tok AS (SELECT unnest(regexp_extract_all(text, '{ENTITY}')) AS token FROM documents), top AS (SELECT token, count(*) AS n FROM tok WHERE lower(token) NOT IN ({NAMES}) GROUP BY token ORDER BY n DESC, token LIMIT 20)"""
+
+
+def entity_tokens(text):
+    """Capitalised words that may be names."""
+    found = F.regexp_extract_all(text, F.lit(f"({ENTITY})"), F.lit(1))
+    return F.filter(found, lambda x: ~F.lower(x).isin(NO_NAMES))
+
+
+@register("t7_per_entity_topk", f"""WITH {TOP_ENTITIES}, hit AS (SELECT token, doc_id, len(list_filter(regexp_extract_all(text, '{ENTITY}'), lambda x: x = token)) AS n FROM top, documents WHERE contains(text, token))
+ SELECT token AS entity, doc_id, row_number() OVER (PARTITION BY token ORDER BY n DESC, doc_id) AS rank FROM hit WHERE n > 0 QUALIFY rank <= 5""")
+def t7_per_entity_topk(spark, sf_dir):
+    """The five facts that name each of the twenty most frequent entities most often."""
+    tokens = read(spark, sf_dir, "documents").select("doc_id", F.explode(entity_tokens(c("text"))).alias("entity"))
+    named = tokens.groupBy("entity", "doc_id").agg(F.count("*").alias("n"))
+    top = named.groupBy("entity").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "entity").limit(20)
+    return top_k(named.join(F.broadcast(top.select("entity")), "entity"), ["entity"], [F.desc("n"), c("doc_id")], 5).select("entity", "doc_id", "rank")
+
+
+SPAN = lambda x: f"trim(regexp_replace(lower(replace({x}, '’', chr(39))), '\\s+', ' ', 'g'))"
+
+
+@register("j12_span_containment", f"""WITH spans AS (SELECT conv_id, turn AS span_turn, text FROM conversations UNION ALL SELECT conv_id, turn + 1000, substring(text, 1, 12) FROM conversations UNION ALL SELECT conv_id, turn + 2000, ' ' FROM conversations),
+ n AS (SELECT conv_id, count(*) AS turns, min(turn) AS first FROM conversations GROUP BY 1)
+ SELECT s.conv_id, s.span_turn, CASE WHEN max(n.turns) = 1 THEN max(n.first) WHEN count(k.turn) = 1 THEN max(k.turn) END AS turn FROM spans s JOIN n USING (conv_id)
+ LEFT JOIN conversations k ON k.conv_id = s.conv_id AND {SPAN('s.text')} <> '' AND contains({SPAN('k.text')}, {SPAN('s.text')}) GROUP BY 1, 2""")
+def j12_span_containment(spark, sf_dir):
+    """The chunk that a span quotes: the only chunk of its event, or the one that contains it, both normalised; else null.
+
+    Spans are whole turns, their beginnings and blanks. A span meets the chunks of its own event only, by an equi join.
+    """
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    made = lambda shift, text: F.struct((c("turn") + shift).alias("span_turn"), text.alias("span"))
+    spans = turns.select("conv_id", F.explode(F.array(made(0, c("text")), made(1000, F.substring("text", 1, 12)), made(2000, F.lit(" ")))).alias("s")).select("conv_id", "s.*")
+    n = turns.groupBy("conv_id").agg(F.count("*").alias("turns"), F.min("turn").alias("first"))
+    span = normalise_span(c("span"))
+    held = (span != "") & F.contains(normalise_span(c("text")), span)
+    found = spans.join(turns, "conv_id").groupBy("conv_id", "span_turn").agg(F.count_if(held).alias("hits"), F.max(F.when(held, c("turn"))).alias("hit"))
+    return found.join(n, "conv_id").select("conv_id", "span_turn", F.when(c("turns") == 1, c("first")).when(c("hits") == 1, c("hit")).alias("turn"))
 
 
 #: Two entities, five facts for each, and a budget for both passes that leaves the second some room.
-HOPS, PER_HOP, HOP_BUDGET, ENTITY = 2, 5, 2 * BUDGET, "[A-Z][a-z]{2,}"
-MULTI_HOP = PACKED + f""", kept AS (SELECT query_id, fact_id FROM fold WHERE kept), spent AS (SELECT query_id, max(used) AS used FROM fold GROUP BY query_id),
- seeds AS (SELECT query_id, unnest(regexp_extract_all(text, '{ENTITY}')) AS entity FROM kept JOIN documents ON doc_id = fact_id),
- own AS (SELECT doc_id AS query_id, lower(unnest(regexp_extract_all(text, '{ENTITY}'))) AS word FROM documents WHERE doc_id IN (SELECT query_id FROM kept)),
+HOPS, PER_HOP, HOP_BUDGET, HOP_ENTITY = 2, 5, 2 * BUDGET, "[A-Z][a-z]{2,}"
+MULTI_HOP = PACKED + f""", kept AS (SELECT query_id, id AS fact_id FROM fold WHERE kept AND kind = 'fact'), spent AS (SELECT query_id, max(used) AS used FROM fold GROUP BY query_id),
+ seeds AS (SELECT query_id, unnest(regexp_extract_all(text, '{HOP_ENTITY}')) AS entity FROM kept JOIN documents ON doc_id = fact_id),
+ own AS (SELECT doc_id AS query_id, lower(unnest(regexp_extract_all(text, '{HOP_ENTITY}'))) AS word FROM documents WHERE doc_id IN (SELECT query_id FROM kept)),
  ents AS (SELECT query_id, entity, row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, entity) AS hop FROM seeds s
    WHERE NOT EXISTS (SELECT 1 FROM own o WHERE o.query_id = s.query_id AND o.word = lower(s.entity)) GROUP BY query_id, entity QUALIFY hop <= {HOPS}),
  hits AS (SELECT e.query_id, e.hop, e.entity, f.id AS fact_id, greatest(1, length(f.text) // 4) AS cost,
    row_number() OVER (PARTITION BY e.query_id, e.hop ORDER BY len(list_filter(regexp_extract_all(lower(f.text), '[a-z0-9]{{3,}}'), lambda x: x = lower(e.entity))) DESC, f.id) AS r
-   FROM ents e JOIN f q ON q.id = e.query_id JOIN f ON f.label = q.label AND list_contains(f.lex, lower(e.entity)) QUALIFY r <= {PER_HOP}),
+   FROM ents e JOIN f q ON q.id = e.query_id JOIN f ON f.scope = q.scope AND list_contains(regexp_extract_all(lower(f.text), '[a-z0-9]{{3,}}'), lower(e.entity)) QUALIFY r <= {PER_HOP}),
  fresh AS (SELECT * FROM hits h WHERE NOT EXISTS (SELECT 1 FROM kept k WHERE k.query_id = h.query_id AND k.fact_id = h.fact_id) QUALIFY row_number() OVER (PARTITION BY query_id, fact_id ORDER BY hop) = 1),
  line AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hop, r) AS place FROM fresh),
  fill(query_id, place, used, fits) AS (SELECT query_id, CAST(0 AS BIGINT), used, false FROM spent
@@ -120,32 +277,25 @@ def r13_multi_hop(spark, sf_dir):
     """
     texts = read(spark, sf_dir, "documents").select("doc_id", "text")
     scope = read(spark, sf_dir, "embeddings").select("vec_id", "label")
-    named = F.regexp_extract_all("text", F.lit(f"({ENTITY})"), F.lit(1))
-    pool = fused(spark, sf_dir).select("query_id", "fact_id", "rank", "cost")
-    packed = greedy_pack(pool, "query_id", "rank", "fact_id", "cost", BUDGET).select("query_id", "fact_id").join(pool, ["query_id", "fact_id"])
+    named = F.regexp_extract_all("text", F.lit(f"({HOP_ENTITY})"), F.lit(1))
+    decided = packed(spark, sf_dir).filter("action = 'included'").select("query_id", "kind", c("id").alias("fact_id"), c("place").alias("rank"), "cost")
+    held = decided.filter("kind = 'fact'").drop("kind")
     own = texts.select(c("doc_id").alias("query_id"), F.transform(named, F.lower).alias("said"))
-    seeds = packed.join(texts, c("fact_id") == c("doc_id")).select("query_id", F.explode(named).alias("entity")).groupBy("query_id", "entity").agg(F.count("*").alias("n"))
+    seeds = held.join(texts, c("fact_id") == c("doc_id")).select("query_id", F.explode(named).alias("entity")).groupBy("query_id", "entity").agg(F.count("*").alias("n"))
     fresh = seeds.join(own, "query_id").filter(~F.array_contains("said", F.lower("entity")))
     ents = top_k(fresh, ["query_id"], [F.desc("n"), c("entity")], HOPS, "hop").join(scope, c("query_id") == c("vec_id")).select("query_id", "hop", "entity", "label", F.lower("entity").alias("word"))
     words = texts.join(scope, c("doc_id") == c("vec_id")).select("label", c("doc_id").alias("fact_id"), token_estimate(c("text")).alias("cost"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]{3,})"), F.lit(1))).alias("word"))
     hits = words.join(ents, ["label", "word"]).groupBy("query_id", "hop", "entity", "fact_id", "cost").agg(F.count("*").alias("n"))
-    near = top_k(hits, ["query_id", "hop"], [F.desc("n"), c("fact_id")], PER_HOP, "r").join(packed, ["query_id", "fact_id"], "left_anti")
+    near = top_k(hits, ["query_id", "hop"], [F.desc("n"), c("fact_id")], PER_HOP, "r").join(held, ["query_id", "fact_id"], "left_anti")
     first = near.groupBy("query_id", "fact_id", "cost").agg(F.min(F.struct("hop", "r", "entity")).alias("m"))
     found = first.select("query_id", "fact_id", "cost", (c("m.hop") * 1000 + c("m.r")).alias("rank"), c("m.hop").alias("hop"), c("m.entity").alias("entity"))
-    line = packed.unionByName(found.drop("hop", "entity"))
+    # Episodes fill the budget too; they come before what the hops find, under ids of their own.
+    first_pass = decided.select("query_id", "rank", F.when(c("kind") == "fact", c("fact_id")).otherwise(-1 - c("fact_id")).alias("fact_id"), "cost")
+    line = first_pass.unionByName(found.select("query_id", (c("rank") + 1_000_000).alias("rank"), "fact_id", "cost"))
     kept = greedy_pack(line, "query_id", "rank", "fact_id", "cost", HOP_BUDGET).select("query_id", "fact_id")
     return found.join(kept, ["query_id", "fact_id"]).select("query_id", "hop", "entity", "fact_id")
 
 
-@register("r20_context", f"WITH RECURSIVE {PACKED} SELECT r.query_id, r.fact_id, r.rank, r.score, CASE WHEN f.kept THEN 'included' ELSE 'excluded' END AS action, CASE WHEN f.kept THEN 'top_score' ELSE 'over_budget' END AS reason_code FROM fold f JOIN ranked r USING (query_id, rank)")
-def r20_context(spark, sf_dir):
-    """Every scored fact of every query with its decision."""
-    pool = fused(spark, sf_dir)
-    packed = greedy_pack(pool, "query_id", "rank", "fact_id", "cost", BUDGET).select("query_id", "fact_id", "place")
-    kept = c("place").isNotNull()
-    return pool.join(packed, ["query_id", "fact_id"], "left").select("query_id", "fact_id", "rank", "score", F.when(kept, "included").otherwise("excluded").alias("action"), F.when(kept, "top_score").otherwise("over_budget").alias("reason_code"))
-
-
 @register("r14_context_window", twin("chunks", """@, hit AS (SELECT DISTINCT conv_id, turn FROM chunks WHERE role = 'assistant' AND turn % 2 = 1), near AS (SELECT *, lag(turn) OVER w AS before, lead(turn) OVER w AS after FROM chunks WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
  SELECT n.conv_id, n.turn, n.before, n.after FROM near n JOIN hit USING (conv_id, turn)""").replace(" @,", ","))
 def r14_context_window(spark, sf_dir):
@@ -175,35 +325,6 @@ def j6_neighbours(spark, sf_dir):
     return chunks(spark, sf_dir).select("subject", "conv_id", "turn", F.lag("conv_id").over(w).alias("before_conv"), F.lead("conv_id").over(w).alias("after_conv"))
 
 
-@register("j7_nearest", f"WITH {PAIRS} SELECT query_id, fact_id, distance FROM pairs WHERE distance <= 0.95 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, fact_id) = 1")
-def j7_nearest(spark, sf_dir):
-    near = pairs(spark, sf_dir).filter("distance <= 0.95").groupBy("query_id").agg(F.min(F.struct("distance", "fact_id")).alias("m"))
-    return near.select("query_id", "m.fact_id", "m.distance")
-
-
-@register("j12_span_containment", "SELECT item_id, min(doc_id) AS doc_id, count(*) AS n FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY item_id HAVING count(*) = 1")
-def j12_span_containment(spark, sf_dir):
-    """Spans join on their first characters (24, or all of the shortest span), found anywhere in a document; containment is
-    checked on those pairs only.
-
-    Only ids and heads travel from the first join: the texts of the documents that hold a head are joined afterwards.
-    """
-    spans = read(spark, sf_dir, "benchmark").filter("length(text) > 0")
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text").withColumnRenamed("text", "whole").filter("length(whole) > 0")
-    n, shortest = spans.agg(F.count("*"), F.min(F.length("text"))).first()
-    head = F.lit(min(24, shortest or 24))
-    heads = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("whole")), lambda i: F.substring(c("whole"), i, head)))
-    slim = spans.select("item_id", F.substring("text", F.lit(1), head).alias("head"))
-    near = docs.select("doc_id", F.explode(heads).alias("head")).join(F.broadcast(slim) if n <= 100_000 else slim, "head").select("item_id", "doc_id").distinct()
-    found = docs.join(near, "doc_id").join(spans, "item_id").filter(F.contains("whole", "text")).select("item_id", "doc_id").distinct()
-    return found.groupBy("item_id").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).filter("n = 1")
-
-
-@register("t7_per_entity_topk", "SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS rank FROM events QUALIFY rank <= 5")
-def t7_per_entity_topk(spark, sf_dir):
-    return top_k(read(spark, sf_dir, "events"), ["event_type"], [F.desc("value"), c("event_id")], 5).select("event_type", "event_id", "rank")
-
-
 @register("o3_mixed_pool", twin("chunks", "SELECT 'fact' AS kind, event_id AS id, CAST(NULL AS BIGINT) AS ordinal FROM events UNION ALL SELECT 'episode', conv_id, turn FROM chunks"))
 def o3_mixed_pool(spark, sf_dir):
     pool = read(spark, sf_dir, "events").select(F.lit("fact").alias("kind"), c("event_id").alias("id"))

@@ -7,16 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions.text import lexemes
 from ..operators import lifecycle
-from ..operators.ranking import greedy_pack, top_k
+from ..operators.ranking import top_k
 from ..sources.tables import chunks, events, facts, read, twin
 from .lifecycle import ledger, now
 from .registry import register
-from .retrieval import BUDGET, PACKED, PAIRS, fused, pairs
+from .retrieval import BUDGET, EVERY, FACTS, FLOOR, PACKED, SAME, fact_candidates, facts_of, packed, r20_context
 
 c = F.col
 ASKED = ("there", "with", "from")
-#: Facts nearer than this, by cosine distance, state the same identity.
-SAME = 0.28
 
 
 def at(moment: str):
@@ -150,12 +148,6 @@ def a19_systems(spark, sf_dir):
     return records.groupBy("source", "lang").agg(F.count("*").alias("n"), F.round(F.avg("quality"), 6).alias("accuracy"))
 
 
-@register("a23_gold_served", "SELECT count(*) AS questions, round(avg(hit), 6) AS rate FROM (SELECT max((l_linestatus = 'F')::INT) AS hit FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey)")
-def a23_gold_served(spark, sf_dir):
-    gold = read(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").groupBy("l_orderkey").agg(F.max((c("l_linestatus") == "F").cast("int")).alias("hit"))
-    return gold.agg(F.count("*").alias("questions"), F.round(F.avg("hit"), 6).alias("rate"))
-
-
 @register("a25_exclusive_quantiles", """WITH s AS (SELECT o_orderpriority, list_sort(list(o_totalprice)) AS v, count(*) AS n FROM orders GROUP BY 1), p AS (SELECT *, unnest([50, 95, 99]) AS q FROM s),
  j AS (SELECT *, CAST(greatest(1, least(n - 1, (n + 1) * q // 100)) AS BIGINT) AS i FROM p WHERE n > 1)
  SELECT o_orderpriority, CAST(q AS BIGINT) AS q, round(v[i] + (v[i + 1] - v[i]) * ((n + 1) * q / 100.0 - i), 4) AS quantile FROM j""")
@@ -174,18 +166,6 @@ def a26_breakdown(spark, sf_dir):
     return read(spark, sf_dir, "events").groupBy(F.get_json_object("props", "$.k").alias("person")).agg(F.count("*").alias("n"))
 
 
-@register("t3_episode_topk", twin("chunks", "SELECT subject, conv_id, turn, row_number() OVER (PARTITION BY subject ORDER BY length(text) DESC, occurred_at DESC, turn DESC, conv_id) AS rank FROM chunks QUALIFY rank <= 64"))
-def t3_episode_topk(spark, sf_dir):
-    order = [F.desc(F.length("text")), F.desc("occurred_at"), F.desc("turn"), c("conv_id")]
-    return top_k(chunks(spark, sf_dir), ["subject"], order, 64).select("subject", "conv_id", "turn", "rank")
-
-
-@register("t6_shortlist", "SELECT user_id, event_id FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS n, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS r FROM events) WHERE n <= 40 OR r <= 40")
-def t6_shortlist(spark, sf_dir):
-    """All of a subject's facts if they are few, else the best 40; a rank says both."""
-    return top_k(read(spark, sf_dir, "events"), ["user_id"], [F.desc("value"), c("event_id")], 40).select("user_id", "event_id")
-
-
 @register("t9_last_traces", "SELECT o_custkey AS subject, o_orderkey AS trace_id FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) <= 20")
 def t9_last_traces(spark, sf_dir):
     last = top_k(read(spark, sf_dir, "orders"), ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")], 20)
@@ -216,23 +196,24 @@ def c6_exact_active(spark, sf_dir):
     return events(spark, sf_dir).groupBy("user_id", "event_type", (c("k") % 3).alias("bucket")).agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
 
 
-@register("c8_identity_resolve", f"""WITH {PAIRS}, x AS (SELECT q.id AS query_id, min(f.id) AS fact_id FROM f q JOIN f ON q.label = f.label AND q.text = f.text AND q.id <> f.id WHERE q.id % 50 = 0 GROUP BY 1),
- s AS (SELECT query_id, fact_id FROM pairs WHERE distance <= {SAME} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, fact_id) = 1)
- SELECT q.id AS query_id, coalesce(x.fact_id, s.fact_id) AS fact_id, CASE WHEN x.fact_id IS NOT NULL THEN 'exact' WHEN s.fact_id IS NOT NULL THEN 'semantic' ELSE 'new' END AS how
- FROM f q LEFT JOIN x ON x.query_id = q.id LEFT JOIN s ON s.query_id = q.id WHERE q.id % 50 = 0""")
+@register("c8_identity_resolve", f"""WITH {FACTS}, x AS (SELECT q.id AS query_id, min(f.id) AS fact_id FROM f q JOIN f ON q.scope = f.scope AND q.text = f.text AND q.id <> f.id WHERE q.id % {EVERY} = 0 GROUP BY 1),
+ al AS (SELECT source AS alias, min(id) AS fact_id FROM f GROUP BY 1), s AS (SELECT query_id, id AS fact_id FROM facts WHERE by_vector = 1 AND distance <= {SAME})
+ SELECT q.id AS query_id, coalesce(x.fact_id, al.fact_id, s.fact_id) AS fact_id, CASE WHEN x.fact_id IS NOT NULL THEN 'exact' WHEN al.fact_id IS NOT NULL THEN 'alias' WHEN s.fact_id IS NOT NULL THEN 'semantic' ELSE 'new' END AS how
+ FROM f q LEFT JOIN x ON x.query_id = q.id LEFT JOIN al ON al.alias = q.source AND q.id % 60 = 0 AND al.fact_id <> q.id LEFT JOIN s ON s.query_id = q.id WHERE q.id % {EVERY} = 0""")
 def c8_identity_resolve(spark, sf_dir):
-    """The fact whose identity a new one has: the same statement, else the nearest within ``SAME``, else none.
+    """The fact whose identity a new one has: the same statement, else by a learned alias, else the nearest within ``SAME``, else none.
 
-    Statements meet by a hash of their text within a scope, so that texts aren't shuffled.
+    Statements meet by a hash of their text within a scope, so that texts aren't shuffled. Every third query has a learned alias.
     """
-    said = read(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
-    f = read(spark, sf_dir, "embeddings").select(c("vec_id").alias("id"), "label").join(said, c("id") == c("doc_id")).select("id", "label", "h")
-    q = f.filter("id % 50 = 0").select(c("id").alias("query_id"), "label", "h")
-    exact = f.join(q, ["label", "h"]).filter("id <> query_id").groupBy("query_id").agg(F.min("id").alias("exact_id"))
-    near = pairs(spark, sf_dir).filter(c("distance") <= SAME).groupBy("query_id").agg(F.min(F.struct("distance", "fact_id")).alias("m")).select("query_id", c("m.fact_id").alias("near_id"))
-    found = q.select("query_id").join(exact, "query_id", "left").join(near, "query_id", "left")
-    how = F.when(c("exact_id").isNotNull(), "exact").when(c("near_id").isNotNull(), "semantic").otherwise("new")
-    return found.select("query_id", F.coalesce("exact_id", "near_id").alias("fact_id"), how.alias("how"))
+    f = facts_of(spark, sf_dir).select("id", "scope", "tie_a", "tie_b")
+    q = f.filter(c("id") % EVERY == 0).withColumnRenamed("id", "query_id")
+    exact = f.join(q.drop("tie_a"), ["scope", "tie_b"]).filter("id <> query_id").groupBy("query_id").agg(F.min("id").alias("exact_id"))
+    learned = f.groupBy("tie_a").agg(F.min("id").alias("alias_id"))
+    alias = q.filter("query_id % 60 = 0 and tie_a <> ''").join(learned, "tie_a").filter("alias_id <> query_id").select("query_id", "alias_id")
+    near = fact_candidates(spark, sf_dir).filter((c("by_vector") == 1) & (c("distance") <= SAME)).select("query_id", c("id").alias("near_id"))
+    found = q.select("query_id").join(exact, "query_id", "left").join(alias, "query_id", "left").join(near, "query_id", "left")
+    how = F.when(c("exact_id").isNotNull(), "exact").when(c("alias_id").isNotNull(), "alias").when(c("near_id").isNotNull(), "semantic").otherwise("new")
+    return found.select("query_id", F.coalesce("exact_id", "alias_id", "near_id").alias("fact_id"), how.alias("how"))
 
 
 @register("c11_returns", twin("ev", "SELECT event_id FROM (SELECT event_id, k, lag(k) OVER w AS last_k, lag(k, 2) OVER w AS before FROM ev WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)) WHERE k = before AND k <> last_k"))
@@ -267,21 +248,34 @@ def k1_enqueue(spark, sf_dir):
     return read(spark, sf_dir, "events").select(c("event_id").alias("job_id"), (c("user_id") % 3).alias("project_id"), F.lit("consolidate").alias("kind"), F.lit("queued").alias("state"), c("ts").alias("queued_at"))
 
 
-PACKETS = PACKED + """, p AS (SELECT query_id, count(*) AS n_facts, max(used) AS used, string_agg(fact_id, ',' ORDER BY rank) AS fact_ids FROM fold WHERE kept GROUP BY query_id),
- asked AS (SELECT vec_id AS query_id FROM embeddings WHERE vec_id % 50 = 0)
- SELECT query_id, coalesce(n_facts, 0) AS n_facts, CAST(coalesce(used, 0) AS BIGINT) AS used, coalesce(fact_ids, '') AS fact_ids, CASE WHEN n_facts IS NULL THEN 'failed' ELSE 'ok' END AS status FROM asked LEFT JOIN p USING (query_id)"""
+PACKETS = PACKED + f""", p AS (SELECT query_id, count(*) FILTER (kind = 'fact') AS n_facts, count(*) FILTER (kind = 'episode') AS n_episodes, max(used) AS used, string_agg(kind || ':' || id, ',' ORDER BY rank) AS items FROM fold WHERE kept GROUP BY query_id),
+ below AS (SELECT query_id, count(*) AS below FROM pool WHERE distance IS NULL OR distance > {FLOOR} GROUP BY query_id),
+ over AS (SELECT query_id, count(*) AS over FROM fold WHERE NOT kept AND rank > 0 GROUP BY query_id),
+ packets AS (SELECT q.query_id, {BUDGET} AS budget, coalesce(n_facts, 0) AS n_facts, coalesce(n_episodes, 0) AS n_episodes, CAST(coalesce(used, 0) AS BIGINT) AS used, coalesce(items, '') AS items, coalesce(over, 0) AS n_over_budget, coalesce(below, 0) AS n_below_floor,
+   CASE WHEN p.query_id IS NULL THEN 'degraded' ELSE 'ok' END AS status, CASE WHEN p.query_id IS NULL AND below > 0 THEN 'no_relevant_memory' WHEN p.query_id IS NULL THEN 'no_memory' END AS empty_reason
+   FROM (SELECT vec_id AS query_id FROM embeddings JOIN documents ON vec_id = doc_id WHERE vec_id % {EVERY} = 0) q LEFT JOIN p USING (query_id) LEFT JOIN below USING (query_id) LEFT JOIN over USING (query_id))"""
 
 
-@register("r18_packet", f"WITH RECURSIVE {PACKETS}")
+@register("r18_packet", f"WITH RECURSIVE {PACKETS} SELECT * FROM packets")
 def r18_packet(spark, sf_dir):
-    """One packet for every query, those that nothing was found for included; a packet holds twice the top K facts at most."""
-    packed = greedy_pack(fused(spark, sf_dir), "query_id", "rank", "fact_id", "cost", BUDGET)
-    held = packed.groupBy("query_id", "used").agg(F.array_sort(F.collect_list(F.struct("place", "fact_id"))).alias("facts"))
-    asked = read(spark, sf_dir, "embeddings").filter("vec_id % 50 = 0").select(c("vec_id").alias("query_id"))
-    ids = F.concat_ws(",", c("facts.fact_id").cast("array<string>"))
-    return asked.join(held, "query_id", "left").select("query_id", F.coalesce(F.size("facts"), F.lit(0)).cast("long").alias("n_facts"), F.coalesce("used", F.lit(0)).cast("long").alias("used"), ids.alias("fact_ids"), F.when(c("facts").isNull(), "failed").otherwise("ok").alias("status"))
-
-
-@register("r19_failed_packet", f"WITH RECURSIVE {PACKETS}".replace(" SELECT query_id, coalesce(n_facts", ", packets AS (SELECT query_id, coalesce(n_facts") + ") SELECT query_id, status FROM packets WHERE status = 'failed'")
+    """One packet for every query, those that nothing was found for included; a packet's items are bounded by its budget."""
+    d = r20_context(spark, sf_dir)
+    kept = c("action") == "included"
+    own = d.groupBy("query_id").agg(
+        F.count_if(kept & (c("kind") == "fact")).alias("n_facts"), F.count_if(kept & (c("kind") == "episode")).alias("n_episodes"), F.count_if(c("reason_code").isin("over_budget", "over_episode_budget")).alias("n_over_budget"),
+        F.count_if(c("reason_code") == "below_relevance_floor").alias("n_below_floor"), F.array_sort(F.collect_list(F.when(kept, F.struct("rank", F.concat_ws(":", "kind", c("id").cast("string")).alias("item"))))).alias("items"),
+    )
+    used = packed(spark, sf_dir).groupBy("query_id").agg(F.max("used").alias("used"))
+    docs = read(spark, sf_dir, "documents").select(c("doc_id").alias("vec_id"))
+    asked_for = read(spark, sf_dir, "embeddings").filter(c("vec_id") % EVERY == 0).join(docs, "vec_id").select(c("vec_id").alias("query_id"))
+    zero = lambda x: F.coalesce(x, F.lit(0)).cast("long").alias(x)
+    empty = F.coalesce(c("n_facts") + c("n_episodes"), F.lit(0)) == 0
+    reason = F.when(empty & (c("n_below_floor") > 0), "no_relevant_memory").when(empty, "no_memory")
+    return asked_for.join(own, "query_id", "left").join(used, "query_id", "left").select("query_id", F.lit(BUDGET).alias("budget"), zero("n_facts"), zero("n_episodes"), zero("used"), F.concat_ws(",", c("items.item")).alias("items"), zero("n_over_budget"), zero("n_below_floor"), F.when(empty, "degraded").otherwise("ok").alias("status"), reason.alias("empty_reason"))
+
+
+@register("r19_failed_packet", """SELECT doc_id AS query_id, CASE WHEN b <= 0 THEN 'failed' ELSE 'ok' END AS status, CASE WHEN b <= 0 THEN 'invalid_budget' END AS error FROM (SELECT doc_id, doc_id % 7 - 1 AS b FROM documents)""")
 def r19_failed_packet(spark, sf_dir):
-    return r18_packet(spark, sf_dir).filter("status = 'failed'").select("query_id", "status")
+    """Requests whose budget is not positive get a failed packet with the error's name."""
+    budget = c("doc_id") % 7 - 1
+    return read(spark, sf_dir, "documents").select(c("doc_id").alias("query_id"), F.when(budget <= 0, "failed").otherwise("ok").alias("status"), F.when(budget <= 0, "invalid_budget").alias("error"))

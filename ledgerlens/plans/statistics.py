@@ -127,13 +127,6 @@ def a22_prf_document_frequency(spark, sf_dir):
     return tokens.groupBy("token").agg(F.count_distinct("conv_id").alias("n")).filter("n >= 2")
 
 
-@register("a24_token_coverage", "SELECT doc_id, round(len(list_intersect(g, s)) / nullif(len(g), 0), 6) AS coverage FROM (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}')) AS g, list_distinct(regexp_extract_all(lower(substring(text, 1, 400)), '[a-z]{3,}')) AS s FROM documents)")
-def a24_token_coverage(spark, sf_dir):
-    words = lambda t: F.array_distinct(F.regexp_extract_all(F.lower(t), F.lit("([a-z]{3,})"), F.lit(1)))
-    d = read(spark, sf_dir, "documents").select("doc_id", words(c("text")).alias("g"), words(F.substring("text", 1, 400)).alias("s"))
-    return d.select("doc_id", F.round(F.try_divide(F.size(F.array_intersect("g", "s")), F.size("g")), 6).alias("coverage"))
-
-
 @register("a27_identity_violations", twin("ev", "SELECT user_id, event_type, k, count(*) AS n FROM ev GROUP BY ALL HAVING count(*) > 1"))
 def a27_identity_violations(spark, sf_dir):
     return events(spark, sf_dir).groupBy("user_id", "event_type", "k").agg(F.count("*").alias("n")).filter("n > 1")
