@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -48,6 +49,20 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def frugal() -> None:
+    """Makes a Python worker give freed memory back: large arrays get pages of their own, and what lies free is returned now.
+
+    Workers live on from task to task, and by default the C library keeps what one of them freed. Elsewhere than on glibc
+    nothing happens.
+    """
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 20)  # the size from which an allocation has pages of its own
+        libc.malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have."""
     taken = {c.lower() for c in df.columns}

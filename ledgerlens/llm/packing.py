@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import materialise
+from .common import frugal, materialise
 from .tokens import default_tokenizer, worker_coder
 
 
@@ -43,6 +43,7 @@ def pieces(docs: DataFrame, text: str = "text", key: str = "doc_id", capacity: i
     arrow, end = to_arrow_schema(schema), np.array([separator], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frugal()
         coder = worker_coder(("ids", path), path, _bytes_of, b"".join)
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
         for batch in batches:

@@ -23,10 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import broadcast_few, fresh, materialise
+from .common import broadcast_few, fresh, frugal, materialise
 
 CELL = 512
-PAIRS_AT_ONCE = 400_000
+PAIRS_AT_ONCE = 100_000
 
 
 #: Odd multipliers that make further hash values of a shingle from its XXH64 value, as other seeds would.
@@ -63,6 +63,7 @@ def fingerprints(text: str | None, shingle: int, seed: int = 42, several: int =
 def fingerprint_column(text: str, shingle: int):
     @F.pandas_udf(T.LongType())
     def udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        frugal()
         for batch in batches:
             yield pd.Series([fingerprints(t, shingle)[0] for t in batch], dtype="int64")
 
@@ -72,6 +73,7 @@ def fingerprint_column(text: str, shingle: int):
 def several_fingerprints(text: str, shingle: int, several: int):
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        frugal()
         for batch in batches:
             yield pd.Series([fingerprints(t, shingle, several=several) for t in batch], dtype=object)
 
@@ -143,6 +145,7 @@ def _cell_links(budget: int):
         return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frugal()
         keys, fps = np.empty((0, 3), np.int64), np.empty(0, np.uint64)
         for batch in batches:
             cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]

@@ -24,10 +24,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import frugal
+
 TABLE_SIZE = 50_000
 TASK_SUMMARY = 4_000
 #: Entries of each of a cache's two generations, and the most characters of a chunk that is kept in it.
-CACHE_SIZE, LONGEST_KEPT = 250_000, 48
+CACHE_SIZE, LONGEST_KEPT = 200_000, 48
 
 
 def default_tokenizer() -> str:
@@ -185,6 +187,7 @@ def token_counter(spark: SparkSession, frequent: list[str], path: str | None = N
 
     @F.pandas_udf(T.LongType())
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        frugal()
         coder = worker_coder(key, path, len, sum, shared.value)
         for batch in batches:
             yield pd.Series([coder.code(t) for t in batch], dtype="int64")
