@@ -1,11 +1,13 @@
 """Lifecycle as whole-table operators: status changes, feedback, erasure with receipts, credits, scope rules, packet status.
 
-Each takes many requests at once and returns what becomes of every one; nothing is looped over on the driver but the
-months of the free grants.
+Each takes many requests at once and returns what becomes of every one; nothing is looped over on the driver.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -76,15 +78,23 @@ def disable_subjects(facts: DataFrame, subjects: DataFrame, now: Column, key: st
 def lazy_grants(captures: DataFrame, org: str, at: str, days: int = 30) -> DataFrame:
     """When each organisation gets its free credits: at its first capture, and at the first one ``days`` after the last grant.
 
-    A round for every ``days`` of the table's span, each a minimum by organisation.
+    One pass over the captures in order: a task remembers its organisation's last grant and nothing else.
     """
-    first, last = captures.agg(F.min(at), F.max(at)).first()
-    granted = latest = captures.groupBy(org).agg(F.min(at).alias("granted_at"))
-    for _ in range((last - first).days // days if first else 0):
-        due = captures.join(latest, org).filter(c(at) >= c("granted_at") + F.make_dt_interval(F.lit(days)))
-        latest = due.groupBy(org).agg(F.min(at).alias("granted_at"))
-        granted = granted.unionByName(latest)
-    return granted
+    kinds = dict(captures.dtypes)
+    moments = captures.select(c(org).alias("org"), F.unix_micros(c(at).cast("timestamp")).alias("at")).distinct().repartition("org").sortWithinPartitions("org", "at")
+
+    def grants(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last_org, last = None, 0
+        for batch in batches:
+            out = []
+            for own, moment in zip(batch["org"], batch["at"]):
+                if own != last_org or moment >= last + days * 86_400_000_000:
+                    out.append((own, moment))
+                    last_org, last = own, moment
+            yield pd.DataFrame(out, columns=["org", "at"])
+
+    granted = moments.mapInPandas(grants, f"org {kinds[org]}, at long")
+    return granted.select(c("org").alias(org), F.timestamp_micros("at").cast(kinds[at]).alias("granted_at"))
 
 
 def debit_captures(captures: DataFrame, org: str, order: list[str], grant: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import lexemes
 from ..operators import lifecycle
+from ..operators.ordering import values_at
 from ..operators.ranking import top_k
 from ..sources.tables import chunks, events, facts, read, twin
 from .lifecycle import ledger, now
@@ -152,13 +153,13 @@ def a19_systems(spark, sf_dir):
  j AS (SELECT *, CAST(greatest(1, least(n - 1, (n + 1) * q // 100)) AS BIGINT) AS i FROM p WHERE n > 1)
  SELECT o_orderpriority, CAST(q AS BIGINT) AS q, round(v[i] + (v[i + 1] - v[i]) * ((n + 1) * q / 100.0 - i), 4) AS quantile FROM j""")
 def a25_exclusive_quantiles(spark, sf_dir):
-    """Quantiles between the two nearest ranks, by counts of distinct values, so that no group's rows are gathered."""
-    counts = read(spark, sf_dir, "orders").groupBy("o_orderpriority", c("o_totalprice").alias("v")).agg(F.count("*").alias("m"))
-    w = W.partitionBy("o_orderpriority")
-    ranked = counts.select("o_orderpriority", "v", F.sum("m").over(w.orderBy("v")).alias("upto"), F.sum("m").over(w).alias("n")).filter("n > 1")
-    asked = ranked.withColumn("q", F.explode(F.array(*[F.lit(q).cast("long") for q in (50, 95, 99)]))).withColumn("i", F.expr("greatest(1, least(n - 1, (n + 1) * q div 100))"))
-    ends = asked.groupBy("o_orderpriority", "q", "n", "i").agg(F.min(F.when(c("upto") >= c("i"), c("v"))).alias("low"), F.min(F.when(c("upto") >= c("i") + 1, c("v"))).alias("high"))
-    return ends.select("o_orderpriority", "q", F.round(c("low") + (c("high") - c("low")) * ((c("n") + 1) * c("q") / 100.0 - c("i")), 4).alias("quantile"))
+    """Quantiles between the two nearest ranks, by counts of values in ranges, so that no group's rows are gathered."""
+    o = read(spark, sf_dir, "orders").select("o_orderpriority", "o_totalprice")
+    n = o.groupBy("o_orderpriority").agg(F.count("*").alias("n")).filter("n > 1")
+    asked = n.withColumn("q", F.explode(F.array(*[F.lit(q).cast("long") for q in (50, 95, 99)]))).withColumn("i", F.expr("greatest(1, least(n - 1, (n + 1) * q div 100))"))
+    both = asked.withColumn("up", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("rank", c("i") + c("up"))
+    found = values_at(o, ["o_orderpriority"], "o_totalprice", both).groupBy("o_orderpriority", "n", "q", "i").agg(F.min(F.when(c("up") == 0, c("at_rank"))).alias("low"), F.min(F.when(c("up") == 1, c("at_rank"))).alias("high"))
+    return found.select("o_orderpriority", "q", F.round(c("low") + (c("high") - c("low")) * ((c("n") + 1) * c("q") / 100.0 - c("i")), 4).alias("quantile"))
 
 
 @register("a26_breakdown", "SELECT json_extract_string(props, '$.k') AS person, count(*) AS n FROM events GROUP BY 1")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.ordering import dense_place, values_at
 from ..sources.tables import chunks, events, read, twin
 from .registry import register
 
@@ -36,7 +37,14 @@ def a6_daily_zero_filled(spark, sf_dir):
 
 @register("a7_percentiles", "SELECT round(quantile_cont(o_totalprice, 0.5), 6) AS p50, round(quantile_cont(o_totalprice, 0.99), 6) AS p99 FROM orders")
 def a7_percentiles(spark, sf_dir):
-    return read(spark, sf_dir, "orders").agg(F.round(F.percentile("o_totalprice", 0.5), 6).alias("p50"), F.round(F.percentile("o_totalprice", 0.99), 6).alias("p99"))
+    """Between the two nearest ranks; null without traces."""
+    o = read(spark, sf_dir, "orders").select(F.lit(0).alias("g"), "o_totalprice")
+    n = o.groupBy("g").agg(F.count("o_totalprice").alias("n"))
+    place = lambda p: (c("n") - 1) * F.lit(p)
+    asked = n.select("g", F.explode(F.array(*[F.struct(F.lit(name).alias("name"), (F.floor(place(p)) + up).cast("long").alias("rank"), (F.lit(1 - up) + (2 * up - 1) * (place(p) - F.floor(place(p)))).alias("share")) for name, p in (("p50", 0.5), ("p99", 0.99)) for up in (0, 1)])).alias("x")).select("g", "x.name", (c("x.rank") + 1).alias("rank"), "x.share")
+    found = values_at(o, ["g"], "o_totalprice", asked).filter("share > 0")
+    part = lambda name: F.round(F.sum(F.when(c("name") == name, c("at_rank") * c("share"))), 6).alias(name)
+    return found.agg(part("p50"), part("p99"))
 
 
 @register("a8_null_safe_ratios", "SELECT user_id, round(count(*) FILTER (event_type = 'purchase') / nullif(count(*) FILTER (event_type = 'view'), 0), 6) AS ratio FROM events GROUP BY user_id")
@@ -102,12 +110,10 @@ def a17_eval_aggregate(spark, sf_dir):
 
 @register("a18_nearest_rank", "SELECT o_orderpriority, list_sort(list(o_totalprice))[CAST(greatest(1, round_even(count(*) * 95 / 100.0, 0)) AS BIGINT)] AS p95 FROM orders GROUP BY 1")
 def a18_nearest_rank(spark, sf_dir):
-    """By rank within the group's distinct values and their counts, so a group's rows aren't gathered."""
-    counts = read(spark, sf_dir, "orders").groupBy("o_orderpriority", "o_totalprice").agg(F.count("*").alias("n"))
-    w = W.partitionBy("o_orderpriority")
-    upto = F.sum("n").over(w.orderBy("o_totalprice"))
-    rank = F.greatest(F.lit(1.0), F.bround(F.sum("n").over(w) * 95 / 100.0, 0))
-    return counts.select("o_orderpriority", "o_totalprice", upto.alias("upto"), rank.alias("rank")).filter("upto >= rank").groupBy("o_orderpriority").agg(F.min("o_totalprice").alias("p95"))
+    o = read(spark, sf_dir, "orders").select("o_orderpriority", "o_totalprice")
+    rank = F.greatest(F.lit(1.0), F.bround(F.count("*") * 95 / 100.0, 0)).cast("long")
+    asked = o.groupBy("o_orderpriority").agg(rank.alias("rank"))
+    return values_at(o, ["o_orderpriority"], "o_totalprice", asked).select("o_orderpriority", c("at_rank").alias("p95"))
 
 
 @register("a20_composition", "SELECT lang, count(*) AS n FROM documents GROUP BY lang")
@@ -166,8 +172,9 @@ def w7_stratified_sample(spark, sf_dir):
 
 @register("w8_shard", "SELECT source, (dense_rank() OVER (ORDER BY first, source) - 1) % 4 AS shard FROM (SELECT source, min(doc_id) AS first FROM documents GROUP BY source)")
 def w8_shard(spark, sf_dir):
+    """Histories dealt in the order in which they first appear."""
     first = read(spark, sf_dir, "documents").groupBy("source").agg(F.min("doc_id").alias("first"))
-    return first.select("source", ((F.dense_rank().over(W.partitionBy(F.lit(0)).orderBy("first", "source")) - 1) % 4).cast("long").alias("shard"))
+    return dense_place(first, ["first", "source"], "place").select("source", (c("place") % 4).cast("long").alias("shard"))
 
 
 @register("w9_suffix_budget", "SELECT conv_id, turn FROM (SELECT conv_id, turn, sum(greatest(1, length(text) // 4)) OVER w AS used, row_number() OVER w AS r FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn DESC)) WHERE used <= 200 OR r = 1")

@@ -68,20 +68,22 @@ def test_stream_drops_repeats_and_counts_days(spark, tmp_path):
 
 
 def test_loaders(spark, tmp_path):
-    one = {"question_id": "q1_abs", "question_type": "single", "question": "?", "answer": ["a", "b"], "question_date": "2023/06/01 (Thu) 10:00", "haystack_session_ids": ["s1", "s2"], "haystack_dates": ["2023/05/01 (Mon) 09:00", "odd"], "haystack_sessions": [[{"role": "user", "content": "hi"}, {"role": "assistant", "content": "yo"}], [{"role": "user", "content": "x"}]], "answer_session_ids": ["s1"]}
+    one = {"question_id": "q1_abs", "question_type": "single", "question": "?", "answer": ["a", "b"], "question_date": "2023/06/01 (Thu) 10:00", "haystack_session_ids": [["s1"], ["s2", "s3"]], "haystack_dates": ["2023/05/01 (Mon) 09:00", "odd"], "haystack_sessions": [[{"role": "user", "content": "hi"}, {"role": "assistant", "content": "yo"}], [{"role": "user", "content": "x"}]], "answer_session_ids": ["s1"]}
     (tmp_path / "s.json").write_text(json.dumps([one, {**one, "question_id": "q2", "answer": "plain"}]))
     q = {r.question_id: r for r in datasets.session_questions(spark, str(tmp_path / "s.json")).collect()}
     assert (q["q1_abs"].answer, q["q1_abs"].abstention, q["q1_abs"].asked_at) == ("a; b", True, datetime(2023, 6, 1, 10))
     assert (q["q2"].answer, q["q2"].abstention) == ("plain", False)
     turns = sorted((r.question_id, r.session, r.turn, r.content, r.occurred_at) for r in datasets.session_turns(spark, str(tmp_path / "s.json")).collect())
-    assert turns[:3] == [("q1_abs", 0, 0, "hi", datetime(2023, 5, 1, 9)), ("q1_abs", 0, 1, "yo", datetime(2023, 5, 1, 9)), ("q1_abs", 1, 0, "x", None)]
+    assert turns[:3] == [("q1_abs", 0, 0, "hi", datetime(2023, 5, 1, 9)), ("q1_abs", 0, 1, "yo", datetime(2023, 5, 1, 9)), ("q1_abs", 1, 0, "x", datetime(2023, 5, 1, 1))]
+    assert {r.session_id for r in datasets.session_turns(spark, str(tmp_path / "s.json")).collect()} == {"s1", "s2+s3"}
     talk = lambda n: [{"speaker": "A", "dia_id": f"D{n}:1", "text": f"t{n}"}]
-    sample = {"sample_id": "c1", "conversation": {"speaker_a": "A", "speaker_b": "B", "session_1_date_time": "1:56 pm on 8 May, 2023", "session_1": talk(1), "session_2": talk(2), "session_4": talk(4)}, "qa": [{"question": "?", "answer": 7, "category": 2, "evidence": ["D2:1", "D1:3; D2:9"]}, {"question": "!", "category": 5}]}
+    sample = {"sample_id": "c1", "conversation": {"speaker_a": "A", "speaker_b": "B", "session_1_date_time": "1:56 pm on 8 May, 2023", "session_1": talk(1), "session_2": talk(2), "session_4": talk(4)}, "qa": [{"question": "?", "answer": 7, "category": 2, "evidence": ["D2:1", "D1:3; D4:9", "x D7:1"]}, {"question": "!", "category": 5}, {"question": "0", "answer": None, "category": 4}]}
     (tmp_path / "d.json").write_text(json.dumps([sample]))
     got = sorted((r.session, r.text, r.occurred_at) for r in datasets.dialogue_turns(spark, str(tmp_path / "d.json")).collect())
-    assert got == [(1, "t1", datetime(2023, 5, 8, 13, 56)), (2, "t2", None)]
+    assert got == [(1, "t1", datetime(2023, 5, 8, 13, 56)), (2, "t2", datetime(2023, 5, 8, 2, 56))]
     qa = sorted(datasets.dialogue_questions(spark, str(tmp_path / "d.json")).collect(), key=lambda r: r.number)
-    assert [(r.kind, r.answer, r.evidence_sessions) for r in qa] == [("temporal", "7", [1, 2]), ("adversarial", None, [])]
+    assert [(r.kind, r.answer, r.abstention, r.evidence_sessions) for r in qa] == [("temporal", "7", False, [1, 2]), ("adversarial", "", True, []), ("single-hop", "unanswerable", True, [])]
+    assert qa[0].speakers == ["A", "B"]
 
 
 def test_carried_facts(spark):
