@@ -118,13 +118,16 @@ def candidates(items: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         place, block = None, None
         for batch in batches:
-            for key, rows in batch.groupby(["scope", "qb", "fb"], sort=False):
+            keys = list(zip(batch["scope"], batch["qb"], batch["fb"], batch["is_item"]))
+            # Runs by plain comparison: pandas takes texts for equal that differ behind a zero character.
+            starts = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1]]
+            for at, end in zip(starts, [*starts[1:], len(keys)]):
+                *key, is_item = keys[at]
                 if key != place:
                     if block:
                         yield from block.finish()
                     place, block = key, Block(k)
-                for is_item, own in rows.groupby("is_item"):
-                    (block.add_items if is_item else block.add_queries)(own)
+                (block.add_items if is_item else block.add_queries)(batch.iloc[at:end])
         if block:
             yield from block.finish()
 
