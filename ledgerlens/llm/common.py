@@ -49,12 +49,20 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def frugal() -> None:
+#: What a worker keeps from task to task, by name; the tasks of another operator drop it.
+kept: dict[tuple, object] = {}
+
+
+def frugal(drop: bool = True) -> None:
     """Makes a Python worker give freed memory back: large arrays get pages of their own, and what lies free is returned now.
 
+    What another operator's tasks left in ``kept`` goes first, unless ``drop`` is false.
+
     Workers live on from task to task, and by default the C library keeps what one of them freed. Elsewhere than on glibc
     nothing happens.
     """
+    if drop:
+        kept.clear()
     try:
         libc = ctypes.CDLL("libc.so.6")
         libc.mallopt(-3, 1 << 20)  # the size from which an allocation has pages of its own

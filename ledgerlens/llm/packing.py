@@ -27,14 +27,14 @@ from pyspark.sql.types import StructType
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import frugal, materialise
-from .tokens import default_tokenizer, worker_coder
+from .tokens import CACHE_SIZE, default_tokenizer, worker_coder
 
 
 def _bytes_of(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
-def pieces(docs: DataFrame, text: str = "text", key: str = "doc_id", capacity: int = 2048, separator: int = 0, path: str | None = None) -> DataFrame:
+def pieces(docs: DataFrame, text: str = "text", key: str = "doc_id", capacity: int = 2048, separator: int = 0, path: str | None = None, cache: int = CACHE_SIZE) -> DataFrame:
     """Every document's ids and the separator, cut at the capacity: key, piece, start, length, ids_crc32, and the piece's
     rank among those of its length in its task (part, rank)."""
     path = path or default_tokenizer()
@@ -43,8 +43,8 @@ def pieces(docs: DataFrame, text: str = "text", key: str = "doc_id", capacity: i
     arrow, end = to_arrow_schema(schema), np.array([separator], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frugal()
-        coder = worker_coder(("ids", path), path, _bytes_of, b"".join)
+        frugal(drop=False)
+        coder = worker_coder(("ids", path, cache), path, _bytes_of, b"".join, None, cache)
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
         for batch in batches:
             row, piece, length, crc, rank = array("q"), array("i"), array("q"), array("q"), array("q")
@@ -130,13 +130,13 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
     return out
 
 
-def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", capacity: int = 2048, separator: int = 0, path: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", capacity: int = 2048, separator: int = 0, path: str | None = None, cache: int = CACHE_SIZE) -> DataFrame:
     """Per piece: key, piece, start, length, ids_crc32, sequence_id, offset.
 
     A null or empty text is the separator alone; repeated rows are packed as often as they occur; rows with a null key are
-    packed too; an empty table gives no rows. Other columns are left out, so their names cannot clash.
+    packed too; an empty table gives no rows. ``cache`` chunks are kept by each worker; fewer take less memory and more time. Other columns are left out, so their names cannot clash.
     """
-    cut = materialise(pieces(docs, text, key, capacity, separator, path), "pieces")
+    cut = materialise(pieces(docs, text, key, capacity, separator, path, cache), "pieces")
     by_part = cut.groupBy("part", "length").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = by_part.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import frugal
+from .common import frugal, kept
 
 TABLE_SIZE = 50_000
 TASK_SUMMARY = 4_000
@@ -139,15 +139,12 @@ class TextCoder(dict):
         return self.join(map(self.__getitem__, chunks_of(text))) if text else self.join(())
 
 
-_coders: dict[tuple, TextCoder] = {}
-
-
 def worker_coder(key: tuple, *args) -> TextCoder:
     """The worker's own coder, kept from task to task."""
-    if key not in _coders:
-        _coders.clear()
-        _coders[key] = TextCoder(*args)
-    return _coders[key]
+    if key not in kept:
+        kept.clear()
+        kept[key] = TextCoder(*args)
+    return kept[key]
 
 
 def frequent_pre_tokens(docs: DataFrame, text: str = "text", size: int = TABLE_SIZE, summary: int = TASK_SUMMARY) -> list[str]:
@@ -187,7 +184,7 @@ def token_counter(spark: SparkSession, frequent: list[str], path: str | None = N
 
     @F.pandas_udf(T.LongType())
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        frugal()
+        frugal(drop=False)
         coder = worker_coder(key, path, len, sum, shared.value)
         for batch in batches:
             yield pd.Series([coder.code(t) for t in batch], dtype="int64")
