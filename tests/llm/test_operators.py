@@ -309,19 +309,6 @@ def test_main_text(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
-def test_pipeline_is_its_stages(spark):
-    import corpus_pipeline as P
-
-    sf = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    out = P.run(spark, sf).collect()
-    kept = {r.doc_id for r in out}
-    clean = {r.doc_id for r in quality.passing(docs).collect()}
-    assert kept <= clean and {"doc_id", "piece", "sequence_id"} <= set(out[0].asDict())
-    for _, stage in P.STAGES[:-1]:
-        assert stage(spark, docs, sf).columns == docs.columns
-
-
 def test_quality_rules_match_their_sql(spark):
     import duckdb
 
