@@ -29,7 +29,7 @@ from .common import frugal, kept
 TABLE_SIZE = 50_000
 TASK_SUMMARY = 4_000
 #: Entries of each of a cache's two generations, and the most characters of a chunk that is kept in it.
-CACHE_SIZE, LONGEST_KEPT = 200_000, 48
+CACHE_SIZE, LONGEST_KEPT = 300_000, 48
 
 
 def default_tokenizer() -> str:
