@@ -2,8 +2,9 @@
 
 Checks that need one row are columns (``judge``). What depends on the facts before it is a fold over the candidates of one
 identity class in the order of their events: a project's subject and a predicate, aliases resolved. Classes are dealt to tasks
-by key and sorted within them, and a task folds row by row, so it holds the facts of one class and never a subject's rows. The
-stream applies the same fold to the state that it keeps for each class.
+by key and sorted within them, and a task folds row by row, so it holds the facts of one class and never a subject's rows. Where
+statements have vectors, a subject is folded instead: its predicates are matched by meaning as they come, and statements that echo
+the packets served to it are turned away. The stream applies the same fold to the state that it keeps for each key.
 """
 
 from __future__ import annotations
@@ -11,13 +12,15 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.temporal import decoded, observed_at
+from ..functions.temporal import observed_at
 
 # Ranks of origins, closed vocabularies, and the phrases that order an agent about.
 TRUST = {"untrusted": 0, "third_party": 1, "semi_trusted": 2, "trusted": 3}
@@ -35,11 +38,13 @@ DIRECTIVES = (
     r"from\s+now\s+on,?\s+(always|never|you\s+must)\b",
 )
 LONGEST_NAME, LONGEST_SPAN, MOST_SIDES = 128, 4000, 2
+# The cosine distance within which two statements are about the same, and the packets that an echo is sought in.
+SAME, PACKETS = 0.28, 20
 
 CANDIDATE = "project_id string, subject_id string, event_id string, occurred_at timestamp, ordinal int, origin_trust string, actor_id string, predicate string, value string, qualifiers string, confidence double, action string, supersedes_predicate string, evidence_span string, reject_reason string, fact_kind string, volatility string, memory_form string, temporal_range string"
 FACT = "fact_id string, predicate string, value string, qualifiers string, status string, confidence double, valid_from string, valid_to string, supersedes_id string, source_event_ids array<string>, version int, reinforcement_count int, last_reinforced_at string, fact_kind string, volatility string, memory_form string, reclassified boolean, origin_trust string, temporal_range string, observed_at string, evidence_span string"
 SET = "set_id string, fact_ids array<string>, status string, kind string, reason string"
-CLASS = ["project_id", "subject_id", "identity"]
+CLASS, SUBJECT = ["project_id", "subject_id", "identity"], ["project_id", "subject_id"]
 
 
 def directive(text: Column) -> Column:
@@ -110,45 +115,181 @@ def own_identity(qualifiers: dict) -> str:
     return canonical({k: v for k, v in qualifiers.items() if k != "attributed_to"})
 
 
+class Near:
+    """Unit vectors of facts by their place; the nearest one by cosine distance."""
+
+    def __init__(self):
+        self.places, self.rows, self.at = [], None, {}
+
+    def add(self, place: int, vector: np.ndarray) -> None:
+        n = len(self.places)
+        if self.rows is None:
+            self.rows = np.zeros((4, len(vector)))
+        if n == len(self.rows):
+            self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
+        self.rows[n], self.at[place] = vector, n
+        self.places.append(place)
+
+    def drop(self, place: int) -> None:
+        i = self.at.pop(place, None)
+        if i is None:
+            return
+        last = self.places.pop()
+        if last != place:
+            self.places[i], self.rows[i], self.at[last] = last, self.rows[len(self.places)], i
+
+    def nearest(self, vector: np.ndarray) -> tuple[float, int] | None:
+        n = len(self.places)
+        if not n or self.rows.shape[1] != len(vector):
+            return None
+        distance = np.round(1 - self.rows[:n] @ vector, 9)
+        least = distance.min()
+        return float(least), min(self.places[i] for i in np.flatnonzero(distance == least))
+
+
+def unit(vector) -> np.ndarray | None:
+    """Of length one; None for a null or zero vector."""
+    v = np.asarray(vector, float) if vector is not None else np.zeros(0)
+    size = np.sqrt((v * v).sum())
+    return v / size if size > 0 else None
+
+
 class Identity:
-    """The facts and open sets of one identity class; plain values only, so that it can be kept as JSON."""
+    """The facts and open sets of one identity class, or, with ``semantic``, of one subject; kept as JSON between batches.
 
-    def __init__(self, facts: list[dict] | None = None, sets: list[dict] | None = None):
-        self.facts, self.sets = facts or [], sets or []
+    A class holds predicates known to mean the same, so any of its active facts answers for another. A subject's predicates find
+    each other as they come: the same name, else a name learned before, else the nearest active fact within ``SAME``, from which
+    the name is learned; whatever way, qualifiers must be equal. Look-ups go by index, so a candidate costs the same however many
+    facts there are, but for the nearest one, which reads the subject's active vectors.
+    """
 
-    def active(self, predicate: str, identity: str) -> dict | None:
-        """The newest active fact of a predicate, or of one that means the same."""
-        own = [f for f in self.facts if f["status"] == "active" and own_identity(f["qualifiers"]) == identity]
-        return next((f for f in reversed(own) if f["predicate"] == predicate), own[-1] if own else None)
+    def __init__(self, facts: list[dict] | None = None, sets: list[dict] | None = None, semantic: bool = False, aliases: dict | None = None, ring: list | None = None):
+        self.facts, self.sets, self.semantic, self.aliases, self.ring = [], [], semantic, aliases or {}, ring or []
+        self.places: dict[str, int] = {}
+        self.sources: dict[str, set] = {}
+        self.live: dict[tuple, list[int]] = {}  # places of active facts, ascending, by several keys
+        self.said: dict[tuple, list[int]] = {}
+        self.near: dict[str, Near] = {}
+        self.sides: dict[str, dict] = {}
+        for f in facts or []:
+            self.add_fact(f)
+        for x in sets or []:
+            self.keep_set(x)
+
+    # What is indexed
+
+    def keys(self, f: dict) -> list[tuple]:
+        identity = own_identity(f["qualifiers"])
+        return [("any", identity), ("named", f["predicate"], identity), ("mixed", f["predicate"], identity == "{}")]
+
+    def add_fact(self, f: dict) -> None:
+        self.places[f["fact_id"]] = place = len(self.facts)
+        self.facts.append(f)
+        self.sources[f["fact_id"]] = set(f["source_event_ids"])
+        if f["memory_form"] != "event":
+            self.said.setdefault((f["predicate"], canonical(f["value"]), own_identity(f["qualifiers"])), []).append(place)
+        if f["status"] == "active":
+            self.enter(place)
+
+    def enter(self, place: int) -> None:
+        f = self.facts[place]
+        for key in self.keys(f):
+            insort(self.live.setdefault(key, []), place)
+        if f.get("e") is not None:
+            self.near.setdefault(own_identity(f["qualifiers"]), Near()).add(place, np.array(f["e"]))
+
+    def leave(self, place: int) -> None:
+        f = self.facts[place]
+        for key in self.keys(f):
+            own = self.live[key]
+            del own[bisect_left(own, place)]
+        if f.get("e") is not None:
+            self.near[own_identity(f["qualifiers"])].drop(place)
+
+    def move(self, fact: dict, status: str) -> None:
+        place = self.places[fact["fact_id"]]
+        if fact["status"] == "active":
+            self.leave(place)
+        fact["status"], fact["version"] = status, fact["version"] + 1
+        if status == "active":
+            self.enter(place)
+
+    def newest(self, *key) -> dict | None:
+        own = self.live.get(key)
+        return self.facts[own[-1]] if own else None
+
+    # What a candidate meets
+
+    def active(self, predicate: str, identity: str, vector: np.ndarray | None = None) -> dict | None:
+        """The newest active fact of a predicate, or the one that means the same."""
+        exact = self.newest("named", predicate, identity)
+        if exact is not None or not self.semantic:
+            return exact or self.newest("any", identity)
+        known = self.newest("named", self.aliases[predicate][0], identity) if predicate in self.aliases else None
+        if known is not None or vector is None or identity not in self.near:
+            return known
+        found = self.near[identity].nearest(vector)
+        if found is None or found[0] > SAME:
+            return None
+        near = self.facts[found[1]]
+        if near["predicate"] != predicate:
+            self.aliases.setdefault(predicate, [near["predicate"], 1 - found[0]])
+        return near
 
     def duplicate(self, predicate: str, value: dict, identity: str) -> dict | None:
-        same = [f for f in self.facts if f["predicate"] == predicate and f["status"] != "deleted" and f["memory_form"] != "event" and canonical(f["value"]) == canonical(value) and own_identity(f["qualifiers"]) == identity]
+        same = [self.facts[i] for i in self.said.get((predicate, canonical(value), identity), ())]
         return next((f for f in same if f["status"] == "active"), same[0] if same else None)
 
     def ambiguous(self, predicate: str, value: dict, identity: str) -> dict | None:
         """An active fact of the predicate with another value where one of both has no qualifiers and the other has."""
-        return next((f for f in self.facts if f["status"] == "active" and f["predicate"] == predicate and (own_identity(f["qualifiers"]) == "{}") != (identity == "{}") and canonical(f["value"]) != canonical(value)), None)
+        own = (self.facts[i] for i in self.live.get(("mixed", predicate, identity != "{}"), ()))
+        return next((f for f in own if canonical(f["value"]) != canonical(value)), None)
+
+    def echoes(self, vector: np.ndarray | None) -> bool:
+        """Whether one of the facts in the last packets served is near."""
+        if vector is None:
+            return False
+        served = {x for packet in self.ring for x in packet}
+        near = [self.facts[self.places[x]]["e"] for x in served if x in self.places]
+        return any(v is not None and len(v) == len(vector) and round(1 - float(np.dot(v, vector)), 9) <= SAME for v in near)
+
+    def serve(self, fact_ids: list[str]) -> None:
+        """A packet goes out; only the last ``PACKETS`` are remembered."""
+        self.ring = [*self.ring, list(fact_ids)][-PACKETS:]
 
     def reinforce(self, fact: dict, c: dict) -> str:
         """A new event restates an active fact: counted, and its clock moves on if the origin ranks no lower."""
-        if fact["status"] != "active" or c["event_id"] in fact["source_event_ids"]:
+        sources = self.sources[fact["fact_id"]]
+        if fact["status"] != "active" or c["event_id"] in sources:
             return "duplicate"
         fact["reinforcement_count"] += 1
         later = fact["last_reinforced_at"] is None or c["occurred_at"] > fact["last_reinforced_at"]
         if later and TRUST.get(c["origin_trust"], 0) >= TRUST.get(fact["origin_trust"], 3):
             fact["last_reinforced_at"] = c["occurred_at"]
-        fact["source_event_ids"] = [*fact["source_event_ids"], c["event_id"]]
+        sources.add(c["event_id"])
+        fact["source_event_ids"].append(c["event_id"])
         return "reinforced"
 
+    def keep_set(self, x: dict) -> None:
+        self.sets.append(x)
+        if x["status"] == "open":
+            for fact_id in x["fact_ids"]:
+                self.sides.setdefault(fact_id, x)
+
     def add_set(self, kind: str, ids: list[str], reason: str) -> None:
-        self.sets.append({"set_id": hashlib.sha256("|".join([kind, *ids]).encode()).hexdigest()[:32], "fact_ids": ids, "status": "open", "kind": kind, "reason": reason})
+        self.keep_set({"set_id": hashlib.sha256("|".join([kind, *ids]).encode()).hexdigest()[:32], "fact_ids": ids, "status": "open", "kind": kind, "reason": reason})
 
     def apply(self, c: dict) -> tuple[str, str | None]:
         """The outcome of one candidate, and the fact that it made or met."""
         value, qualifiers, action = c["value"], c["qualifiers"], c["action"]
+        vector = unit(c["e"]) if self.semantic else None
+        if self.semantic and action != "supersede" and self.echoes(vector):
+            return "echo_of_context", None
         identity, target = own_identity(qualifiers), c["supersedes_predicate"] or c["predicate"]
         twin = self.duplicate(c["predicate"], value, identity)
-        existing = self.active(target, identity)
+        existing = None
+        if twin is None or twin["status"] != "active":
+            existing = self.active(target, identity, vector)
         if twin is not None:
             if twin["status"] == "active" or existing is None:
                 return self.reinforce(twin, c), twin["fact_id"]
@@ -163,8 +304,6 @@ class Identity:
         held = lower or origin == "untrusted"
         if heir and not held:
             value = merged_value(existing["value"], value)
-        span = c["temporal_range"] or heir.get("temporal_range")
-        at = observed_at(value, span)
         key = canonical([c["project_id"], c["subject_id"], c["event_id"], c["ordinal"], c["predicate"], value])
         fact = {
             "fact_id": hashlib.sha256(key.encode()).hexdigest()[:32], "predicate": c["predicate"], "value": value, "status": "candidate", "confidence": c["confidence"],
@@ -172,9 +311,11 @@ class Identity:
             "valid_from": c["occurred_at"], "valid_to": None, "supersedes_id": None, "source_event_ids": [c["event_id"]], "version": 1, "reinforcement_count": 0, "last_reinforced_at": None,
             "fact_kind": c["fact_kind"] or heir.get("fact_kind") or "attribute", "volatility": c["volatility"] or heir.get("volatility") or "stable",
             "memory_form": existing["memory_form"] if existing is not None else c["memory_form"] or "state", "reclassified": False, "origin_trust": origin,
-            "temporal_range": span, "observed_at": at.isoformat() if at else None, "evidence_span": c["evidence_span"],
+            "temporal_range": c["temporal_range"] or heir.get("temporal_range"), "evidence_span": c["evidence_span"],
         }
-        self.facts.append(fact)
+        if self.semantic:
+            fact["e"] = None if vector is None else vector.tolist()
+        self.add_fact(fact)
         if held:
             self.add_set("quarantine", [fact["fact_id"]], "lower_trust_origin" if lower else "untrusted_origin")
             return "quarantined", fact["fact_id"]
@@ -191,24 +332,37 @@ class Identity:
 
     def contradict(self, existing: dict, fact: dict) -> str:
         """A second value opens a set; a third shows that the predicate never was a state, and all of its values become events."""
-        both = next((s for s in self.sets if s["status"] == "open" and existing["fact_id"] in s["fact_ids"]), None)
+        both = self.sides.get(existing["fact_id"])
         if both is None:
             self.add_set("contradiction", [existing["fact_id"], fact["fact_id"]], f"{canonical(existing['value'])} vs {canonical(fact['value'])}")
             return "conflict"
-        if len(both["fact_ids"]) < MOST_SIDES:
-            both["fact_ids"] = [*both["fact_ids"], fact["fact_id"]]
+        both["fact_ids"] = [*both["fact_ids"], fact["fact_id"]]
+        if len(both["fact_ids"]) <= MOST_SIDES:
+            self.sides.setdefault(fact["fact_id"], both)
             return "conflict"
-        both["fact_ids"], both["status"] = [*both["fact_ids"], fact["fact_id"]], "reclassified_event"
-        for f in self.facts:
-            if f["fact_id"] in both["fact_ids"]:
-                f["memory_form"], f["reclassified"] = "event", True
-                if f["status"] != "active":
-                    self.move(f, "active")
+        both["status"] = "reclassified_event"
+        for fact_id in both["fact_ids"]:
+            f = self.facts[self.places[fact_id]]
+            own = self.said.get((f["predicate"], canonical(f["value"]), own_identity(f["qualifiers"])), [])
+            if self.places[fact_id] in own:
+                own.remove(self.places[fact_id])
+            f["memory_form"], f["reclassified"] = "event", True
+            if f["status"] != "active":
+                self.move(f, "active")
+            if self.sides.get(fact_id) is both:
+                del self.sides[fact_id]
         return "reclassified_event"
 
-    @staticmethod
-    def move(fact: dict, status: str) -> None:
-        fact["status"], fact["version"] = status, fact["version"] + 1
+    def state(self) -> str:
+        return json.dumps([self.facts, self.sets, self.semantic, self.aliases, self.ring], ensure_ascii=False)
+
+
+def decoded(text):
+    """A JSON text's value, None for null or damaged ones."""
+    try:
+        return json.loads(text) if isinstance(text, str) else None
+    except ValueError:
+        return None
 
 
 def read_candidate(row: dict) -> dict:
@@ -227,68 +381,108 @@ def with_identity(judged: DataFrame, aliases: DataFrame | None = None) -> DataFr
     return rows.join(learned, ["project_id", "identity"], "left").withColumn("identity", F.coalesce("means", "identity")).drop("means")
 
 
-def consolidate(accepted: DataFrame) -> DataFrame:
-    """Class, ``kind`` (fact, set or decision) and ``body`` (JSON), for candidates with an identity; see ``facts_of`` and the like."""
-    order = ["occurred_at", "event_id", "ordinal"]
-    dealt = accepted.repartition(*CLASS).sortWithinPartitions(*CLASS, *order)
+def applied(own: Identity, row: dict) -> tuple | None:
+    """Event, ordinal, outcome and fact of a candidate's row; a packet's row is only remembered."""
+    if row.get("served") is not None:
+        own.serve(list(row["served"]))
+        return None
+    c = read_candidate(row)
+    return (c["event_id"], c["ordinal"], *own.apply(c))
+
+
+def consolidate(accepted: DataFrame, semantic: bool = False) -> DataFrame:
+    """Key, ``kind`` (fact, set, alias or decision) and ``body`` (JSON); see ``facts_of`` and the like.
+
+    Candidates need an identity (``with_identity``), whose class is folded; or, if ``semantic``, a vector ``e`` and the packets
+    among them (``with_packets``), and a subject is folded, whose classes grow as its statements come.
+    """
+    key = SUBJECT if semantic else CLASS
+    dealt = accepted.repartition(*key).sortWithinPartitions(*key, *_order(accepted))
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        place, own, out = None, Identity(), []
+        place, own, out = None, Identity(semantic=semantic), []
         for batch in batches:
             for row in batch.to_dict("records"):
-                key = tuple(row[k] for k in CLASS)
-                if key != place:
+                at = tuple(row[k] for k in key)
+                if at != place:
                     out += closing(place, own)
-                    place, own = key, Identity()
-                c = read_candidate(row)
-                outcome, fact = own.apply(c)
-                out.append((*key, "decision", json.dumps({"event_id": c["event_id"], "ordinal": c["ordinal"], "outcome": outcome, "fact_id": fact})))
-            yield pd.DataFrame(out, columns=[*CLASS, "kind", "body"])
+                    place, own = at, Identity(semantic=semantic)
+                if told := applied(own, row):
+                    out.append((*at, "decision", json.dumps(dict(zip(("event_id", "ordinal", "outcome", "fact_id"), told)))))
+            yield pd.DataFrame(out, columns=[*key, "kind", "body"])
             out = []
-        yield pd.DataFrame(closing(place, own), columns=[*CLASS, "kind", "body"])
+        yield pd.DataFrame(closing(place, own), columns=[*key, "kind", "body"])
+
+    return dealt.mapInPandas(fold, ", ".join(f"{k} string" for k in [*key, "kind", "body"]))
+
 
-    return dealt.mapInPandas(fold, "project_id string, subject_id string, identity string, kind string, body string")
+def with_packets(judged: DataFrame, packets: DataFrame | None = None) -> DataFrame:
+    """Accepted candidates, with their vectors ``e``, and among them the packets (project_id, subject_id, served_at, fact_ids) served.
+
+    A packet counts for what is said at its own moment and later.
+    """
+    rows = judged.filter("error is null and rejected is null").drop("error", "rejected").withColumn("served", F.lit(None).cast("array<string>"))
+    if packets is None:
+        return rows
+    sent = packets.select(*SUBJECT, F.col("served_at").alias("occurred_at"), F.coalesce("fact_ids", F.array().cast("array<string>")).alias("served"))
+    return rows.unionByName(sent, allowMissingColumns=True)
+
+
+def _order(accepted: DataFrame) -> list:
+    """Packets before what is said at the same moment."""
+    first = [F.col("served").isNull()] if "served" in accepted.columns else []
+    return [F.col("occurred_at"), *first, F.col("event_id"), F.col("ordinal")]
 
 
 def closing(place: tuple | None, own: Identity) -> list[tuple]:
-    """The rows of a class's facts and sets."""
-    text = lambda x: json.dumps({k: canonical(v) if isinstance(v, dict) else v for k, v in x.items()}, ensure_ascii=False)
-    return [(*place, "fact", text(f)) for f in own.facts] + [(*place, "set", text(s)) for s in own.sets] if place else []
+    """The rows of a class's facts and sets, and of the names that a subject's predicates go by."""
+    text = lambda x: json.dumps({k: canonical(v) if isinstance(v, dict) else v for k, v in x.items() if k != "e"}, ensure_ascii=False)
+    learned = [{"alias": a, "predicate": p, "confidence": n} for a, (p, n) in own.aliases.items()]
+    return [(*place, kind, text(x)) for kind, some in (("fact", own.facts), ("set", own.sets), ("alias", learned)) for x in some] if place else []
 
 
 def _bodies(folded: DataFrame, kind: str, schema: str) -> DataFrame:
-    return folded.filter(F.col("kind") == kind).select(*CLASS, F.from_json("body", schema).alias("b")).select(*CLASS, "b.*")
+    key = [k for k in CLASS if k in folded.columns]
+    return folded.filter(F.col("kind") == kind).select(*key, F.from_json("body", schema).alias("b")).select(*key, "b.*")
 
 
 def facts_of(folded: DataFrame) -> DataFrame:
-    return _bodies(folded, "fact", FACT)
+    """The facts; when one is about (``observed_at``) follows from its value and range."""
+    facts = _bodies(folded, "fact", FACT)
+    at = observed_at(F.col("value"), F.col("temporal_range"))
+    return facts.withColumn("observed_at", F.concat(F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00")))
 
 
 def sets_of(folded: DataFrame) -> DataFrame:
     return _bodies(folded, "set", SET)
 
 
+def aliases_of(folded: DataFrame) -> DataFrame:
+    """What a semantic fold has learned: (project_id, subject_id, alias, predicate, confidence)."""
+    return _bodies(folded, "alias", "alias string, predicate string, confidence double")
+
+
 def decisions_of(folded: DataFrame) -> DataFrame:
     return _bodies(folded, "decision", "event_id string, ordinal int, outcome string, fact_id string")
 
 
-def consolidate_stream(accepted: DataFrame) -> DataFrame:
-    """The same over a stream: each class's facts and sets are its state, and every candidate gives a decision row.
+def consolidate_stream(accepted: DataFrame, semantic: bool = False) -> DataFrame:
+    """The same over a stream: each key's facts and sets are its state, and every candidate gives a decision row.
 
     Candidates of one micro-batch are folded in the order of their events; a later batch cannot reach behind an earlier one.
     """
     from pyspark.sql.streaming.state import GroupStateTimeout
 
-    schema = "project_id string, subject_id string, identity string, event_id string, ordinal int, outcome string, fact_id string"
+    key = SUBJECT if semantic else CLASS
+    columns = [*key, "event_id", "ordinal", "outcome", "fact_id"]
+    schema = ", ".join(f"{k} {'int' if k == 'ordinal' else 'string'}" for k in columns)
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        own = Identity(*json.loads(state.get[0])) if state.exists else Identity()
-        rows = pd.concat(list(batches)).sort_values(["occurred_at", "event_id", "ordinal"])
-        out = []
-        for row in rows.to_dict("records"):
-            c = read_candidate(row)
-            out.append((*key, c["event_id"], c["ordinal"], *own.apply(c)))
-        state.update((json.dumps([own.facts, own.sets], ensure_ascii=False),))
-        yield pd.DataFrame(out, columns=[*CLASS, "event_id", "ordinal", "outcome", "fact_id"])
+    def step(at: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        own = Identity(*json.loads(state.get[0])) if state.exists else Identity(semantic=semantic)
+        rows = pd.concat(list(batches))
+        rows["_said"] = rows["served"].isna() if "served" in rows else True
+        told = [applied(own, row) for row in rows.sort_values(["occurred_at", "_said", "event_id", "ordinal"]).to_dict("records")]
+        state.update((own.state(),))
+        yield pd.DataFrame([(*at, *x) for x in told if x], columns=columns)
 
-    return accepted.groupBy(*CLASS).applyInPandasWithState(step, schema, "body string", "append", GroupStateTimeout.NoTimeout)
+    return accepted.groupBy(*key).applyInPandasWithState(step, schema, "body string", "append", GroupStateTimeout.NoTimeout)

@@ -74,6 +74,31 @@ def c24_facts(spark, sf_dir):
     return K.facts_of(folded(spark, sf_dir))
 
 
+def meant(spark, sf_dir) -> DataFrame:
+    """The same candidates with vectors, that of their counter, folded by subject: predicates meet by meaning, served facts echo.
+
+    Every fiftieth event is followed at once by a packet that serves the fact of an event before it.
+    """
+    vectors = read(spark, sf_dir, "embeddings").select(c("vec_id").alias("k"), c("embedding").alias("e"))
+    made = candidates(spark, sf_dir).withColumn("k", F.get_json_object("value", "$.k").cast("long") + F.col("subject_id").cast("long") % 7)
+    judged = K.judge(made.join(F.broadcast(vectors.filter("k < 16")), "k", "left").drop("k"))
+    told = K.decisions_of(folded(spark, sf_dir)).filter(c("event_id").cast("long") % 50 == 0)
+    at = events(spark, sf_dir).select(F.lpad(c("event_id").cast("string"), 12, "0").alias("event_id"), c("ts").cast("timestamp").alias("served_at"))
+    packets = told.join(at, "event_id").select("project_id", "subject_id", "served_at", F.array("fact_id").alias("fact_ids"))
+    return K.consolidate(K.with_packets(judged, packets), semantic=True)
+
+
+@register("c8_semantic_fold")
+def c8_semantic_fold(spark, sf_dir):
+    """Outcomes where identity is resolved by name, by a learned name, then by the nearest active fact; echoes are turned away."""
+    return K.decisions_of(meant(spark, sf_dir)).groupBy("subject_id", "outcome").agg(F.count("*").alias("n"))
+
+
+@register("c8_learned_names")
+def c8_learned_names(spark, sf_dir):
+    return K.aliases_of(meant(spark, sf_dir)).select("project_id", "subject_id", "alias", "predicate", F.round("confidence", 6).alias("confidence"))
+
+
 @register("c18_conflict_sets")
 def c18_conflict_sets(spark, sf_dir):
     """Quarantines, contradictions and reclassified sets."""

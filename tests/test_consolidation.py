@@ -6,7 +6,7 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.temporal import instant_of, observed_at_of
+from ledgerlens.functions.temporal import instant, observed_at
 from ledgerlens.operators import consolidation as K
 
 START = datetime(2026, 7, 28, 10, tzinfo=timezone.utc)
@@ -109,8 +109,108 @@ def test_the_stream_decides_like_the_batch(spark, tmp_path):
 
 def test_instants(spark):
     said = ["2023-06-02", "2023-06-02T10:00:00Z", "2023-06-02 10:00+02:00", "chapter 2023-01-01", "20230102", "2023-13-01", None]
-    got = [r.t for r in spark.createDataFrame([(x,) for x in said], "s string").select(instant_of("s").alias("t")).collect()]
+    got = [r.t for r in spark.createDataFrame([(x,) for x in said], "s string").select(instant(F.col("s")).alias("t")).collect()]
     assert [g and g.isoformat() for g in got] == ["2023-06-02T00:00:00", "2023-06-02T10:00:00", "2023-06-02T08:00:00", None, None, None, None]
     rows = [('{"a": {"b": ["2023-01-05"]}}', None), ('{"a": "2023-01-05", "b": "2023-01-06"}', None), ('{"a": "2023-01-05"}', '{"start": "2022-01-01"}'), ("{", None), (None, None)]
-    got = [r.t for r in spark.createDataFrame(rows, "v string, r string").select(observed_at_of("v", "r").alias("t")).collect()]
+    got = [r.t for r in spark.createDataFrame(rows, "v string, r string").select(observed_at(F.col("v"), F.col("r")).alias("t")).collect()]
     assert [g and g.year for g in got] == [2023, None, 2022, None, None]
+
+
+def vector(*x):
+    return [float(v) for v in x]
+
+
+SEMANTIC = f"{K.CANDIDATE}, e array<float>"
+NEAR, FAR = vector(1, 0.2, 0), vector(0, 0, 1)
+
+
+def folded_by_meaning(spark, rows, packets=()):
+    made = K.judge(spark.createDataFrame([(*r, e) for r, e in rows], SEMANTIC))
+    sent = spark.createDataFrame([("p", "u", at, ids) for at, ids in packets], "project_id string, subject_id string, served_at timestamp, fact_ids array<string>")
+    out = K.consolidate(K.with_packets(made, sent), semantic=True).cache()
+    facts = sorted(K.facts_of(out).collect(), key=lambda f: f.valid_from)
+    return facts, K.sets_of(out).collect(), sorted((d.event_id, d.outcome) for d in K.decisions_of(out).collect()), K.aliases_of(out).collect()
+
+
+ME = vector(1, 0, 0)
+MEANINGS = {
+    "a drifted name still supersedes": ([(candidate(0, {"t": 1}, "best_5k"), ME), (candidate(1, {"t": 2}, "goal_best", action="supersede", supersedes_predicate="goal_best"), NEAR)], ["superseded", "active"], ["created", "superseded"], [("goal_best", "best_5k")]),
+    "another name opens a conflict": ([(candidate(0, {"n": 3}, "bike_count"), ME), (candidate(1, {"n": 4}, "bikes_owned"), NEAR)], ["active", "candidate"], ["created", "conflict"], [("bikes_owned", "bike_count")]),
+    "the same value under another name": ([(candidate(0, FR, "language"), ME), (candidate(1, FR, "spoken_language"), NEAR)], ["active"], ["created", "reinforced"], [("spoken_language", "language")]),
+    "a learned name needs no vector": ([(candidate(0, FR), ME), (candidate(1, FR, "tongue"), NEAR), (candidate(2, EN, "tongue", action="supersede"), FAR)], ["superseded", "active"], ["created", "reinforced", "superseded"], [("tongue", "language")]),
+    "unrelated": ([(candidate(0, FR), ME), (candidate(1, EN, "city"), FAR)], ["active", "active"], ["created", "created"], []),
+    "near, but other qualifiers": ([(candidate(0, FR, qualifiers={"q": "low"}), ME), (candidate(1, EN, "upper", qualifiers={"q": "up"}), ME)], ["active", "active"], ["created", "created"], []),
+    "no vector": ([(candidate(0, FR), None), (candidate(1, EN, "tongue"), vector(0, 0, 0)), (candidate(2, EN, "tongue"), ME)], ["active", "active"], ["created", "created", "reinforced"], []),
+}
+
+
+@pytest.mark.parametrize("name", MEANINGS)
+def test_names_meet_by_meaning(spark, name):
+    rows, statuses, outcomes, learned = MEANINGS[name]
+    facts, _, decisions, aliases = folded_by_meaning(spark, rows)
+    assert [f.status for f in facts] == statuses and [o for _, o in decisions] == outcomes
+    assert [(a.alias, a.predicate) for a in aliases] == learned and all(0 < a.confidence <= 1 for a in aliases)
+
+
+def test_the_nearest_is_the_one_a_scan_finds():
+    import random
+
+    import numpy as np
+
+    r, near, kept = random.Random(4), K.Near(), {}
+    for i in range(300):
+        if kept and r.random() < 0.4:
+            near.drop(gone := r.choice(list(kept)))
+            del kept[gone]
+        else:
+            kept[i] = K.unit([r.randint(-2, 2) for _ in range(3)] + [0.1])
+            near.add(i, kept[i])
+        q = K.unit([r.randint(-2, 2) for _ in range(3)] + [0.2])
+        want = min(((round(1 - float(np.dot(v, q)), 9), k) for k, v in kept.items()), default=None)
+        got = near.nearest(q)
+        assert (got is None) == (want is None) and (got is None or abs(got[0] - want[0]) < 1e-8)
+
+
+def test_echoes_of_the_last_packets(spark):
+    """A served fact that comes back in other words is turned away as long as one of the last 20 packets holds it; a supersede isn't."""
+    first = (candidate(0, FR), ME)
+    facts, *_ = folded_by_meaning(spark, [first])
+    served = (START + timedelta(hours=1), [facts[0].fact_id, "unknown"])
+    again = (candidate(2, {"v": "french"}, "speaks"), NEAR)
+    _, _, decisions, _ = folded_by_meaning(spark, [first, again], [served])
+    assert decisions == [("e000", "created"), ("e002", "echo_of_context")]
+    _, _, decisions, _ = folded_by_meaning(spark, [first, again], [(START + timedelta(hours=3), [facts[0].fact_id])])
+    assert decisions[1] == ("e002", "conflict")  # not served yet
+    others = [(START + timedelta(minutes=61 + i), [] if i % 2 else None) for i in range(20)]
+    assert folded_by_meaning(spark, [first, again], [served, *others[:19]])[2][1] == ("e002", "echo_of_context")
+    assert folded_by_meaning(spark, [first, again], [served, *others])[2][1] == ("e002", "conflict")
+    change = (candidate(2, EN, action="supersede"), NEAR)
+    assert folded_by_meaning(spark, [first, change], [served])[2][1] == ("e002", "superseded")
+
+
+def test_the_stream_matches_by_meaning_too(spark, tmp_path):
+    rows = [(candidate(0, FR), ME), (candidate(1, FR, "tongue"), NEAR), (candidate(2, EN, "tongue", action="supersede"), FAR), (candidate(3, EN, "city"), FAR)]
+    made = K.with_packets(K.judge(spark.createDataFrame([(*r, e) for r, e in rows], SEMANTIC)))
+    for i in range(4):
+        made.filter(F.col("event_id") == f"e{i:03d}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(made.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    query = K.consolidate_stream(stream, semantic=True).writeStream.format("memory").queryName("meant").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    got = sorted((r.event_id, r.outcome) for r in spark.table("meant").collect())
+    assert got == folded_by_meaning(spark, rows)[2] and [o for _, o in got] == ["created", "reinforced", "superseded", "reinforced"]
+
+
+def test_restatements_and_many_values_take_linear_time():
+    import time
+
+    def timed(rows):
+        own, start = K.Identity(), time.perf_counter()
+        for r in rows:
+            own.apply(r)
+        return own, time.perf_counter() - start
+
+    base = dict(zip([x.split()[0] for x in K.CANDIDATE.split(", ")], candidate(0, FR))) | {"qualifiers": {}, "temporal_range": None}
+    own, took = timed(base | {"value": FR, "event_id": str(i), "occurred_at": f"{i:09d}"} for i in range(200_000))
+    assert own.facts[0]["reinforcement_count"] == 199_999 and took < 20
+    own, took = timed(base | {"value": {"n": i}, "event_id": str(i), "occurred_at": f"{i:09d}", "memory_form": "event"} for i in range(50_000))
+    assert len(own.facts) == 50_000 and took < 20
