@@ -25,10 +25,15 @@ STOP_WORDS = frozenset(
 WORD = re.compile(r"[^\W_]+")
 
 
-def simple_lexemes(text: Column) -> Column:
-    """Distinct lower-case ASCII words of three letters or more that aren't stop words; null for a null text."""
+def simple_words(text: Column) -> Column:
+    """Lower-case ASCII words of three letters or more that aren't stop words, as often as they occur; null for a null text."""
     words = F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]{3,})"), F.lit(1))
-    return F.array_except(words, F.array(*[F.lit(w) for w in sorted(STOP_WORDS)]))
+    return F.filter(words, lambda w: ~w.isin(*sorted(STOP_WORDS)))
+
+
+def simple_lexemes(text: Column) -> Column:
+    """The distinct ones of ``simple_words``."""
+    return F.array_distinct(simple_words(text))
 
 
 # Porter2: a vowel-consonant skeleton decides how much of a word a suffix may leave. Its suffix tables.
@@ -134,6 +139,12 @@ def cover_density(document: list[tuple[str, int]], query: set[str], weight: floa
     return weight * sum(x in query for x, _ in document)
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def english_words(text: pd.Series) -> pd.Series:
+    """Stems in their order, as often as they occur; empty for null and for stop words alone."""
+    return pd.Series([[x for x, _ in positioned(t)] for t in text], dtype=object)
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def english_lexemes(text: pd.Series) -> pd.Series:
     """Distinct stems in order of first occurrence; empty for null and for stop words alone."""

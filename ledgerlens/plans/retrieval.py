@@ -1,7 +1,9 @@
 """Retrieval: candidates on two axes, fusion, floor, packing, neighbours; all queries of a run in one plan.
 
 Facts are the vectors with the document of the same number as text, scoped by label; episodes are the turns of conversations, with
-the vector of their conversation's number. Every vector whose number is divisible by 20 is a query.
+the vector of their conversation's number. Every vector whose number is divisible by 20 is a query, asked after the last turn. The
+lexical axis is the cover density of a query's lexemes in an item, that is, a constant for each occurrence of any of them. Two facts
+of a scope with neighbouring numbers (2n and 2n + 1) are the sides of an open contradiction.
 """
 
 from __future__ import annotations
@@ -10,10 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.lexical import STOP_WORDS, simple_lexemes
+from ..functions.lexical import STOP_WORDS, simple_words
 from ..functions.text import normalise_span, relative_day, token_estimate
 from ..operators.candidates import candidates as scan
 from ..operators.ranking import greedy_pack, pack_packets, relevance, rerank_block, top_k
+from ..sources.scratch import written
 from ..sources.tables import chunks, events, read, twin
 from .registry import register
 
@@ -22,14 +25,16 @@ TOP_K, BUDGET, FLOOR, EVERY, BLOCK = 64, 2000, 0.9, 20, 50
 #: Facts nearer than this, by cosine distance, state the same identity.
 SAME = 0.28
 STOPS = ", ".join(f"'{w}'" for w in sorted(STOP_WORDS))
-LEX = f"list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{{3,}}')), lambda x: x NOT IN ({STOPS}))"
+LEX = f"list_filter(regexp_extract_all(lower(text), '[a-z0-9]{{3,}}'), lambda x: x NOT IN ({STOPS}))"
 ORDER = "recency DESC, tie_a, tie_b, id"
 
+#: An episode's id: its conversation, then its turn in the lower 32 bits.
+TURNS = 1 << 32
 ITEMS = f"""f AS (SELECT vec_id AS id, label AS scope, CAST(embedding AS DOUBLE[]) AS e, text, source, lang, (vec_id * 7) % 97 AS recency, coalesce(source, '') AS tie_a, md5(coalesce(text, '')) AS tie_b, {LEX} AS lex, greatest(1, length(coalesce(text, '')) // 4) AS cost
    FROM embeddings JOIN documents ON vec_id = doc_id),
- ep AS (SELECT conv_id * 1000 + turn AS id, conv_id % 10 AS scope, CAST(embedding AS DOUBLE[]) AS e, conv_id AS recency, printf('%010d', 1000000 - turn) AS tie_a, md5(text) AS tie_b, {LEX} AS lex, greatest(1, (length(text) + 17 + length(role)) // 4) AS cost
-   FROM conversations JOIN embeddings ON vec_id = conv_id WHERE role <> 'system' AND conv_id <= 1440)"""
-AXES = lambda items, name: f"""{name}_all AS (SELECT q.id AS query_id, x.*, round(list_cosine_distance(q.e, x.e), 6) AS distance, len(list_intersect(q.lex, x.lex)) AS overlap FROM f q JOIN {items} x ON q.scope = x.scope AND q.id <> x.id WHERE q.id % {EVERY} = 0),
+ ep AS (SELECT conv_id * {TURNS} + turn AS id, conv_id % 10 AS scope, CAST(embedding AS DOUBLE[]) AS e, conv_id AS recency, printf('%010d', 1000000 - turn) AS tie_a, md5(text) AS tie_b, {LEX} AS lex, greatest(1, (length(text) + 17 + length(role)) // 4) AS cost
+   FROM conversations JOIN embeddings ON vec_id = conv_id WHERE role <> 'system')"""
+AXES = lambda items, name: f"""{name}_all AS (SELECT q.id AS query_id, x.*, round(list_cosine_distance(q.e, x.e), 6) AS distance, len(list_filter(x.lex, lambda w: list_contains(q.lex, w))) AS overlap FROM f q JOIN {items} x ON q.scope = x.scope AND q.id <> x.id WHERE q.id % {EVERY} = 0),
  {name} AS (SELECT query_id, id, distance, overlap, recency, tie_a, tie_b, cost, CASE WHEN v <= {TOP_K} AND distance IS NOT NULL THEN v END AS by_vector, CASE WHEN l <= {TOP_K} AND overlap > 0 THEN l END AS by_lexemes
    FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance NULLS LAST, {ORDER}) AS v, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, {ORDER}) AS l FROM {name}_all) WHERE v <= {TOP_K} AND distance IS NOT NULL OR l <= {TOP_K} AND overlap > 0)"""
 FACTS = f"{ITEMS}, {AXES('f', 'facts')}"
@@ -38,30 +43,38 @@ FUSED = POOL + f""", passed AS (SELECT *, 1 - distance AS similarity FROM pool W
  scaled AS (SELECT *, coalesce((similarity - min(similarity) OVER q) / nullif(max(similarity) OVER q - min(similarity) OVER q, 0), 0) AS s, coalesce((overlap - min(overlap) OVER q) / nullif(max(overlap) OVER q - min(overlap) OVER q, 0), 0) AS l FROM passed WINDOW q AS (PARTITION BY query_id)),
  fused AS (SELECT *, round(0.65 * s + 0.35 * l, 6) AS score FROM scaled),
  ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, recency DESC, place, tie_a, tie_b, id) AS rank FROM fused)"""
-PACKED = FUSED + f""", fold(query_id, rank, kind, id, cost, used, in_episodes, episodes, kept, reason_code) AS (SELECT query_id, CAST(0 AS BIGINT), '', CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), 0, false, '' FROM (SELECT DISTINCT query_id FROM ranked)
-   UNION ALL SELECT query_id, rank, kind, id, cost, CASE WHEN kept THEN used + cost ELSE used END, CASE WHEN kept AND kind = 'episode' THEN in_episodes + cost ELSE in_episodes END, episodes + (kept AND kind = 'episode')::INT, kept,
-     CASE WHEN kept THEN 'top_score' WHEN piled THEN 'over_episode_budget' ELSE 'over_budget' END FROM
-   (SELECT *, NOT piled AND used + cost <= {BUDGET} AS kept FROM (SELECT r.query_id, r.rank, r.kind, r.id, r.cost, f.used, f.in_episodes, f.episodes, r.kind = 'episode' AND f.episodes > 0 AND f.in_episodes + r.cost > {BUDGET} / 2 AS piled
-     FROM fold f JOIN ranked r ON r.query_id = f.query_id AND r.rank = f.rank + 1)))"""
+PACKED = FUSED + f""", conf AS (SELECT a.id, b.id AS side, b.cost AS side_cost FROM f a JOIN f b ON a.scope = b.scope AND a.id // 2 = b.id // 2 AND a.id <> b.id),
+ line AS (SELECT r.query_id, r.rank, r.kind, r.id, r.cost, c.side, c.side_cost FROM ranked r LEFT JOIN conf c ON r.kind = 'fact' AND c.id = r.id),
+ fold(query_id, rank, kind, id, cost, side, side_cost, again, kept, piled, spent, tried, side_kept, used, in_episodes, episodes, packed) AS (
+   SELECT DISTINCT query_id, CAST(0 AS BIGINT), '', CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), true, false, false, CAST(0 AS BIGINT), false, false, CAST(0 AS BIGINT), CAST(0 AS BIGINT), 0, CAST([] AS BIGINT[]) FROM ranked
+   UNION ALL SELECT query_id, rank, kind, id, cost, side, side_cost, again, kept, piled, spent, tried, side_kept, spent + CASE WHEN side_kept THEN side_cost ELSE 0 END, in_episodes + CASE WHEN kept AND kind = 'episode' THEN cost ELSE 0 END, episodes + (kept AND kind = 'episode')::INT,
+     packed || CASE WHEN kept AND kind = 'fact' THEN [id] ELSE [] END || CASE WHEN side_kept THEN [side] ELSE [] END FROM
+   (SELECT *, tried AND spent + side_cost <= {BUDGET} AS side_kept FROM (SELECT *, used + CASE WHEN kept THEN cost ELSE 0 END AS spent, kept AND side IS NOT NULL AND NOT list_contains(packed, side) AS tried FROM
+   (SELECT *, NOT again AND NOT piled AND used + cost <= {BUDGET} AS kept FROM
+   (SELECT l.*, f.used, f.in_episodes, f.episodes, f.packed, l.kind = 'fact' AND list_contains(f.packed, l.id) AS again, l.kind = 'episode' AND f.episodes > 0 AND f.in_episodes + l.cost > {BUDGET} / 2 AS piled
+     FROM fold f JOIN line l ON l.query_id = f.query_id AND l.rank = f.rank + 1))))),
+ told AS (SELECT query_id, rank, 0 AS sub, kind, id, cost, CASE WHEN kept THEN 'included' ELSE 'excluded' END AS action, CASE WHEN kept AND side IS NOT NULL THEN 'conflict_disputed' WHEN kept THEN 'top_score' WHEN piled THEN 'over_episode_budget' ELSE 'over_budget' END AS reason_code, spent AS used FROM fold WHERE NOT again
+   UNION ALL SELECT query_id, rank, 1, 'fact', side, side_cost, CASE WHEN side_kept THEN 'included' ELSE 'excluded' END, CASE WHEN side_kept THEN 'conflict_disputed' ELSE 'over_budget' END, used FROM fold WHERE tried),
+ decided AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, sub) AS place FROM told)"""
 
 
 def facts_of(spark, sf_dir) -> DataFrame:
     """Items of the scan: facts, newest by a made-up clock, tied by source and a hash of their text."""
     docs = read(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
     f = read(spark, sf_dir, "embeddings").join(docs, c("vec_id") == c("doc_id"))
-    return f.select(c("label").alias("scope"), c("vec_id").alias("id"), c("embedding").alias("e"), simple_lexemes(c("text")).alias("lex"), ((c("vec_id") * 7) % 97).alias("recency"), F.coalesce("source", F.lit("")).alias("tie_a"), F.md5("text").alias("tie_b"), token_estimate(c("text")).alias("cost"))
+    return f.select(c("label").alias("scope"), c("vec_id").alias("id"), c("embedding").alias("e"), simple_words(c("text")).alias("lex"), ((c("vec_id") * 7) % 97).alias("recency"), F.coalesce("source", F.lit("")).alias("tie_a"), F.md5("text").alias("tie_b"), token_estimate(c("text")).alias("cost"))
 
 
 def episodes_of(spark, sf_dir) -> DataFrame:
-    """Items of the scan: turns with a vector, not from an untrusted origin, not after the asking; later turns first among equals."""
+    """Items of the scan: turns with a vector, not from an untrusted origin; later turns first among equals."""
     e = read(spark, sf_dir, "embeddings").select(c("vec_id").alias("conv_id"), c("embedding").alias("e"))
     said = F.greatest(F.lit(1), F.floor((F.length("text") + 17 + F.length("role")) / 4)).cast("long")
-    turns = read(spark, sf_dir, "conversations").filter("role <> 'system' and conv_id <= 1440").join(e, "conv_id")
-    return turns.select((c("conv_id") % 10).alias("scope"), (c("conv_id") * 1000 + c("turn")).alias("id"), "e", simple_lexemes(c("text")).alias("lex"), c("conv_id").alias("recency"), F.lpad((1_000_000 - c("turn")).cast("string"), 10, "0").alias("tie_a"), F.md5("text").alias("tie_b"), said.alias("cost"))
+    turns = read(spark, sf_dir, "conversations").filter("role <> 'system'").join(e, "conv_id")
+    return turns.select((c("conv_id") % 10).alias("scope"), (c("conv_id") * TURNS + c("turn")).alias("id"), "e", simple_words(c("text")).alias("lex"), c("conv_id").alias("recency"), F.lpad((1_000_000 - c("turn")).cast("string"), 10, "0").alias("tie_a"), F.md5("text").alias("tie_b"), said.alias("cost"))
 
 
 def asked(facts: DataFrame) -> DataFrame:
-    return facts.filter(c("id") % EVERY == 0).select("scope", "id", "e", "lex")
+    return facts.filter(c("id") % EVERY == 0).select("scope", "id", "e", F.array_distinct("lex").alias("lex"))
 
 
 def fact_candidates(spark, sf_dir) -> DataFrame:
@@ -79,17 +92,28 @@ def pool_of(spark, sf_dir) -> DataFrame:
     return facts.unionByName(episode_candidates(spark, sf_dir).select(F.lit("episode").alias("kind"), F.lit(1).alias("place"), "*"))
 
 
-def fused(spark, sf_dir) -> DataFrame:
+def fused(pool: DataFrame) -> DataFrame:
     """The pool that passes the recall floor, scored over both kinds together and ranked."""
-    passed = pool_of(spark, sf_dir).filter(c("distance") <= FLOOR).withColumn("similarity", 1 - c("distance"))
+    passed = pool.filter(c("distance") <= FLOOR).withColumn("similarity", 1 - c("distance"))
     scored = passed.withColumn("score", F.round(relevance("similarity", "overlap", "query_id"), 6))
     w = W.partitionBy("query_id").orderBy(F.desc("score"), F.desc("recency"), "place", "tie_a", "tie_b", "id")
     return scored.withColumn("rank", F.row_number().over(w).cast("long"))
 
 
-def packed(spark, sf_dir) -> DataFrame:
-    pool = fused(spark, sf_dir).select("query_id", "rank", "kind", "id", "cost", F.lit(None).cast("array<struct<id:bigint,cost:bigint>>").alias("siblings"))
-    return pack_packets(pool, BUDGET)
+def contested(spark, sf_dir) -> DataFrame:
+    """Facts with the other sides of their open contradictions, (id, siblings)."""
+    text = F.greatest(F.lit(1), F.floor(F.length(F.coalesce("text", F.lit(""))) / 4)).cast("long")
+    docs = read(spark, sf_dir, "documents").select(c("doc_id").alias("id"), text.alias("cost"))
+    f = read(spark, sf_dir, "embeddings").select(c("vec_id").alias("id"), "label", F.floor(c("vec_id") / 2).alias("pair")).join(docs, "id")
+    sides = f.groupBy("label", "pair").agg(F.array_sort(F.collect_list(F.struct("id", "cost"))).alias("sides")).filter(F.size("sides") > 1)
+    return sides.select(F.explode("sides").alias("own"), "sides").select("own.id", F.filter("sides", lambda x: x.id != c("own.id")).alias("siblings"))
+
+
+def packed(spark, sf_dir, pool: DataFrame) -> DataFrame:
+    """Every candidate's decision; contested facts bring their other sides."""
+    ranked = fused(pool).select("query_id", "rank", "kind", "id", "cost")
+    sides = contested(spark, sf_dir).withColumn("kind", F.lit("fact"))
+    return pack_packets(ranked.join(sides, ["kind", "id"], "left"), BUDGET)
 
 
 @register("t1_vector_topk", f"WITH {FACTS} SELECT query_id, id AS fact_id, distance, by_vector AS rank FROM facts WHERE by_vector IS NOT NULL")
@@ -107,10 +131,10 @@ def t3_episode_topk(spark, sf_dir):
     return episode_candidates(spark, sf_dir).select("query_id", c("id").alias("episode_id"), "by_vector", "by_lexemes")
 
 
-@register("r6_episode_candidates", f"WITH {ITEMS}, {AXES('ep', 'episodes')} SELECT query_id, conv_id, turn, distance, overlap, length(text) AS n_chars FROM episodes JOIN conversations ON id = conv_id * 1000 + turn")
+@register("r6_episode_candidates", f"WITH {ITEMS}, {AXES('ep', 'episodes')} SELECT query_id, conv_id, turn, distance, overlap, length(text) AS n_chars FROM episodes JOIN conversations ON id = conv_id * {TURNS} + turn")
 def r6_episode_candidates(spark, sf_dir):
     """Episode candidates with what their events hold: only ids are ranked, texts are joined afterwards."""
-    turns = read(spark, sf_dir, "conversations").select((c("conv_id") * 1000 + c("turn")).alias("id"), "conv_id", "turn", F.length("text").cast("long").alias("n_chars"))
+    turns = read(spark, sf_dir, "conversations").select((c("conv_id") * TURNS + c("turn")).alias("id"), "conv_id", "turn", F.length("text").cast("long").alias("n_chars"))
     return episode_candidates(spark, sf_dir).join(turns, "id").select("query_id", "conv_id", "turn", "distance", "overlap", "n_chars")
 
 
@@ -127,20 +151,24 @@ def r5_hydrated_axes(spark, sf_dir):
     return fact_candidates(spark, sf_dir).join(source, "id").select("query_id", c("id").alias("fact_id"), "distance", "overlap", F.round(F.exp(-c("recency") / 720.0), 6).alias("recency"), "source")
 
 
+def below_floor(pool: DataFrame) -> DataFrame:
+    return pool.select("query_id", "kind", "id", F.when(c("distance").isNull() | (c("distance") > FLOOR), "below_relevance_floor").alias("reason"))
+
+
 @register("p5_recall_floor", f"WITH {POOL} SELECT query_id, kind, id, CASE WHEN distance IS NULL OR distance > {FLOOR} THEN 'below_relevance_floor' END AS reason FROM pool")
 def p5_recall_floor(spark, sf_dir):
-    return pool_of(spark, sf_dir).select("query_id", "kind", "id", F.when(c("distance").isNull() | (c("distance") > FLOOR), "below_relevance_floor").alias("reason"))
+    return below_floor(pool_of(spark, sf_dir))
 
 
 @register("t4_fusion_order", f"WITH {FUSED} SELECT query_id, kind, id, score, rank FROM ranked")
 def t4_fusion_order(spark, sf_dir):
-    return fused(spark, sf_dir).select("query_id", "kind", "id", "score", "rank")
+    return fused(pool_of(spark, sf_dir)).select("query_id", "kind", "id", "score", "rank")
 
 
 @register("t5_rerank_block", f"WITH {FUSED} SELECT query_id, kind, id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN rank <= {BLOCK} THEN 0 ELSE 1 END, CASE WHEN rank <= {BLOCK} THEN overlap END DESC NULLS LAST, rank) AS place FROM ranked")
 def t5_rerank_block(spark, sf_dir):
     """The word-overlap reranker over the first fifty."""
-    return rerank_block(fused(spark, sf_dir).drop("place"), "query_id", "rank", c("overlap"), BLOCK).select("query_id", "kind", "id", "place")
+    return rerank_block(fused(pool_of(spark, sf_dir)).drop("place"), "query_id", "rank", c("overlap"), BLOCK).select("query_id", "kind", "id", "place")
 
 
 @register("w3_minmax", f"WITH {FUSED} SELECT query_id, kind, id, round(s, 6) AS similarity, round(l, 6) AS lexical FROM scaled")
@@ -151,21 +179,30 @@ def w3_minmax(spark, sf_dir):
     return passed.select("query_id", "kind", "id", F.round(min_max("similarity", "query_id"), 6).alias("similarity"), F.round(min_max("overlap", "query_id"), 6).alias("lexical"))
 
 
-@register("r12_greedy_pack", f"WITH RECURSIVE {PACKED} SELECT query_id, kind, id, used FROM fold WHERE kept")
+@register("r12_greedy_pack", f"WITH RECURSIVE {PACKED} SELECT query_id, kind, id, used FROM decided WHERE action = 'included'")
 def r12_greedy_pack(spark, sf_dir):
-    return packed(spark, sf_dir).filter("action = 'included'").select("query_id", "kind", "id", "used")
+    return packed(spark, sf_dir, pool_of(spark, sf_dir)).filter("action = 'included'").select("query_id", "kind", "id", "used")
+
+
+def context(spark, sf_dir) -> DataFrame:
+    """Every candidate of every query, fact or episode, with its decision, the reason, and the budget used by then.
+
+    The pool is written once; packing and the recall floor read it.
+    """
+    pool = written(pool_of(spark, sf_dir), "pool")
+    decided = packed(spark, sf_dir, pool).select("query_id", "kind", "id", "action", "reason_code", (c("place") + 1).alias("rank"), "used")
+    below = below_floor(pool).filter("reason is not null").select("query_id", "kind", "id", F.lit("excluded").alias("action"), c("reason").alias("reason_code"))
+    return decided.unionByName(below, allowMissingColumns=True)
 
 
-@register("r20_context", f"""WITH RECURSIVE {PACKED} SELECT query_id, kind, id, CASE WHEN kept THEN 'included' ELSE 'excluded' END AS action, reason_code, rank FROM fold WHERE rank > 0
+@register("r20_context", f"""WITH RECURSIVE {PACKED} SELECT query_id, kind, id, action, reason_code, place AS rank FROM decided
  UNION ALL SELECT query_id, kind, id, 'excluded', 'below_relevance_floor', NULL FROM pool WHERE distance IS NULL OR distance > {FLOOR}""")
 def r20_context(spark, sf_dir):
-    """Every candidate of every query, fact or episode, with its decision and the reason."""
-    decided = packed(spark, sf_dir).select("query_id", "kind", "id", "action", "reason_code", (c("place") + 1).alias("rank"))
-    below = p5_recall_floor(spark, sf_dir).filter("reason is not null").select("query_id", "kind", "id", F.lit("excluded").alias("action"), c("reason").alias("reason_code"), F.lit(None).cast("long").alias("rank"))
-    return decided.unionByName(below)
+    """Every candidate of every query, fact or episode, with its decision and the reason; contested facts with both sides."""
+    return context(spark, sf_dir).drop("used")
 
 
-SERVED = f"WITH RECURSIVE {PACKED}, served AS (SELECT query_id, id FROM fold WHERE kept AND kind = 'fact')"
+SERVED = f"WITH RECURSIVE {PACKED}, served AS (SELECT query_id, id FROM decided WHERE action = 'included' AND kind = 'fact')"
 
 
 @register("a23_gold_served", SERVED + """, hit AS (SELECT q.id, q.lang, coalesce(max((x.source IS NOT DISTINCT FROM q.source)::INT), 0) AS hit FROM f q LEFT JOIN served s ON s.query_id = q.id LEFT JOIN f x ON x.id = s.id AND s.query_id IS NOT NULL WHERE q.id % 20 = 0 GROUP BY 1, 2)
@@ -181,12 +218,12 @@ def a23_gold_served(spark, sf_dir):
     return scored.groupBy("lang").agg(F.count("*").alias("questions"), F.round(F.avg("hit"), 6).alias("rate"))
 
 
-@register("a24_token_coverage", SERVED + """, own AS (SELECT id AS query_id, unnest(lex) AS word FROM f WHERE id % 20 = 0), said AS (SELECT DISTINCT query_id, unnest(f.lex) AS word FROM served JOIN f USING (id))
+@register("a24_token_coverage", SERVED + """, own AS (SELECT id AS query_id, unnest(list_distinct(lex)) AS word FROM f WHERE id % 20 = 0), said AS (SELECT DISTINCT query_id, unnest(f.lex) AS word FROM served JOIN f USING (id))
  SELECT query_id, round(count(said.word) / count(*), 6) AS coverage FROM own LEFT JOIN said USING (query_id, word) GROUP BY query_id""")
 def a24_token_coverage(spark, sf_dir):
     """The share of a question's own lexemes that the facts served to it hold."""
     f = facts_of(spark, sf_dir).select("id", "lex")
-    own = f.filter(c("id") % EVERY == 0).select(c("id").alias("query_id"), F.explode("lex").alias("word"))
+    own = f.filter(c("id") % EVERY == 0).select(c("id").alias("query_id"), F.explode(F.array_distinct("lex")).alias("word"))
     said = r12_greedy_pack(spark, sf_dir).filter("kind = 'fact'").join(f, "id").select("query_id", F.explode("lex").alias("word")).distinct().withColumn("hit", F.lit(1))
     return own.join(said, ["query_id", "word"], "left").groupBy("query_id").agg(F.round(F.count("hit") / F.count("*"), 6).alias("coverage"))
 
@@ -254,7 +291,7 @@ def j12_span_containment(spark, sf_dir):
 
 #: Two entities, five facts for each, and a budget for both passes that leaves the second some room.
 HOPS, PER_HOP, HOP_BUDGET, HOP_ENTITY = 2, 5, 2 * BUDGET, "[A-Z][a-z]{2,}"
-MULTI_HOP = PACKED + f""", kept AS (SELECT query_id, id AS fact_id FROM fold WHERE kept AND kind = 'fact'), spent AS (SELECT query_id, max(used) AS used FROM fold GROUP BY query_id),
+MULTI_HOP = PACKED + f""", kept AS (SELECT query_id, id AS fact_id FROM decided WHERE action = 'included' AND kind = 'fact'), spent AS (SELECT query_id, max(used) AS used FROM fold GROUP BY query_id),
  seeds AS (SELECT query_id, unnest(regexp_extract_all(text, '{HOP_ENTITY}')) AS entity FROM kept JOIN documents ON doc_id = fact_id),
  own AS (SELECT doc_id AS query_id, lower(unnest(regexp_extract_all(text, '{HOP_ENTITY}'))) AS word FROM documents WHERE doc_id IN (SELECT query_id FROM kept)),
  ents AS (SELECT query_id, entity, row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, entity) AS hop FROM seeds s
@@ -263,10 +300,10 @@ MULTI_HOP = PACKED + f""", kept AS (SELECT query_id, id AS fact_id FROM fold WHE
    row_number() OVER (PARTITION BY e.query_id, e.hop ORDER BY len(list_filter(regexp_extract_all(lower(f.text), '[a-z0-9]{{3,}}'), lambda x: x = lower(e.entity))) DESC, f.id) AS r
    FROM ents e JOIN f q ON q.id = e.query_id JOIN f ON f.scope = q.scope AND list_contains(regexp_extract_all(lower(f.text), '[a-z0-9]{{3,}}'), lower(e.entity)) QUALIFY r <= {PER_HOP}),
  fresh AS (SELECT * FROM hits h WHERE NOT EXISTS (SELECT 1 FROM kept k WHERE k.query_id = h.query_id AND k.fact_id = h.fact_id) QUALIFY row_number() OVER (PARTITION BY query_id, fact_id ORDER BY hop) = 1),
- line AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hop, r) AS place FROM fresh),
+ more AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hop, r) AS place FROM fresh),
  fill(query_id, place, used, fits) AS (SELECT query_id, CAST(0 AS BIGINT), used, false FROM spent
-   UNION ALL SELECT l.query_id, l.place, CASE WHEN g.used + l.cost <= {HOP_BUDGET} THEN g.used + l.cost ELSE g.used END, g.used + l.cost <= {HOP_BUDGET} FROM fill g JOIN line l ON l.query_id = g.query_id AND l.place = g.place + 1)
- SELECT l.query_id, l.hop, l.entity, l.fact_id FROM fill g JOIN line l USING (query_id, place) WHERE g.fits"""
+   UNION ALL SELECT l.query_id, l.place, CASE WHEN g.used + l.cost <= {HOP_BUDGET} THEN g.used + l.cost ELSE g.used END, g.used + l.cost <= {HOP_BUDGET} FROM fill g JOIN more l ON l.query_id = g.query_id AND l.place = g.place + 1)
+ SELECT l.query_id, l.hop, l.entity, l.fact_id FROM fill g JOIN more l USING (query_id, place) WHERE g.fits"""
 
 
 @register("r13_multi_hop", f"WITH RECURSIVE {MULTI_HOP}")
@@ -278,7 +315,7 @@ def r13_multi_hop(spark, sf_dir):
     texts = read(spark, sf_dir, "documents").select("doc_id", "text")
     scope = read(spark, sf_dir, "embeddings").select("vec_id", "label")
     named = F.regexp_extract_all("text", F.lit(f"({HOP_ENTITY})"), F.lit(1))
-    decided = packed(spark, sf_dir).filter("action = 'included'").select("query_id", "kind", c("id").alias("fact_id"), c("place").alias("rank"), "cost")
+    decided = written(packed(spark, sf_dir, pool_of(spark, sf_dir)).filter("action = 'included'").select("query_id", "kind", c("id").alias("fact_id"), c("place").alias("rank"), "cost"), "packed")
     held = decided.filter("kind = 'fact'").drop("kind")
     own = texts.select(c("doc_id").alias("query_id"), F.transform(named, F.lower).alias("said"))
     seeds = held.join(texts, c("fact_id") == c("doc_id")).select("query_id", F.explode(named).alias("entity")).groupBy("query_id", "entity").agg(F.count("*").alias("n"))

@@ -12,7 +12,7 @@ from ..operators.ranking import top_k
 from ..sources.tables import chunks, events, facts, read, twin
 from .lifecycle import ledger, now
 from .registry import register
-from .retrieval import BUDGET, EVERY, FACTS, FLOOR, PACKED, SAME, fact_candidates, facts_of, packed, r20_context
+from .retrieval import BUDGET, EVERY, FACTS, FLOOR, PACKED, SAME, context, fact_candidates, facts_of
 
 c = F.col
 ASKED = ("there", "with", "from")
@@ -249,9 +249,9 @@ def k1_enqueue(spark, sf_dir):
     return read(spark, sf_dir, "events").select(c("event_id").alias("job_id"), (c("user_id") % 3).alias("project_id"), F.lit("consolidate").alias("kind"), F.lit("queued").alias("state"), c("ts").alias("queued_at"))
 
 
-PACKETS = PACKED + f""", p AS (SELECT query_id, count(*) FILTER (kind = 'fact') AS n_facts, count(*) FILTER (kind = 'episode') AS n_episodes, max(used) AS used, string_agg(kind || ':' || id, ',' ORDER BY rank) AS items FROM fold WHERE kept GROUP BY query_id),
+PACKETS = PACKED + f""", p AS (SELECT query_id, count(*) FILTER (kind = 'fact') AS n_facts, count(*) FILTER (kind = 'episode') AS n_episodes, max(used) AS used, string_agg(kind || ':' || id, ',' ORDER BY place) AS items FROM decided WHERE action = 'included' GROUP BY query_id),
  below AS (SELECT query_id, count(*) AS below FROM pool WHERE distance IS NULL OR distance > {FLOOR} GROUP BY query_id),
- over AS (SELECT query_id, count(*) AS over FROM fold WHERE NOT kept AND rank > 0 GROUP BY query_id),
+ over AS (SELECT query_id, count(*) AS over FROM decided WHERE action = 'excluded' GROUP BY query_id),
  packets AS (SELECT q.query_id, {BUDGET} AS budget, coalesce(n_facts, 0) AS n_facts, coalesce(n_episodes, 0) AS n_episodes, CAST(coalesce(used, 0) AS BIGINT) AS used, coalesce(items, '') AS items, coalesce(over, 0) AS n_over_budget, coalesce(below, 0) AS n_below_floor,
    CASE WHEN p.query_id IS NULL THEN 'degraded' ELSE 'ok' END AS status, CASE WHEN p.query_id IS NULL AND below > 0 THEN 'no_relevant_memory' WHEN p.query_id IS NULL THEN 'no_memory' END AS empty_reason
    FROM (SELECT vec_id AS query_id FROM embeddings JOIN documents ON vec_id = doc_id WHERE vec_id % {EVERY} = 0) q LEFT JOIN p USING (query_id) LEFT JOIN below USING (query_id) LEFT JOIN over USING (query_id))"""
@@ -260,19 +260,18 @@ PACKETS = PACKED + f""", p AS (SELECT query_id, count(*) FILTER (kind = 'fact')
 @register("r18_packet", f"WITH RECURSIVE {PACKETS} SELECT * FROM packets")
 def r18_packet(spark, sf_dir):
     """One packet for every query, those that nothing was found for included; a packet's items are bounded by its budget."""
-    d = r20_context(spark, sf_dir)
+    d = context(spark, sf_dir)
     kept = c("action") == "included"
     own = d.groupBy("query_id").agg(
-        F.count_if(kept & (c("kind") == "fact")).alias("n_facts"), F.count_if(kept & (c("kind") == "episode")).alias("n_episodes"), F.count_if(c("reason_code").isin("over_budget", "over_episode_budget")).alias("n_over_budget"),
+        F.max(F.when(kept, c("used"))).alias("used"), F.count_if(kept & (c("kind") == "fact")).alias("n_facts"), F.count_if(kept & (c("kind") == "episode")).alias("n_episodes"), F.count_if(c("reason_code").isin("over_budget", "over_episode_budget")).alias("n_over_budget"),
         F.count_if(c("reason_code") == "below_relevance_floor").alias("n_below_floor"), F.array_sort(F.collect_list(F.when(kept, F.struct("rank", F.concat_ws(":", "kind", c("id").cast("string")).alias("item"))))).alias("items"),
     )
-    used = packed(spark, sf_dir).groupBy("query_id").agg(F.max("used").alias("used"))
     docs = read(spark, sf_dir, "documents").select(c("doc_id").alias("vec_id"))
     asked_for = read(spark, sf_dir, "embeddings").filter(c("vec_id") % EVERY == 0).join(docs, "vec_id").select(c("vec_id").alias("query_id"))
     zero = lambda x: F.coalesce(x, F.lit(0)).cast("long").alias(x)
     empty = F.coalesce(c("n_facts") + c("n_episodes"), F.lit(0)) == 0
     reason = F.when(empty & (c("n_below_floor") > 0), "no_relevant_memory").when(empty, "no_memory")
-    return asked_for.join(own, "query_id", "left").join(used, "query_id", "left").select("query_id", F.lit(BUDGET).alias("budget"), zero("n_facts"), zero("n_episodes"), zero("used"), F.concat_ws(",", c("items.item")).alias("items"), zero("n_over_budget"), zero("n_below_floor"), F.when(empty, "degraded").otherwise("ok").alias("status"), reason.alias("empty_reason"))
+    return asked_for.join(own, "query_id", "left").select("query_id", F.lit(BUDGET).alias("budget"), zero("n_facts"), zero("n_episodes"), zero("used"), F.concat_ws(",", c("items.item")).alias("items"), zero("n_over_budget"), zero("n_below_floor"), F.when(empty, "degraded").otherwise("ok").alias("status"), reason.alias("empty_reason"))
 
 
 @register("r19_failed_packet", """SELECT doc_id AS query_id, CASE WHEN b <= 0 THEN 'failed' ELSE 'ok' END AS status, CASE WHEN b <= 0 THEN 'invalid_budget' END AS error FROM (SELECT doc_id, doc_id % 7 - 1 AS b FROM documents)""")
