@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 RANGES = 64
 
 
@@ -39,3 +41,21 @@ def dense_place(df: DataFrame, order: list[str], out: str) -> DataFrame:
     before = F.coalesce(F.sum("count").over(W.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     shifted = spread.join(F.broadcast(offsets.select("_part", before.alias("_before"))), "_part")
     return shifted.withColumn(out, F.col("_id").bitwiseAND((1 << 33) - 1) + F.col("_before")).drop("_id", "_part", "_before")
+
+
+def neighbours(df: DataFrame, scope: str, order: list[str], columns: list[str]) -> DataFrame:
+    """``df`` with ``before`` and ``after``: structs of ``columns`` of the rows next to each one within its scope, null at its ends.
+
+    The rows are sorted in ranges, so that a large scope is shared by many tasks. Within a range a window tells the neighbours; at
+    its borders they come from the first and last rows of the scope's other ranges, a row for each range and scope. Rows should
+    differ in ``order``.
+    """
+    own = F.struct(*columns)
+    rows = written(df.repartitionByRange(scope, *order).withColumn("_part", F.spark_partition_id()), "in-ranges")
+    w = W.partitionBy(scope, "_part").orderBy(*order)
+    near = rows.withColumn("before", F.lag(own).over(w)).withColumn("after", F.lead(own).over(w))
+    ends = rows.groupBy(scope, "_part").agg(F.min_by(own, F.struct(*order)).alias("first"), F.max_by(own, F.struct(*order)).alias("last"))
+    across = W.partitionBy(scope).orderBy("_part")
+    borders = ends.select(scope, "_part", F.lag("last").over(across).alias("_last"), F.lead("first").over(across).alias("_first"))
+    told = near.join(borders, (near[scope].eqNullSafe(borders[scope])) & (near["_part"] == borders["_part"]), "left")
+    return told.select(*[near[x] for x in df.columns], F.coalesce("before", "_last").alias("before"), F.coalesce("after", "_first").alias("after"))

@@ -13,8 +13,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.lexical import STOP_WORDS, simple_words
+from ..functions.messages import overlap_words
 from ..functions.text import normalise_span, relative_day, token_estimate
 from ..operators.candidates import candidates as scan
+from ..operators.context_window import context_window
+from ..operators.ordering import neighbours
 from ..operators.ranking import greedy_pack, pack_packets, relevance, rerank_block, top_k
 from ..sources.scratch import written
 from ..sources.tables import chunks, events, read, twin
@@ -333,12 +336,41 @@ def r13_multi_hop(spark, sf_dir):
     return found.join(kept, ["query_id", "fact_id"]).select("query_id", "hop", "entity", "fact_id")
 
 
-@register("r14_context_window", twin("chunks", """@, hit AS (SELECT DISTINCT conv_id, turn FROM chunks WHERE role = 'assistant' AND turn % 2 = 1), near AS (SELECT *, lag(turn) OVER w AS before, lead(turn) OVER w AS after FROM chunks WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
- SELECT n.conv_id, n.turn, n.before, n.after FROM near n JOIN hit USING (conv_id, turn)""").replace(" @,", ","))
+WORDS = "list_distinct(list_transform(regexp_extract_all({x}, '[\\p{{L}}\\p{{N}}_]{{3,}}'), lambda w: lower(w)))"
+WINDOW = PACKED + f""", ch AS (SELECT conv_id * {TURNS} + turn AS id, conv_id, conv_id % 10 AS scope, turn, greatest(1, (length(text) + 17 + length(role)) // 4) AS cost, {WORDS.format(x='text')} AS words FROM conversations WHERE role <> 'system'),
+ side AS (SELECT id, lag(id) OVER w AS before, lead(id) OVER w AS after FROM ch WINDOW w AS (PARTITION BY scope ORDER BY conv_id, turn)),
+ inc AS (SELECT * FROM decided WHERE action = 'included'), spent AS (SELECT query_id, max(used) AS used FROM inc GROUP BY query_id HAVING max(used) < {BUDGET}),
+ near AS (SELECT i.query_id, unnest([before, after]) AS id FROM inc i JOIN side USING (id) WHERE i.kind = 'episode'),
+ src AS (SELECT i.query_id, ch.id, row_number() OVER (PARTITION BY i.query_id, i.id ORDER BY len(list_intersect(ch.words, fw.words)) DESC, ch.turn) AS r FROM inc i JOIN (SELECT id, {WORDS.format(x="coalesce(text, '')")} AS words FROM f) fw USING (id) JOIN ch ON ch.conv_id = i.id WHERE i.kind = 'fact' AND i.id % 4 <> 0),
+ named AS (SELECT query_id, (id * {TURNS}) AS id FROM inc WHERE kind = 'fact' AND id % 4 = 0),
+ wanted AS (SELECT query_id, id, min(reason) AS reason FROM (SELECT query_id, id, 'episode_neighbor' AS reason FROM near UNION ALL SELECT query_id, id, 'fact_source_turn' FROM src WHERE r = 1 UNION ALL SELECT query_id, id, 'fact_source_turn' FROM named) WHERE id IS NOT NULL GROUP BY 1, 2),
+ more AS (SELECT w.query_id, w.id, w.reason, ch.cost, row_number() OVER (PARTITION BY w.query_id ORDER BY ch.conv_id, ch.turn) AS n FROM wanted w JOIN ch USING (id) WHERE NOT EXISTS (SELECT 1 FROM inc i WHERE i.kind = 'episode' AND i.query_id = w.query_id AND i.id = w.id)),
+ fill(query_id, n, id, reason, fits, used) AS (SELECT query_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), '', false, used FROM spent
+   UNION ALL SELECT m.query_id, m.n, m.id, m.reason, g.used + m.cost <= {BUDGET}, CASE WHEN g.used + m.cost <= {BUDGET} THEN g.used + m.cost ELSE g.used END FROM fill g JOIN more m ON m.query_id = g.query_id AND m.n = g.n + 1)
+ SELECT query_id, n - 1 AS place, id, CASE WHEN fits THEN 'included' ELSE 'excluded' END AS action, CASE WHEN fits THEN reason ELSE 'over_budget' END AS reason_code, used FROM fill WHERE n > 0"""
+
+
+def turns_of(spark, sf_dir) -> DataFrame:
+    """All turns as chunks, with or without a vector; those of the system are not trusted."""
+    said = F.greatest(F.lit(1), F.floor((F.length("text") + 17 + F.length("role")) / 4)).cast("long")
+    turns = read(spark, sf_dir, "conversations")
+    return turns.select((c("conv_id") % 10).alias("scope"), (c("conv_id") * TURNS + c("turn")).alias("id"), c("conv_id").alias("event_id"), c("turn").alias("ordinal"), c("conv_id").alias("occurred_at"), said.alias("cost"), overlap_words(c("text")).alias("words"), (c("role") != "system").alias("trusted"))
+
+
+@register("r14_context_window", f"WITH RECURSIVE {WINDOW}")
 def r14_context_window(spark, sf_dir):
-    w = W.partitionBy("conv_id").orderBy("turn")
-    near = chunks(spark, sf_dir).withColumn("before", F.lag("turn").over(w)).withColumn("after", F.lead("turn").over(w))
-    return near.filter("role = 'assistant' and turn % 2 = 1").select("conv_id", "turn", "before", "after")
+    """What surrounds every packet: turns next to its episodes, and the turns that its facts come from, in the budget left.
+
+    A fact comes from the conversation of its number; every fourth one knows its turn, the first, the others have the turn with most
+    of their words. The asking is after the last turn.
+    """
+    kept = written(packed(spark, sf_dir, pool_of(spark, sf_dir)).filter("action = 'included'").select("query_id", "kind", "id", "used"), "packed")
+    texts = read(spark, sf_dir, "documents").select(c("doc_id").alias("id"), overlap_words(F.coalesce("text", F.lit(""))).alias("words"))
+    own = texts.withColumn("chunk_id", F.when(c("id") % 4 == 0, c("id") * TURNS)).withColumn("event_id", c("id"))
+    chunks = turns_of(spark, sf_dir)
+    last = chunks.agg(F.max("occurred_at")).first()[0]
+    queries = facts_of(spark, sf_dir).filter(c("id") % EVERY == 0).select(c("id").alias("query_id"), "scope", F.lit(last).cast("long").alias("as_of"))
+    return context_window(kept, own, chunks, queries, BUDGET).drop("cost")
 
 
 @register("j1_chunk_event", "SELECT c.conv_id, c.turn, d.source FROM conversations c JOIN documents d ON c.conv_id = d.doc_id")
@@ -358,8 +390,9 @@ def j3_anti(spark, sf_dir):
 
 @register("j6_neighbours", twin("chunks", "SELECT subject, conv_id, turn, lag(conv_id) OVER w AS before_conv, lead(conv_id) OVER w AS after_conv FROM chunks WINDOW w AS (PARTITION BY subject ORDER BY occurred_at, conv_id, turn)"))
 def j6_neighbours(spark, sf_dir):
-    w = W.partitionBy("subject").orderBy("occurred_at", "conv_id", "turn")
-    return chunks(spark, sf_dir).select("subject", "conv_id", "turn", F.lag("conv_id").over(w).alias("before_conv"), F.lead("conv_id").over(w).alias("after_conv"))
+    turns = chunks(spark, sf_dir).select("subject", "occurred_at", "conv_id", "turn")
+    near = neighbours(turns, "subject", ["occurred_at", "conv_id", "turn"], ["conv_id"])
+    return near.select("subject", "conv_id", "turn", c("before.conv_id").alias("before_conv"), c("after.conv_id").alias("after_conv"))
 
 
 @register("o3_mixed_pool", twin("chunks", "SELECT 'fact' AS kind, event_id AS id, CAST(NULL AS BIGINT) AS ordinal FROM events UNION ALL SELECT 'episode', conv_id, turn FROM chunks"))
