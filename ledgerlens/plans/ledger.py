@@ -7,8 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_json
+from ..operators import merging
 from ..operators.lifecycle import ALLOWED, is_legal
 from ..sources.tables import chunks, events, facts, read, twin
+from ..streaming.capture import sessions
 from .registry import register
 
 c = F.col
@@ -217,16 +219,46 @@ def l7_forget(spark, sf_dir):
     return facts(spark, sf_dir).agg(F.count_if(own).alias("events"), F.count_if(own).alias("facts"), F.count_if(~own).alias("kept"))
 
 
-@register("i1_alias_resolve", "SELECT event_id, CASE WHEN user_id % 5 = 0 THEN user_id + 1 ELSE user_id END AS canonical FROM events")
+#: Requests to merge: a subject into the one before it, up to the next tenth; those of every seventh ten also go round in a circle.
+MERGES = """req AS (SELECT DISTINCT user_id AS source, user_id - 1 AS target FROM events WHERE user_id % 10 BETWEEN 1 AND 6 UNION SELECT DISTINCT user_id, user_id + 1 FROM events WHERE user_id % 70 = 0),
+ walk(source, place, steps) AS (SELECT source, target, 1 FROM req UNION ALL SELECT w.source, r.target, steps + 1 FROM walk w JOIN req r ON r.source = w.place WHERE steps < 12),
+ ends AS (SELECT source, max_by(place, steps) AS target FROM walk GROUP BY source HAVING max(steps) < 12)"""
+
+
+def merges(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The requests as judged, and where each merged subject ends."""
+    user = c("user_id").cast("string")
+    ids = read(spark, sf_dir, "events").select("user_id").distinct()
+    before = ids.filter((c("user_id") % 10).between(1, 6)).select(user.alias("source"), (c("user_id") - 1).cast("string").alias("target"))
+    circle = ids.filter(c("user_id") % 70 == 0).select(user.alias("source"), (c("user_id") + 1).cast("string").alias("target"))
+    pairs = before.unionByName(circle).withColumn("project_id", F.lit("p"))
+    return merging.plan_merges(pairs, spark.createDataFrame([], "project_id string, alias_kind string, alias_value string, canonical_subject_id string"))
+
+
+@register("i1_alias_resolve", f"WITH RECURSIVE {MERGES} SELECT event_id, coalesce(target, user_id) AS canonical FROM events LEFT JOIN ends ON source = user_id")
 def i1_alias_resolve(spark, sf_dir):
-    e = read(spark, sf_dir, "events")
-    alias = e.select("user_id").distinct().filter("user_id % 5 = 0").withColumn("to", c("user_id") + 1)
-    return e.join(alias, "user_id", "left").select("event_id", F.coalesce("to", "user_id").alias("canonical"))
+    """Every event's subject after all merges: chains are followed to their end, circles are refused."""
+    rows = read(spark, sf_dir, "events").select("event_id", F.lit("p").alias("project_id"), c("user_id").cast("string").alias("subject_id"))
+    return merging.moved(rows, merges(spark, sf_dir)[1]).select("event_id", c("subject_id").cast("long").alias("canonical"))
 
 
-@register("i2_merge", "SELECT CASE WHEN user_id = 3 THEN 4 ELSE user_id END AS subject, count(*) AS n, count(*) FILTER (user_id = 3) AS moved FROM events GROUP BY 1")
+@register("i2_merge", f"""WITH RECURSIVE {MERGES}, n AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1)
+ SELECT r.source, CASE WHEN e.source IS NULL THEN 'circular_merge' END AS error, e.target AS ends_at, CASE WHEN e.source IS NOT NULL THEN n.n END AS events_moved FROM req r LEFT JOIN ends e USING (source) LEFT JOIN n ON n.user_id = r.source""")
 def i2_merge(spark, sf_dir):
-    return read(spark, sf_dir, "events").groupBy(F.when(c("user_id") == 3, 4).otherwise(c("user_id")).cast("long").alias("subject")).agg(F.count("*").alias("n"), F.count_if(c("user_id") == 3).alias("moved"))
+    """Every merge request with its error, or where its subject ends and how many events go along."""
+    judged, ends = merges(spark, sf_dir)
+    rows = read(spark, sf_dir, "events").select(F.lit("p").alias("project_id"), c("user_id").cast("string").alias("subject_id"))
+    names = spark.createDataFrame([], "project_id string, canonical_subject_id string")
+    done = merging.receipts(ends, {"events": rows}, names).select("source", c("target").cast("long").alias("ends_at"), "events_moved")
+    return judged.select("source", "error").join(done, "source", "left").select(c("source").cast("long").alias("source"), "error", "ends_at", "events_moved")
+
+
+@register("w_sessions", """WITH e AS (SELECT user_id, ts, ts >= lag(ts) OVER w + INTERVAL 6 HOUR OR lag(ts) OVER w IS NULL AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+ s AS (SELECT *, sum(opens::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM e)
+ SELECT user_id, min(ts) AS "start", max(ts) + INTERVAL 6 HOUR AS "end", count(*) AS n FROM s GROUP BY user_id, s.n""")
+def w_sessions(spark, sf_dir):
+    """Each subject's sessions, as the stream has them."""
+    return sessions(read(spark, sf_dir, "events"), delay=None)
 
 
 @register("g1_graph", twin("facts", "SELECT 'has_fact' AS kind, 's' || user_id AS a, 'f' || event_id AS b FROM facts UNION ALL SELECT 'supersedes', 'f' || event_id, 'f' || supersedes_id FROM facts WHERE supersedes_id IS NOT NULL UNION ALL SELECT 'derived_from', 'f' || event_id, 'e' || event_id FROM facts"))

@@ -39,6 +39,33 @@ def append_new(path: str, key: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
+def capture_ever(events: DataFrame, key: str | list[str]) -> DataFrame:
+    """Events of a stream, each key once for good: the keys seen are the stream's state, dealt by key, so no stored row is read again."""
+    return events.dropDuplicates([key] if isinstance(key, str) else key)
+
+
+def batches_to(path: str) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` sink with a folder for each batch, written anew if the batch is run again; it reads nothing that is stored.
+
+    With ``capture_ever`` before it every key is stored once, whatever is repeated and whenever a run is taken up again.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return write
+
+
+def sessions(events: DataFrame, at: str = "ts", by: str = "user_id", gap: str = "6 hours", delay: str | None = "1 day") -> DataFrame:
+    """Each subject's sessions: ``by``, start, end of the last event's gap, and n events no two neighbours of which are ``gap`` apart or more.
+
+    In a stream a session is final once the watermark has passed its end; an event that comes later than ``delay`` is dropped,
+    even if it would have joined two sessions. Over a table give no ``delay``: there is no watermark, and no event is late.
+    """
+    rows = events.withWatermark(at, delay) if delay else events
+    return rows.groupBy(F.session_window(at, gap).alias("s"), by).agg(F.count("*").alias("n")).select(by, F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n")
+
+
 def daily_counts(events: DataFrame, at: str = "ts", by: str = "event_type", delay: str = "1 day") -> DataFrame:
     """Events by day and kind; a day is final once the watermark has passed it, and later events are dropped."""
     day = F.window(at, "1 day")

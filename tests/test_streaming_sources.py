@@ -90,3 +90,38 @@ def test_carried_facts(spark):
     payload = json.dumps({"mock_facts": [{"predicate": "language", "value": {"to": "fr"}, "confidence": 0.9, "action": "create"}, {"value": {}}]})
     rows = datasets.carried_facts(spark.createDataFrame([(1, payload), (2, "{}"), (3, None), (4, "broken")], "event_id long, payload string")).collect()
     assert [(r.event_id, r.predicate, r.value, r.confidence) for r in rows] == [(1, "language", '{"to":"fr"}', 0.9)]
+
+
+def test_sessions_of_a_stream_are_those_of_the_table(spark, tmp_path):
+    events = spark.read.parquet(f"{SF}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_id").filter("user_id < 60")
+    end = spark.createDataFrame([(datetime(2030, 1, 1), -1, -1)], events.schema)  # moves the watermark past all others
+    drain(capture.sessions(in_steps(spark, tmp_path / "in", events.unionByName(end), 4, ["ts", "event_id"])), "sat")
+    want = capture.sessions(events, delay=None)
+    got = sorted(map(tuple, spark.table("sat").filter("user_id >= 0").collect()))
+    assert got == sorted(map(tuple, want.collect())) and any(r[3] > 1 for r in got)
+
+
+def test_a_late_event_opens_no_session(spark, tmp_path):
+    schema = "ts timestamp, user_id long"
+    for i, (day, hour) in enumerate([(1, 0), (9, 0), (1, 3), (8, 20), (20, 0)]):
+        spark.createDataFrame([(datetime(2024, 1, day, hour), 1)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = capture.sessions(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+        query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+    got = sorted((r.start, r.end, r.n) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [(datetime(2024, 1, 1), datetime(2024, 1, 1, 6), 1), (datetime(2024, 1, 8, 20), datetime(2024, 1, 9, 6), 2)]
+
+
+def test_the_keyed_sink_stores_each_key_once_and_survives_replays(spark, tmp_path):
+    schema = "key long, n long"
+    for part in ([(1, 0), (1, 1), (2, 0)], [(2, 1), (3, 0)], [(1, 2), (4, 0)]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = capture.capture_ever(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), "key")
+        query = stream.writeStream.foreachBatch(capture.batches_to(str(tmp_path / "out"))).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+    stored = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(r.key for r in stored.collect()) == [1, 2, 3, 4]
+    again = spark.createDataFrame([(3, 0)], schema)
+    number = stored.filter("key = 3").first().batch
+    capture.batches_to(str(tmp_path / "out"))(again, number)  # the batch is run again
+    assert sorted(r.key for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2, 3, 4]
