@@ -7,8 +7,8 @@ of slots where its bit is set. The trigrams of a language come from counts over
 the language is at least ``KEEP`` of their largest share in any language, so a few foreign passages don't blur the sets.
 
 Counting, choosing and filling the filters are Spark's; the driver gets the finished masks, ``SLOTS`` words for every 64 languages.
-A language needs a share ``LEAST_SHARE`` of the learning rows, so there are 1 / ``LEAST_SHARE`` of them at most and a dirty
-language column can't fill the memory; rows of rarer values are not learned from.
+However rare a language is, it is learned. More than ``GROUP`` of them are dealt to groups of filters of that size, each of which
+finds its best language; the best of those decides, so a worker holds one group's masks at a time.
 """
 
 from __future__ import annotations
@@ -27,7 +27,8 @@ from .common import frugal, materialise
 #: Trigram ids, filter slots (both powers of two), hash functions, and the least relative share of a kept trigram.
 IDS, SLOTS, HASHES, KEEP = 1 << 20, 1 << 18, 3, 0.1
 UNKNOWN = "und"
-LEAST_SHARE = 1 / 1024
+#: Languages of a group of filters: 2 MB of masks for every 64.
+GROUP = 1024
 #: Languages whose counts a task holds at a time.
 HELD = 12
 
@@ -57,10 +58,14 @@ def slots_of(ids: np.ndarray) -> list[np.ndarray]:
 
 @dataclass
 class Filters:
-    """Languages in order, and masks by slot: one 64-bit word for every 64 languages."""
+    """Languages in order, and masks by slot: one 64-bit word for every 64 languages.
+
+    ``more`` are the further groups.
+    """
 
     languages: list[str]
     masks: np.ndarray
+    more: tuple[Filters, ...] = ()
 
     def rates(self) -> np.ndarray:
         """False-positive rate of each language's filter."""
@@ -70,12 +75,9 @@ class Filters:
 def learn(rows: DataFrame, text: str = "text", lang: str = "lang") -> Filters:
     """Filters from all rows with a text and a language."""
     rows = rows.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    found = rows.groupBy("lang").agg(F.count("*").alias("rows"))
-    total = found.agg(F.sum("rows")).first()[0] or 0
-    languages = sorted(r.lang for r in found.filter(F.col("rows") >= LEAST_SHARE * total).select("lang").collect())
-    masks = np.zeros((max(1, math.ceil(len(languages) / 64)), SLOTS), dtype=np.uint64)
+    languages = sorted(r.lang for r in rows.select("lang").distinct().collect())
     if not languages:
-        return Filters(languages, masks)
+        return Filters([], np.zeros((1, SLOTS), dtype=np.uint64))
     number = {language: i for i, language in enumerate(languages)}
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -90,8 +92,6 @@ def learn(rows: DataFrame, text: str = "text", lang: str = "lang") -> Filters:
 
         for batch in batches:
             for language, own in batch.groupby("lang")["text"]:
-                if language not in number:
-                    continue
                 if language not in sums and len(sums) == HELD:
                     yield from counted()
                 counts = sums.setdefault(language, np.zeros(IDS, dtype=np.int64))
@@ -120,9 +120,17 @@ def learn(rows: DataFrame, text: str = "text", lang: str = "lang") -> Filters:
                 yield pd.DataFrame({"word": batch["lang"] // 64, "slot": at, "mask": bit})
 
     slots = kept.filter(F.col("o.share") >= KEEP * F.col("most")).select("id", "o.lang").mapInPandas(fill, "word int, slot int, mask long")
-    filled = slots.groupBy("word", "slot").agg(F.bit_or("mask").alias("mask")).toPandas()
-    masks[filled["word"].to_numpy(), filled["slot"].to_numpy()] = filled["mask"].to_numpy().view(np.uint64)
-    return Filters(languages, masks)
+    slots = slots.groupBy("word", "slot").agg(F.bit_or("mask").alias("mask"))
+    if len(languages) > GROUP:
+        slots = materialise(slots, "slots")
+    groups = []
+    for first in range(0, len(languages), GROUP):
+        own = languages[first : first + GROUP]
+        masks = np.zeros((math.ceil(len(own) / 64), SLOTS), dtype=np.uint64)
+        filled = slots.filter(F.col("word").between(first // 64, (first + GROUP) // 64 - 1)).toPandas()
+        masks[filled["word"].to_numpy() - first // 64, filled["slot"].to_numpy()] = filled["mask"].to_numpy().view(np.uint64)
+        groups.append(Filters(own, masks))
+    return Filters(groups[0].languages, groups[0].masks, tuple(groups[1:]))
 
 
 def decide(text: str | None, filters: Filters, rates: np.ndarray) -> tuple[str, float]:
@@ -143,17 +151,30 @@ def decide(text: str | None, filters: Filters, rates: np.ndarray) -> tuple[str,
 
 
 def predictor(docs: DataFrame, filters: Filters):
-    """A Column -> Column function: text to ``struct<lang_pred, score>``."""
-    shared = docs.sparkSession.sparkContext.broadcast(filters)  # SLOTS words for every 64 languages
+    """A Column -> Column function: text to ``struct<lang_pred, score>``, the first of the groups' best scores."""
 
-    @F.pandas_udf("lang_pred string, score double")
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        frugal()
-        rates = shared.value.rates()
-        for batch in batches:
-            yield pd.DataFrame([decide(t, shared.value, rates) for t in batch], columns=["lang_pred", "score"])
+    def of(group: Filters):
+        shared = docs.sparkSession.sparkContext.broadcast(Filters(group.languages, group.masks))  # SLOTS words for every 64 languages
+
+        @F.pandas_udf("lang_pred string, score double")
+        def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            frugal()
+            rates = shared.value.rates()
+            for batch in batches:
+                yield pd.DataFrame([decide(t, shared.value, rates) for t in batch], columns=["lang_pred", "score"])
+
+        return predict
+
+    udfs = [of(g) for g in (filters, *filters.more)]
+    if len(udfs) == 1:
+        return udfs[0]
+
+    def best(text):
+        found = [F.struct(f(text).score.alias("score"), F.lit(-i).alias("first"), f(text).lang_pred.alias("lang_pred")) for i, f in enumerate(udfs)]
+        top = F.array_max(F.array(*found))
+        return F.struct(top.lang_pred.alias("lang_pred"), top.score.alias("score"))
 
-    return predict
+    return lambda text: best(F.col(text) if isinstance(text, str) else text)
 
 
 def identify(docs: DataFrame, learning: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang") -> DataFrame:

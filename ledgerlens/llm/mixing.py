@@ -8,7 +8,7 @@ and Spark sends it as it stands, however many sources there are; only patterns w
 touch, are routed on the driver, in numbers that follow the overlaps and not the documents.
 
 The flow gives each pattern a number of words: all its documents as often as fits, and a seeded choice of documents once more.
-That choice is a threshold on a seeded hash of the key, found by counting in ever finer ranges of the hash, for all patterns at
+That choice is a threshold on a seeded hash of key, text and copy (rows of the same key, text and sources are numbered), found by counting in ever finer ranges of the hash, for all patterns at
 once, so no pattern, however large, is sorted or gathered; only its last range (``LAST_RANGE`` keys or so) is walked in hash
 order, taking whatever still fits.
 """
@@ -21,7 +21,7 @@ from collections import defaultdict, deque
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, broadcast_few, fresh, in_order, materialise, unit_hash
+from .common import WORD, broadcast_few, fresh, in_order, materialise
 
 LAST_RANGE = 1000
 DIGIT = 6
@@ -138,10 +138,11 @@ def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", sources: Colum
 
     ``sources`` is an array column; by default it holds the column ``source`` alone, and a null is a source of its own; a row whose
     array is null or empty belongs to none: it takes nothing, and its source_size and target are null. Null and empty texts have
-    size 0 and take nothing; repeated rows, and rows with the same or no key, hash alike and are taken alike; an empty table
-    gives no rows; other columns are left out, so their names cannot clash. Reruns agree.
+    size 0 and take nothing; rows with the same key, or none, and even repeated rows are chosen one by one, so the rows of a key that
+    holds a third of a source are not taken all or none; an empty table gives no rows; other columns are left out, so their names cannot clash. Reruns agree.
     """
-    return _mixed_rows(docs, text, key, sources, weights, repeats, seed).select(F.col("id").alias(key), "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
+    told, names = numbered(docs, text, key, sources)
+    return _mixed_rows(told, names, text, key, sources, weights, repeats, seed).select(F.col("id").alias(key), "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
 def pattern_of(sources: Column) -> Column:
@@ -149,10 +150,42 @@ def pattern_of(sources: Column) -> Column:
     return F.to_json(F.sort_array(F.array_distinct(sources), asc=True))
 
 
-def _mixed_rows(docs: DataFrame, text: str, key: str, sources: Column | None, weights: tuple[int, ...] = (1, 2, 3), repeats: int = 3, seed: int = 7) -> DataFrame:
-    """id, pattern, size, source_size, target, times."""
+def numbered(docs: DataFrame, text: str, key: str, sources: Column | None) -> tuple[DataFrame, list[str]]:
+    """The rows with two hashes of their text, the first also of their sources, and the number of their copy (from 0), and those
+    columns' names.
+
+    Only rows that share key, text and sources need numbers; they are numbered within their partition of a written table and moved on by
+    the counts of the partitions before, so the copies of a row, however many, are never in one task.
+    """
+    names = [fresh(docs, x) for x in ("mark1", "mark2", "copy")]
+    own = [key, *names[:2]]
+    members = pattern_of(F.array("source") if sources is None else sources)
+    told = docs.withColumns({names[0]: F.xxhash64(F.lit(0), text, members), names[1]: F.xxhash64(F.lit(1), text)})
+    several = materialise(told.select(*own).groupBy(*own).agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "several")
+    if several.isEmpty():
+        return told.withColumn(names[2], F.lit(0).cast("long")), names
+    same = lambda a, b: (a[own[0]].eqNullSafe(b[own[0]])) & (a[own[1]] == b[own[1]]) & (a[own[2]] == b[own[2]])
+    part, local, before = fresh(told, "part"), fresh(told, "local"), fresh(told, "before")
+    hot = told.join(several, same(told, several), "left_semi").withColumn(part, F.spark_partition_id()).withColumn(local, F.monotonically_increasing_id())
+    hot = materialise(hot, "copies")
+    w = Window.partitionBy(*own, part).orderBy(local)
+    counts = hot.groupBy(*own, part).agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy(*own).orderBy(part)) - F.col("n")  # a row for each partition
+    counts = materialise(counts.select(*own, part, upto.alias(before)), "offsets")
+    placed = hot.withColumn(local, F.row_number().over(w))
+    moved = placed.join(counts, same(placed, counts) & (placed[part] == counts[part]))
+    moved = moved.select(*[placed[x] for x in told.columns], (F.col(local) + F.col(before) - 1).cast("long").alias(names[2]))
+    single = told.join(several, same(told, several), "left_anti").withColumn(names[2], F.lit(0).cast("long"))
+    return single.unionByName(moved), names
+
+
+def _mixed_rows(docs: DataFrame, names: list[str], text: str, key: str, sources: Column | None, weights: tuple[int, ...] = (1, 2, 3), repeats: int = 3, seed: int = 7) -> DataFrame:
+    """id, mark1, mark2, copy, pattern, size, source_size, target, times, of rows that are ``numbered``."""
     sources = F.array("source") if sources is None else sources
-    rows = materialise(docs.select(F.col(key).alias("id"), F.coalesce(pattern_of(sources), F.lit("[]")).alias("pattern"), word_count(text).alias("size"), unit_hash(key, seed).alias("u")), "mix")
+    m1, m2, copy = map(F.col, names)
+    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("null")), m1, m2, copy), 1)
+    rows = docs.select(F.col(key).alias("id"), m1.alias("mark1"), m2.alias("mark2"), copy.alias("copy"), F.coalesce(pattern_of(sources), F.lit("[]")).alias("pattern"), word_count(text).alias("size"), u.alias("u"))
+    rows = materialise(rows, "mix")
     patterns = materialise(rows.groupBy("pattern").agg(F.sum("size").alias("size")).withColumn("members", F.array_sort(F.from_json("pattern", "array<string>"))), "patterns")
     owned = patterns.filter(F.size("members") > 0)
     sizes = owned.select(F.explode("members").alias("source"), "size").groupBy("source").agg(F.sum("size").alias("size"))
@@ -163,18 +196,18 @@ def _mixed_rows(docs: DataFrame, text: str, key: str, sources: Column | None, we
     beyond = F.expr("case when shift < 63 and shiftright(u, shift) < range then 1 else 0 end") + F.coalesce("pick", F.lit(0))
     taken = F.when(F.col("size") > 0, F.least(F.coalesce(F.col("whole") + beyond, F.lit(0)), F.lit(repeats))).otherwise(0)
     chosen = rows.join(broadcast_few(state.select("pattern", "whole", "shift", "range")), "pattern", "left").join(broadcast_few(facts), "pattern", "left").join(broadcast_few(picks), ["pattern", "u"], "left")
-    return chosen.select("id", "pattern", "size", "source_size", "target", taken.cast("int").alias("times"))
+    return chosen.select("id", "mark1", "mark2", "copy", "pattern", "size", "source_size", "target", taken.cast("int").alias("times"))
 
 
 def mixed_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", sources: Column | None = None, **options) -> DataFrame:
     """The documents themselves, each as often as the mix takes it (0 to 3 times), with all their columns.
 
-    A row's repeats depend on its key and sources alone, so rows that share a key, or have none, find theirs by both.
+    Rows find their repeats by key, text, sources and number of their copy.
     """
-    k, p, t = fresh(docs, "mix_key"), fresh(docs, "mix_pattern"), fresh(docs, "mix_times")
-    rows = _mixed_rows(docs, text, key, sources, **options).filter("times > 0").select(F.col("id").alias(k), F.col("pattern").alias(p), F.col("times").alias(t)).distinct()
-    own = F.coalesce(pattern_of(F.array("source") if sources is None else sources), F.lit("[]"))
-    q = fresh(docs, "own_pattern")
-    told = docs.filter(F.col(text).rlike(WORD)).withColumn(q, own)
-    joined = told.join(broadcast_few(materialise(rows, "times")), F.col(key).eqNullSafe(F.col(k)) & (F.col(q) == F.col(p)))
+    told, names = numbered(docs, text, key, sources)
+    rows = _mixed_rows(told, names, text, key, sources, **options).filter("times > 0")
+    k, m1, m2, copy, t = [fresh(told, f"mix_{x}") for x in ("key", "mark1", "mark2", "copy", "times")]
+    rows = rows.select(F.col("id").alias(k), F.col("mark1").alias(m1), F.col("mark2").alias(m2), F.col("copy").alias(copy), F.col("times").alias(t))
+    same = F.col(key).eqNullSafe(F.col(k)) & (F.col(names[0]) == F.col(m1)) & (F.col(names[1]) == F.col(m2)) & (F.col(names[2]) == F.col(copy))
+    joined = told.filter(F.col(text).rlike(WORD)).join(broadcast_few(materialise(rows, "times")), same)
     return joined.withColumn(t, F.explode(F.sequence(F.lit(1), F.col(t)))).select(*docs.columns)

@@ -10,8 +10,7 @@ value is the log-likelihood difference of the two models, accepted less rejected
 The values of the ``TABLE`` most frequent windows are broadcast; a window that is not among them is joined. Hot windows are by
 definition in that table, so the join has none.
 
-A URL is blocked if its value is below a threshold, calibrated so that at most ``MISSED`` of the accepted URLs fall below it.
-For that each accepted URL is valued by models that have not counted it (``FOLDS``-fold, by hash of the URL).
+A URL is blocked if its value is below a threshold, calibrated so that at most ``MISSED`` of the accepted URLs fall below it. For that each accepted URL is valued by models that have not counted any accepted one of its host (``FOLDS``-fold).
 """
 
 from __future__ import annotations
@@ -92,7 +91,9 @@ def window_values(counts: DataFrame) -> DataFrame:
         own = F.col("window").bitwiseAND((1 << 8 * (k + 1)) - 1)
         context = F.shiftrightunsigned(own, 8)
         for kind, key in (("after", own), ("before", context)):
-            joined = joined.withColumn(f"{kind}{k}", key).join(sums(counts, key, k, kind), f"{kind}{k}").drop(f"{kind}{k}")
+            found = sums(counts, key, k, kind)
+            length = k + (kind == "after")  # bytes of the key: short ones have 256 ** length values at most
+            joined = joined.withColumn(f"{kind}{k}", key).join(F.broadcast(found) if length <= 2 else found, f"{kind}{k}").drop(f"{kind}{k}")
 
     def value(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -126,7 +127,7 @@ def differences(rows: DataFrame, values: DataFrame, which: Column, table: int |
     """
     table = table or TABLE
     known = values.orderBy(F.desc("seen"), "window").limit(table).toPandas().sort_values("window")
-    shared = rows.sparkSession.sparkContext.broadcast((known["window"].to_numpy(), known[list(VALUES)].to_numpy(dtype=np.float32)))
+    shared = rows.sparkSession.sparkContext.broadcast((known["window"].to_numpy(), known[list(VALUES)].to_numpy(dtype=np.float64)))
 
     @F.pandas_udf("total double, size long, rest array<long>")
     def look_up(texts: pd.Series, which: pd.Series) -> pd.DataFrame:
@@ -151,29 +152,41 @@ def differences(rows: DataFrame, values: DataFrame, which: Column, table: int |
     return joined.withColumn("difference", (F.col("found.total") + F.coalesce("more", F.lit(0.0))) / F.col("found.size")).drop("which", "found", "more")
 
 
+def fold_of(accepted: Column) -> Column:
+    """Accepted URLs (columns host and t) are left out with all those of their host, others one by one.
+
+    So an accepted URL is valued as if its host were only known for what is rejected there, if anything: the hardest case.
+    """
+    return F.pmod(F.xxhash64(F.when(accepted, F.col("host")).otherwise(F.col("t"))), F.lit(FOLDS)).cast("int")
+
+
 def threshold_of(accepted: DataFrame) -> float:
-    """The k-th least ``difference`` of n accepted URLs, for k the whole part of (n + 1) * ``MISSED``.
+    """Where a share ``MISSED`` of accepted URLs is expected to lie below, by two estimates, of which the lower one holds.
 
-    Another such URL is expected to lie below it with a chance of k / (n + 1) at most, whatever the distribution. Under
-    1 / ``MISSED`` URLs don't support so small a chance: then there is no threshold (minus infinity) and nothing is blocked by it.
+    One is the k-th least ``difference`` of n, for k the whole part of (n + 1) * ``MISSED``: another such URL lies below it with a
+    chance of k / (n + 1) at most, whatever the distribution. It takes 1 / ``MISSED`` URLs. The other carries the tail on, for any
+    n: the distances of the least values from the m-th, for m the root of n, are taken for exponential.
     """
     n = accepted.count()
-    k = math.floor(MISSED * (n + 1) + 1e-9)
-    return accepted.agg(F.percentile_approx("difference", k / n, 100_000)).first()[0] if k else -math.inf
+    m, k = math.ceil(math.sqrt(n)), math.floor(MISSED * (n + 1) + 1e-9)
+    edge = accepted.agg(F.percentile_approx("difference", m / n, 100_000)).first()[0]
+    spread = accepted.agg(F.sum(F.greatest(F.lit(0.0), edge - F.col("difference")))).first()[0] / max(1, m - 1)
+    tail = edge - spread * math.log(max(1.0, m / (n * MISSED)))
+    return min(tail, accepted.agg(F.percentile_approx("difference", k / n, 100_000)).first()[0]) if k else tail
 
 
 def filter_urls(pages: DataFrame, rules: list[Rule], url: str = "url", key: str = "page_id") -> DataFrame:
     """Per row: key, host, path, rule, verdict, difference.
 
     Null URLs and URLs without :// have empty host and path and are judged like any other without a rule; ties between rules
-    cannot occur, as the longest fitting rule of a host and path is one; without rejected URLs, or with under 1 / ``MISSED`` accepted
-    ones, every URL without a rule is allowed; repeated rows are judged alike and count as often as they occur; an empty table gives no rows;
+    cannot occur, as the longest fitting rule of a host and path is one; without rejected or without accepted URLs nothing can be
+    compared, and every URL without a rule is allowed; repeated rows are judged alike and count as often as they occur; an empty table gives no rows;
     other columns are left out, so their names cannot clash.
     """
     parsed = pages.select(F.col(key).alias("id"), host_of(url).alias("host"), path_of(url).alias("path"))
     ruled = parsed.withColumn("r", rule_of(F.col("host"), F.col("path"), rules)).withColumn("t", F.concat("host", "path"))
-    fold = F.pmod(F.xxhash64("t"), F.lit(FOLDS)).cast("int")
     accepted = F.col("r.verdict") == "allow"
+    fold = fold_of(accepted)
     part = F.when(F.col("r").isNull(), NO_LABEL).otherwise(F.when(accepted, FOLDS).otherwise(0) + fold)
     values = materialise(window_values(materialise(count_windows(ruled.withColumn("part", part)), "windows")), "values")
     scored = differences(ruled, values, F.lit(0))

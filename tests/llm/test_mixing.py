@@ -107,3 +107,20 @@ def test_many_sources(spark):
     want = plain_targets(sizes)
     source = {i: s for i, _, s, _ in rows}
     assert all(abs(x.target - want[source[x.doc_id]]) < 1e-6 * x.target for x in got)
+
+
+def test_a_key_with_a_third_of_all_rows_is_not_taken_all_or_none(spark):
+    """Once with different texts, once with the same row again and again: every source's words come near its target."""
+    r = random.Random(6)
+    for same in (False, True):
+        rows = [(7 if i % 3 == 0 else i, "w w w w" if same else " ".join(f"w{r.randrange(99)}" for _ in range(r.randint(1, 8))), "ab"[i % 2], None) for i in range(6000)]
+        docs = docs_of(spark, rows).repartition(5)
+        got = mixing.mix(docs).collect()
+        total = Counter()
+        for x in got:
+            total[x.source_size, x.target] += x.taken
+        assert len(got) == 6000 and all(abs(n - t) <= 0.02 * t for (_, t), n in total.items())
+        times = lambda rows: Counter((x.doc_id, x.taken) for x in rows)
+        assert times(got) == times(mixing.mix(docs.repartition(3)).collect())
+        kept = Counter(x.doc_id for x in mixing.mixed_documents(docs).collect())
+        assert kept == Counter({k: n for k, n in Counter(x.doc_id for x in got for _ in range(x.taken // x.size)).items()})

@@ -222,7 +222,7 @@ def test_language_filters_match_plain_sets(spark, monkeypatch):
     again = langid.identify(rows, rows).collect()
     assert len(again) == len(made) and {x.lang_pred for x in again if x.doc_id in (1, 71)} == {"l01"}  # a tie: the first by code point
     rare = docs_of(spark, ["the and of"] * 2000 + ["le la les"], ["en"] * 2000 + ["fr"])
-    assert langid.learn(rare).languages == ["en"]
+    assert langid.learn(rare).languages == ["en", "fr"]
 
 
 def test_toxicity_held_out(spark):
@@ -319,3 +319,17 @@ def test_quality_rules_match_their_sql(spark):
     want = con.sql(queries.ORACLE_SQL["op8_quality_rules"])
     got = queries.op8_quality_rules(spark, "/root/testdata/sf0.001")
     assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
+@pytest.mark.parametrize("group", [1024, 64])
+def test_rare_languages_are_learned_and_found(spark, monkeypatch, group):
+    """Of 200 languages with alphabets of their own most have a single row among thousands; once in groups of 64."""
+    monkeypatch.setattr(langid, "GROUP", group)
+    r = random.Random(3)
+    alphabet = lambda k: [chr(0x4E00 + 4 * k + i) for i in range(4)]
+    said = lambda k: " ".join("".join(r.choices(alphabet(k), k=4)) for _ in range(60))
+    rows = [(i, said(0), "l000") for i in range(3000)] + [(5000 + k, said(k), f"l{k:03d}") for k in range(1, 200)]
+    filters = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    asked = spark.createDataFrame([(k, said(k)) for k in range(0, 200, 7)] + [(999, None)], "k long, t string")
+    got = {x.k: x.p.lang_pred for x in asked.select("k", langid.predictor(asked, filters)("t").alias("p")).collect()}
+    assert got.pop(999) == "und" and sum(got[k] == f"l{k:03d}" for k in got) >= 0.95 * len(got)
