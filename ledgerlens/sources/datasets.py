@@ -19,7 +19,7 @@ ABSTENTIONS, FALLBACK = ("abstention", "adversarial"), "2023-01-01 00:00:00"
 #: The question kinds by their number in the data.
 CATEGORIES = {1: "multi-hop", 2: "temporal", 3: "open-domain", 4: "single-hop", 5: "adversarial"}
 CANDIDATES = """array<struct<subject_id:string,predicate:string,value:string,qualifiers:string,confidence:double,action:string,
- supersedes_predicate:string,evidence_span:string,reject_reason:string,fact_kind:string,volatility:string,memory_form:string>>"""
+ supersedes_predicate:string,evidence_span:string,reject_reason:string,fact_kind:string,volatility:string,memory_form:string,temporal_range:string>>"""
 
 
 def dated(said: str) -> F.Column:

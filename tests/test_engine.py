@@ -3,8 +3,11 @@
 import json
 from datetime import datetime, timedelta
 
+from pyspark.sql import functions as F
+
 from ledgerlens.engine import EVENT, Engine
 from ledgerlens.functions.messages import pseudo_embedding
+from ledgerlens.sources.store import Store, Table
 
 NOW = "2026-08-01 00:00:00"
 
@@ -27,8 +30,9 @@ def test_a_ledger_from_capture_to_forgetting(spark, tmp_path):
     assert {(f.subject_id, f.value, f.status) for f in again.facts().collect()} == {("ann", '{"value":"fr"}', "active"), ("ann", '{"value":"en"}', "candidate"), ("bob", '{"value":"tea"}', "superseded"), ("bob", '{"value":"mate"}', "active")}
     queries = spark.createDataFrame([(1, "p", "ann", "which language"), (2, "p", "bob", "what drink"), (3, "p", "nobody", "x")], "query_id long, project_id string, subject_id string, text string")
     served = again.context(queries, pseudo_embedding).collect()
-    assert {(r.query_id, r.value, r.action, r.reason_code) for r in served} == {(1, '{"value":"fr"}', "included", "top_score"), (2, '{"value":"mate"}', "included", "top_score")}
-    assert again.inspect(served[0].trace_id).count() == 1 and again.traces().count() == 2
+    assert {(r.query_id, r.value, r.action, r.reason_code) for r in served if r.kind == "fact"} == {(1, '{"value":"fr"}', "included", "conflict_disputed"), (1, '{"value":"en"}', "included", "conflict_disputed"), (2, '{"value":"mate"}', "included", "top_score")}
+    assert {(r.query_id, json.loads(r.text.removeprefix("chat "))["n"], r.action) for r in served if r.kind == "episode"} == {(1, 0, "included"), (1, 1, "included"), (2, 2, "included"), (2, 3, "included")}
+    assert again.inspect(next(r.trace_id for r in served if r.query_id == 2)).count() == 3 and again.traces().count() == 7
     assert {(r.kind) for r in again.graph().collect()} == {"has_fact", "supersedes", "derived_from"}
     assert [tuple(r) for r in again.projects().collect()] == [("p", 3, 5)]
     assert {(r.subject_id, r.facts, r.recalls) for r in again.subjects().collect()} == {("ann", 1, 1), ("bob", 1, 1), ("eve", 0, 0)}
@@ -52,3 +56,76 @@ def test_a_ledger_from_capture_to_forgetting(spark, tmp_path):
     receipt = again.forget(spark.createDataFrame([("p", "bob"), ("p", "gone")], "project_id string, subject_id string")).collect()
     assert {(r.subject_id, r.events, r.facts, r.traces) for r in receipt} == {("bob", 2, 2, 1), ("gone", 0, 0, 0)}
     assert again.table("facts").filter("subject_id = 'bob'").count() == 0 and again.table("events").count() == 4
+
+
+def test_a_store_merges_by_commit_and_loses_nothing(spark, tmp_path):
+    tables = {"last": Table("key string, n long", ("key",)), "kept": Table("key string, n long", ("key",), first=True)}
+    rows = lambda *x: spark.createDataFrame(list(x), "key string, n long")
+    one, two = (Store(spark, f"file://{tmp_path}/s", tables) for _ in range(2))
+    one.commit(last=rows(("a", 1), ("b", 1)), kept=rows(("a", 1)))
+    log = one.log
+    one.log = lambda seen=log(): seen  # a writer that hasn't seen the other's commit
+    two.commit(last=rows(("a", 2), ("c", 2)), kept=rows(("a", 2), ("d", 2)))
+    one.commit(last=rows(("e", 3)), kept=rows(("d", 3)))
+    del one.log
+    read = lambda name: sorted(map(tuple, two.merged(name).collect()))
+    assert read("last") == [("a", 2), ("b", 1), ("c", 2), ("e", 3)] and [k for k, _ in read("kept")] == ["a", "d"] and dict(read("kept"))["a"] == 1
+    two.commit(last=rows(("b", 0)).withColumn("_gone", F.lit(True)))
+    before = two.live("last")
+    one.commit(last=rows(("a", 9)))  # while the compaction below has read what was before
+    two.live = lambda name: before if name == "last" else Store.live(two, name)
+    two.compact("last")
+    del two.live
+    assert read("last") == [("a", 9), ("c", 2), ("e", 3)] and len(two.live("last")) == 2
+    two.commit(last=rows(("b", 5)))
+    assert dict(read("last"))["b"] == 5
+    paths = two.stored("last", rows(("a", 0))).select("_b").distinct().count()
+    assert paths == 1 and two.stored("last").select("_b").distinct().count() > 1
+
+
+def test_episodes_sources_and_indexes_in_context(spark, tmp_path):
+    engine = Engine(spark, f"file://{tmp_path}/ledger", NOW)
+    turns = [{"role": "user", "content": "My sister Ann moved to Lyon"}, {"role": "assistant", "content": "How nice"}, {"role": "user", "content": "She plays the violin every evening"}]
+    facts = [{"predicate": "plays", "value": {"value": "violin"}, "confidence": 0.9, "evidence_span": "plays the  violin"}, {"predicate": "city", "value": {"value": "Lyon"}, "confidence": 0.9, "evidence_span": "nowhere"}, {"predicate": "trip", "value": {"on": "2026-05-01"}, "confidence": 0.9, "temporal_range": {"start": "2026-05-02", "end": "2026-05-03"}}]
+    rows = [event(0, "ann", payload=json.dumps({"messages": turns, "mock_facts": facts})), event(5, "ann", payload=json.dumps({"note": "later"})), event(6, "ann", origin_trust="untrusted", payload="{}")]
+    engine.capture(spark.createDataFrame(rows, EVENT))
+    engine.consolidate()
+    chunks = {(r.ordinal, r.text): r.index_text for r in engine.table("chunks").collect()}
+    assert len(chunks) == 5 and chunks[2, "user: She plays the violin every evening"] == 'user: She plays the violin every evening FACTS: plays {"value":"violin"}'
+    assert sum("FACTS" in x for x in chunks.values()) == 1
+    assert {f.observed_at for f in engine.facts().collect()} == {None, "2026-05-02T00:00:00+00:00"}
+    log = len(engine.store.log())
+    engine.consolidate()
+    engine.consolidate(everything=True)
+    assert sorted(r.index_text for r in engine.table("chunks").collect()) == sorted(chunks.values())
+    assert engine.store.stored("facts").count() == 3 and engine.store.stored("chunks").count() == 6 and len(engine.store.log()) > log  # replays add no row
+    asked = spark.createDataFrame([(1, "p", "ann", "who plays violins")], "query_id long, project_id string, subject_id string, text string")
+    told = lambda rows: sorted((r.place, r.kind, r.item_id, r.action, r.reason_code) for r in rows.collect())
+    served = told(engine.context(asked, pseudo_embedding))
+    assert told(engine.context(asked, pseudo_embedding, indexed=True)) == served
+    assert sum(k == "episode" for _, k, *_ in served) == 4 and sum(k == "fact" for _, k, *_ in served) == 3
+    narrow = engine.context(asked, pseudo_embedding, budget=22, k=1).collect()
+    assert {(r.kind, r.reason_code) for r in narrow if r.action == "included"} >= {("fact", "top_score")} or {r.reason_code for r in narrow if r.action == "included"} & {"top_score"}
+    early = engine.context(asked, pseudo_embedding, as_of="2026-07-28 03:00:00").collect()
+    assert not any("later" in (r.text or "") for r in early) and len(early) == 6
+    packet = engine.packets().filter(F.col("trace_id") == early[0].trace_id).first()
+    fact = next(f for f in packet.facts if f.predicate == "trip")
+    assert (fact.observed_at_relative, fact.freshness, fact.contested, len(packet.episodes), packet.status) == ("91 days (~3 months) before the question", "current", False, 3, "ok")
+    health = engine.health().first()
+    assert (health.injection_rate, health.contradiction_leakage, health.open_conflicts, health.health_score, health.write_rejection_rate) == (1.0, 0.0, 0, 100.0, 0.0)
+    engine.compact()
+    assert len(engine.store.live("traces")) == 1 and told(engine.context(asked, pseudo_embedding)) == served
+
+
+def test_merges_carry_everything_along(spark, tmp_path):
+    engine = Engine(spark, f"file://{tmp_path}/ledger", NOW)
+    engine.capture(spark.createDataFrame([event(i, s, {"value": s}) for i, s in enumerate("abcd")], EVENT))
+    engine.consolidate()
+    into = spark.createDataFrame([("p", "a", "b"), ("p", "b", "c"), ("p", "d", "d")], "project_id string, subject_id string, into string")
+    assert {(r.source, r.error) for r in engine.merge_subjects(into).collect()} == {("a", None), ("b", None), ("d", "invalid_merge")}
+    assert {t: {r.subject_id for r in engine.table(t).collect()} for t in ("events", "facts", "chunks")} == dict.fromkeys(("events", "facts", "chunks"), {"c", "d"})
+    assert {(r.source, r.target, r.events_moved, r.facts_moved) for r in engine.table("merges").collect()} == {("a", "c", 1, 1), ("b", "c", 1, 1)}
+    again = spark.createDataFrame([("p", "c", "e"), ("p", "a", "x")], "project_id string, subject_id string, into string")
+    assert {(r.source, r.error) for r in engine.merge_subjects(again).collect()} == {("c", None), ("a", "already_merged")}
+    assert {r.alias_value: r.canonical_subject_id for r in engine.table("aliases").collect()} == {"a": "e", "b": "e", "c": "e"}
+    assert {r.subject_id for r in engine.table("events").collect()} == {"e", "d"}
