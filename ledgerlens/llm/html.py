@@ -1,8 +1,9 @@
 """Main text of web pages, with the templates of each site removed.
 
-A first pass hashes the element subtrees of every page that could be template parts and Spark counts, for each host, on how
-many pages of different content each hash occurs. A second pass deletes the subtrees that recur on many pages of their host,
-and what its element or class says isn't content, and joins the remaining blocks.
+A first pass hashes the element subtrees of every page that could be template parts, whatever their element or class says, and
+Spark counts, for each host, on how many pages of different content each hash occurs. A second pass deletes the subtrees that
+recur on many pages of their host; of what is left it takes away what its element or class says isn't content, which recurs too
+seldom to be counted, as on hosts of few pages, and joins the remaining blocks.
 
 An article must survive being served under several addresses, or being printed by several sites: pages count once by the hash of
 their content (their articles and ``main``, or all of the page), whatever stands around it, and no subtree that holds half of a
@@ -145,11 +146,11 @@ def is_boilerplate(node: Node, inside: bool) -> bool:
 
 
 def walk(root: Node, inside: bool = False) -> Iterator[tuple[Node, bool]]:
-    """All elements below that aren't in boilerplate, in page order, and whether they stand in an article or main."""
+    """All elements below but raw ones, whatever their class says, in page order, and whether they stand in an article or main."""
     todo = [(c, inside) for c in reversed(root.children) if isinstance(c, Node)]
     while todo:
         node, inside = todo.pop()
-        if is_boilerplate(node, inside):
+        if node.tag in RAW:
             continue
         yield node, inside
         within = inside or node.tag in ("article", "main")
@@ -177,8 +178,8 @@ def measure(root: Node) -> None:
         node.hash, node.size = h.intdigest() - (1 << 63), size
 
 
-def content_roots(root: Node) -> list[Node]:
-    """The outermost articles and mains outside boilerplate, in page order, or the whole page."""
+def content_roots(root: Node, drop: frozenset[int] = frozenset()) -> list[Node]:
+    """The outermost articles and mains outside boilerplate and templates, in page order, or the whole page."""
     found: list[Node] = []
     todo = [root]
     while todo:
@@ -186,7 +187,7 @@ def content_roots(root: Node) -> list[Node]:
         if node.tag in ("article", "main"):
             found.append(node)
         else:
-            todo += [c for c in reversed(node.children) if isinstance(c, Node) and not is_boilerplate(c, False)]
+            todo += [c for c in reversed(node.children) if isinstance(c, Node) and not (c.hash in drop and may_be_template(c, False, root.size)) and not is_boilerplate(c, False)]
     return found or [root]
 
 
@@ -244,7 +245,7 @@ def main_text(page: str | None, drop: frozenset[int] = frozenset()) -> str:
         return ""
     root = parse(page)
     measure(root)
-    roots = content_roots(root)
+    roots = content_roots(root, drop)
     whole = sum(x.size for x in roots)
     return "\n".join(t for x in roots for t in blocks(x, x is not root, drop, whole))
 

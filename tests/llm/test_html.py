@@ -88,3 +88,18 @@ def test_pages_by_hand(page, want):
 def test_long_and_deep_pages_take_linear_time():
     for page in ("<div>" * 30_000 + "x", "<b>" * 30_000 + "y</i>" * 3000, "<ul><li>" * 20_000 + "z", "<b><p>" * 20_000, "</p>" * 30_000):
         assert len(html.main_text(page)) <= 3000 and html.page_hashes(page)
+
+
+def test_counts_alone_clean_a_site(spark, monkeypatch):
+    """Without the class list: menus, notices and footers of a site's pages go by their count, marked or not, with or without articles."""
+    parts = ['<div class="menu"><a href="/">Start</a> <a href="/x">Other things</a></div>', '<div class="cookie-notice">We use cookies here</div>', "<div><p>All rights belong to us</p></div>", "<section>Call us today</section>"]
+    page = lambda i, tag: f"<html><body>{parts[0]}{parts[1]}<{tag}><p>Page {i} says {i * 7919} new things of its own, at some length.</p></{tag}>{parts[2]}{parts[3]}</body></html>"
+    rows = [(i, f"http://a.net/{i}", page(i, "div" if i % 2 else "article")) for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = html.templates(pages).collect()
+    assert len(found) >= 4 and all(r.n_pages == 40 for r in found)
+    monkeypatch.setattr(html, "MARKED", html.re.compile("(?!)"))
+    drop = frozenset(r.hash for r in found)
+    for i, _, text in rows:
+        assert html.main_text(text, drop) == f"Page {i} says {i * 7919} new things of its own, at some length."
+    assert "cookies" in html.main_text(rows[1][2])
