@@ -6,9 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Weights of the two relevance axes, the factors of a fact about a named or another person, and the share of a
-#: budget that episodes may fill from the second one on.
-W_SIMILARITY, W_LEXICAL, MATCH, MISMATCH, EPISODE_SHARE = 0.65, 0.35, 1.0, 0.7, 0.5
+#: Weights of the two relevance axes, and the share of a budget that episodes may fill from the second one on.
+W_SIMILARITY, W_LEXICAL, EPISODE_SHARE = 0.65, 0.35, 0.5
 #: Weights of similarity, lexical rank and recency in the older sum of raw scores.
 LEGACY = (0.6, 0.25, 0.15)
 

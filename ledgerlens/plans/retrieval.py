@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 
 from ..functions.lexical import STOP_WORDS, simple_words
 from ..functions.messages import overlap_words
+from ..functions.names import ENTITY, NO_NAMES, entity_tokens, person_factor
 from ..functions.text import normalise_span, relative_day, token_estimate
 from ..operators.candidates import candidates as scan
 from ..operators.context_window import context_window
 from ..operators.ordering import neighbours
-from ..operators.ranking import greedy_pack, pack_packets, relevance, rerank_block, top_k
+from ..operators.expansion import HEAD, second_hop
+from ..operators.ranking import legacy_score, pack_packets, relevance, rerank_block, top_k
 from ..sources.scratch import written
 from ..sources.tables import chunks, events, read, twin
 from .registry import register
@@ -27,6 +29,7 @@ c = F.col
 TOP_K, BUDGET, FLOOR, EVERY, BLOCK = 64, 2000, 0.9, 20, 50
 #: Facts nearer than this, by cosine distance, state the same identity.
 SAME = 0.28
+NAMES = ", ".join(f"'{w}'" for w in NO_NAMES)
 STOPS = ", ".join(f"'{w}'" for w in sorted(STOP_WORDS))
 LEX = f"list_filter(regexp_extract_all(lower(text), '[a-z0-9]{{3,}}'), lambda x: x NOT IN ({STOPS}))"
 ORDER = "recency DESC, tie_a, tie_b, id"
@@ -42,9 +45,11 @@ AXES = lambda items, name: f"""{name}_all AS (SELECT q.id AS query_id, x.*, roun
    FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance NULLS LAST, {ORDER}) AS v, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, {ORDER}) AS l FROM {name}_all) WHERE v <= {TOP_K} AND distance IS NOT NULL OR l <= {TOP_K} AND overlap > 0)"""
 FACTS = f"{ITEMS}, {AXES('f', 'facts')}"
 POOL = f"""{FACTS}, {AXES('ep', 'episodes')}, pool AS (SELECT 'fact' AS kind, 0 AS place, * FROM facts UNION ALL SELECT 'episode', 1, * FROM episodes)"""
-FUSED = POOL + f""", passed AS (SELECT *, 1 - distance AS similarity FROM pool WHERE distance <= {FLOOR}),
+SAID = f"list_filter(regexp_extract_all(coalesce(text, ''), '{ENTITY}'), lambda x: lower(x) NOT IN ({NAMES}))"
+FUSED = POOL + f""", who AS (SELECT id, {SAID} AS names FROM f), passed AS (SELECT *, 1 - distance AS similarity FROM pool WHERE distance <= {FLOOR}),
  scaled AS (SELECT *, coalesce((similarity - min(similarity) OVER q) / nullif(max(similarity) OVER q - min(similarity) OVER q, 0), 0) AS s, coalesce((overlap - min(overlap) OVER q) / nullif(max(overlap) OVER q - min(overlap) OVER q, 0), 0) AS l FROM passed WINDOW q AS (PARTITION BY query_id)),
- fused AS (SELECT *, round(0.65 * s + 0.35 * l, 6) AS score FROM scaled),
+ fused AS (SELECT x.*, round((0.65 * s + 0.35 * l) * CASE WHEN x.kind = 'fact' AND w.names[1] IS NOT NULL AND len(q.names) > 0 AND NOT list_contains(q.names, w.names[1]) THEN 0.7 ELSE 1.0 END, 6) AS score
+   FROM scaled x JOIN who q ON q.id = x.query_id LEFT JOIN who w ON x.kind = 'fact' AND w.id = x.id),
  ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, recency DESC, place, tie_a, tie_b, id) AS rank FROM fused)"""
 PACKED = FUSED + f""", conf AS (SELECT a.id, b.id AS side, b.cost AS side_cost FROM f a JOIN f b ON a.scope = b.scope AND a.id // 2 = b.id // 2 AND a.id <> b.id),
  line AS (SELECT r.query_id, r.rank, r.kind, r.id, r.cost, c.side, c.side_cost FROM ranked r LEFT JOIN conf c ON r.kind = 'fact' AND c.id = r.id),
@@ -95,10 +100,19 @@ def pool_of(spark, sf_dir) -> DataFrame:
     return facts.unionByName(episode_candidates(spark, sf_dir).select(F.lit("episode").alias("kind"), F.lit(1).alias("place"), "*"))
 
 
-def fused(pool: DataFrame) -> DataFrame:
-    """The pool that passes the recall floor, scored over both kinds together and ranked."""
+def names_of(spark, sf_dir) -> DataFrame:
+    """(id, names) of every text; a fact is about the first person that it names."""
+    return read(spark, sf_dir, "documents").select(c("doc_id").alias("id"), entity_tokens(F.coalesce("text", F.lit(""))).alias("names"))
+
+
+def fused(spark, sf_dir, pool: DataFrame) -> DataFrame:
+    """The pool that passes the recall floor, scored over both kinds together, facts about others than asked for less, and ranked."""
     passed = pool.filter(c("distance") <= FLOOR).withColumn("similarity", 1 - c("distance"))
-    scored = passed.withColumn("score", F.round(relevance("similarity", "overlap", "query_id"), 6))
+    named = names_of(spark, sf_dir)
+    people = named.select(F.lit("fact").alias("kind"), "id", F.get("names", F.lit(0)).alias("person"))
+    asked_for = named.filter(c("id") % EVERY == 0).select(c("id").alias("query_id"), c("names").alias("asked"))
+    told = passed.join(people, ["kind", "id"], "left").join(asked_for, "query_id")
+    scored = told.withColumn("score", F.round(relevance("similarity", "overlap", "query_id") * person_factor(c("person"), c("asked")), 6)).drop("person", "asked")
     w = W.partitionBy("query_id").orderBy(F.desc("score"), F.desc("recency"), "place", "tie_a", "tie_b", "id")
     return scored.withColumn("rank", F.row_number().over(w).cast("long"))
 
@@ -114,7 +128,7 @@ def contested(spark, sf_dir) -> DataFrame:
 
 def packed(spark, sf_dir, pool: DataFrame) -> DataFrame:
     """Every candidate's decision; contested facts bring their other sides."""
-    ranked = fused(pool).select("query_id", "rank", "kind", "id", "cost")
+    ranked = fused(spark, sf_dir, pool).select("query_id", "rank", "kind", "id", "cost")
     sides = contested(spark, sf_dir).withColumn("kind", F.lit("fact"))
     return pack_packets(ranked.join(sides, ["kind", "id"], "left"), BUDGET)
 
@@ -165,13 +179,13 @@ def p5_recall_floor(spark, sf_dir):
 
 @register("t4_fusion_order", f"WITH {FUSED} SELECT query_id, kind, id, score, rank FROM ranked")
 def t4_fusion_order(spark, sf_dir):
-    return fused(pool_of(spark, sf_dir)).select("query_id", "kind", "id", "score", "rank")
+    return fused(spark, sf_dir, pool_of(spark, sf_dir)).select("query_id", "kind", "id", "score", "rank")
 
 
 @register("t5_rerank_block", f"WITH {FUSED} SELECT query_id, kind, id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN rank <= {BLOCK} THEN 0 ELSE 1 END, CASE WHEN rank <= {BLOCK} THEN overlap END DESC NULLS LAST, rank) AS place FROM ranked")
 def t5_rerank_block(spark, sf_dir):
     """The word-overlap reranker over the first fifty."""
-    return rerank_block(fused(pool_of(spark, sf_dir)).drop("place"), "query_id", "rank", c("overlap"), BLOCK).select("query_id", "kind", "id", "place")
+    return rerank_block(fused(spark, sf_dir, pool_of(spark, sf_dir)).drop("place"), "query_id", "rank", c("overlap"), BLOCK).select("query_id", "kind", "id", "place")
 
 
 @register("w3_minmax", f"WITH {FUSED} SELECT query_id, kind, id, round(s, 6) AS similarity, round(l, 6) AS lexical FROM scaled")
@@ -247,19 +261,9 @@ def t6_shortlist(spark, sf_dir):
     return scan(f, asked(f), 40).filter("by_vector is not null").select("query_id", c("id").alias("fact_id"))
 
 
-ENTITY = "[A-ZÀ-Ý][a-zà-ÿ]{2,}"
-#: Capitalised words that open sentences and are no names.
-NO_NAMES = "the this that these those there here and with when where what which who le la les un une des ce cette ces et avec".split()
-NAMES = ", ".join(f"'{w}'" for w in NO_NAMES)
 TOP_ENTITIES = f"""tok AS (SELECT unnest(regexp_extract_all(text, '{ENTITY}')) AS token FROM documents), top AS (SELECT token, count(*) AS n FROM tok WHERE lower(token) NOT IN ({NAMES}) GROUP BY token ORDER BY n DESC, token LIMIT 20)"""
 
 
-def entity_tokens(text):
-    """Capitalised words that may be names."""
-    found = F.regexp_extract_all(text, F.lit(f"({ENTITY})"), F.lit(1))
-    return F.filter(found, lambda x: ~F.lower(x).isin(NO_NAMES))
-
-
 @register("t7_per_entity_topk", f"""WITH {TOP_ENTITIES}, hit AS (SELECT token, doc_id, len(list_filter(regexp_extract_all(text, '{ENTITY}'), lambda x: x = token)) AS n FROM top, documents WHERE contains(text, token))
  SELECT token AS entity, doc_id, row_number() OVER (PARTITION BY token ORDER BY n DESC, doc_id) AS rank FROM hit WHERE n > 0 QUALIFY rank <= 5""")
 def t7_per_entity_topk(spark, sf_dir):
@@ -292,48 +296,50 @@ def j12_span_containment(spark, sf_dir):
     return found.join(n, "conv_id").select("conv_id", "span_turn", F.when(c("turns") == 1, c("first")).when(c("hits") == 1, c("hit")).alias("turn"))
 
 
-#: Two entities, five facts for each, and a budget for both passes that leaves the second some room.
-HOPS, PER_HOP, HOP_BUDGET, HOP_ENTITY = 2, 5, 2 * BUDGET, "[A-Z][a-z]{2,}"
-MULTI_HOP = PACKED + f""", kept AS (SELECT query_id, id AS fact_id FROM decided WHERE action = 'included' AND kind = 'fact'), spent AS (SELECT query_id, max(used) AS used FROM fold GROUP BY query_id),
- seeds AS (SELECT query_id, unnest(regexp_extract_all(text, '{HOP_ENTITY}')) AS entity FROM kept JOIN documents ON doc_id = fact_id),
- own AS (SELECT doc_id AS query_id, lower(unnest(regexp_extract_all(text, '{HOP_ENTITY}'))) AS word FROM documents WHERE doc_id IN (SELECT query_id FROM kept)),
- ents AS (SELECT query_id, entity, row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, entity) AS hop FROM seeds s
-   WHERE NOT EXISTS (SELECT 1 FROM own o WHERE o.query_id = s.query_id AND o.word = lower(s.entity)) GROUP BY query_id, entity QUALIFY hop <= {HOPS}),
- hits AS (SELECT e.query_id, e.hop, e.entity, f.id AS fact_id, greatest(1, length(f.text) // 4) AS cost,
-   row_number() OVER (PARTITION BY e.query_id, e.hop ORDER BY len(list_filter(regexp_extract_all(lower(f.text), '[a-z0-9]{{3,}}'), lambda x: x = lower(e.entity))) DESC, f.id) AS r
-   FROM ents e JOIN f q ON q.id = e.query_id JOIN f ON f.scope = q.scope AND list_contains(regexp_extract_all(lower(f.text), '[a-z0-9]{{3,}}'), lower(e.entity)) QUALIFY r <= {PER_HOP}),
- fresh AS (SELECT * FROM hits h WHERE NOT EXISTS (SELECT 1 FROM kept k WHERE k.query_id = h.query_id AND k.fact_id = h.fact_id) QUALIFY row_number() OVER (PARTITION BY query_id, fact_id ORDER BY hop) = 1),
- more AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hop, r) AS place FROM fresh),
- fill(query_id, place, used, fits) AS (SELECT query_id, CAST(0 AS BIGINT), used, false FROM spent
-   UNION ALL SELECT l.query_id, l.place, CASE WHEN g.used + l.cost <= {HOP_BUDGET} THEN g.used + l.cost ELSE g.used END, g.used + l.cost <= {HOP_BUDGET} FROM fill g JOIN more l ON l.query_id = g.query_id AND l.place = g.place + 1)
- SELECT l.query_id, l.hop, l.entity, l.fact_id FROM fill g JOIN more l USING (query_id, place) WHERE g.fits"""
+MULTI_HOP = PACKED + f""", inc AS (SELECT * FROM decided WHERE action = 'included'), spent AS (SELECT query_id, max(used) AS used FROM inc GROUP BY query_id),
+ kept AS (SELECT DISTINCT query_id, id FROM inc WHERE kind = 'fact'),
+ eps AS (SELECT conv_id * {TURNS} + turn AS id, {SAID} AS names FROM conversations),
+ head AS (SELECT r.query_id, r.rank, unnest(list_distinct(coalesce(w.names, e.names))) AS entity FROM ranked r LEFT JOIN who w ON r.kind = 'fact' AND w.id = r.id LEFT JOIN eps e ON r.kind = 'episode' AND e.id = r.id WHERE r.rank <= 10),
+ seeds AS (SELECT query_id, unnest(names) AS entity FROM kept JOIN who USING (id) UNION ALL SELECT query_id, entity FROM head WHERE query_id IN (SELECT query_id FROM kept) GROUP BY 1, 2 HAVING count(*) >= 2),
+ ents AS (SELECT s.query_id, s.entity, row_number() OVER (PARTITION BY s.query_id ORDER BY count(*) DESC, s.entity) AS hop FROM seeds s JOIN who q ON q.id = s.query_id JOIN spent p ON p.query_id = s.query_id
+   WHERE p.used < {BUDGET} AND NOT list_contains(list_transform(q.names, lambda x: lower(x)), lower(s.entity)) GROUP BY s.query_id, s.entity QUALIFY hop <= 2),
+ hits AS (SELECT e.query_id, e.hop, e.entity, x.id, x.cost, row_number() OVER (PARTITION BY e.query_id, e.hop ORDER BY len(list_filter(x.lex, lambda w: w = lower(e.entity))) DESC, x.id) AS r
+   FROM ents e JOIN f q ON q.id = e.query_id JOIN f x ON x.scope = q.scope AND x.id <> q.id AND list_contains(x.lex, lower(e.entity)) QUALIFY r <= 5),
+ fresh AS (SELECT * FROM hits h WHERE NOT EXISTS (SELECT 1 FROM kept k WHERE k.query_id = h.query_id AND k.id = h.id) AND h.id NOT IN (SELECT id FROM conf) QUALIFY row_number() OVER (PARTITION BY query_id, id ORDER BY hop) = 1),
+ more AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hop, r) AS n FROM fresh),
+ fill(query_id, n, used, fits) AS (SELECT query_id, CAST(0 AS BIGINT), used, false FROM spent
+   UNION ALL SELECT l.query_id, l.n, CASE WHEN g.used + l.cost <= {BUDGET} THEN g.used + l.cost ELSE g.used END, g.used + l.cost <= {BUDGET} FROM fill g JOIN more l ON l.query_id = g.query_id AND l.n = g.n + 1)
+ SELECT l.query_id, l.hop, l.entity, l.id AS fact_id, g.used FROM fill g JOIN more l USING (query_id, n) WHERE g.fits"""
 
 
 @register("r13_multi_hop", f"WITH RECURSIVE {MULTI_HOP}")
 def r13_multi_hop(spark, sf_dir):
-    """Facts that name what the packed facts name most: two entities for each query, five facts for each, in what budget is left.
-
-    The packed facts come first in the fold and fit again, so what follows them fills the rest.
-    """
-    texts = read(spark, sf_dir, "documents").select("doc_id", "text")
-    scope = read(spark, sf_dir, "embeddings").select("vec_id", "label")
-    named = F.regexp_extract_all("text", F.lit(f"({HOP_ENTITY})"), F.lit(1))
-    decided = written(packed(spark, sf_dir, pool_of(spark, sf_dir)).filter("action = 'included'").select("query_id", "kind", c("id").alias("fact_id"), c("place").alias("rank"), "cost"), "packed")
-    held = decided.filter("kind = 'fact'").drop("kind")
-    own = texts.select(c("doc_id").alias("query_id"), F.transform(named, F.lower).alias("said"))
-    seeds = held.join(texts, c("fact_id") == c("doc_id")).select("query_id", F.explode(named).alias("entity")).groupBy("query_id", "entity").agg(F.count("*").alias("n"))
-    fresh = seeds.join(own, "query_id").filter(~F.array_contains("said", F.lower("entity")))
-    ents = top_k(fresh, ["query_id"], [F.desc("n"), c("entity")], HOPS, "hop").join(scope, c("query_id") == c("vec_id")).select("query_id", "hop", "entity", "label", F.lower("entity").alias("word"))
-    words = texts.join(scope, c("doc_id") == c("vec_id")).select("label", c("doc_id").alias("fact_id"), token_estimate(c("text")).alias("cost"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]{3,})"), F.lit(1))).alias("word"))
-    hits = words.join(ents, ["label", "word"]).groupBy("query_id", "hop", "entity", "fact_id", "cost").agg(F.count("*").alias("n"))
-    near = top_k(hits, ["query_id", "hop"], [F.desc("n"), c("fact_id")], PER_HOP, "r").join(held, ["query_id", "fact_id"], "left_anti")
-    first = near.groupBy("query_id", "fact_id", "cost").agg(F.min(F.struct("hop", "r", "entity")).alias("m"))
-    found = first.select("query_id", "fact_id", "cost", (c("m.hop") * 1000 + c("m.r")).alias("rank"), c("m.hop").alias("hop"), c("m.entity").alias("entity"))
-    # Episodes fill the budget too; they come before what the hops find, under ids of their own.
-    first_pass = decided.select("query_id", "rank", F.when(c("kind") == "fact", c("fact_id")).otherwise(-1 - c("fact_id")).alias("fact_id"), "cost")
-    line = first_pass.unionByName(found.select("query_id", (c("rank") + 1_000_000).alias("rank"), "fact_id", "cost"))
-    kept = greedy_pack(line, "query_id", "rank", "fact_id", "cost", HOP_BUDGET).select("query_id", "fact_id")
-    return found.join(kept, ["query_id", "fact_id"]).select("query_id", "hop", "entity", "fact_id")
+    """Facts that name what the packed facts and the pool's head name most, in what the one budget has left; contested facts stay out."""
+    pool = written(pool_of(spark, sf_dir), "pool")
+    named, facts = names_of(spark, sf_dir), facts_of(spark, sf_dir)
+    turns = read(spark, sf_dir, "conversations").select((c("conv_id") * TURNS + c("turn")).alias("id"), entity_tokens(c("text")).alias("names"))
+    every = named.withColumn("kind", F.lit("fact")).unionByName(turns.withColumn("kind", F.lit("episode")))
+    decided = written(packed(spark, sf_dir, pool).filter("action = 'included'").select("query_id", "kind", "id", "used"), "packed")
+    head = written(fused(spark, sf_dir, pool).filter(c("rank") <= HEAD).select("query_id", "rank", "kind", "id"), "head")
+    queries = facts.filter(c("id") % EVERY == 0).select(c("id").alias("query_id"), "scope").join(named.withColumnRenamed("id", "query_id"), "query_id")
+    free = facts.select("scope", "id", "cost", c("lex").alias("words")).join(contested(spark, sf_dir).select("id"), "id", "left_anti")
+    found = second_hop(decided.join(every, ["kind", "id"]), head.join(every, ["kind", "id"]), queries, free, BUDGET)
+    return found.select("query_id", "hop", "entity", c("id").alias("fact_id"), "used")
+
+
+@register("t4_legacy_order", f"""WITH {FUSED} SELECT query_id, kind, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, place, tie_a, tie_b, id) AS rank
+ FROM (SELECT x.*, round((0.6 * x.similarity + 0.25 * 0.1 * x.overlap + 0.15 * exp(-x.recency / 720.0)) * CASE WHEN x.kind = 'fact' AND w.names[1] IS NOT NULL AND len(q.names) > 0 AND NOT list_contains(q.names, w.names[1]) THEN 0.7 ELSE 1.0 END, 6) AS score
+   FROM passed x JOIN who q ON q.id = x.query_id LEFT JOIN who w ON x.kind = 'fact' AND w.id = x.id)""")
+def t4_legacy_order(spark, sf_dir):
+    """The older order: a sum of raw similarity, cover density and recency."""
+    named = names_of(spark, sf_dir)
+    people = named.select(F.lit("fact").alias("kind"), "id", F.get("names", F.lit(0)).alias("person"))
+    asked_for = named.filter(c("id") % EVERY == 0).select(c("id").alias("query_id"), c("names").alias("asked"))
+    pool = pool_of(spark, sf_dir).filter(c("distance") <= FLOOR).join(people, ["kind", "id"], "left").join(asked_for, "query_id")
+    raw = legacy_score(1 - c("distance"), 0.1 * c("overlap"), F.exp(-c("recency") / 720.0))
+    scored = pool.withColumn("score", F.round(raw * person_factor(c("person"), c("asked")), 6))
+    w = W.partitionBy("query_id").orderBy(F.desc("score"), "place", "tie_a", "tie_b", "id")
+    return scored.select("query_id", "kind", "id", F.row_number().over(w).cast("long").alias("rank"))
 
 
 WORDS = "list_distinct(list_transform(regexp_extract_all({x}, '[\\p{{L}}\\p{{N}}_]{{3,}}'), lambda w: lower(w)))"

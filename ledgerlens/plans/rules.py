@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from ..functions import messages as M
 from ..functions.lexical import english_lexemes, english_rank
+from ..functions.names import ENTITY, entity_tokens
 from ..operators import consolidation as K
 from ..sources.tables import events, read, twin
 from .registry import register
-from .retrieval import ENTITY, NAMES, entity_tokens
+from .retrieval import NAMES
 
 c = F.col
 
@@ -295,7 +296,7 @@ def f_legacy_score(spark, sf_dir):
 def f_entity_factor(spark, sf_dir):
     """A fact about a person whom the question, which names others, does not name counts for less: here the first name of a turn and
     the names of the next one."""
-    from ..operators.ranking import MATCH, MISMATCH
+    from ..functions.names import MATCH, MISMATCH
 
     w = W.partitionBy("conv_id").orderBy("turn")
     t = read(spark, sf_dir, "conversations").withColumn("names", entity_tokens(c("text"))).withColumn("asked", F.lead("names").over(w))
