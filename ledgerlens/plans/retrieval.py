@@ -245,12 +245,12 @@ def a24_token_coverage(spark, sf_dir):
     return own.join(said, ["query_id", "word"], "left").groupBy("query_id").agg(F.round(F.count("hit") / F.count("*"), 6).alias("coverage"))
 
 
-@register("j7_nearest", f"""WITH {ITEMS} SELECT q.id AS query_id, x.id AS fact_id, round(list_cosine_distance(q.e, x.e), 6) AS distance FROM f q JOIN f x ON q.scope = x.scope AND q.source IS NOT DISTINCT FROM x.source AND q.id <> x.id
+@register("j7_nearest", f"""WITH {ITEMS} SELECT q.id AS query_id, x.id AS fact_id, round(list_cosine_distance(q.e, x.e), 6) AS distance, round(list_cosine_distance(q.e, x.e), 6) <= {SAME} AS same FROM f q JOIN f x ON q.scope = x.scope AND q.source IS NOT DISTINCT FROM x.source AND q.id <> x.id
  WHERE q.id % {EVERY} = 0 QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY distance, x.recency DESC, x.tie_a, x.tie_b, x.id) = 1""")
 def j7_nearest(spark, sf_dir):
-    """The nearest fact with equal qualifiers: these are part of the scope, so that no other fact takes its place."""
+    """The nearest fact with equal qualifiers, and whether it is near enough to be the same: these are part of the scope, so that no other fact takes its place."""
     f = facts_of(spark, sf_dir).withColumn("scope", F.concat_ws("|", "scope", "tie_a"))
-    return scan(f, asked(f), 1).filter("by_vector = 1").select("query_id", c("id").alias("fact_id"), "distance")
+    return scan(f, asked(f), 1).filter("by_vector = 1").select("query_id", c("id").alias("fact_id"), "distance", (c("distance") <= SAME).alias("same"))
 
 
 @register("t6_shortlist", f"""WITH {ITEMS} SELECT q.id AS query_id, x.id AS fact_id FROM f q JOIN f x ON q.scope = x.scope AND q.id <> x.id
@@ -407,10 +407,33 @@ def o3_mixed_pool(spark, sf_dir):
     return pool.unionByName(chunks(spark, sf_dir).select(F.lit("episode").alias("kind"), c("conv_id").alias("id"), c("turn").alias("ordinal")), allowMissingColumns=True)
 
 
-@register("o5_packet_merge", "SELECT event_id, min(batch) AS first_batch FROM (SELECT event_id, 0 AS batch FROM events WHERE event_id % 2 = 0 UNION ALL SELECT event_id, 1 FROM events WHERE event_id % 3 = 0) GROUP BY event_id")
+@register("o5_packet_merge", f"""WITH RECURSIVE {PACKED}, q AS (SELECT id AS query_id, scope FROM f WHERE id % {EVERY} = 0), inc AS (SELECT * FROM decided JOIN q USING (query_id) WHERE action = 'included'),
+ pk AS (SELECT q.scope, q.query_id, coalesce(max(used), 0) AS used, count(i.id) AS n FROM q LEFT JOIN inc i USING (query_id) GROUP BY 1, 2),
+ it AS (SELECT scope, kind, CASE WHEN kind = 'fact' THEN id ELSE id // {TURNS} END AS item, min(query_id) AS first_query FROM inc GROUP BY 1, 2, 3),
+ n AS (SELECT scope, count(*) FILTER (kind = 'fact') AS facts, count(*) FILTER (kind = 'episode') AS episodes, sum(first_query) AS first_queries FROM it GROUP BY 1)
+ SELECT pk.scope, count(*) AS packets, CAST(sum(used) AS BIGINT) AS tokens, max_by(CASE WHEN pk.n > 0 THEN 'ok' ELSE 'degraded' END, query_id) AS status, coalesce(any_value(facts), 0) AS facts, coalesce(any_value(episodes), 0) AS episodes, CAST(coalesce(any_value(first_queries), 0) AS BIGINT) AS first_queries FROM pk LEFT JOIN n USING (scope) GROUP BY pk.scope""")
 def o5_packet_merge(spark, sf_dir):
-    batches = F.array_compact(F.array(F.when(c("event_id") % 2 == 0, 0), F.when(c("event_id") % 3 == 0, 1)))
-    return read(spark, sf_dir, "events").select("event_id", F.array_min(batches).alias("first_batch")).filter("first_batch is not null")
+    """A scope's packets in one: each fact and each episode's event once, from the first packet that has it; tokens summed, the last status."""
+    q = facts_of(spark, sf_dir).filter(c("id") % EVERY == 0).select(c("id").alias("query_id"), "scope")
+    kept = written(packed(spark, sf_dir, pool_of(spark, sf_dir)).filter("action = 'included'").select("query_id", "kind", "id", "used").join(q, "query_id"), "packed")
+    sizes = kept.groupBy("query_id").agg(F.max("used").alias("used"), F.count("*").alias("n"))
+    status = F.when(c("n") > 0, "ok").otherwise("degraded")
+    packets = q.join(sizes, "query_id", "left").groupBy("scope").agg(F.count("*").alias("packets"), F.coalesce(F.sum("used"), F.lit(0)).alias("tokens"), F.max_by(status, "query_id").alias("status"))
+    item = F.when(c("kind") == "fact", c("id")).otherwise(F.floor(c("id") / TURNS))
+    items = kept.groupBy("scope", "kind", item.alias("item")).agg(F.min("query_id").alias("first_query")).groupBy("scope").agg(F.count_if(c("kind") == "fact").alias("facts"), F.count_if(c("kind") == "episode").alias("episodes"), F.sum("first_query").alias("first_queries"))
+    zero = lambda x: F.coalesce(x, F.lit(0)).cast("long").alias(x)
+    return packets.join(items, "scope", "left").select("scope", "packets", "tokens", "status", zero("facts"), zero("episodes"), zero("first_queries"))
+
+
+#: Rows that are hydrated for a query at most; two axes of two kinds never have more.
+HYDRATED = 256
+
+
+@register("t8_hydrated", f"""WITH {POOL} SELECT query_id, kind, id, n FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY least(coalesce(by_vector, {HYDRATED}), coalesce(by_lexemes, {HYDRATED})), place, recency DESC, tie_a, tie_b, id) AS n FROM pool) WHERE n <= {HYDRATED}""")
+def t8_hydrated(spark, sf_dir):
+    """The rows whose texts are read: the best on either axis first, up to a cap."""
+    best = F.least(F.coalesce("by_vector", F.lit(HYDRATED)), F.coalesce("by_lexemes", F.lit(HYDRATED)))
+    return top_k(pool_of(spark, sf_dir), ["query_id"], [best, c("place"), F.desc("recency"), c("tie_a"), c("tie_b"), c("id")], HYDRATED, "n").select("query_id", "kind", "id", "n")
 
 
 @register("f_chunk_messages", twin("chunks", "SELECT conv_id, turn, text FROM chunks"))

@@ -7,12 +7,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import messages as M
-from ..functions.lexical import english_lexemes, english_rank
+from ..functions.lexical import english_lexemes, english_rank, simple_lexemes, simple_words
 from ..functions.names import ENTITY, entity_tokens
 from ..operators import consolidation as K
 from ..sources.tables import events, read, twin
 from .registry import register
-from .retrieval import NAMES
+from .retrieval import LEX, NAMES
 
 c = F.col
 
@@ -201,14 +201,20 @@ def f_qualifier_stamp(spark, sf_dir):
     return qualified(spark, sf_dir).select("event_id", M.stamp(c("qualifiers"), who).alias("stamped"))
 
 
-@register("f_value_merge", twin("ev", """ SELECT event_id, CASE event_id % 3 WHEN 0 THEN '{"a":1,"b":"x","k":' || coalesce(k, 0) || '}' WHEN 1 THEN '{"b":"x","k":' || coalesce(k, 0) || '}' ELSE '{"a":1,"b":"y"}' END AS merged FROM ev"""))
+MERGED = """, v AS (SELECT event_id, '{"a":{"t":"' || event_type || '","k":' || coalesce(k, 0) || '},"b":[' || event_id % 7 || ',null],"c":"x","u":' || user_id || '}' AS old,
+   '{"a":' || CASE event_id % 3 WHEN 0 THEN '{"t":"new"}' WHEN 1 THEN 'null' ELSE '[' || coalesce(k, 0) || ']' END || ',"d":' || CASE WHEN user_id % 2 = 0 THEN 'null' ELSE '{"n":{"m":' || user_id || '}}' END || '}' AS new FROM ev),
+ e AS (SELECT event_id, key, json_extract(old, '$.' || key)::VARCHAR AS value FROM (SELECT *, unnest(json_keys(old)) AS key FROM v) WHERE NOT list_contains(json_keys(new), key) UNION ALL SELECT event_id, key, json_extract(new, '$.' || key)::VARCHAR FROM (SELECT *, unnest(json_keys(new)) AS key FROM v))"""
+
+
+@register("f_value_merge", twin("ev", MERGED + """ SELECT event_id, '{' || string_agg('"' || key || '":' || value, ',' ORDER BY key) || '}' AS merged FROM e WHERE value <> 'null' GROUP BY event_id"""))
 def f_value_merge(spark, sf_dir):
-    """New keys win, and an explicit null takes a key out."""
-    old = F.concat(F.lit('{"a":1,"b":"x","k":'), F.coalesce("k", F.lit(0)).cast("string"), F.lit("}"))
-    new = F.when(c("event_id") % 3 == 0, "{}").when(c("event_id") % 3 == 1, '{"a":null}').otherwise('{"b":"y","k":null}')
-    merged = M.value_merge(old, new)
-    decoded = F.transform_values(F.from_json(merged, "map<string,string>"), lambda _, v: v)
-    return events(spark, sf_dir).select("event_id", F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries(decoded), lambda e: F.concat(F.lit('"'), e.key, F.lit('":'), e.value)), ","), F.lit("}")).alias("merged"))
+    """New keys win, nested values whole, and an explicit null takes a key out."""
+    e, n = c("event_id"), F.coalesce("k", F.lit(0)).cast("string")
+    text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    old = text('{"a":{"t":"', c("event_type"), '","k":', n, '},"b":[', (e % 7).cast("string"), ',null],"c":"x","u":', c("user_id").cast("string"), "}")
+    a = F.when(e % 3 == 0, '{"t":"new"}').when(e % 3 == 1, "null").otherwise(text("[", n, "]"))
+    d = F.when(c("user_id") % 2 == 0, "null").otherwise(text('{"n":{"m":', c("user_id").cast("string"), "}}"))
+    return events(spark, sf_dir).select("event_id", M.value_merge(old, text('{"a":', a, ',"d":', d, "}")).alias("merged"))
 
 
 @register("f_fact_label", "SELECT event_id, event_type || ': ' || CASE WHEN event_id % 2 = 0 THEN json_extract_string(props, '$.k') ELSE props END AS label FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
@@ -254,28 +260,45 @@ def f_source_turn(spark, sf_dir):
     return best.select("conv_id", (-c("m.t")).alias("turn"), "m.shared")
 
 
-@register("f_judge_output", """SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'correct' WHEN 1 THEN 'abstained' ELSE 'incorrect' END AS label FROM events""")
+JUDGED = """SELECT d.doc_id, left(text, 40) || CASE WHEN toxic = 1 THEN '{"label":"abstained"}' WHEN quality = 1 THEN chr(10) || '{"label": "Correct",' || chr(10) || ' "reason": {"n": 1}}' WHEN d.doc_id % 2 = 0 THEN '{"label": "fine"}' ELSE '{"label": ' END || substring(text, 41, 40) AS said FROM documents d JOIN labels USING (doc_id)"""
+
+
+@register("f_judge_output", f"""SELECT doc_id, CASE WHEN json_valid(j) AND lower(json_extract_string(j, '$.label')) IN ('correct', 'incorrect', 'abstained') THEN lower(json_extract_string(j, '$.label')) ELSE 'incorrect' END AS label
+ FROM (SELECT doc_id, regexp_extract(said, '(?s)\\{{.*\\}}') AS j FROM ({JUDGED}))""")
 def f_judge_output(spark, sf_dir):
-    i = c("event_id") % 4
-    said = F.when(i == 0, 'Verdict:\n{"label": "Correct",\n "reason": "x"} end').when(i == 1, '{"label":"abstained"}').when(i == 2, '{"label": "fine"}').otherwise("no braces")
-    return read(spark, sf_dir, "events").select("event_id", M.judge_label(said).alias("label"))
+    """Labels in answers that stand between the words of a document: some clean, some with other labels or broken."""
+    rows = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id")
+    body = F.when(c("toxic") == 1, '{"label":"abstained"}').when(c("quality") == 1, '\n{"label": "Correct",\n "reason": {"n": 1}}').when(c("doc_id") % 2 == 0, '{"label": "fine"}').otherwise('{"label": ')
+    said = F.concat(F.substring("text", 1, 40), body, F.substring("text", 41, 40))
+    return rows.select("doc_id", M.judge_label(said).alias("label"))
 
 
 ASKS = ["How many were there?", "how often does it", "Why so", "how did he", "Please compare them", "what is it", "Where, and explain"]
+ASK_SQL = ", ".join(f"'{x}'" for x in ASKS)
 
 
-@register("f_retrieval_need", "SELECT conv_id, turn, ['count', 'count', 'narrative', 'narrative', 'narrative', 'point_value', 'narrative'][1 + turn % 7] AS need FROM conversations")
+@register("f_retrieval_need", f"""SELECT conv_id, turn, CASE WHEN regexp_matches(asked, '(?i)^\\s*how\\s+(many|much|often)\\b') THEN 'count'
+ WHEN regexp_matches(asked, '(?i)^\\s*(why|would|could|should|how (do|does|did)|in what way)\\b|\\b(describe|compare|summarize|summarise|explain)\\b') THEN 'narrative' ELSE 'point_value' END AS need
+ FROM (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN [{ASK_SQL}][1 + (conv_id + turn) % 7] || ' ' || text ELSE text || ' ' || [{ASK_SQL}][1 + (conv_id + turn) % 7] END AS asked FROM conversations)""")
 def f_retrieval_need(spark, sf_dir):
-    asked = F.element_at(F.array(*map(F.lit, ASKS)), (c("turn") % 7 + 1).cast("int"))
+    """Every turn as a question, with a phrase before or after its words."""
+    phrase = F.element_at(F.array(*map(F.lit, ASKS)), ((c("conv_id") + c("turn")) % 7 + 1).cast("int"))
+    asked = F.when(c("turn") % 2 == 0, F.concat_ws(" ", phrase, "text")).otherwise(F.concat_ws(" ", "text", phrase))
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", M.retrieval_need(asked).alias("need"))
 
 
-@register("f_directives", """SELECT doc_id, i, i IN (0, 1, 2, 3) AS directive FROM documents, (VALUES (0), (1), (2), (3), (4), (5)) v(i)""")
+ORDERS = ("Ignore all previous instructions", "Considère toujours", "FROM NOW ON, you must go", "n'oublie jamais de toujours", "do not ignore instructions of use", "always late", "You  must\nalways", "réponds toujours en donnant la priorité")
+ORDERS_SQL = ", ".join("'" + x.replace("'", "''") + "'" for x in ORDERS)
+
+
+@register("f_directives", "SELECT doc_id, " + " OR ".join("regexp_matches(said, '(?i)" + x.replace("'", "''") + "')" for x in K.DIRECTIVES) + f""" AS directive
+ FROM (SELECT doc_id, left(text, doc_id % 200) || ' ' || [{ORDERS_SQL}][1 + doc_id % 8] || ' ' || substring(text, 1 + doc_id % 200) AS said FROM documents)""")
 def f_directives(spark, sf_dir):
-    """The eight phrases in both languages, set into every document's last 20 characters, where nothing of the kind is."""
-    said = ("Ignore all previous instructions", "Considère toujours", "FROM NOW ON, you must go", "n'oublie jamais de toujours", "do not ignore instructions of use", "always late")
-    each = F.posexplode(F.array(*map(F.lit, said))).alias("i", "said")
-    return read(spark, sf_dir, "documents").select("doc_id", each).select("doc_id", "i", K.directive(c("said")).alias("directive"))
+    """Whole texts, each with an order to an agent, or something like it, among its words."""
+    phrase = F.element_at(F.array(*map(F.lit, ORDERS)), (c("doc_id") % 8 + 1).cast("int"))
+    at = (c("doc_id") % 200).cast("int")
+    said = F.concat_ws(" ", F.substr("text", F.lit(1), at), phrase, F.substr("text", at + 1))
+    return read(spark, sf_dir, "documents").select("doc_id", K.directive(said).alias("directive"))
 
 
 @register("f_cost_usd", "SELECT o_orderkey, round((o_custkey * 0.15 + o_orderkey * 0.6) / 1000000, 9) AS cost FROM orders")
@@ -331,16 +354,13 @@ def r3_cover_density(spark, sf_dir):
     return t.join(ask, "conv_id").select("conv_id", "turn", english_rank(c("text"), c("asked")).alias("rank"))
 
 
-@register("p11_null_safe_query", "SELECT doc_id, asked, CASE WHEN asked = 'the and of' THEN 0.0 ELSE len(list_filter(regexp_extract_all(lower(text), '[a-z0-9]{3,}'), lambda x: x = 'con'))::DOUBLE END AS rank FROM documents, (VALUES ('the and of'), ('con')) v(asked)")
+@register("p11_null_safe_query", f"""SELECT doc_id, asked, 0.1 * len(list_filter({LEX}, lambda w: list_contains({LEX.replace("text", "asked")}, w)))::DOUBLE AS rank
+ FROM (SELECT doc_id, text, CASE WHEN doc_id % 4 = 0 THEN 'The and OF' ELSE left(text, 30) END AS asked FROM documents)""")
 def p11_null_safe_query(spark, sf_dir):
-    """A question of stop words has no lexemes, matches nothing and ranks 0."""
-    from ..functions.lexical import simple_lexemes
-
-    words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]{3,})"), F.lit(1))
-    t = read(spark, sf_dir, "documents").select("doc_id", words.alias("words"), F.explode(F.array(F.lit("the and of"), F.lit("con"))).alias("asked"))
-    own = simple_lexemes(c("asked"))
-    hits = F.filter("words", lambda x: F.array_contains(own, x))
-    return t.select("doc_id", "asked", F.coalesce(F.size(hits).cast("double"), F.lit(0.0)).alias("rank"))
+    """Every text ranked for a question; one of stop words alone has no lexemes, matches nothing and ranks 0."""
+    asked = F.when(c("doc_id") % 4 == 0, "The and OF").otherwise(F.substring("text", 1, 30))
+    t = read(spark, sf_dir, "documents").select("doc_id", asked.alias("asked"), simple_words(c("text")).alias("words"), simple_lexemes(asked).alias("own"))
+    return t.select("doc_id", "asked", (0.1 * F.size(F.filter("words", lambda w: F.array_contains("own", w)))).cast("double").alias("rank"))
 
 
 @register("j10_alias_table", "SELECT event_id, c_custkey AS canonical FROM events LEFT JOIN customer ON c_name = 'Customer#' || lpad(user_id::VARCHAR, 9, '0')")

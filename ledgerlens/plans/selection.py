@@ -12,10 +12,9 @@ from ..operators.ranking import top_k
 from ..sources.tables import chunks, events, facts, read, twin
 from .lifecycle import ledger, now
 from .registry import register
-from .retrieval import BUDGET, EVERY, FACTS, FLOOR, PACKED, SAME, context, fact_candidates, facts_of
+from .retrieval import BUDGET, EVERY, FACTS, ITEMS, FLOOR, PACKED, SAME, context, episodes_of, fact_candidates, facts_of
 
 c = F.col
-ASKED = ("there", "with", "from")
 
 
 def at(moment: str):
@@ -28,14 +27,23 @@ def p1_scope_filter(spark, sf_dir):
     return read(spark, sf_dir, "events").filter((c("user_id") % 3 == 1) & (c("user_id") == 7)).select("event_id", "user_id")
 
 
-@register("p3_episode_scope", twin("chunks", "SELECT conv_id, turn FROM chunks WHERE subject = 3 AND occurred_at <= TIMESTAMP '2024-01-05 00:00:00'"))
+@register("p3_episode_scope", f"""WITH {ITEMS} SELECT q.id AS query_id, count(x.id) AS episodes, max(x.id) AS last FROM f q LEFT JOIN ep x ON x.scope = q.scope AND x.recency <= q.id WHERE q.id % {EVERY} = 0 GROUP BY 1""")
 def p3_episode_scope(spark, sf_dir):
-    return chunks(spark, sf_dir).filter((c("subject") == 3) & (c("occurred_at") <= at("2024-01-05 00:00:00"))).select("conv_id", "turn")
+    """The episodes that each question may be answered from: of its scope, with a vector, of a trusted origin, no later than it (its
+    number is its hour)."""
+    q = facts_of(spark, sf_dir).filter(c("id") % EVERY == 0).select(c("id").alias("query_id"), "scope")
+    own = episodes_of(spark, sf_dir).select("scope", "id", "recency")
+    met = own.join(q, "scope").filter(c("recency") <= c("query_id")).groupBy("query_id").agg(F.count("*").alias("n"), F.max("id").alias("last"))
+    return q.join(met, "query_id", "left").select("query_id", F.coalesce("n", F.lit(0)).alias("episodes"), "last")
 
 
-@register("p4_lexical_match", "SELECT doc_id FROM documents WHERE list_has_any(regexp_extract_all(lower(text), '[a-z0-9]{3,}'), ['there', 'with', 'from'])")
+@register("p4_lexical_match", f"WITH {ITEMS} SELECT q.id AS query_id, x.id AS fact_id FROM f q JOIN f x ON q.scope = x.scope AND q.id <> x.id AND list_has_any(q.lex, x.lex) WHERE q.id % {EVERY} = 0")
 def p4_lexical_match(spark, sf_dir):
-    return read(spark, sf_dir, "documents").filter(F.arrays_overlap(lexemes(c("text")), F.array(*map(F.lit, ASKED)))).select("doc_id")
+    """Facts of a question's scope with any of its lexemes: they meet by scope and lexeme."""
+    f = facts_of(spark, sf_dir)
+    words = f.select("scope", "id", F.explode(F.array_distinct("lex")).alias("lexeme"))
+    q = words.filter(c("id") % EVERY == 0).withColumnRenamed("id", "query_id")
+    return words.join(q, ["scope", "lexeme"]).filter("id <> query_id").select("query_id", c("id").alias("fact_id")).distinct()
 
 
 SETS = "SELECT event_id, CASE WHEN count(*) OVER w = 1 THEN 'quarantined' ELSE 'contested' END AS state, count(*) OVER w - 1 AS siblings FROM ev WINDOW w AS (PARTITION BY user_id, event_type, coalesce(k % 3, -1))"
