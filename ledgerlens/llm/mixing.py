@@ -20,6 +20,7 @@ from collections import defaultdict, deque
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import WORD, broadcast_few, fresh, in_order, materialise
 
@@ -176,7 +177,14 @@ def numbered(docs: DataFrame, text: str, key: str, sources: Column | None) -> tu
     moved = placed.join(counts, same(placed, counts) & (placed[part] == counts[part]))
     moved = moved.select(*[placed[x] for x in told.columns], (F.col(local) + F.col(before) - 1).cast("long").alias(names[2]))
     single = told.join(several, same(told, several), "left_anti").withColumn(names[2], F.lit(0).cast("long"))
-    return single.unionByName(moved), names
+    return single.unionByName(as_required(moved, single.schema)), names
+
+
+def as_required(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """Rows that were written and read again, with the columns that can't be null known as such."""
+    known = (T.NumericType, T.StringType, T.BooleanType)
+    sure = {f.name for f in schema if not f.nullable and isinstance(f.dataType, known)}
+    return df.select(*[F.coalesce(F.col(f.name), F.lit(0).cast(f.dataType)).alias(f.name) if f.name in sure else F.col(f.name) for f in schema])
 
 
 def _mixed_rows(docs: DataFrame, names: list[str], text: str, key: str, sources: Column | None, weights: tuple[int, ...] = (1, 2, 3), repeats: int = 3, seed: int = 7) -> DataFrame:

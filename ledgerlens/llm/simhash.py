@@ -5,8 +5,8 @@ bits agree on ``budget``-less-than-all of any split of their bits into blocks; e
 key, and fingerprints that share a key form a cell. More fingerprints get finer blocks, so cells stay small on average; a
 cell over ``CELL`` is dealt out as pairs of its parts. Inside a task the cells are implicit binary tries over sorted
 fingerprints, and pairs of trie nodes are traversed together, level by level, adding up differing bits and dropping a pair
-whose sum exceeds the budget. A task reports only a spanning forest of the links it finds, never all pairs. The forests are
-merged into components by alternating large-star and small-star steps.
+whose sum exceeds the budget. A task reports only a spanning forest of the links it finds, never all pairs; where links are to be
+verified, a minimum one of real links. The forests are merged into components by alternating large-star and small-star steps.
 """
 
 from __future__ import annotations
@@ -29,8 +29,9 @@ CELL = 512
 PAIRS_AT_ONCE = 100_000
 
 
-#: Odd multipliers that make further hash values of a shingle from its XXH64 value, as other seeds would.
-MIXERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+def mixer(i: int) -> int:
+    """The i-th odd multiplier that makes further hash values of a shingle from its XXH64 value, as other seeds would."""
+    return (0x9E3779B97F4A7C15 * (2 * i + 1) ^ (i * 0xC2B2AE3D27D4EB4F)) % (1 << 64) | 1
 
 
 def fingerprints(text: str | None, shingle: int, seed: int = 42, several: int = 1) -> list[int]:
@@ -48,7 +49,7 @@ def fingerprints(text: str | None, shingle: int, seed: int = 42, several: int =
     hashes, out = np.array([digest(joined[a : b - 1], seed) for a, b in spans], dtype="<u8"), []
     for i in range(several):
         if i:
-            mixed = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(MIXERS[i - 1])
+            mixed = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(mixer(i))
             hashes_i = mixed ^ (mixed >> np.uint64(32))
         else:
             hashes_i = hashes
@@ -60,6 +61,24 @@ def fingerprints(text: str | None, shingle: int, seed: int = 42, several: int =
     return out
 
 
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """The distinct XXH64 values of a text's word shingles, in order."""
+    words = text.encode().lower().split() if text else []
+    size = min(shingle, len(words))
+    each = {xxhash.xxh64_intdigest(b" ".join(words[i : i + size]), 42) for i in range(len(words) - size + 1)} if words else ()
+    return np.sort(np.array(list(each), dtype=np.uint64).view(np.int64))
+
+
+def shingle_sets(text: str, shingle: int):
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        frugal()
+        for batch in batches:
+            yield pd.Series([shingle_set(t, shingle) for t in batch], dtype=object)
+
+    return udf(F.col(text))
+
+
 def fingerprint_column(text: str, shingle: int):
     @F.pandas_udf(T.LongType())
     def udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -122,8 +141,28 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
-def _cell_links(budget: int):
-    """Over batches sorted by cell: (u, root) links of each cell's spanning forest."""
+def nearest_forest(n: int, a: np.ndarray, b: np.ndarray, distance: np.ndarray) -> np.ndarray:
+    """Which of the links (a, b) make a minimum spanning forest of n nodes: two linked nodes meet over links no longer than theirs."""
+    root, kept = np.arange(n), []
+    for d in np.unique(distance):
+        links = np.flatnonzero(distance == d)
+        while True:
+            ra, rb = root[a[links]], root[b[links]]
+            links, ra, rb = links[ra != rb], ra[ra != rb], rb[ra != rb]
+            if not len(links):
+                break
+            high, first = np.unique(np.maximum(ra, rb), return_index=True)  # each of these joins a lower one, so none goes round
+            kept.append(links[first])
+            up = np.arange(n)
+            up[high] = np.minimum(ra, rb)[first]
+            while (up[up] != up).any():
+                up = up[up]
+            root = up[root]
+    return np.concatenate(kept or [np.empty(0, np.int64)])
+
+
+def _cell_links(budget: int, real: bool = False):
+    """Over batches sorted by cell: (u, root) links of each cell's spanning forest; with ``real``, near pairs of a minimum one."""
 
     def links(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
         cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
@@ -137,6 +176,11 @@ def _cell_links(budget: int):
             lo = starts[own][0]
             part = fps[lo : ends[own][-1]]
             a, b = trie_pairs(part, starts[own] - lo, ends[own] - lo, budget)
+            if real:
+                own = nearest_forest(len(part), a, b, np.bitwise_count(part[a] ^ part[b]))
+                u.append(part[a[own]])
+                v.append(part[b[own]])
+                continue
             root = forest(len(part), a, b)
             moved = np.flatnonzero(root != np.arange(len(part)))
             u.append(part[moved])
@@ -173,8 +217,11 @@ def block_masks(n: int, budget: int) -> list[int]:
     return [sum(c) for c in combinations(each, blocks - budget)]
 
 
-def near_links(fps: DataFrame, budget: int) -> DataFrame:
-    """Links (u, v) whose components are those of all pairs of distinct fingerprints (column ``fp``) within the budget."""
+def near_links(fps: DataFrame, budget: int, real: bool = False) -> DataFrame:
+    """Links (u, v) whose components are those of all pairs of distinct fingerprints (column ``fp``) within the budget.
+
+    With ``real`` each link is such a pair itself, and near pairs are linked over the nearest.
+    """
     n = fps.count()
     signed = [m - (1 << 64) if m >> 63 else m for m in block_masks(n, budget)]
     keyed = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("block"), F.col("fp").bitwiseAND(F.lit(m)).alias("part")) for i, m in enumerate(signed)])).alias("k")).select("k.*", "fp")
@@ -186,7 +233,7 @@ def near_links(fps: DataFrame, budget: int) -> DataFrame:
     others = F.when(F.col("cuts").isNull(), F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda q: F.least(q, own) * F.col("cuts") + F.greatest(q, own)))
     cells = cut.select("block", "part", F.explode(others).alias("cell"), "fp")
     dealt = cells.repartition("block", "part", "cell").sortWithinPartitions("block", "part", "cell")
-    return dealt.select("block", "part", "cell", "fp").mapInArrow(_cell_links(budget), "u long, v long")
+    return dealt.select("block", "part", "cell", "fp").mapInArrow(_cell_links(budget, real), "u long, v long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -245,11 +292,43 @@ def joint_components(classes: DataFrame, budget: int, several: int) -> DataFrame
     return components(reduce(DataFrame.union, edges))
 
 
-def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5, budget: int = 4, several: int = 1) -> DataFrame:
+def verified_links(docs: DataFrame, classes: DataFrame, budget: int, several: int, text: str, key: str, marks: list, shingle: int, least: float) -> DataFrame:
+    """(u, v) of classes (``node``, ``fps``, ``first``) near in any fingerprint whose texts' shingle sets have a Jaccard of ``least``.
+
+    Classes that share a value of a fingerprint are linked to the least of them, which stands for the value; near values of it are
+    linked over the nearest. Only texts of linked classes are hashed again, and sets meet only if their sizes allow.
+    """
+    links = []
+    for i in range(several):
+        own = classes.select("node", F.element_at("fps", i + 1).alias("fp"))
+        values = materialise(own.groupBy("fp").agg(F.min("node").alias("stands"), F.count("*").alias("n")), "values")
+        near = near_links(values.select("fp"), budget, real=True)
+        name = lambda c: values.select(F.col("fp").alias(c), F.col("stands").alias(f"{c}_stands"))
+        links.append(near.join(name("u"), "u").join(name("v"), "v").select(F.col("u_stands").alias("u"), F.col("v_stands").alias("v")))
+        links.append(own.join(values.filter("n > 1"), "fp").select(F.col("node").alias("u"), F.col("stands").alias("v")))
+    both = reduce(DataFrame.union, links).filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    both = materialise(both, "candidates")
+    named = materialise(classes.join(both.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node", "left_semi").select("node", "first.id", "first.h1", "first.h2"), "linked")
+    n, h1, h2 = [F.col(f"l_{x}") for x in ("id", "h1", "h2")]
+    slim = docs.select(F.col(key).alias("own_id"), marks[0].alias("own_h1"), marks[1].alias("own_h2"), F.col(text).alias("text"))
+    firsts = broadcast_few(named.select("node", F.col("id").alias("l_id"), F.col("h1").alias("l_h1"), F.col("h2").alias("l_h2")))
+    texts = slim.join(firsts, F.col("own_id").eqNullSafe(n) & (F.col("own_h1") == h1) & (F.col("own_h2") == h2)).dropDuplicates(["node"])
+    sets = materialise(texts.select("node", shingle_sets("text", shingle).alias("set")), "sets")
+    sizes = sets.select("node", F.size("set").alias("n"))
+    size = lambda c: sizes.select(F.col("node").alias(c), F.col("n").alias(f"{c}n"))
+    fits = both.join(size("u"), "u").join(size("v"), "v").filter(F.least("un", "vn") >= least * F.greatest("un", "vn"))
+    whole = lambda c: sets.select(F.col("node").alias(c), F.col("set").alias(f"{c}s"))
+    met = fits.join(whole("u"), "u").join(whole("v"), "v").withColumn("shared", F.size(F.array_intersect("us", "vs")))
+    alike = (F.col("un") + F.col("vn") == 0) | (F.col("shared") >= least * (F.col("un") + F.col("vn") - F.col("shared")))
+    return met.filter(alike).select("u", "v")
+
+
+def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5, budget: int = 4, several: int = 1, least: float | None = None) -> DataFrame:
     """The documents without near-duplicates: of each component the smallest row, all columns kept.
 
     Texts are near if any of their ``several`` fingerprints are, each of which is another draw of the same similarity, so more
-    of them find more of the near copies. Rows are told apart by key and text, so rows that share a key, or have none, are near
+    of them find more of the near copies. With ``least`` a link counts only if the texts' sets of shingles have that Jaccard
+    similarity: links are taken over the nearest fingerprints, and texts that only the unlike connect stay apart. Rows are told apart by key and text, so rows that share a key, or have none, are near
     copies only if their texts are. Rows are ordered by key, those without one last, then by hashes of the text; of rows with
     the same key and text one stays. Null, empty and blank texts are copies of each other; an empty table gives no rows; the
     operator's own columns take names that the table does not have.
@@ -259,7 +338,7 @@ def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", shingl
     rows = materialise(hashed, "fingerprints").groupBy("fps", "id", "h1", "h2").agg(F.count("*").alias("copies"))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h1", "h2", "copies"))
     classes = materialise(rows.groupBy("fps").agg(first.alias("first")).withColumn("node", F.xxhash64(F.lit("class"), "fps")), "classes")
-    roots = joint_components(classes, budget, several)
+    roots = joint_components(classes, budget, several) if least is None else components(verified_links(docs, classes, budget, several, text, key, marks, shingle, least))
     rooted = classes.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
     keep = materialise(rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.*").drop("none"), "keep")
     n, h1, h2, copies = [fresh(docs, c) for c in ("keep_id", "h1", "h2", "copies")]

@@ -46,10 +46,10 @@ def near_pair(r, n, share):
 
 def test_several_fingerprints_find_more_near_copies():
     r = random.Random(2)
-    for share, least in ((0.8, 0.6), (0.9, 0.95)):
+    for share, least in ((0.8, 0.85), (0.85, 0.95), (0.9, 0.99)):
         found = 0
         for _ in range(150):
-            a, b = (simhash.fingerprints(t, 5, several=3) for t in near_pair(r, 400, share))
+            a, b = (simhash.fingerprints(t, 5, several=7) for t in near_pair(r, 400, share))
             found += any(((x ^ y) & (2**64 - 1)).bit_count() <= 8 for x, y in zip(a, b))
         assert found >= least * 150
 
@@ -76,3 +76,47 @@ def test_one_of_each_matches_brute_force_over_all_fingerprints(spark):
     kept = simhash.one_of_each(docs, budget=8, several=3)
     assert kept.columns == docs.columns and sorted(x.doc_id for x in kept.collect()) == sorted({root[i] for i in range(len(texts))})
     assert simhash.one_of_each(docs.filter("false"), several=3).count() == 0
+
+
+def test_links_are_verified(spark):
+    """Near copies go whatever connects them; texts that are only somewhat alike stay, even where their fingerprints are near."""
+    r = random.Random(21)
+    made, gone = [], set()
+    for g in range(12):
+        base = [f"g{g}w{r.randrange(50_000)}" for _ in range(300)]
+        texts = [base]
+        for changes, share in ((3, True), (5, True), (20, False), (25, False)):
+            other = base[:]
+            for i in range(changes):
+                other[(i * 300) // changes + r.randrange(300 // changes)] = f"x{r.randrange(10**9)}"
+            texts.append(other)
+        order = r.sample(range(5), 5)
+        for place, k in enumerate(order):
+            made.append((g * 10 + place, " ".join(texts[k])))
+        alike = {(i, j) for i in range(5) for j in range(5) if i < j and jaccard(texts[order[i]], texts[order[j]]) >= 0.8}
+        root = list(range(5))
+        for _ in range(5):
+            for i, j in alike:
+                root[i] = root[j] = min(root[i], root[j])
+        gone |= {g * 10 + i for i in range(5) if root[i] != i}
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    kept = {x.doc_id for x in simhash.one_of_each(docs, budget=8, several=7, least=0.8).collect()}
+    assert {i for i, _ in made} - kept == gone and gone
+
+
+def jaccard(a, b):
+    x, y = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_a_nearest_forest_joins_over_the_shortest_links():
+    r = random.Random(5)
+    for _ in range(60):
+        n = r.randrange(2, 14)
+        pairs = [(i, j, r.randrange(5)) for i in range(n) for j in range(i) if r.random() < 0.4]
+        a, b, d = (np.array([p[k] for p in pairs], dtype=np.int64) for k in range(3))
+        kept = simhash.nearest_forest(n, a, b, d)
+        for longest in range(5):
+            within = lambda own: simhash.forest(n, a[own], b[own]).tolist()
+            own = kept[d[kept] <= longest]
+            assert within(own) == within(np.flatnonzero(d <= longest)) and len(own) == n - len(set(within(own)))

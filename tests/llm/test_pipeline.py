@@ -47,12 +47,14 @@ def test_run_matches_plain_stages(spark):
     # Near copies: all pairs.
     fps = {i: simhash.fingerprints(texts[i], 5, several=P.FINGERPRINTS) for i in clean}
     root = {i: i for i in clean}
+    shingles = {i: set(simhash.shingle_set(texts[i], 5).tolist()) for i in clean}
+    alike = lambda i, j: len(shingles[i] & shingles[j]) >= P.LEAST_JACCARD * len(shingles[i] | shingles[j])
     changed = True
     while changed:
         changed = False
         for i in clean:
             for j in clean:
-                if root[i] != root[j] and any(((x ^ y) & (2**64 - 1)).bit_count() <= P.NEAR_BITS for x, y in zip(fps[i], fps[j])):
+                if root[i] != root[j] and alike(i, j) and any(((x ^ y) & (2**64 - 1)).bit_count() <= P.NEAR_BITS for x, y in zip(fps[i], fps[j])):
                     root[i] = root[j] = min(root[i], root[j])
                     changed = True
     single = {i for i in clean if root[i] == i}
