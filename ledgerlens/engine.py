@@ -139,13 +139,14 @@ class Engine:
         answers = keyed.join(told.select("project_id", "idempotency_key", "_first", "_old"), ["project_id", "idempotency_key"])
         return answers.select("project_id", "subject_id", "idempotency_key", "event_id", (c("_old").isNotNull() | (c("_n") > c("_first"))).alias("deduplicated"))
 
-    def consolidate(self, aliases: DataFrame | None = None, subjects: DataFrame | None = None, everything: bool = False) -> DataFrame:
+    def consolidate(self, aliases: DataFrame | None = None, subjects: DataFrame | None = None, everything: bool = False, embed: Callable[[Column], Column] | None = None) -> DataFrame:
         """Chunks new events and folds the candidates of their subjects into facts and sets; gives those subjects' outcomes.
 
         Only subjects with events captured since the last call are folded, or the ``subjects`` (project_id, subject_id) given, or
         ``everything``, as new ``aliases`` call for. A subject's fold starts from its events, which are the ledger's truth, so
         running it again changes nothing. What was decided by hand stays: resolved sets with their facts, and facts that are
-        disputed, disabled or deleted.
+        disputed, disabled or deleted. With ``embed`` a subject's predicates are matched by meaning instead of ``aliases``, and what
+        repeats the facts of its last packets is turned away.
         """
         commits, done = self.store.commits("events"), {r.commit for r in self.table("folded").collect()}
         fresh = [x for x in commits if x not in done]
@@ -159,7 +160,11 @@ class Engine:
         names = ["predicate", "value", "qualifiers", "confidence", "action", "supersedes_predicate", "evidence_span", "reject_reason", "fact_kind", "volatility", "memory_form", "temporal_range"]
         made = rows.select(*SCOPE, "event_id", "occurred_at", "ordinal", "origin_trust", "actor_id", *[f"f.{x}" for x in names])
         judged = written(consolidation.judge(made), "judged")
-        folded = written(consolidation.consolidate(consolidation.with_identity(judged, aliases)), "folded")
+        if embed is None:
+            folded = written(consolidation.consolidate(consolidation.with_identity(judged, aliases)), "folded")
+        else:
+            said = judged.withColumn("e", embed(F.concat_ws(" ", "predicate", "value")))
+            folded = written(consolidation.consolidate(consolidation.with_packets(said, self._served(wanted)), semantic=True), "folded")
         outcomes = consolidation.decisions_of(folded)
         refused = judged.filter("error is not null or rejected is not null")
         told = outcomes.select(*SCOPE, "event_id", "ordinal", "outcome").unionByName(refused.select(*SCOPE, "event_id", "ordinal", F.coalesce(F.concat(F.lit("invalid_"), "error"), F.concat(F.lit("rejected_"), "rejected")).alias("outcome")))
@@ -167,13 +172,24 @@ class Engine:
         old, old_sets = written(old, "old-facts"), written(old_sets, "old-sets")
         settled = old_sets.filter("status = 'resolved'").select(F.explode("fact_ids").alias("fact_id"))
         by_hand = old.filter(c("status").isin("disputed", "disabled", "deleted")).select("fact_id").union(settled).distinct()
-        facts = consolidation.facts_of(folded).join(by_hand, "fact_id", "left_anti")
-        sets = consolidation.sets_of(folded).join(old_sets.filter("status = 'resolved'").select("set_id"), "set_id", "left_anti")
+        facts, sets = ((df if embed is None else df.withColumn("identity", F.lit(None).cast("string"))) for df in (consolidation.facts_of(folded), consolidation.sets_of(folded)))
+        facts = facts.join(by_hand, "fact_id", "left_anti")
+        sets = sets.join(old_sets.filter("status = 'resolved'").select("set_id"), "set_id", "left_anti")
         changed = {"facts": self._changes(facts, old.join(by_hand, "fact_id", "left_anti"), "facts"), "sets": self._changes(sets, old_sets.filter("status <> 'resolved'"), "sets")}
         self.store.commit(**changed, decisions=told.withColumn("at", self.now), folded=self.spark.createDataFrame([(x,) for x in fresh], "commit string"))
         self._merge_keys(wanted)
         return outcomes
 
+    def _served(self, subjects: DataFrame) -> DataFrame:
+        """The packets that the subjects were served: (project_id, subject_id, served_at, fact_ids)."""
+        facts = self.table("traces").join(subjects, SCOPE, "left_semi").filter("action = 'included'")
+        ids = F.collect_list(F.when(c("kind") == "fact", c("item_id")))
+        return facts.groupBy("trace_id", *SCOPE, "served_at").agg(ids.alias("fact_ids")).drop("trace_id")
+
+    def counters(self) -> DataFrame:
+        """How often each outcome came of the candidates of each project."""
+        return self.table("decisions").groupBy("project_id", "outcome").agg(F.count("*").alias("n"))
+
     def _changes(self, new: DataFrame, old: DataFrame, name: str) -> DataFrame:
         """Rows that are new or differ, and those that are no more, marked as gone."""
         own = TABLES[name]
@@ -315,6 +331,14 @@ class Engine:
         warnings = F.array_compact(F.array(F.when(c("disputed") > 0, F.format_string("open_conflict: %d fact(s) served with an unresolved value", c("disputed")))))
         return packet.select("trace_id", *SCOPE, "query_id", "token_count", "facts", "episodes", warnings.alias("warnings"), F.when(empty | (c("disputed") > 0), "degraded").otherwise("ok").alias("status"), F.when(empty & (c("below") > 0), "no_relevant_memory").alias("empty_reason"))
 
+    def prompts(self, trace_ids: DataFrame | None = None) -> DataFrame:
+        """(trace_id, prompt): each packet as the lines of a prompt, facts first, episodes in the order of time."""
+        packets = self.packets(trace_ids)
+        facts = F.transform("facts", lambda f: messages.render_fact(f.predicate, f.value, F.to_timestamp(f.valid_from), f.valid_from_relative))
+        turns = F.transform(F.array_sort("episodes", lambda a, b: F.when((a.occurred_at < b.occurred_at) | ((a.occurred_at == b.occurred_at) & (a.episode_id < b.episode_id)), -1).otherwise(1)), lambda e: messages.render_episode(e.occurred_at, e.kind, e.excerpt))
+        none = F.array().cast("array<string>")
+        return packets.select("trace_id", messages.prompt_block(F.coalesce(facts, none), F.coalesce(turns, none)).alias("prompt"))
+
     def inspect(self, trace_id: str) -> DataFrame:
         return self.table("traces").filter(c("trace_id") == trace_id).orderBy("place")
 

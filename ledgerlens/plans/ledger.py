@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import transcripts as T
 from ..functions.text import canonical_json
 from ..operators import merging
 from ..operators.lifecycle import ALLOWED, is_legal
@@ -68,6 +69,21 @@ def s13_session_events(spark, sf_dir):
     return sessions.select("conv_id", F.concat_ws(":", F.lit("run"), (c("conv_id") % 10).cast("string"), c("conv_id").cast("string")).alias("event_key"), F.concat_ws("\n", c("t.line")).alias("transcript"), F.size("t").cast("long").alias("n_turns"))
 
 
+@register("f_transcripts", """WITH s AS (SELECT conv_id, conv_id % 10 AS subject, TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(conv_id AS INTEGER)) AS moment FROM conversations GROUP BY 1), n AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY conv_id) AS number FROM s)
+ SELECT conv_id, number, '--- session ' || conv_id || ' (' || strftime(moment, '%Y-%m-%d %H:%M') || ' UTC) ---' || chr(10) || string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS plain,
+  string_agg(strftime(moment, '%Y-%m-%dT%H:%M:%S') || ' | ' || role || ': ' || text, chr(10) ORDER BY turn) AS dated,
+  chr(10) || '### Session ' || number || ':' || chr(10) || 'Session Date: ' || strftime(moment, '%Y-%m-%dT%H:%M:%S') || chr(10) || 'Session Content:' || chr(10) || chr(10) || '[' || string_agg('{"role": ' || to_json(role)::VARCHAR || ', "content": ' || to_json(text)::VARCHAR || '}', ', ' ORDER BY turn) || ']' || chr(10) AS history
+ FROM n JOIN conversations USING (conv_id) GROUP BY conv_id, number, moment""")
+def f_transcripts(spark, sf_dir):
+    """Each session's transcript in three forms; sessions are numbered within their subject."""
+    turns = chunks(spark, sf_dir).select("conv_id", "turn", "occurred_at").join(read(spark, sf_dir, "conversations"), ["conv_id", "turn"])
+    said = F.array_sort(F.collect_list(F.struct("turn", c("role").alias("speaker"), c("text").alias("content"))))
+    sessions = turns.groupBy("conv_id", "occurred_at").agg(said.alias("turns"))  # a session is bounded, a subject is not
+    number = read(spark, sf_dir, "conversations").select("conv_id").distinct().select("conv_id", F.row_number().over(W.partitionBy(c("conv_id") % 10).orderBy("conv_id")).cast("long").alias("number"))
+    shown = [T.plain_transcript(c("conv_id").cast("string"), c("occurred_at"), c("turns")).alias("plain"), T.dated_transcript(c("occurred_at"), c("turns")).alias("dated"), T.session_history(c("number"), c("occurred_at"), c("turns")).alias("history")]
+    return sessions.join(number, "conv_id").select("conv_id", "number", *shown)
+
+
 @register("s14_mirrored_projection", twin("chunks", "SELECT s.speaker, c.conv_id, c.turn, CASE WHEN c.role = s.speaker THEN 'user' ELSE 'assistant' END AS as_role FROM chunks c, (VALUES ('user'), ('assistant')) s(speaker)"))
 def s14_mirrored_projection(spark, sf_dir):
     return chunks(spark, sf_dir).withColumn("speaker", F.explode(F.array(F.lit("user"), F.lit("assistant")))).select("speaker", "conv_id", "turn", F.when(c("role") == c("speaker"), "user").otherwise("assistant").alias("as_role"))

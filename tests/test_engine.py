@@ -129,3 +129,19 @@ def test_merges_carry_everything_along(spark, tmp_path):
     assert {(r.source, r.error) for r in engine.merge_subjects(again).collect()} == {("c", None), ("a", "already_merged")}
     assert {r.alias_value: r.canonical_subject_id for r in engine.table("aliases").collect()} == {"a": "e", "b": "e", "c": "e"}
     assert {r.subject_id for r in engine.table("events").collect()} == {"e", "d"}
+
+
+def test_meaning_and_echoes_in_the_engine(spark, tmp_path):
+    """Equal texts have equal vectors, so a value under another name is met by its text alone; a served fact echoes afterwards."""
+    embed = lambda text: pseudo_embedding(F.regexp_replace(text, r"^\S+ ", ""))  # noqa: E731  of the value alone
+    engine = Engine(spark, f"file://{tmp_path}/ledger", "2026-07-28 04:00:00")
+    engine.capture(spark.createDataFrame([event(0, "ann", {"v": "fr"}), event(1, "ann", {"v": "fr"}, "tongue"), event(2, "ann", {"v": "en"}, "tongue", "supersede")], EVENT))
+    assert sorted(r.outcome for r in engine.consolidate(embed=embed).collect()) == ["created", "reinforced", "superseded"]
+    assert {(f.predicate, f.status) for f in engine.facts().collect()} == {("language", "superseded"), ("tongue", "active")}
+    asked = spark.createDataFrame([(1, "p", "ann", "which")], "query_id long, project_id string, subject_id string, text string")
+    served = engine.context(asked, embed).collect()
+    prompt = engine.prompts().first().prompt
+    assert 'tongue = {"v":"en"}' in prompt and "2026-07-28 00:00 chat" in prompt and prompt.index("Known facts") < prompt.index("Past episodes") and len(served) == 4
+    engine.capture(spark.createDataFrame([event(9, "ann", {"v": "en"}, "speaks"), event(10, "ann", {"v": "de"}, "drinks")], EVENT))
+    assert sorted(r.outcome for r in engine.consolidate(embed=embed).collect()) == ["created", "created", "echo_of_context", "reinforced", "superseded"]
+    assert {r.outcome: r.n for r in engine.counters().collect()} == {"created": 2, "reinforced": 1, "superseded": 1, "echo_of_context": 1}
