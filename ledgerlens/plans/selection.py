@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import lexemes
+from ..functions.text import lexemes, relative_day
 from ..operators import lifecycle
 from ..operators.ordering import values_at
 from ..operators.ranking import top_k
+from ..sources.scratch import written
 from ..sources.tables import chunks, events, facts, read, twin
 from .lifecycle import ledger, now
 from .registry import register
-from .retrieval import BUDGET, EVERY, FACTS, ITEMS, FLOOR, PACKED, SAME, context, episodes_of, fact_candidates, facts_of
+from .retrieval import BUDGET, EVERY, FACTS, ITEMS, FLOOR, PACKED, SAME, context, contested, episodes_of, fact_candidates, facts_of, packed, pool_of
 
 c = F.col
 
@@ -282,6 +283,40 @@ def r18_packet(spark, sf_dir):
     return asked_for.join(own, "query_id", "left").select("query_id", F.lit(BUDGET).alias("budget"), zero("n_facts"), zero("n_episodes"), zero("used"), F.concat_ws(",", c("items.item")).alias("items"), zero("n_over_budget"), zero("n_below_floor"), F.when(empty, "degraded").otherwise("ok").alias("status"), reason.alias("empty_reason"))
 
 
+PACKET_FACTS = PACKED + f""", asked AS (SELECT TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(max(vec_id) AS INTEGER)) AS moment FROM embeddings),
+ fact AS (SELECT id, lang AS predicate, coalesce(source, '') AS value, scope, TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(id AS INTEGER)) AS valid_from, (id * 7) % 97 AS hours FROM f),
+ inc AS (SELECT query_id, id, place, reason_code FROM decided WHERE action = 'included' AND kind = 'fact'),
+ d AS (SELECT inc.*, x.predicate, x.value, x.valid_from, x.hours, moment, CAST(date_diff('day', CAST(x.valid_from AS DATE), CAST(moment AS DATE)) AS BIGINT) AS days, c.side FROM inc JOIN fact x USING (id) CROSS JOIN asked LEFT JOIN conf c USING (id))
+ SELECT query_id, place, id AS fact_id, predicate, value, strftime(valid_from, '%Y-%m-%dT%H:%M:%S') AS valid_from,
+  CASE WHEN days = 0 THEN 'the day of the question' WHEN days >= 60 THEN days || ' days (~' || CAST(round_even(days / 30, 0) AS BIGINT) || ' months) before the question' WHEN days >= 14 AND days % 7 = 0 THEN days || ' days (' || days // 7 || ' weeks) before the question' ELSE days || CASE WHEN days = 1 THEN ' day' ELSE ' days' END || ' before the question' END AS valid_from_relative,
+  CASE predicate WHEN 'en' THEN 'slow' WHEN 'fr' THEN 'volatile' WHEN 'de' THEN 'ephemeral' ELSE 'stable' END AS volatility,
+  CASE WHEN h IS NULL OR age <= h THEN 'current' WHEN age <= 2 * h THEN 'unconfirmed' ELSE 'stale' END AS freshness, side IS NOT NULL AS contested, CASE WHEN side IS NOT NULL THEN id // 2 END AS conflict_id, reason_code
+ FROM (SELECT *, date_diff('microsecond', valid_from, moment) / 86400000000.0 AS age, CASE predicate WHEN 'en' THEN 60 WHEN 'fr' THEN 10 WHEN 'de' THEN 2 END AS h FROM d)"""
+
+
+@register("r18_packet_facts", f"WITH RECURSIVE {PACKET_FACTS}")
+def r18_packet_facts(spark, sf_dir):
+    """Every packed fact as a reader gets it: since when, how long before the question in words, how fresh, and whether it is contested.
+
+    A fact's language is its predicate and decides how long it keeps; its number is its hour. The question is asked at the last hour.
+    """
+    kept = written(packed(spark, sf_dir, pool_of(spark, sf_dir)).filter("action = 'included' and kind = 'fact'").select("query_id", "id", (c("place") + 1).alias("place"), "reason_code"), "packed")
+    last = read(spark, sf_dir, "embeddings").agg(F.max("vec_id")).first()[0] or 0
+    hour = lambda x: F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00")) + F.make_dt_interval(hours=x.cast("int"))
+    docs = read(spark, sf_dir, "documents").select(c("doc_id").alias("id"), c("lang").alias("predicate"), F.coalesce("source", F.lit("")).alias("value"))
+    told = kept.join(docs, "id").join(contested(spark, sf_dir).select("id", F.lit(True).alias("contested")), "id", "left")
+    since, moment = hour(c("id")), hour(F.lit(last))
+    age = F.timestamp_diff("MICROSECOND", since, moment) / 86_400_000_000.0
+    kind = F.when(c("predicate") == "en", "slow").when(c("predicate") == "fr", "volatile").when(c("predicate") == "de", "ephemeral").otherwise("stable")
+    keeps = F.when(c("predicate") == "en", 60).when(c("predicate") == "fr", 10).when(c("predicate") == "de", 2)
+    days = F.date_diff(moment.cast("date"), since.cast("date")).cast("long")
+    disputed = F.coalesce("contested", F.lit(False))
+    return told.select(
+        "query_id", "place", c("id").alias("fact_id"), "predicate", "value", F.date_format(since, "yyyy-MM-dd'T'HH:mm:ss").alias("valid_from"), relative_day(days).alias("valid_from_relative"), kind.alias("volatility"),
+        F.when(keeps.isNull() | (age <= keeps), "current").when(age <= 2 * keeps, "unconfirmed").otherwise("stale").alias("freshness"), disputed.alias("contested"), F.when(disputed, F.floor(c("id") / 2)).alias("conflict_id"), "reason_code",
+    )
+
+
 @register("r19_failed_packet", """SELECT doc_id AS query_id, CASE WHEN b <= 0 THEN 'failed' ELSE 'ok' END AS status, CASE WHEN b <= 0 THEN 'invalid_budget' END AS error FROM (SELECT doc_id, doc_id % 7 - 1 AS b FROM documents)""")
 def r19_failed_packet(spark, sf_dir):
     """Requests whose budget is not positive get a failed packet with the error's name."""
