@@ -14,11 +14,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import messages
-from .functions.lexical import english_lexemes, english_words
+from .functions.lexical import english_lexemes, english_words, simple_words
+from .functions.names import entity_tokens, person_factor
 from .functions.text import normalise_span, relative_day, token_estimate
 from .operators import consolidation, lifecycle, merging
 from .operators.candidates import candidates
 from .operators.context_window import context_window
+from .operators.expansion import second_hop
 from .operators.indexed import build as build_indexes
 from .operators.indexed import indexed_candidates
 from .operators.ranking import pack_packets, relevance
@@ -239,40 +241,49 @@ class Engine:
         said = F.concat_ws(" ", "predicate", "value")
         since, till = F.to_timestamp("valid_from"), F.to_timestamp("valid_to")
         valid = (since <= as_of) & ((c("status") == "active") & till.isNull() | (c("status") == "superseded") & (till > as_of) | (c("status") == "candidate"))
-        facts = rows.filter(valid).select(scope.alias("scope"), *SCOPE, "fact_id", "status", said.alias("said"), F.unix_seconds(since).alias("recency"), c("predicate").alias("tie_a"), c("value").alias("tie_b"), token_estimate(said).alias("cost"))
+        facts = rows.filter(valid).select(scope.alias("scope"), *SCOPE, "fact_id", "status", said.alias("said"), F.get_json_object("value", "$.person").alias("person"), F.unix_seconds(since).alias("recency"), c("predicate").alias("tie_a"), c("value").alias("tie_b"), token_estimate(said).alias("cost"))
         shown = F.concat_ws(" ", F.date_format("occurred_at", "yyyy-MM-dd HH:mm"), "kind", "text")
         episodes = chunks.select(scope.alias("scope"), *SCOPE, "event_id", "ordinal", "occurred_at", "text", c("index_text").alias("said"), F.unix_seconds("occurred_at").alias("recency"), F.lpad((1_000_000 - c("ordinal")).cast("string"), 10, "0").alias("tie_a"), c("event_id").alias("tie_b"), token_estimate(shown).alias("cost"))
         number = F.monotonically_increasing_id()
-        made = [written(df.withColumns({"id": number, "e": embed(c("said")), "lex": english_words(c("said"))}).drop("said"), "items") for df in (facts, episodes)]
+        words = {"id": number, "e": embed(c("said")), "lex": english_words(c("said")), "words": simple_words(c("said")), "names": entity_tokens(c("said"))}
+        made = [written(df.withColumns(words).drop("said"), "items") for df in (facts, episodes)]
         return made[0], made[1]
 
     def context(self, queries: DataFrame, embed: Callable[[Column], Column], budget: int = 2000, k: int = 64, floor: float = 0.0, as_of: str | None = None, indexed: bool = False) -> DataFrame:
         """Queries (query_id, project_id, subject_id, text) answered: every candidate's decision with its text, traced.
 
-        Facts and episodes are found by vector and by the cover density of stems, ranked together and packed; contested facts bring
-        their other sides, and what surrounds the packet fills the rest of the budget. ``embed`` is a Column to Column function. With
+        Facts and episodes are found by vector and by the cover density of stems, ranked together and packed, facts about people whom
+        the question doesn't name behind others; contested facts bring their other sides. What is left of the budget goes to facts
+        that name what the packed ones name most, and then to what surrounds the packet. ``embed`` is a Column to Column function. With
         ``floor`` above 0 items beyond that distance are left out. ``as_of`` asks at that moment, else now. ``indexed`` builds the
         vector and lexical indexes and searches those; the answers are the same.
         """
         moment = F.lit(as_of).cast("timestamp") if as_of else self.now
         facts, episodes = self.items(embed, moment)
-        asked = written(self.resolve_subject(queries).select("query_id", *SCOPE, F.concat_ws("\u001f", *SCOPE).alias("scope"), embed(c("text")).alias("e"), english_lexemes(c("text")).alias("lex")), "asked")
+        asked = written(self.resolve_subject(queries).select("query_id", *SCOPE, F.concat_ws("\u001f", *SCOPE).alias("scope"), embed(c("text")).alias("e"), english_lexemes(c("text")).alias("lex"), entity_tokens(c("text")).alias("names")), "asked")
         q = asked.select("scope", (-1 - c("query_id")).alias("id"), "e", "lex")
         find = (lambda df: indexed_candidates(*build_indexes(df), q, k)) if indexed else (lambda df: candidates(df, q, k))
         columns = ["scope", "id", "e", "lex", "recency", "tie_a", "tie_b", "cost"]
         pools = [find(df.select(*columns)).select("*", F.lit(kind).alias("kind"), F.lit(place).alias("first")) for kind, place, df in (("fact", 0, facts.filter("status <> 'candidate'")), ("episode", 1, episodes))]
         pool = written(pools[0].unionByName(pools[1].select(pools[0].columns)).withColumn("query_id", -1 - c("query_id")), "pool")
         near = F.coalesce(c("distance") <= floor, F.lit(False)) if floor > 0 else F.lit(True)
+        every_item = facts.select(F.lit("fact").alias("kind"), "id", "person", c("names").alias("said")).unionByName(episodes.select(F.lit("episode").alias("kind"), "id", F.lit(None).cast("string").alias("person"), c("names").alias("said")))
         scored = pool.filter(near).withColumn("similarity", F.coalesce(1 - c("distance"), F.lit(0.0))).withColumn("score", relevance("similarity", "overlap", "query_id"))
+        scored = scored.join(every_item, ["kind", "id"]).join(asked.select("query_id", "names"), "query_id").withColumn("score", c("score") * person_factor(c("person"), c("names")))
         w = W.partitionBy("query_id").orderBy(F.desc("score"), F.desc("recency"), "first", "tie_a", "tie_b", "id")
-        sides = self._sides(facts).withColumn("kind", F.lit("fact"))
-        ranked = scored.withColumn("rank", F.row_number().over(w).cast("long")).join(sides, ["kind", "id"], "left").select("query_id", "rank", "kind", "id", "cost", "siblings")
-        decided = written(pack_packets(ranked, budget), "packed")
-        around = self._window(decided, facts, episodes, asked, moment, budget)
+        sides = written(self._sides(facts), "sides")
+        ranked = written(scored.withColumn("rank", F.row_number().over(w).cast("long")).select("query_id", "rank", "kind", "id", "cost", "said"), "ranked")
+        decided = written(pack_packets(ranked.join(sides.withColumn("kind", F.lit("fact")), ["kind", "id"], "left").select("query_id", "rank", "kind", "id", "cost", "siblings"), budget), "packed")
+        kept = decided.filter("action = 'included'").select("query_id", "kind", "id", "used")
+        free = facts.filter("status <> 'candidate'").join(sides.select("id"), "id", "left_anti").select("scope", "id", "cost", "words")
+        told_names = kept.join(every_item.select("kind", "id", c("said").alias("names")), ["kind", "id"])
+        hop = written(second_hop(told_names, ranked.select("query_id", "rank", c("said").alias("names")), asked, free, budget), "hop")
+        around = self._window(kept.unionByName(hop.select("query_id", F.lit("fact").alias("kind"), "id", "used")), facts, episodes, asked, moment, budget)
         below = pool.filter(~near).select("query_id", "kind", "id", "cost", F.lit("excluded").alias("action"), F.lit("below_relevance_floor").alias("reason_code"))
         every = decided.select("query_id", "place", "kind", "id", "cost", "action", "reason_code")
-        every = every.unionByName(around.select("query_id", (c("place") + 1_000_000).alias("place"), F.lit("episode").alias("kind"), "id", "cost", "action", "reason_code"))
-        every = every.unionByName(below.withColumn("place", F.lit(2_000_000).cast("long")))
+        every = every.unionByName(hop.select("query_id", (c("used") + 500_000).alias("place"), F.lit("fact").alias("kind"), "id", "cost", F.lit("included").alias("action"), F.lit("multi_hop_expansion").alias("reason_code")))
+        every = every.unionByName(around.select("query_id", (c("place") + 1_000_000_000).alias("place"), F.lit("episode").alias("kind"), "id", "cost", "action", "reason_code"))
+        every = every.unionByName(below.withColumn("place", F.lit(2_000_000_000).cast("long")))
         order = W.partitionBy("query_id").orderBy("place", "kind", "id")
         run = uuid.uuid4().hex
         known = facts.select(F.lit("fact").alias("kind"), "id", c("fact_id").alias("item_id"), c("tie_a").alias("predicate"), c("tie_b").alias("value"), F.lit(None).cast("string").alias("text"))
@@ -290,8 +301,7 @@ class Engine:
         each = sides.select(F.explode("sides").alias("x"), "sides").select("x.id", F.filter("sides", lambda y: y.id != c("x.id")).alias("others"))
         return each.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("siblings"))
 
-    def _window(self, decided: DataFrame, facts: DataFrame, episodes: DataFrame, asked: DataFrame, moment: Column, budget: int) -> DataFrame:
-        kept = decided.filter("action = 'included'").select("query_id", "kind", "id", "used")
+    def _window(self, kept: DataFrame, facts: DataFrame, episodes: DataFrame, asked: DataFrame, moment: Column, budget: int) -> DataFrame:
         rows = self.table("facts")
         chunks = episodes.select("project_id", "scope", "id", "event_id", "ordinal", "occurred_at", "cost", messages.overlap_words(c("text")).alias("words"), F.lit(True).alias("trusted"), "text")
         exact = self.attributed(rows, chunks).join(chunks.select("project_id", "event_id", "ordinal", c("id").alias("chunk_id")), ["project_id", "event_id", "ordinal"], "left").select("project_id", "fact_id", "chunk_id")

@@ -29,8 +29,8 @@ def second_hop(packed: DataFrame, pool: DataFrame, queries: DataFrame, facts: Da
 
     ``packed``: query_id, kind, id, used and names (of a fact's text) of the items included; ``pool``: query_id, rank, names;
     ``queries``: query_id, scope, names; ``facts``: scope, id, cost and words (lower case, as often as they occur). Names are
-    ordered by how often they occur, then by themselves; their facts by occurrences of the name, then id. A fact that is packed,
-    ``barred`` (query_id, id), or found by the first name isn't added again; what doesn't fit is skipped.
+    ordered by how often they occur, then by themselves; their facts by occurrences of the name, then id. Facts that are ``barred``
+    (query_id, id) aren't looked for; one that is packed, or found by the first name, isn't added again; what doesn't fit is skipped.
     """
     held = packed.filter("kind = 'fact'")
     asked = queries.select("query_id", "scope", F.transform("names", F.lower).alias("own")).join(packed.groupBy("query_id").agg(F.max("used").alias("used")), "query_id")
@@ -39,9 +39,9 @@ def second_hop(packed: DataFrame, pool: DataFrame, queries: DataFrame, facts: Da
     names = top_k(counts, ["query_id"], [F.desc("n"), c("entity")], HOPS, "hop").select("query_id", "scope", "hop", "entity", F.lower("entity").alias("word"))
     words = facts.select("scope", "id", "cost", F.explode("words").alias("word"))
     hits = words.join(names, ["scope", "word"]).groupBy("query_id", "hop", "entity", "id", "cost").agg(F.count("*").alias("n"))
-    near = top_k(hits.filter("id <> query_id"), ["query_id", "hop"], [F.desc("n"), c("id")], PER_HOP, "r")
-    gone = held.select("query_id", "id") if barred is None else held.select("query_id", "id").unionByName(barred.select("query_id", "id"))
-    fresh = near.join(gone.distinct(), ["query_id", "id"], "left_anti").withColumn("again", F.row_number().over(W.partitionBy("query_id", "id").orderBy("hop"))).filter("again = 1")
+    hits = hits if barred is None else hits.join(barred.select("query_id", "id"), ["query_id", "id"], "left_anti")
+    near = top_k(hits, ["query_id", "hop"], [F.desc("n"), c("id")], PER_HOP, "r")
+    fresh = near.join(held.select("query_id", "id").distinct(), ["query_id", "id"], "left_anti").withColumn("again", F.row_number().over(W.partitionBy("query_id", "id").orderBy("hop"))).filter("again = 1")
     line = fresh.join(asked.select("query_id", "used"), "query_id").groupBy("query_id", "used").agg(F.array_sort(F.collect_list(F.struct("hop", "r", "id", c("cost").cast("long").alias("cost"), "entity"))).alias("line"))
     found = "array<struct<hop:bigint,entity:string,id:bigint,cost:bigint,used:bigint>>"
     start = F.struct(c("used").cast("long").alias("used"), F.array().cast(found).alias("out"))

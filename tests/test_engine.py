@@ -145,3 +145,15 @@ def test_meaning_and_echoes_in_the_engine(spark, tmp_path):
     engine.capture(spark.createDataFrame([event(9, "ann", {"v": "en"}, "speaks"), event(10, "ann", {"v": "de"}, "drinks")], EVENT))
     assert sorted(r.outcome for r in engine.consolidate(embed=embed).collect()) == ["created", "created", "echo_of_context", "reinforced", "superseded"]
     assert {r.outcome: r.n for r in engine.counters().collect()} == {"created": 2, "reinforced": 1, "superseded": 1, "echo_of_context": 1}
+
+
+def test_a_second_hop_and_people_in_the_engine(spark, tmp_path):
+    engine = Engine(spark, f"file://{tmp_path}/ledger", NOW)
+    facts = [("met", {"value": "saw Berta twice, Berta again"}), ("job", {"value": "berta is a nurse"}), ("likes", {"value": "tea", "person": "Ann"}), ("hates", {"value": "tea", "person": "Carl"})]
+    engine.capture(spark.createDataFrame([event(i, "ann", v, p, payload=json.dumps({"mock_facts": [{"predicate": p, "value": v, "confidence": 0.9}]}), origin_trust=None) for i, (p, v) in enumerate(facts)], EVENT))
+    engine.consolidate()
+    embed = lambda text: F.when(text.contains("nurse"), F.array(F.lit(0.0), F.lit(1.0))).otherwise(F.array(F.lit(1.0), F.lit(0.0))).cast("array<float>")
+    asked = spark.createDataFrame([(1, "p", "ann", "does Ann like tea")], "query_id long, project_id string, subject_id string, text string")
+    rows = engine.context(asked, embed, k=3, floor=0.5).orderBy("place").collect()
+    told = [(r.predicate, r.reason_code) for r in rows if r.kind == "fact"]
+    assert told.index(("likes", "top_score")) < told.index(("hates", "top_score")) and ("job", "multi_hop_expansion") in told and ("met", "top_score") in told
