@@ -170,7 +170,7 @@ def _cell_links(budget: int, real: bool = False):
         group = np.repeat(np.arange(len(starts)), ends - starts)
         fps = fps[np.lexsort((fps, group))]
         run = np.cumsum((ends - starts) ** 2) // PAIRS_AT_ONCE
-        u, v = [], []
+        u, v, block = [], [], []
         for r in np.unique(run):
             own = run == r
             lo = starts[own][0]
@@ -180,13 +180,15 @@ def _cell_links(budget: int, real: bool = False):
                 own = nearest_forest(len(part), a, b, np.bitwise_count(part[a] ^ part[b]))
                 u.append(part[a[own]])
                 v.append(part[b[own]])
+                block.append(keys[lo + a[own], 0])
                 continue
             root = forest(len(part), a, b)
             moved = np.flatnonzero(root != np.arange(len(part)))
             u.append(part[moved])
             v.append(part[root[moved]])
         u, v = np.concatenate(u).view(np.int64), np.concatenate(v).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+        cols = {"u": u, "v": v} | ({"block": np.concatenate(block)} if real else {})
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in cols.values()], names=list(cols))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frugal()
@@ -217,14 +219,17 @@ def block_masks(n: int, budget: int) -> list[int]:
     return [sum(c) for c in combinations(each, blocks - budget)]
 
 
-def near_links(fps: DataFrame, budget: int, real: bool = False) -> DataFrame:
+def near_links(fps: DataFrame, budget: int, several: int = 0) -> DataFrame:
     """Links (u, v) whose components are those of all pairs of distinct fingerprints (column ``fp``) within the budget.
 
-    With ``real`` each link is such a pair itself, and near pairs are linked over the nearest.
+    With ``several`` fingerprints, numbered in ``i``, each kind is linked in itself, links are (i, u, v) and near pairs themselves,
+    and near pairs are linked over the nearest.
     """
-    n = fps.count()
+    n = fps.count() // max(1, several)
     signed = [m - (1 << 64) if m >> 63 else m for m in block_masks(n, budget)]
-    keyed = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("block"), F.col("fp").bitwiseAND(F.lit(m)).alias("part")) for i, m in enumerate(signed)])).alias("k")).select("k.*", "fp")
+    kind = F.col("i") if several else F.lit(0)
+    blocks = F.array(*[F.struct((kind * len(signed) + i).alias("block"), F.col("fp").bitwiseAND(F.lit(m)).alias("part")) for i, m in enumerate(signed)])
+    keyed = fps.select("fp", F.explode(blocks).alias("k")).select("k.*", "fp")
     sizes = keyed.groupBy("block", "part").count().filter(F.col("count") > CELL)
     hot = sizes.select("block", "part", F.ceil(F.col("count") / CELL).cast("int").alias("cuts"))
     cut = keyed.join(hot, ["block", "part"], "left")
@@ -232,8 +237,11 @@ def near_links(fps: DataFrame, budget: int, real: bool = False) -> DataFrame:
     # Each part of a hot cell meets each other part once, in a cell of their own; a cell that isn't hot is its only part.
     others = F.when(F.col("cuts").isNull(), F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda q: F.least(q, own) * F.col("cuts") + F.greatest(q, own)))
     cells = cut.select("block", "part", F.explode(others).alias("cell"), "fp")
-    dealt = cells.repartition("block", "part", "cell").sortWithinPartitions("block", "part", "cell")
-    return dealt.select("block", "part", "cell", "fp").mapInArrow(_cell_links(budget, real), "u long, v long")
+    dealt = cells.repartition("block", "part", "cell").sortWithinPartitions("block", "part", "cell").select("block", "part", "cell", "fp")
+    if not several:
+        return dealt.mapInArrow(_cell_links(budget), "u long, v long")
+    links = dealt.mapInArrow(_cell_links(budget, True), "u long, v long, block long")
+    return links.select(F.floor(F.col("block") / len(signed)).cast("int").alias("i"), "u", "v")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -298,14 +306,12 @@ def verified_links(docs: DataFrame, classes: DataFrame, budget: int, several: in
     Classes that share a value of a fingerprint are linked to the least of them, which stands for the value; near values of it are
     linked over the nearest. Only texts of linked classes are hashed again, and sets meet only if their sizes allow.
     """
-    links = []
-    for i in range(several):
-        own = classes.select("node", F.element_at("fps", i + 1).alias("fp"))
-        values = materialise(own.groupBy("fp").agg(F.min("node").alias("stands"), F.count("*").alias("n")), "values")
-        near = near_links(values.select("fp"), budget, real=True)
-        name = lambda c: values.select(F.col("fp").alias(c), F.col("stands").alias(f"{c}_stands"))
-        links.append(near.join(name("u"), "u").join(name("v"), "v").select(F.col("u_stands").alias("u"), F.col("v_stands").alias("v")))
-        links.append(own.join(values.filter("n > 1"), "fp").select(F.col("node").alias("u"), F.col("stands").alias("v")))
+    own = classes.select("node", F.posexplode("fps").alias("i", "fp"))
+    values = materialise(own.groupBy("i", "fp").agg(F.min("node").alias("stands"), F.count("*").alias("n")), "values")
+    near = near_links(values.select("i", "fp"), budget, several).distinct()
+    name = lambda c: values.select("i", F.col("fp").alias(c), F.col("stands").alias(f"{c}_stands"))
+    links = [near.join(name("u"), ["i", "u"]).join(name("v"), ["i", "v"]).select(F.col("u_stands").alias("u"), F.col("v_stands").alias("v"))]
+    links.append(own.join(values.filter("n > 1"), ["i", "fp"]).select(F.col("node").alias("u"), F.col("stands").alias("v")))
     both = reduce(DataFrame.union, links).filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     both = materialise(both, "candidates")
     named = materialise(classes.join(both.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node", "left_semi").select("node", "first.id", "first.h1", "first.h2"), "linked")
