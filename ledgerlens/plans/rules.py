@@ -242,7 +242,18 @@ def f_episode_text(spark, sf_dir):
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", M.episode_text(c("role"), c("text")).alias("said"))
 
 
-@register("f_chunk_payload")
+#: Sentences, cut where long, are gathered one by one: the state is the chunk's number and length so far.
+CHUNKED = r"""b AS (SELECT doc_id, 'document {"text": ' || to_json(text)::VARCHAR || '}' AS blob FROM documents),
+ s AS (SELECT doc_id, unnest(parts) AS x, generate_subscripts(parts, 1) AS i FROM (SELECT doc_id, string_split(regexp_replace(blob, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS parts FROM b WHERE length(blob) > 1600)),
+ p AS (SELECT doc_id, substring(x, 1 + 1600 * k, 1600) AS piece, row_number() OVER (PARTITION BY doc_id ORDER BY i, k) AS n FROM (SELECT *, unnest(range(0, greatest(1, (length(x) + 1599) // 1600))) AS k FROM s)),
+ g(doc_id, n, chunk, size) AS (SELECT doc_id, n, CAST(0 AS BIGINT), length(piece) FROM p WHERE n = 1
+   UNION ALL SELECT p.doc_id, p.n, CASE WHEN size = 0 OR size + 1 + length(piece) <= 1000 THEN chunk ELSE chunk + 1 END, CASE WHEN size = 0 THEN length(piece) WHEN size + 1 + length(piece) <= 1000 THEN size + 1 + length(piece) ELSE length(piece) END FROM g JOIN p ON p.doc_id = g.doc_id AND p.n = g.n + 1),
+ c AS (SELECT doc_id, chunk, regexp_replace(string_agg(piece, ' ' ORDER BY n), '^\s+|\s+$', '', 'g') AS said FROM g JOIN p USING (doc_id, n) GROUP BY 1, 2 UNION ALL SELECT doc_id, 0, blob FROM b WHERE length(blob) <= 1600),
+ o AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY chunk) - 1 AS INTEGER) AS ordinal, said FROM c WHERE said <> '')
+ SELECT doc_id, least(ordinal, 199) AS ordinal, left(string_agg(said, ' ' ORDER BY ordinal), CASE WHEN max(ordinal) >= 200 THEN 1600 ELSE 1000000000 END) AS chunk FROM o GROUP BY doc_id, least(ordinal, 199)"""
+
+
+@register("f_chunk_payload", f"WITH RECURSIVE {CHUNKED}")
 def f_chunk_payload(spark, sf_dir):
     """Chunks of opaque payloads: every document's whole text in one field."""
     payload = F.to_json(F.struct("text"))
