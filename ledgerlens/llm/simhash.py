@@ -231,8 +231,8 @@ def near_links(fps: DataFrame, budget: int, several: int = 0) -> DataFrame:
     blocks = F.array(*[F.struct((kind * len(signed) + i).alias("block"), F.col("fp").bitwiseAND(F.lit(m)).alias("part")) for i, m in enumerate(signed)])
     keyed = fps.select("fp", F.explode(blocks).alias("k")).select("k.*", "fp")
     sizes = keyed.groupBy("block", "part").count().filter(F.col("count") > CELL)
-    hot = sizes.select("block", "part", F.ceil(F.col("count") / CELL).cast("int").alias("cuts"))
-    cut = keyed.join(hot, ["block", "part"], "left")
+    hot = materialise(sizes.select("block", "part", F.ceil(F.col("count") / CELL).cast("int").alias("cuts")), "hot")
+    cut = keyed.join(broadcast_few(hot), ["block", "part"], "left")
     own = F.pmod(F.xxhash64("fp"), F.col("cuts")).cast("int")
     # Each part of a hot cell meets each other part once, in a cell of their own; a cell that isn't hot is its only part.
     others = F.when(F.col("cuts").isNull(), F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda q: F.least(q, own) * F.col("cuts") + F.greatest(q, own)))
