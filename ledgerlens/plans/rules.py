@@ -64,7 +64,26 @@ def folded(spark, sf_dir) -> DataFrame:
     return K.consolidate(K.with_identity(K.judge(candidates(spark, sf_dir))))
 
 
-@register("c24_state_machine")
+#: The fold once more, in plain recursion: a row of state for each class, a step for each candidate.
+FOLDED = CAND + """, line AS (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n, trust, action, k % 5 AS val, CASE WHEN k % 3 = 0 THEN '{}' ELSE CAST(k % 2 AS VARCHAR) END AS qid,
+   CASE WHEN k % 19 = 4 THEN 'event' ELSE 'state' END AS form, left(sha256('["' || user_id % 3 || '","' || user_id || '","' || lpad(event_id::VARCHAR, 12, '0') || '",0,"' || event_type || '",{"k":' || k % 5 || '}]'), 32) AS fid FROM told WHERE error IS NULL AND rejected IS NULL),
+ fold(user_id, event_type, n, event_id, outcome, met, facts, sets) AS (
+  SELECT DISTINCT user_id, event_type, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), '', '', CAST([] AS STRUCT(id VARCHAR, val BIGINT, qid VARCHAR, status VARCHAR, form VARCHAR, trust INTEGER)[]), CAST([] AS STRUCT(ids VARCHAR[], live BOOLEAN)[]) FROM line
+  UNION ALL SELECT user_id, event_type, n, event_id, outcome, CASE WHEN outcome IN ('reinforced', 'duplicate') THEN twin.id ELSE fid END,
+   CASE WHEN outcome IN ('reinforced', 'duplicate') THEN facts ELSE list_concat(list_transform(facts, lambda f: struct_pack(id := f.id, val := f.val, qid := f.qid,
+     status := CASE WHEN outcome = 'superseded' AND f.id = ex.id THEN 'superseded' WHEN outcome = 'reclassified_event' AND list_contains(sides.ids, f.id) THEN 'active' ELSE f.status END,
+     form := CASE WHEN outcome = 'reclassified_event' AND list_contains(sides.ids, f.id) THEN 'event' ELSE f.form END, trust := f.trust)),
+    [struct_pack(id := fid, val := val, qid := qid, status := CASE WHEN outcome IN ('quarantined', 'conflict') THEN 'candidate' ELSE 'active' END, form := CASE WHEN outcome = 'reclassified_event' THEN 'event' ELSE coalesce(ex.form, form) END, trust := trust)]) END,
+   CASE outcome WHEN 'conflict' THEN list_append(sets, struct_pack(ids := [ex.id, fid], live := true)) WHEN 'reclassified_event' THEN list_filter(sets, lambda x: x.ids <> sides.ids) ELSE sets END
+  FROM (SELECT *, CASE WHEN twin IS NOT NULL AND (twin.status = 'active' OR ex0 IS NULL) THEN CASE WHEN twin.status = 'active' THEN 'reinforced' ELSE 'duplicate' END WHEN trust = 0 OR ex IS NOT NULL AND trust < ex.trust THEN 'quarantined'
+     WHEN twin IS NOT NULL OR action = 'supersede' THEN CASE WHEN ex IS NULL THEN 'created' ELSE 'superseded' END WHEN ex IS NULL OR ex.form = 'event' THEN 'created' WHEN sides IS NULL THEN 'conflict' ELSE 'reclassified_event' END AS outcome
+   FROM (SELECT *, list_filter(sets, lambda x: list_contains(x.ids, ex.id))[1] AS sides FROM (SELECT *, CASE WHEN ex0 IS NULL AND twin IS NULL AND action = 'create' THEN amb ELSE ex0 END AS ex FROM
+   (SELECT l.*, f.facts, f.sets, coalesce(list_filter(f.facts, lambda x: x.val = l.val AND x.qid = l.qid AND x.form <> 'event' AND x.status = 'active')[1], list_filter(f.facts, lambda x: x.val = l.val AND x.qid = l.qid AND x.form <> 'event')[1]) AS twin,
+     list_filter(f.facts, lambda x: x.status = 'active' AND x.qid = l.qid)[-1] AS ex0, list_filter(f.facts, lambda x: x.status = 'active' AND (x.qid = '{}') <> (l.qid = '{}') AND x.val <> l.val)[1] AS amb
+    FROM fold f JOIN line l ON l.user_id = f.user_id AND l.event_type = f.event_type AND l.n = f.n + 1)))))"""
+
+
+@register("c24_state_machine", twin("ev", FOLDED + " SELECT event_id, outcome, met AS fact_id FROM fold WHERE n > 0").replace("WITH ", "WITH RECURSIVE ", 1))
 def c24_state_machine(spark, sf_dir):
     """Every accepted candidate's outcome; the tests hold it against the survey's scenarios and the same fold without Spark."""
     return K.decisions_of(folded(spark, sf_dir)).select(c("event_id").cast("long").alias("event_id"), "outcome", "fact_id")
