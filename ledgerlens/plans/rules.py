@@ -94,6 +94,17 @@ def c24_facts(spark, sf_dir):
     return K.facts_of(folded(spark, sf_dir))
 
 
+#: The facts of each class after its last candidate.
+STATES = FOLDED + """, done AS (SELECT user_id, event_type, unnest(max_by(facts, n)) AS f FROM fold GROUP BY 1, 2), again AS (SELECT met, count(*) AS n FROM fold WHERE outcome = 'reinforced' GROUP BY 1)"""
+
+
+@register("c24_fact_states", twin("ev", STATES + """ SELECT CAST(user_id AS VARCHAR) AS subject_id, event_type AS predicate, f.id AS fact_id, '{"k":' || f.val || '}' AS value, f.status AS status, f.form AS memory_form, CAST(coalesce(again.n, 0) AS INTEGER) AS reinforcement_count
+ FROM done LEFT JOIN again ON met = f.id""").replace("WITH ", "WITH RECURSIVE ", 1))
+def c24_fact_states(spark, sf_dir):
+    """What became of every fact in the end."""
+    return K.facts_of(folded(spark, sf_dir)).select("subject_id", "predicate", "fact_id", "value", "status", "memory_form", "reinforcement_count")
+
+
 def meant(spark, sf_dir) -> DataFrame:
     """The same candidates with vectors, that of their counter, folded by subject: predicates meet by meaning, served facts echo.
 
@@ -125,7 +136,8 @@ def c18_conflict_sets(spark, sf_dir):
     return K.sets_of(folded(spark, sf_dir))
 
 
-@register("c28_active_unique")
+@register("c28_active_unique", twin("ev", STATES + """ SELECT CAST(user_id % 3 AS VARCHAR) AS project_id, CAST(user_id AS VARCHAR) AS subject_id, event_type AS predicate, CASE WHEN f.qid = '{}' THEN '{}' ELSE '{"slot":"' || f.qid || '"}' END AS qualifiers, count(*) AS n
+ FROM done WHERE f.status = 'active' AND f.form <> 'event' GROUP BY ALL HAVING count(*) > 1""").replace("WITH ", "WITH RECURSIVE ", 1))
 def c28_active_unique(spark, sf_dir):
     """Identities with several active state facts: none may be left."""
     f = K.facts_of(folded(spark, sf_dir)).filter("status = 'active' and memory_form <> 'event'")
