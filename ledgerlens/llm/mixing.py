@@ -15,7 +15,6 @@ order, taking whatever still fits.
 
 from __future__ import annotations
 
-import json
 from collections import defaultdict, deque
 
 from pyspark.sql import Column, DataFrame, Window
