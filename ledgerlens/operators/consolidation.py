@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 

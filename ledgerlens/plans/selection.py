@@ -10,7 +10,7 @@ from ..operators import lifecycle
 from ..operators.ordering import values_at
 from ..operators.ranking import top_k
 from ..sources.scratch import written
-from ..sources.tables import chunks, events, facts, read, twin
+from ..sources.tables import events, facts, read, twin
 from .lifecycle import ledger, now
 from .registry import register
 from .retrieval import BUDGET, EVERY, FACTS, ITEMS, FLOOR, PACKED, SAME, context, contested, episodes_of, fact_candidates, facts_of, packed, pool_of
