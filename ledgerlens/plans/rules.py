@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import messages as M
 from ..functions.lexical import english_lexemes, english_rank, simple_lexemes, simple_words
 from ..functions.names import ENTITY, entity_tokens
+from ..functions.scores import hygiene, weighted_score
 from ..operators import consolidation as K
 from ..sources.tables import events, read, twin
 from .registry import register
@@ -440,12 +441,9 @@ def a14_health(spark, sf_dir):
     which is not measured yet."""
     t = c("event_type")
     n = lambda x: F.count_if(t == x)
-    hygiene = F.when(F.count_if(t != "view") > 0, F.greatest(F.lit(0.0), 1 - F.lit(0.1).cast("double") * n("error")))
-    parts = read(spark, sf_dir, "events").groupBy("user_id").agg(F.try_divide(n("purchase"), n("view")).alias("injection"), (1 - F.try_divide(n("error"), n("click"))).alias("integrity"), hygiene.alias("hygiene"), F.lit(None).cast("double").alias("staleness"))
-    weights = {"injection": 0.3, "integrity": 0.3, "hygiene": 0.2, "staleness": 0.2}
-    total = sum((F.coalesce(c(k) * w, F.lit(0.0)) for k, w in weights.items()), F.lit(0.0))
-    known = sum((F.when(c(k).isNotNull(), w).otherwise(0.0) for k, w in weights.items()), F.lit(0.0))
-    return parts.select("user_id", F.bround(F.try_divide(100 * total, known), 1).alias("score"))
+    parts = read(spark, sf_dir, "events").groupBy("user_id").agg(F.try_divide(n("purchase"), n("view")).alias("injection"), (1 - F.try_divide(n("error"), n("click"))).alias("integrity"), n("error").alias("errors"), F.count_if(t != "view").alias("others"))
+    clean = F.when(c("others") > 0, hygiene(c("errors"), 2))
+    return parts.select("user_id", weighted_score({"injection": (0.3 * c("injection"), 0.3), "integrity": (0.3 * c("integrity"), 0.3), "hygiene": (clean, 0.2), "staleness": (F.lit(None).cast("double"), 0.2)}).alias("score"))
 
 
 @register("a16_conflict_summary", twin("ev", """, s AS (SELECT user_id, event_type, coalesce(k % 3, -1) AS b, min(ts) AS opened FROM ev GROUP BY ALL HAVING count(DISTINCT k) = 2)
