@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.scores import hygiene, weighted_score
 from ..operators.ordering import dense_place, values_at
 from ..sources.tables import chunks, events, read, twin
 from .registry import register
@@ -89,11 +90,8 @@ def a13_leakage(spark, sf_dir):
 def a14_health_score(spark, sf_dir):
     """Weighted mean of the components that are known."""
     t = c("event_type")
-    parts = read(spark, sf_dir, "events").groupBy("user_id").agg(F.try_divide(F.count_if(t == "purchase"), F.count_if(t == "view")).alias("injection"), (F.count_distinct("event_type") / F.count("*")).alias("density"), F.greatest(F.lit(0.0), 1 - F.lit(0.1).cast("double") * F.count_if(t == "error")).alias("hygiene"))
-    weights = {"injection": 0.3, "density": 0.3, "hygiene": 0.4}
-    total = sum((F.coalesce(c(k) * w, F.lit(0.0)) for k, w in weights.items()), F.lit(0.0))
-    known = sum((F.when(c(k).isNotNull(), w).otherwise(0.0) for k, w in weights.items()), F.lit(0.0))
-    return parts.select("user_id", F.bround(F.try_divide(100 * total, known), 1).alias("score"))
+    parts = read(spark, sf_dir, "events").groupBy("user_id").agg(F.try_divide(F.count_if(t == "purchase"), F.count_if(t == "view")).alias("injection"), (F.count_distinct("event_type") / F.count("*")).alias("density"), F.count_if(t == "error").alias("errors"))
+    return parts.select("user_id", weighted_score({"injection": (0.3 * c("injection"), 0.3), "density": (0.3 * c("density"), 0.3), "hygiene": (hygiene(c("errors"), 4), 0.4)}).alias("score"))
 
 
 @register("a16_open_conflicts", twin("ev", "SELECT count(*) AS n, min(first) AS oldest FROM (SELECT min(ts) AS first FROM ev GROUP BY user_id, event_type, k % 3 HAVING count(DISTINCT k) = 2)"))
