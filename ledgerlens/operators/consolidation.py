@@ -96,8 +96,10 @@ def judge(candidates: DataFrame, echoes: DataFrame | None = None) -> DataFrame:
     said = F.concat_ws(" ", "predicate", "value", F.coalesce("qualifiers", F.lit("{}")), F.coalesce("evidence_span", F.lit("")))
     weak = (F.col("fact_kind") == "instruction") & (trust_rank(F.col("origin_trust")) < TRUST["semi_trusted"])
     reason = F.when(F.col("action") == "reject", F.col("reject_reason")).when(directive(said), "imperative_directive").when(weak, "untrusted_instruction").when(echo, "echo_of_context")
-    judged = rows.withColumn("error", invalid())
-    return judged.withColumn("rejected", F.when(F.col("error").isNull(), reason)).drop("echo")
+    judged = rows.withColumn("_error", invalid()).withColumn("_reason", reason)
+    # A filter on what comes out of an array isn't pushed below it: pushed, it would compute all of the above anew for each mention.
+    told = F.inline(F.array(F.struct(F.col("_error").alias("error"), F.when(F.col("_error").isNull(), F.col("_reason")).alias("rejected"))))
+    return judged.select("*", told).drop("_error", "_reason", "echo")
 
 
 def canonical(value) -> str:
