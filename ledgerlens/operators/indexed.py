@@ -1,11 +1,10 @@
-"""Candidates of both axes from indexes, with each one's value on the other axis filled in."""
+"""Candidates of both axes from indexes, with each one's value on the other axis."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import cosine_distance
 from ..sources.scratch import written
 from . import lexical_index, vector_index
 from .lexical_index import LexicalIndex
@@ -19,11 +18,9 @@ def build(items: DataFrame) -> tuple[VectorIndex, LexicalIndex]:
 
 def indexed_candidates(vectors: VectorIndex, lexemes: LexicalIndex, queries: DataFrame, k: int, probes: int | None = None) -> DataFrame:
     """What ``candidates`` gives, found by the indexes; with ``probes`` the vector axis is as good as that many lists."""
-    near = written(vector_index.nearest(vectors, queries, k, probes), "near").select("query_id", "id", "by_vector")
-    said = written(lexical_index.best(lexemes, queries, k), "said").select("query_id", "id", "by_lexemes")
-    both = near.join(said, ["query_id", "id"], "full")
-    asked = queries.select(F.col("id").alias("query_id"), F.col("e").alias("qe"), F.col("lex").alias("ql"))
-    items = vectors.lists.select("id", "e", "lex", F.coalesce("recency", F.lit(0)).alias("recency"), F.coalesce("tie_a", F.lit("")).alias("tie_a"), F.coalesce("tie_b", F.lit("")).alias("tie_b"), F.coalesce("cost", F.lit(0)).cast("long").alias("cost"))
-    filled = both.join(asked, "query_id").join(items, "id")
-    overlap = F.size(F.filter(F.coalesce("lex", F.array().cast("array<string>")), lambda x: F.array_contains("ql", x))).cast("long")
-    return filled.select("query_id", "id", F.round(cosine_distance(F.col("e"), F.col("qe")), 6).alias("distance"), F.coalesce(overlap, F.lit(0)).alias("overlap"), "recency", "tie_a", "tie_b", "cost", "by_vector", "by_lexemes")
+    # Each axis is scanned with the other one's values, as filling them in afterwards would carry both texts for each pair.
+    near = written(vector_index.nearest(vectors, queries, k, probes, both=True).drop("by_lexemes"), "near")
+    said = written(lexical_index.best(lexemes, queries, k, both=True), "said")
+    told = ["distance", "overlap", "recency", "tie_a", "tie_b", "cost"]
+    pairs = near.alias("n").join(said.alias("s"), ["query_id", "id"], "full")
+    return pairs.select("query_id", "id", *[F.coalesce(f"n.{x}", f"s.{x}").alias(x) for x in told], "by_vector", "by_lexemes")

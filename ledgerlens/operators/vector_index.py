@@ -125,41 +125,43 @@ def build(items: DataFrame) -> VectorIndex:
 
 
 def ranked_lists(index: VectorIndex, queries: DataFrame) -> DataFrame:
-    """Queries (scope, id, e) with each list of their scope: ``place`` from 1 by the centroid's similarity, ``bound``, ``before`` rows."""
+    """(scope, id, list) of queries (scope, id, e) and the lists of their scope: ``place`` from 1 by the centroid's similarity, ``bound``, ``before`` rows."""
     size = lambda x: F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v))
     dot = F.aggregate(F.zip_with(F.col("e").cast("array<double>"), "centre", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
     length = size(F.col("e").cast("array<double>"))
     similar = F.when(F.col("centre").isNull(), 0.0).when(F.coalesce(length, F.lit(0.0)) > 0, dot / length).otherwise(0.0)
     met = queries.join(index.balls, "scope").withColumn("similar", similar).withColumn("bound", F.when(F.col("centre").isNull(), 1.0).otherwise(F.col("similar") + F.col("radius")))
+    met = met.select("scope", "id", "list", "n", "similar", "bound")
     w = W.partitionBy("scope", "id").orderBy(F.desc("similar"), "list")
     before = F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return met.withColumn("place", F.row_number().over(w)).withColumn("before", before).drop("centre", "similar", "radius", "n")
+    return met.withColumn("place", F.row_number().over(w)).withColumn("before", before).drop("similar", "n")
 
 
-def _scan(index: VectorIndex, probed: DataFrame, k: int) -> DataFrame:
-    """The best ``k`` by vector of the lists that each query probes."""
-    cell = F.concat_ws("\u001f", F.col("scope").cast("string"), F.col("list").cast("string"))
-    none = F.array().cast("array<string>")
-    items = index.lists.select(cell.alias("scope"), "id", "e", none.alias("lex"), "recency", "tie_a", "tie_b", "cost")
-    asked = probed.select(cell.alias("scope"), "id", "e", none.alias("lex"))
-    return candidates(items, asked, k).filter("by_vector is not null")
+def _scan(index: VectorIndex, queries: DataFrame, probed: DataFrame, k: int, both: bool = False) -> DataFrame:
+    """The best ``k`` by vector of the lists that each query probes; many lists are scanned by one task, so that it hands on ``k`` for all of them."""
+    lex = F.col("lex") if both else F.array().cast("array<string>").alias("lex")
+    items = index.lists.select("scope", "id", "e", lex, F.col("list").cast("long").alias("cell"), "recency", "tie_a", "tie_b", "cost")
+    cells = probed.groupBy("scope", "id").agg(F.collect_list(F.col("list").cast("long")).alias("cells"))
+    asked = queries.select("scope", "id", "e", lex).join(cells, ["scope", "id"])
+    return candidates(items, asked, k, ("distance",)).filter("by_vector is not null")
 
 
-def nearest(index: VectorIndex, queries: DataFrame, k: int, probes: int | None = None) -> DataFrame:
+def nearest(index: VectorIndex, queries: DataFrame, k: int, probes: int | None = None, both: bool = False) -> DataFrame:
     """The ``k`` nearest items of each query's scope, as ``candidates`` has them: those of ``probes`` lists, else exactly.
 
-    Items need recency, tie_a, tie_b and cost. An item isn't found by the query with its own id.
+    Items need recency, tie_a, tie_b and cost. An item isn't found by the query with its own id. With ``both`` items and queries
+    have lexemes, and what is found has its overlap.
     """
     lists = written(ranked_lists(index, queries), "probes")
     if probes is not None:
-        return _scan(index, lists.filter(F.col("place") <= probes), k)
+        return _scan(index, queries, lists.filter(F.col("place") <= probes), k, both)
     first = lists.filter(F.col("before") <= k)  # one row more than k, as the query's own may be among them
-    found = written(_scan(index, first, k), "first")
+    found = written(_scan(index, queries, first, k, both), "first")
     floor = found.groupBy("query_id").agg(F.max(F.when(F.col("by_vector") == k, 1 - F.col("distance"))).alias("kth"))
     needed = lists.join(floor, lists.id == floor.query_id, "left").filter((F.col("before") <= k) | F.col("kth").isNull() | (F.col("bound") + ROOM >= F.col("kth")))
     if needed.filter(F.col("before") > k).isEmpty():
         return found
-    return _scan(index, needed.drop("query_id", "kth"), k)
+    return _scan(index, queries, needed.drop("query_id", "kth"), k, both)
 
 
 def list_places(index: VectorIndex, queries: DataFrame, exact: DataFrame) -> DataFrame:
