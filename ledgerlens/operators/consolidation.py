@@ -13,9 +13,13 @@ import hashlib
 import json
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import lru_cache
+from json.encoder import encode_basestring
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,8 +106,13 @@ def judge(candidates: DataFrame, echoes: DataFrame | None = None) -> DataFrame:
     return judged.select("*", told).drop("_error", "_reason", "echo")
 
 
-def canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+#: Encoders are made once: ``json.dumps`` makes one for each call.
+canonical = json.JSONEncoder(sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode
+compact = json.JSONEncoder(separators=(",", ":"), ensure_ascii=False).encode
+
+
+def quoted(text: str | None) -> str:
+    return "null" if text is None else encode_basestring(text)
 
 
 def merged_value(old: dict, new: dict) -> dict:
@@ -113,7 +122,7 @@ def merged_value(old: dict, new: dict) -> dict:
 
 def own_identity(qualifiers: dict) -> str:
     """Qualifiers that tell facts apart: not who said it."""
-    return canonical({k: v for k, v in qualifiers.items() if k != "attributed_to"})
+    return canonical({k: v for k, v in qualifiers.items() if k != "attributed_to"}) if qualifiers else "{}"
 
 
 class Near:
@@ -167,9 +176,11 @@ class Identity:
     def __init__(self, facts: list[dict] | None = None, sets: list[dict] | None = None, semantic: bool = False, aliases: dict | None = None, ring: list | None = None):
         self.facts, self.sets, self.semantic, self.aliases, self.ring = [], [], semantic, aliases or {}, ring or []
         self.places: dict[str, int] = {}
+        self.texts: list[tuple[str, str]] = []  # each fact's canonical value and identity, which never change
+        self.vectors: list[np.ndarray | None] = []
         self.sources: dict[str, set] = {}
         self.live: dict[tuple, list[int]] = {}  # places of active facts, ascending, by several keys
-        self.said: dict[tuple, list[int]] = {}
+        self.said: dict[tuple, list[int]] = {}  # places of states, active or not, ascending
         self.near: dict[str, Near] = {}
         self.sides: dict[str, dict] = {}
         for f in facts or []:
@@ -179,33 +190,35 @@ class Identity:
 
     # What is indexed
 
-    def keys(self, f: dict) -> list[tuple]:
-        identity = own_identity(f["qualifiers"])
-        return [("any", identity), ("named", f["predicate"], identity), ("mixed", f["predicate"], identity == "{}")]
+    def keys(self, place: int) -> list[tuple]:
+        f, (said, identity) = self.facts[place], self.texts[place]
+        keys = [("any", identity), ("named", f["predicate"], identity), ("mixed", f["predicate"], identity == "{}")]
+        return keys if f["memory_form"] == "event" else [*keys, ("said", f["predicate"], said, identity)]
 
-    def add_fact(self, f: dict) -> None:
+    def add_fact(self, f: dict, said: str | None = None) -> None:
         self.places[f["fact_id"]] = place = len(self.facts)
+        said, identity = canonical(f["value"]) if said is None else said, own_identity(f["qualifiers"])
         self.facts.append(f)
+        self.texts.append((said, identity))
+        self.vectors.append(np.array(f["e"]) if f.get("e") is not None else None)
         self.sources[f["fact_id"]] = set(f["source_event_ids"])
         if f["memory_form"] != "event":
-            self.said.setdefault((f["predicate"], canonical(f["value"]), own_identity(f["qualifiers"])), []).append(place)
+            self.said.setdefault((f["predicate"], said, identity), []).append(place)
         if f["status"] == "active":
             self.enter(place)
 
     def enter(self, place: int) -> None:
-        f = self.facts[place]
-        for key in self.keys(f):
+        for key in self.keys(place):
             insort(self.live.setdefault(key, []), place)
-        if f.get("e") is not None:
-            self.near.setdefault(own_identity(f["qualifiers"]), Near()).add(place, np.array(f["e"]))
+        if self.vectors[place] is not None:
+            self.near.setdefault(self.texts[place][1], Near()).add(place, self.vectors[place])
 
     def leave(self, place: int) -> None:
-        f = self.facts[place]
-        for key in self.keys(f):
+        for key in self.keys(place):
             own = self.live[key]
             del own[bisect_left(own, place)]
-        if f.get("e") is not None:
-            self.near[own_identity(f["qualifiers"])].drop(place)
+        if self.vectors[place] is not None:
+            self.near[self.texts[place][1]].drop(place)
 
     def move(self, fact: dict, status: str) -> None:
         place = self.places[fact["fact_id"]]
@@ -215,6 +228,9 @@ class Identity:
         if status == "active":
             self.enter(place)
 
+    def text(self, fact: dict) -> str:
+        return self.texts[self.places[fact["fact_id"]]][0]
+
     def newest(self, *key) -> dict | None:
         own = self.live.get(key)
         return self.facts[own[-1]] if own else None
@@ -237,21 +253,22 @@ class Identity:
             self.aliases.setdefault(predicate, [near["predicate"], 1 - found[0]])
         return near
 
-    def duplicate(self, predicate: str, value: dict, identity: str) -> dict | None:
-        same = [self.facts[i] for i in self.said.get((predicate, canonical(value), identity), ())]
-        return next((f for f in same if f["status"] == "active"), same[0] if same else None)
+    def duplicate(self, predicate: str, said: str, identity: str) -> dict | None:
+        """The first state that says the same: an active one, else any."""
+        own = self.live.get(("said", predicate, said, identity)) or self.said.get((predicate, said, identity))
+        return self.facts[own[0]] if own else None
 
-    def ambiguous(self, predicate: str, value: dict, identity: str) -> dict | None:
+    def ambiguous(self, predicate: str, said: str, identity: str) -> dict | None:
         """An active fact of the predicate with another value where one of both has no qualifiers and the other has."""
-        own = (self.facts[i] for i in self.live.get(("mixed", predicate, identity != "{}"), ()))
-        return next((f for f in own if canonical(f["value"]) != canonical(value)), None)
+        own = self.live.get(("mixed", predicate, identity != "{}"), ())
+        return next((self.facts[i] for i in own if self.texts[i][0] != said), None)
 
     def echoes(self, vector: np.ndarray | None) -> bool:
         """Whether one of the facts in the last packets served is near."""
-        if vector is None:
+        if vector is None or not self.ring:
             return False
         served = {x for packet in self.ring for x in packet}
-        near = [self.facts[self.places[x]]["e"] for x in served if x in self.places]
+        near = [self.vectors[self.places[x]] for x in served if x in self.places]
         return any(v is not None and len(v) == len(vector) and round(1 - float(np.dot(v, vector)), 9) <= SAME for v in near)
 
     def serve(self, fact_ids: list[str]) -> None:
@@ -286,8 +303,9 @@ class Identity:
         vector = unit(c["e"]) if self.semantic else None
         if self.semantic and action != "supersede" and self.echoes(vector):
             return "echo_of_context", None
-        identity, target = own_identity(qualifiers), c["supersedes_predicate"] or c["predicate"]
-        twin = self.duplicate(c["predicate"], value, identity)
+        said, target = c.get("said") or canonical(value), c["supersedes_predicate"] or c["predicate"]
+        identity = c.get("own") or own_identity(qualifiers)
+        twin = self.duplicate(c["predicate"], said, identity)
         existing = None
         if twin is None or twin["status"] != "active":
             existing = self.active(target, identity, vector)
@@ -296,8 +314,8 @@ class Identity:
                 return self.reinforce(twin, c), twin["fact_id"]
             action = "supersede"  # a value that comes back replaces what replaced it
         if existing is None and action == "create":
-            existing = self.ambiguous(target, value, identity)
-        if action == "create" and existing is not None and existing["memory_form"] != "event" and canonical(existing["value"]) == canonical(value):
+            existing = self.ambiguous(target, said, identity)
+        if action == "create" and existing is not None and existing["memory_form"] != "event" and self.text(existing) == said:
             return self.reinforce(existing, c), existing["fact_id"]
         heir = existing if action == "supersede" and existing is not None else {}
         origin = c["origin_trust"]
@@ -305,7 +323,8 @@ class Identity:
         held = lower or origin == "untrusted"
         if heir and not held:
             value = merged_value(existing["value"], value)
-        key = canonical([c["project_id"], c["subject_id"], c["event_id"], c["ordinal"], c["predicate"], value])
+            said = canonical(value)
+        key = f"[{quoted(c['project_id'])},{quoted(c['subject_id'])},{quoted(c['event_id'])},{c['ordinal']},{quoted(c['predicate'])},{said}]"
         fact = {
             "fact_id": hashlib.sha256(key.encode()).hexdigest()[:32], "predicate": c["predicate"], "value": value, "status": "candidate", "confidence": c["confidence"],
             "qualifiers": {**qualifiers, "attributed_to": c["actor_id"] or "third_party"} if origin == "third_party" else qualifiers,
@@ -316,7 +335,7 @@ class Identity:
         }
         if self.semantic:
             fact["e"] = None if vector is None else vector.tolist()
-        self.add_fact(fact)
+        self.add_fact(fact, said)
         if held:
             self.add_set("quarantine", [fact["fact_id"]], "lower_trust_origin" if lower else "untrusted_origin")
             return "quarantined", fact["fact_id"]
@@ -335,7 +354,7 @@ class Identity:
         """A second value opens a set; a third shows that the predicate never was a state, and all of its values become events."""
         both = self.sides.get(existing["fact_id"])
         if both is None:
-            self.add_set("contradiction", [existing["fact_id"], fact["fact_id"]], f"{canonical(existing['value'])} vs {canonical(fact['value'])}")
+            self.add_set("contradiction", [existing["fact_id"], fact["fact_id"]], f"{self.text(existing)} vs {self.text(fact)}")
             return "conflict"
         both["fact_ids"] = [*both["fact_ids"], fact["fact_id"]]
         if len(both["fact_ids"]) <= MOST_SIDES:
@@ -343,12 +362,17 @@ class Identity:
             return "conflict"
         both["status"] = "reclassified_event"
         for fact_id in both["fact_ids"]:
-            f = self.facts[self.places[fact_id]]
-            own = self.said.get((f["predicate"], canonical(f["value"]), own_identity(f["qualifiers"])), [])
-            if self.places[fact_id] in own:
-                own.remove(self.places[fact_id])
+            place = self.places[fact_id]
+            f = self.facts[place]
+            own = self.said.get((f["predicate"], *self.texts[place]), [])
+            if place in own:
+                own.remove(place)
+            if f["status"] == "active":
+                self.leave(place)
             f["memory_form"], f["reclassified"] = "event", True
-            if f["status"] != "active":
+            if f["status"] == "active":
+                self.enter(place)
+            else:
                 self.move(f, "active")
             if self.sides.get(fact_id) is both:
                 del self.sides[fact_id]
@@ -366,10 +390,47 @@ def decoded(text):
         return None
 
 
-def read_candidate(row: dict) -> dict:
-    """A row's candidate with its JSON decoded and its moment as text, which orders alike."""
+@lru_cache(1_000)
+def _short(text: str, own: bool) -> tuple[dict, str]:
+    return _read(text, own)
+
+
+def _read(text: str | None, own: bool) -> tuple[dict, str]:
+    value = decoded(text) or {}
+    return value, own_identity(value) if own else canonical(value)
+
+
+def read_object(text, own: bool = False) -> tuple[dict, str]:
+    """A JSON object and its canonical text, that of its identity if ``own``; nobody changes the object, so short ones are remembered."""
+    return _short(text, own) if isinstance(text, str) and len(text) <= 200 else _read(text, own)
+
+
+def plain_rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The rows of a batch, with moments as text: Arrow's own lists cost far more than pandas' for each value."""
+
+    def values(column: pa.Array) -> list:
+        if pa.types.is_timestamp(column.type):
+            local = pc.local_timestamp(column) if column.type.tz else column
+            return [x.removesuffix(".000000") for x in np.datetime_as_string(local.to_numpy(zero_copy_only=False).astype("datetime64[us]")).tolist()]
+        if pa.types.is_list(column.type) or column.null_count and not pa.types.is_string(column.type):
+            return column.to_pylist()
+        return column.to_numpy(zero_copy_only=False).tolist()
+
+    names = batch.schema.names
+    return (dict(zip(names, row)) for row in zip(*map(values, batch.columns)))
+
+
+def plain(row: dict) -> dict:
+    """A row of pandas with None for what is missing and its moment as text."""
     own = {k: None if v is None or v is pd.NaT or isinstance(v, float) and v != v else v for k, v in row.items()}
-    return own | {"value": decoded(own["value"]) or {}, "qualifiers": decoded(own["qualifiers"]) or {}, "temporal_range": decoded(own["temporal_range"]), "occurred_at": pd.Timestamp(own["occurred_at"]).isoformat(), "origin_trust": own["origin_trust"] or "trusted", "ordinal": int(own["ordinal"])}
+    return own | {"occurred_at": pd.Timestamp(own["occurred_at"]).isoformat()}
+
+
+def read_candidate(row: dict) -> dict:
+    """A row's candidate with its JSON decoded; moments are texts, which order alike."""
+    value, said = read_object(row["value"])
+    qualifiers, own = read_object(row["qualifiers"], True)
+    return row | {"value": value, "said": said, "qualifiers": qualifiers, "own": own, "temporal_range": decoded(row["temporal_range"]), "origin_trust": row["origin_trust"] or "trusted", "ordinal": int(row["ordinal"])}
 
 
 def with_identity(judged: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
@@ -391,30 +452,39 @@ def applied(own: Identity, row: dict) -> tuple | None:
     return (c["event_id"], c["ordinal"], *own.apply(c))
 
 
-def consolidate(accepted: DataFrame, semantic: bool = False) -> DataFrame:
-    """Key, ``kind`` (fact, set, alias or decision) and ``body`` (JSON); see ``facts_of`` and the like.
+KINDS = ("fact", "set", "alias", "decision")
+DECISION = "event_id string, ordinal int, outcome string, fact_id string"
+
+
+def consolidate(accepted: DataFrame, semantic: bool = False, kinds: tuple = KINDS) -> DataFrame:
+    """Key, ``kind`` (of ``kinds``), and a decision's columns or another's ``body`` (JSON); see ``facts_of`` and the like.
 
     Candidates need an identity (``with_identity``), whose class is folded; or, if ``semantic``, a vector ``e`` and the packets
     among them (``with_packets``), and a subject is folded, whose classes grow as its statements come.
     """
     key = SUBJECT if semantic else CLASS
     dealt = accepted.repartition(*key).sortWithinPartitions(*key, *_order(accepted))
+    fields = [(k, pa.string()) for k in [*key, "kind", "event_id"]] + [("ordinal", pa.int32())] + [(k, pa.string()) for k in ("outcome", "fact_id", "body")]
+    schema, decided = pa.schema(fields), "decision" in kinds
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, own, out = None, Identity(semantic=semantic), []
+        shown = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, kind) for x, (_, kind) in zip(zip(*rows), fields)], schema=schema)
         for batch in batches:
-            for row in batch.to_dict("records"):
-                at = tuple(row[k] for k in key)
+            for row in plain_rows(batch):
+                at = tuple([row[k] for k in key])
                 if at != place:
-                    out += closing(place, own)
+                    out += closing(place, own, kinds)
                     place, own = at, Identity(semantic=semantic)
-                if told := applied(own, row):
-                    out.append((*at, "decision", json.dumps(dict(zip(("event_id", "ordinal", "outcome", "fact_id"), told)))))
-            yield pd.DataFrame(out, columns=[*key, "kind", "body"])
+                if (told := applied(own, row)) and decided:
+                    out.append((*at, "decision", *told, None))
+            if out:
+                yield shown(out)
             out = []
-        yield pd.DataFrame(closing(place, own), columns=[*key, "kind", "body"])
+        if out := closing(place, own, kinds):
+            yield shown(out)
 
-    return dealt.mapInPandas(fold, ", ".join(f"{k} string" for k in [*key, "kind", "body"]))
+    return dealt.mapInArrow(fold, ", ".join(f"{k} string" for k in [*key, "kind"]) + f", {DECISION}, body string")
 
 
 def with_packets(judged: DataFrame, packets: DataFrame | None = None) -> DataFrame:
@@ -435,11 +505,15 @@ def _order(accepted: DataFrame) -> list:
     return [F.col("occurred_at"), *first, F.col("event_id"), F.col("ordinal")]
 
 
-def closing(place: tuple | None, own: Identity) -> list[tuple]:
+def closing(place: tuple | None, own: Identity, kinds: tuple) -> list[tuple]:
     """The rows of a class's facts and sets, and of the names that a subject's predicates go by."""
-    text = lambda x: json.dumps({k: canonical(v) if isinstance(v, dict) else v for k, v in x.items() if k != "e"}, ensure_ascii=False)
-    learned = [{"alias": a, "predicate": p, "confidence": n} for a, (p, n) in own.aliases.items()]
-    return [(*place, kind, text(x)) for kind, some in (("fact", own.facts), ("set", own.sets), ("alias", learned)) for x in some] if place else []
+    if place is None:
+        return []
+    text = lambda x: x if x is None or isinstance(x, str) else canonical(x)
+    fact = lambda f, said: compact({**f, "value": said, "qualifiers": text(f["qualifiers"]), "temporal_range": text(f["temporal_range"]), "e": None})
+    rows = lambda kind, bodies: [(*place, kind, None, None, None, None, x) for x in bodies] if kind in kinds else []
+    learned = ({"alias": a, "predicate": p, "confidence": n} for a, (p, n) in own.aliases.items())
+    return rows("fact", (fact(f, said) for f, (said, _) in zip(own.facts, own.texts))) + rows("set", map(compact, own.sets)) + rows("alias", map(compact, learned))
 
 
 def _bodies(folded: DataFrame, kind: str, schema: str) -> DataFrame:
@@ -464,7 +538,7 @@ def aliases_of(folded: DataFrame) -> DataFrame:
 
 
 def decisions_of(folded: DataFrame) -> DataFrame:
-    return _bodies(folded, "decision", "event_id string, ordinal int, outcome string, fact_id string")
+    return folded.filter("kind = 'decision'").select(*[k for k in CLASS if k in folded.columns], "event_id", "ordinal", "outcome", "fact_id")
 
 
 def consolidate_stream(accepted: DataFrame, semantic: bool = False) -> DataFrame:
@@ -482,7 +556,7 @@ def consolidate_stream(accepted: DataFrame, semantic: bool = False) -> DataFrame
         own = Identity(*json.loads(state.get[0])) if state.exists else Identity(semantic=semantic)
         rows = pd.concat(list(batches))
         rows["_said"] = rows["served"].isna() if "served" in rows else True
-        told = [applied(own, row) for row in rows.sort_values(["occurred_at", "_said", "event_id", "ordinal"]).to_dict("records")]
+        told = [applied(own, plain(row)) for row in rows.sort_values(["occurred_at", "_said", "event_id", "ordinal"]).to_dict("records")]
         state.update((own.state(),))
         yield pd.DataFrame([(*at, *x) for x in told if x], columns=columns)
 

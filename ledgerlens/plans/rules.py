@@ -61,8 +61,8 @@ def c5_anti_echo(spark, sf_dir):
     return e.filter((F.coalesce("k", F.lit(0)) % 4 != 0) & (c("at") >= c("ts") - F.expr("interval 7 days"))).select("event_id")
 
 
-def folded(spark, sf_dir) -> DataFrame:
-    return K.consolidate(K.with_identity(K.judge(candidates(spark, sf_dir))))
+def folded(spark, sf_dir, kind: str) -> DataFrame:
+    return K.consolidate(K.with_identity(K.judge(candidates(spark, sf_dir))), kinds=(kind,))
 
 
 #: The fold once more, in plain recursion: a row of state for each class, a step for each candidate.
@@ -87,12 +87,12 @@ FOLDED = CAND + """, line AS (SELECT user_id, event_type, event_id, row_number()
 @register("c24_state_machine", twin("ev", FOLDED + " SELECT event_id, outcome, met AS fact_id FROM fold WHERE n > 0").replace("WITH ", "WITH RECURSIVE ", 1))
 def c24_state_machine(spark, sf_dir):
     """Every accepted candidate's outcome; the tests hold it against the survey's scenarios and the same fold without Spark."""
-    return K.decisions_of(folded(spark, sf_dir)).select(c("event_id").cast("long").alias("event_id"), "outcome", "fact_id")
+    return K.decisions_of(folded(spark, sf_dir, "decision")).select(c("event_id").cast("long").alias("event_id"), "outcome", "fact_id")
 
 
 @register("c24_facts")
 def c24_facts(spark, sf_dir):
-    return K.facts_of(folded(spark, sf_dir))
+    return K.facts_of(folded(spark, sf_dir, "fact"))
 
 
 #: The facts of each class after its last candidate.
@@ -103,10 +103,10 @@ STATES = FOLDED + """, done AS (SELECT user_id, event_type, unnest(max_by(facts,
  FROM done LEFT JOIN again ON met = f.id""").replace("WITH ", "WITH RECURSIVE ", 1))
 def c24_fact_states(spark, sf_dir):
     """What became of every fact in the end."""
-    return K.facts_of(folded(spark, sf_dir)).select("subject_id", "predicate", "fact_id", "value", "status", "memory_form", "reinforcement_count")
+    return K.facts_of(folded(spark, sf_dir, "fact")).select("subject_id", "predicate", "fact_id", "value", "status", "memory_form", "reinforcement_count")
 
 
-def meant(spark, sf_dir) -> DataFrame:
+def meant(spark, sf_dir, kind: str) -> DataFrame:
     """The same candidates with vectors, that of their counter, folded by subject: predicates meet by meaning, served facts echo.
 
     Every fiftieth event is followed at once by a packet that serves the fact of an event before it.
@@ -114,34 +114,34 @@ def meant(spark, sf_dir) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings").select(c("vec_id").alias("k"), c("embedding").alias("e"))
     made = candidates(spark, sf_dir).withColumn("k", F.get_json_object("value", "$.k").cast("long") + F.col("subject_id").cast("long") % 7)
     judged = K.judge(made.join(F.broadcast(vectors.filter("k < 16")), "k", "left").drop("k"))
-    told = K.decisions_of(folded(spark, sf_dir)).filter(c("event_id").cast("long") % 50 == 0)
+    told = K.decisions_of(folded(spark, sf_dir, "decision")).filter(c("event_id").cast("long") % 50 == 0)
     at = events(spark, sf_dir).select(F.lpad(c("event_id").cast("string"), 12, "0").alias("event_id"), c("ts").cast("timestamp").alias("served_at"))
     packets = told.join(at, "event_id").select("project_id", "subject_id", "served_at", F.array("fact_id").alias("fact_ids"))
-    return K.consolidate(K.with_packets(judged, packets), semantic=True)
+    return K.consolidate(K.with_packets(judged, packets), semantic=True, kinds=(kind,))
 
 
 @register("c8_semantic_fold")
 def c8_semantic_fold(spark, sf_dir):
     """Outcomes where identity is resolved by name, by a learned name, then by the nearest active fact; echoes are turned away."""
-    return K.decisions_of(meant(spark, sf_dir)).groupBy("subject_id", "outcome").agg(F.count("*").alias("n"))
+    return K.decisions_of(meant(spark, sf_dir, "decision")).groupBy("subject_id", "outcome").agg(F.count("*").alias("n"))
 
 
 @register("c8_learned_names")
 def c8_learned_names(spark, sf_dir):
-    return K.aliases_of(meant(spark, sf_dir)).select("project_id", "subject_id", "alias", "predicate", F.round("confidence", 6).alias("confidence"))
+    return K.aliases_of(meant(spark, sf_dir, "alias")).select("project_id", "subject_id", "alias", "predicate", F.round("confidence", 6).alias("confidence"))
 
 
 @register("c18_conflict_sets")
 def c18_conflict_sets(spark, sf_dir):
     """Quarantines, contradictions and reclassified sets."""
-    return K.sets_of(folded(spark, sf_dir))
+    return K.sets_of(folded(spark, sf_dir, "set"))
 
 
 @register("c28_active_unique", twin("ev", STATES + """ SELECT CAST(user_id % 3 AS VARCHAR) AS project_id, CAST(user_id AS VARCHAR) AS subject_id, event_type AS predicate, CASE WHEN f.qid = '{}' THEN '{}' ELSE '{"slot":"' || f.qid || '"}' END AS qualifiers, count(*) AS n
  FROM done WHERE f.status = 'active' AND f.form <> 'event' GROUP BY ALL HAVING count(*) > 1""").replace("WITH ", "WITH RECURSIVE ", 1))
 def c28_active_unique(spark, sf_dir):
     """Identities with several active state facts: none may be left."""
-    f = K.facts_of(folded(spark, sf_dir)).filter("status = 'active' and memory_form <> 'event'")
+    f = K.facts_of(folded(spark, sf_dir, "fact")).filter("status = 'active' and memory_form <> 'event'")
     own = M.drop_key(c("qualifiers"), "attributed_to")
     return f.groupBy("project_id", "subject_id", "predicate", own.alias("qualifiers")).agg(F.count("*").alias("n")).filter("n > 1")
 
