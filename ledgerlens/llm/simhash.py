@@ -5,13 +5,17 @@ bits agree on ``budget``-less-than-all of any split of their bits into blocks; e
 key, and fingerprints that share a key form a cell. More fingerprints get finer blocks, so cells stay small on average; a
 cell over ``CELL`` is dealt out as pairs of its parts. Inside a task the cells are implicit binary tries over sorted
 fingerprints, and pairs of trie nodes are traversed together, level by level, adding up differing bits and dropping a pair
-whose sum exceeds the budget. A task reports only a spanning forest of the links it finds, never all pairs; where links are to be
-verified, a minimum one of real links. The forests are merged into components by alternating large-star and small-star steps.
+whose sum exceeds the budget. A task reports only a spanning forest of the links it finds, never all pairs. The forests are
+merged into components by alternating large-star and small-star steps.
+
+With several fingerprints a row, the keys are what fills disks. Then cells are wide, so that there are few keys, and a task splits
+a wide cell again, by choices of blocks of the bits that its key leaves open, and compares what agrees in one directly. As such
+links are verified, it reports near pairs themselves: all of a fingerprint that has few, else those of several minimum forests.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from itertools import accumulate, combinations
 
@@ -27,6 +31,9 @@ from .common import broadcast_few, fresh, frugal, materialise
 
 CELL = 512
 PAIRS_AT_ONCE = 100_000
+#: With several fingerprints: about how many of them share a key at most; those that are compared directly, and in one piece; the
+#: least and the times the expected number from which a cell is dealt out; and the forests of near pairs that it hands on.
+WIDE, DIRECT, TILE, LEAST_HOT, TIMES_HOT, FORESTS = 1 << 18, 4096, 512, 4096, 4, 4
 
 
 def mixer(i: int) -> int:
@@ -161,77 +168,166 @@ def nearest_forest(n: int, a: np.ndarray, b: np.ndarray, distance: np.ndarray) -
     return np.concatenate(kept or [np.empty(0, np.int64)])
 
 
-def _cell_links(budget: int, real: bool = False):
-    """Over batches sorted by cell: (u, root) links of each cell's spanning forest; with ``real``, near pairs of a minimum one."""
+def tile_pairs(fp: np.ndarray, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of fingerprints that differ in at most ``budget`` bits: each with each, a tile at a time."""
+    for i in range(0, len(fp), TILE):
+        for j in range(i, len(fp), TILE):
+            right = fp[j : j + TILE]
+            near = np.flatnonzero(np.bitwise_count(fp[i : i + TILE, None] ^ right) <= budget)
+            a, b = near // len(right) + i, near % len(right) + j
+            yield a[a < b], b[a < b]
+
+
+def cell_pairs(fp: np.ndarray, budget: int, agreed: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same of a cell whose fingerprints agree in the bits ``agreed``; a pair may come several times.
+
+    A large cell is split by each choice of blocks of its other bits, unless so many agree in these too that this would be more work.
+    """
+    if len(fp) > DIRECT:
+        masks = [np.uint64(m) for m in block_masks(len(fp), budget, TILE // 2, [b for b in range(64) if not agreed >> b & 1])]
+        cuts = lambda x: np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1], [True])))
+        if 2 * sum(int((np.diff(cuts(np.sort(fp & m))) ** 2).sum()) for m in masks) < len(fp) ** 2:
+            for m in masks:
+                order = np.argsort(fp & m)
+                at = cuts((fp & m)[order])
+                for start, end in zip(at[:-1], at[1:]):
+                    if end - start > 1:
+                        own = order[start:end]
+                        yield from ((own[a], own[b]) for a, b in tile_pairs(fp[own], budget))
+            return
+    yield from tile_pairs(fp, budget)
+
+
+def few_links(a: np.ndarray, b: np.ndarray, distance: np.ndarray) -> np.ndarray:
+    """Which of the links (a, b) make ``FORESTS`` minimum spanning forests, each of what the ones before it left: all those of a node with so few."""
+    nodes, ends = np.unique(np.concatenate((a, b)), return_inverse=True)
+    u, v = ends[: len(a)], ends[len(a) :]
+    left, kept = np.arange(len(a)), []
+    for _ in range(FORESTS):
+        own = nearest_forest(len(nodes), u[left], v[left], distance[left])
+        kept.append(left[own])
+        left = np.delete(left, own)
+        if not len(left):
+            break
+    return np.concatenate(kept)
+
+
+def cell_links(fp: np.ndarray, budget: int, agreed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The near pairs of a cell, or the nearest ones that ``few_links`` keeps; of all near pairs only some are held at once."""
+    held, n = [(np.empty(0, np.int64), np.empty(0, np.int64))], 0
+
+    def fewer() -> tuple[np.ndarray, np.ndarray]:
+        a, b = (np.concatenate(x) for x in zip(*held))
+        once = np.unique(np.minimum(a, b) * len(fp) + np.maximum(a, b))
+        a, b = once // len(fp), once % len(fp)
+        own = few_links(a, b, np.bitwise_count(fp[a] ^ fp[b]))
+        return a[own], b[own]
+
+    for a, b in cell_pairs(fp, budget, agreed):
+        if len(a):
+            held.append((a, b))
+            n += len(a)
+            if n > PAIRS_AT_ONCE + 2 * FORESTS * len(fp):
+                held = [fewer()]
+                n = len(held[0][0])
+    return fewer() if n else held[0]
+
+
+def _cell_links(budget: int):
+    """Over batches sorted by cell: (u, root) links of each cell's spanning forest."""
 
     def links(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-        cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
-        starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(fps)]))
+        starts, ends = _cells(keys)
         group = np.repeat(np.arange(len(starts)), ends - starts)
         fps = fps[np.lexsort((fps, group))]
         run = np.cumsum((ends - starts) ** 2) // PAIRS_AT_ONCE
-        u, v, block = [], [], []
+        u, v = [], []
         for r in np.unique(run):
             own = run == r
             lo = starts[own][0]
             part = fps[lo : ends[own][-1]]
-            a, b = trie_pairs(part, starts[own] - lo, ends[own] - lo, budget)
-            if real:
-                own = nearest_forest(len(part), a, b, np.bitwise_count(part[a] ^ part[b]))
-                u.append(part[a[own]])
-                v.append(part[b[own]])
-                block.append(keys[lo + a[own], 0])
-                continue
-            root = forest(len(part), a, b)
+            root = forest(len(part), *trie_pairs(part, starts[own] - lo, ends[own] - lo, budget))
             moved = np.flatnonzero(root != np.arange(len(part)))
             u.append(part[moved])
             v.append(part[root[moved]])
         u, v = np.concatenate(u).view(np.int64), np.concatenate(v).view(np.int64)
-        cols = {"u": u, "v": v} | ({"block": np.concatenate(block)} if real else {})
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in cols.values()], names=list(cols))
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    return _by_cell(links)
+
+
+def _near_cell_links(budget: int, masks: list[int]):
+    """Over batches sorted by cell: (u, v, block) of each cell's near pairs, where they are many the nearest."""
+
+    def links(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+        u, v, block = [fps[:0]], [fps[:0]], [keys[:0, 0]]
+        for start, end in zip(*_cells(keys)):
+            if end - start > 1:
+                cell = fps[start:end]
+                a, b = cell_links(cell, budget, masks[int(keys[start, 0]) % len(masks)])
+                u.append(cell[a])
+                v.append(cell[b])
+                block.append(np.repeat(keys[start, 0], len(a)))
+        u, v = np.concatenate(u).view(np.int64), np.concatenate(v).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(np.concatenate(block))], names=["u", "v", "block"])
+
+    return _by_cell(links)
+
+
+def _cells(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+    return np.concatenate(([0], cuts)), np.concatenate((cuts, [len(keys)]))
+
+
+def _by_cell(links):
+    """``links`` of the keys and fingerprints of whole cells, from batches sorted by cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frugal()
-        keys, fps = np.empty((0, 3), np.int64), np.empty(0, np.uint64)
+        held, n, most = [(np.empty((0, 3), np.int64), np.empty(0, np.uint64))], 0, 50_000
         for batch in batches:
             cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-            keys = np.concatenate((keys, np.stack(cols[:3], axis=1).astype(np.int64)))
-            fps = np.concatenate((fps, cols[3].astype(np.int64).view(np.uint64)))
-            if len(fps) > 50_000:
+            held.append((np.stack(cols[:3], axis=1).astype(np.int64), cols[3].astype(np.int64).view(np.uint64)))
+            n += batch.num_rows
+            if n > most:
+                keys, fps = (np.concatenate(x) for x in zip(*held))
                 last = np.flatnonzero((keys != keys[-1]).any(axis=1))
-                if len(last):
-                    cut = last[-1] + 1
+                cut = last[-1] + 1 if len(last) else 0
+                if cut:
                     yield links(keys[:cut], fps[:cut])
-                    keys, fps = keys[cut:], fps[cut:]
-        if len(fps):
-            yield links(keys, fps)
+                held, n = [(keys[cut:], fps[cut:])], len(keys) - cut
+                most = max(50_000, 2 * n)  # a cell that goes on is put together a few times only
+        if n:
+            yield links(*(np.concatenate(x) for x in zip(*held)))
 
     return run
 
 
-def block_masks(n: int, budget: int) -> list[int]:
-    """Masks of the bits on which some choice of blocks agrees; enough blocks that n fingerprints make cells of about 64."""
+def block_masks(n: int, budget: int, cell: int = 64, bits: Sequence[int] = range(64)) -> list[int]:
+    """Masks of those of ``bits`` on which some choice of blocks agrees; enough blocks that n fingerprints make cells of about ``cell``."""
     blocks = budget + 1
-    while n >> (64 * (blocks - budget) // blocks) > 64 and blocks < budget + 4:
+    while n >> (len(bits) * (blocks - budget) // blocks) > cell and blocks < budget + 4:
         blocks += 1
-    edges = [round(i * 64 / blocks) for i in range(blocks + 1)]
-    each = [sum(1 << b for b in range(edges[i], edges[i + 1])) for i in range(blocks)]
+    edges = [round(i * len(bits) / blocks) for i in range(blocks + 1)]
+    each = [sum(1 << b for b in bits[edges[i] : edges[i + 1]]) for i in range(blocks)]
     return [sum(c) for c in combinations(each, blocks - budget)]
 
 
 def near_links(fps: DataFrame, budget: int, several: int = 0) -> DataFrame:
     """Links (u, v) whose components are those of all pairs of distinct fingerprints (column ``fp``) within the budget.
 
-    With ``several`` fingerprints, numbered in ``i``, each kind is linked in itself, links are (i, u, v) and near pairs themselves,
-    and near pairs are linked over the nearest.
+    With ``several`` fingerprints, numbered in ``i``, each kind is linked in itself, links are (i, u, v) and near pairs themselves:
+    all of a fingerprint that has few in a cell, and else near pairs are linked over the nearest.
     """
     n = fps.count() // max(1, several)
-    signed = [m - (1 << 64) if m >> 63 else m for m in block_masks(n, budget)]
+    masks = block_masks(n, budget, WIDE if several else 64)
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    most = max(LEAST_HOT, TIMES_HOT * (n >> min(m.bit_count() for m in masks))) if several else CELL
     kind = F.col("i") if several else F.lit(0)
     blocks = F.array(*[F.struct((kind * len(signed) + i).alias("block"), F.col("fp").bitwiseAND(F.lit(m)).alias("part")) for i, m in enumerate(signed)])
     keyed = fps.select("fp", F.explode(blocks).alias("k")).select("k.*", "fp")
-    sizes = keyed.groupBy("block", "part").count().filter(F.col("count") > CELL)
-    hot = materialise(sizes.select("block", "part", F.ceil(F.col("count") / CELL).cast("int").alias("cuts")), "hot")
+    sizes = keyed.groupBy("block", "part").count().filter(F.col("count") > most)
+    hot = materialise(sizes.select("block", "part", F.ceil(F.col("count") / most).cast("int").alias("cuts")), "hot")
     cut = keyed.join(broadcast_few(hot), ["block", "part"], "left")
     own = F.pmod(F.xxhash64("fp"), F.col("cuts")).cast("int")
     # Each part of a hot cell meets each other part once, in a cell of their own; a cell that isn't hot is its only part.
@@ -240,7 +336,7 @@ def near_links(fps: DataFrame, budget: int, several: int = 0) -> DataFrame:
     dealt = cells.repartition("block", "part", "cell").sortWithinPartitions("block", "part", "cell").select("block", "part", "cell", "fp")
     if not several:
         return dealt.mapInArrow(_cell_links(budget), "u long, v long")
-    links = dealt.mapInArrow(_cell_links(budget, True), "u long, v long, block long")
+    links = dealt.mapInArrow(_near_cell_links(budget, masks), "u long, v long, block long")
     return links.select(F.floor(F.col("block") / len(signed)).cast("int").alias("i"), "u", "v")
 
 
@@ -304,7 +400,7 @@ def verified_links(docs: DataFrame, classes: DataFrame, budget: int, several: in
     """(u, v) of classes (``node``, ``fps``, ``first``) near in any fingerprint whose texts' shingle sets have a Jaccard of ``least``.
 
     Classes that share a value of a fingerprint are linked to the least of them, which stands for the value; near values of it are
-    linked over the nearest. Only texts of linked classes are hashed again, and sets meet only if their sizes allow.
+    linked as ``near_links`` says. Only texts of linked classes are hashed again, and sets meet only if their sizes allow.
     """
     own = classes.select("node", F.posexplode("fps").alias("i", "fp"))
     values = materialise(own.groupBy("i", "fp").agg(F.min("node").alias("stands"), F.count("*").alias("n")), "values")

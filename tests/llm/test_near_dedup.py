@@ -120,3 +120,47 @@ def test_a_nearest_forest_joins_over_the_shortest_links():
             within = lambda own: simhash.forest(n, a[own], b[own]).tolist()
             own = kept[d[kept] <= longest]
             assert within(own) == within(np.flatnonzero(d <= longest)) and len(own) == n - len(set(within(own)))
+
+
+def test_several_fingerprints_of_gigabytes_have_few_keys_and_wide_cells_lose_no_pair():
+    assert [len(simhash.block_masks(n, 8, simhash.WIDE)) for n in (10, 4_000_000, 30_000_000)] == [9, 9, 9]
+    r = np.random.default_rng(3)
+    agreed = 0b1111111 << 57
+    for n, near, whole in ((300, 40, False), (6000, 400, False), (6000, 5000, True)):  # the last one has a group that no split would divide
+        fp = r.integers(0, 1 << 57, n, dtype=np.uint64)
+        for i in range(near):
+            base = 0 if whole else r.integers(n)
+            fp[r.integers(1, n)] = fp[base] ^ np.uint64(sum(1 << int(x) for x in r.choice(57, r.integers(1, 9 - 5 * whole), replace=False)))
+        fp = np.unique(fp)
+        want = {(a, b) for i in range(0, len(fp), 1000) for a, b in zip(*(x.tolist() for x in np.nonzero(np.bitwise_count(fp[i : i + 1000, None] ^ fp) <= 8))) for a in [a + i] if a < b}
+        got = {(min(x), max(x)) for a, b in simhash.cell_pairs(fp, 8, agreed) for x in zip(a.tolist(), b.tolist())}
+        assert got == want and want
+        pairs = np.array(sorted(want))
+        u, v = simhash.cell_links(fp, 8, agreed)
+        assert {(min(x), max(x)) for x in zip(u.tolist(), v.tolist())} <= want and len(u) <= simhash.FORESTS * len(fp)
+        assert (simhash.forest(len(fp), u, v) == simhash.forest(len(fp), pairs[:, 0], pairs[:, 1])).all()
+
+
+def test_all_near_pairs_of_a_fingerprint_with_few_are_handed_on():
+    r = random.Random(4)
+    base = r.getrandbits(50)
+    fp = np.array(sorted({base ^ (1 << i) ^ (1 << (i + 9)) for i in range(6)} | {r.getrandbits(50) for _ in range(100)}), dtype=np.uint64)
+    want = {(i, j) for i in range(len(fp)) for j in range(i + 1, len(fp)) if int(fp[i] ^ fp[j]).bit_count() <= 8}
+    got = {(min(x), max(x)) for x in zip(*(x.tolist() for x in simhash.cell_links(fp, 8, 0)))}
+    assert len(want) >= 15 and got == want
+
+
+def test_hot_cells_of_several_fingerprints_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "LEAST_HOT", 20)
+    monkeypatch.setattr(simhash, "TIMES_HOT", 0)
+    r = random.Random(6)
+    fps = {(i, b ^ sum(1 << x for x in r.sample(range(63), r.randint(0, 5)))) for i in range(2) for b in [r.getrandbits(63)] for _ in range(90)}
+    found = simhash.near_links(spark.createDataFrame(sorted(fps), "i int, fp long"), 8, 2).distinct().collect()
+    for i in range(2):
+        own = sorted(f for k, f in fps if k == i)
+        at = {f: n for n, f in enumerate(own)}
+        links = [(at[x.u], at[x.v]) for x in found if x.i == i]
+        want = [(a, b) for a in range(len(own)) for b in range(a) if (own[a] ^ own[b]).bit_count() <= 8]
+        assert {(max(x), min(x)) for x in links} <= set(want)
+        roots = [simhash.forest(len(own), *(np.array(x) for x in zip(*pairs))).tolist() for pairs in (links, want)]
+        assert roots[0] == roots[1]
