@@ -33,7 +33,7 @@ CELL = 512
 PAIRS_AT_ONCE = 100_000
 #: With several fingerprints: about how many of them share a key at most; those that are compared directly, and in one piece; the
 #: least and the times the expected number from which a cell is dealt out; and the forests of near pairs that it hands on.
-WIDE, DIRECT, TILE, LEAST_HOT, TIMES_HOT, FORESTS = 1 << 18, 4096, 512, 4096, 4, 4
+WIDE, DIRECT, TILE, LEAST_HOT, TIMES_HOT, FORESTS = 1 << 18, 4096, 512, 4096, 4, 2
 
 
 def mixer(i: int) -> int:
@@ -263,7 +263,7 @@ def _near_cell_links(budget: int, masks: list[int]):
         u, v, block = [fps[:0]], [fps[:0]], [keys[:0, 0]]
         for start, end in zip(*_cells(keys)):
             if end - start > 1:
-                cell = fps[start:end]
+                cell = np.sort(fps[start:end])  # so that reruns choose the same among links of a length
                 a, b = cell_links(cell, budget, masks[int(keys[start, 0]) % len(masks)])
                 u.append(cell[a])
                 v.append(cell[b])
