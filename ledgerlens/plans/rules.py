@@ -282,7 +282,7 @@ CHUNKED = r"""b AS (SELECT doc_id, 'document {"text": ' || to_json(text)::VARCHA
    UNION ALL SELECT p.doc_id, p.n, CASE WHEN size = 0 OR size + 1 + length(piece) <= 1000 THEN chunk ELSE chunk + 1 END, CASE WHEN size = 0 THEN length(piece) WHEN size + 1 + length(piece) <= 1000 THEN size + 1 + length(piece) ELSE length(piece) END FROM g JOIN p ON p.doc_id = g.doc_id AND p.n = g.n + 1),
  c AS (SELECT doc_id, chunk, regexp_replace(string_agg(piece, ' ' ORDER BY n), '^\s+|\s+$', '', 'g') AS said FROM g JOIN p USING (doc_id, n) GROUP BY 1, 2 UNION ALL SELECT doc_id, 0, blob FROM b WHERE length(blob) <= 1600),
  o AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY chunk) - 1 AS INTEGER) AS ordinal, said FROM c WHERE said <> '')
- SELECT doc_id, least(ordinal, 199) AS ordinal, left(string_agg(said, ' ' ORDER BY ordinal), CASE WHEN max(ordinal) >= 200 THEN 1600 ELSE 1000000000 END) AS chunk FROM o GROUP BY doc_id, least(ordinal, 199)"""
+ SELECT doc_id, least(ordinal, 199) AS ordinal, string_agg(said, ' ' ORDER BY ordinal) AS chunk FROM o GROUP BY doc_id, least(ordinal, 199)"""
 
 
 @register("f_chunk_payload", f"WITH RECURSIVE {CHUNKED}")
