@@ -322,8 +322,9 @@ def r13_multi_hop(spark, sf_dir):
     decided = written(packed(spark, sf_dir, pool).filter("action = 'included'").select("query_id", "kind", "id", "used"), "packed")
     head = written(fused(spark, sf_dir, pool).filter(c("rank") <= HEAD).select("query_id", "rank", "kind", "id"), "head")
     queries = facts.filter(c("id") % EVERY == 0).select(c("id").alias("query_id"), "scope").join(named.withColumnRenamed("id", "query_id"), "query_id")
-    free = facts.select("scope", "id", "cost", c("lex").alias("words")).join(contested(spark, sf_dir).select("id"), "id", "left_anti")
-    found = second_hop(decided.join(every, ["kind", "id"]), head.join(every, ["kind", "id"]), queries, free, BUDGET, queries.select("query_id", c("query_id").alias("id")))
+    words = facts.select("scope", "id", "cost", c("lex").alias("words"))
+    own = queries.select("query_id", c("query_id").alias("id"))
+    found = second_hop(decided.join(every, ["kind", "id"]), head.join(every, ["kind", "id"]), queries, words, BUDGET, own, contested(spark, sf_dir))
     return found.select("query_id", "hop", "entity", c("id").alias("fact_id"), "used")
 
 

@@ -2,11 +2,13 @@
 
 import json
 
+import duckdb
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import messages as M
 from ledgerlens.functions.names import entity_tokens, person_factor
 from ledgerlens.operators.expansion import feedback_names, second_hop
+from ledgerlens.plans import retrieval
 
 
 def hop(spark, packed, pool=(), facts=(), asked=("Zoe",), budget=100, barred=None):
@@ -30,6 +32,24 @@ def test_names_of_packed_facts_bring_theirs(spark):
     assert hop(spark, [(1, "episode", 6, 30, ["Ann"])], facts=FACTS) == []  # no fact is packed
 
 
+def test_contested_facts_take_a_place_among_a_names_facts(spark, tmp_path):
+    """Of the five facts that say a name most often two are contested and one is packed: they stay out, and no sixth one comes in. As the SQL does it."""
+    texts = {0: "who sang there", 7: "here Ann sang"} | dict.fromkeys([10, 11], "ann ann ann") | dict.fromkeys([14, 16, 18, 22, 24], "and ann")
+    near = {0: [1.0, 0.0], 7: [1.0, 0.1]}
+    tables = {
+        "documents": spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long"),
+        "embeddings": spark.createDataFrame([(i, near.get(i, [0.0, 1.0]), 0) for i in texts], "vec_id long, embedding array<float>, label long"),
+        "conversations": spark.createDataFrame([(999, 0, "user", "well")], "conv_id long, turn int, role string, text string"),
+    }
+    con = duckdb.connect()
+    for name, df in tables.items():
+        df.coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = retrieval.r13_multi_hop(spark, str(tmp_path)).select("query_id", "hop", "entity", "fact_id", "used").collect()
+    want = con.sql(f"WITH RECURSIVE {retrieval.MULTI_HOP}").fetchall()
+    assert sorted(map(tuple, got)) == sorted(want) and [x[3] for x in sorted(want)] == [14, 16]
+
+
 def test_feedback_names_join_the_seeds(spark):
     pool = [(1, 1, ["Cid", "Cid"]), (1, 2, ["Cid", "Bob"]), (1, 11, ["Bob"])]
     assert hop(spark, [(1, "fact", 5, 10, [])], pool, FACTS) == [(1, "Cid", 15, 15)]
